@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .quality_rules import with_quality
 from .registry import query
 from .shared import table
+from .substring_dedup import remove_repeats
 
 
 @query("op3_quality_rules")
@@ -16,3 +17,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, q = with_quality(docs)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
     return scored.select("doc_id", *[F.col(q)[k].alias(k) for k in names])
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
