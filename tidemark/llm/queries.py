@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import copies
 from .quality_rules import with_quality
 from .registry import query
 from .shared import table
 from .substring_dedup import remove_repeats
+from .url_filters import judge
 
 
 @query("op3_quality_rules")
@@ -23,3 +25,69 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP8 = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (CAST('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+         (2 * source_size)::DOUBLE AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM totals),
+filled AS (
+  SELECT *, cap / weight <= (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM weighed),
+targets AS (
+  SELECT source, source_size, CASE WHEN filled THEN cap ELSE weight * ((total - coalesce(sum(CASE WHEN filled THEN cap END) OVER (), 0))
+         / sum(CASE WHEN NOT filled THEN weight END) OVER ()) END AS target FROM filled),
+expected AS (
+  SELECT s.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+ranked AS (
+  SELECT *, floor(e) AS certain, CASE WHEN e = floor(e) THEN 1.0 ELSE (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS xi,
+         target - floor(e) * source_size AS left_words FROM expected),
+summed AS (SELECT *, sum(CASE WHEN left_words > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY xi / (1 + xi), doc_id ROWS UNBOUNDED PRECEDING) AS after_it FROM ranked),
+picked AS (
+  SELECT *, after_it <= left_words AND size > 0 AND e > certain AS prefix,
+         left_words - max(CASE WHEN after_it <= left_words THEN after_it ELSE 0 END) OVER (PARTITION BY source) AS gap FROM summed),
+closing AS (
+  SELECT source, doc_id FROM picked WHERE NOT prefix AND size > 0 AND left_words > 0 AND abs(size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), xi / (1 + xi), doc_id) = 1)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       (CASE WHEN p.size > 0 THEN (certain + CASE WHEN (prefix OR c.doc_id IS NOT NULL) AND e > certain THEN 1 ELSE 0 END) * p.size ELSE 0 END)::BIGINT AS taken
+FROM picked p LEFT JOIN closing c ON p.source IS NOT DISTINCT FROM c.source AND p.doc_id = c.doc_id
+"""
+
+
+@query("op8_mixing", _OP8)
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).cast("long").alias("taken"))
+
+
+_OP9 = r"""
+WITH located AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM located),
+rules(rule, action) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+hits AS (
+  SELECT p.page_id, p.host, p.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.action, length(r.rule)) AS action
+  FROM (SELECT DISTINCT * FROM parts) p JOIN rules r
+    ON ('.' || p.host) LIKE ('%.' || split_part(r.rule, '/', 1)) AND starts_with(p.path, substr(r.rule, position('/' IN r.rule)))
+  GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, h.rule,
+       CASE WHEN h.rule IS NOT NULL THEN h.action
+            WHEN regexp_matches(p.host, '(^|[^a-z0-9])(spam|casino|pills|bets|adult|ads|porn|xxx|warez|phish)([^a-z0-9]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM parts p LEFT JOIN hits h ON p.page_id = h.page_id AND p.host = h.host AND p.path = h.path
+"""
+
+
+@query("op9_url_filters", _OP9)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
