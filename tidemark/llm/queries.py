@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import copies
+from .pii import KINDS, scan
 from .quality_rules import with_quality
 from .registry import query
 from .shared import table
@@ -91,3 +92,16 @@ FROM parts p LEFT JOIN hits h ON p.page_id = h.page_id AND p.host = h.host AND p
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), clean=False)
+    spans = F.col(name)["spans"]
+    base = F.filter(spans, lambda x: x["kind"] != "term")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count("term"))
