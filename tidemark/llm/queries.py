@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .mixing import copies
 from .pii import KINDS, scan
 from .quality_rules import with_quality
 from .registry import query
+from .sentencepiece_codec import encode
 from .shared import table
 from .substring_dedup import remove_repeats
 from .url_filters import judge
@@ -105,3 +107,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count("term"))
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.col(name)["ids"]
+    return found.select("doc_id", F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_tokens"), ids.alias("ids"), F.col(name)["round_trip"].alias("round_trip"))
+
+
+@query("op4_ann")
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
