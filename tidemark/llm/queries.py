@@ -13,6 +13,7 @@ from .registry import query
 from .sentencepiece_codec import encode
 from .shared import table
 from .substring_dedup import remove_repeats
+from .toxicity import THRESHOLD, held_out, score
 from .url_filters import judge
 
 
@@ -119,3 +120,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ann")
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    found = score(table(spark, sf_dir, "documents"), labelled)
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

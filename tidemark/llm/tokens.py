@@ -43,11 +43,11 @@ def pieces(batch: pa.RecordBatch, name: str, limit: int = 1 << 21):
         at += n
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words, and for each text the index of its first word (n + 1 values)."""
+def words(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words, and for each text the index of its first word (n + 1 values); space flags the bytes between words."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SPACE[buf]
+    inside = ~space[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(len(buf), dtype=bool)
