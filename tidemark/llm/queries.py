@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .mixing import copies
+from .ngram_join import similar
 from .pii import KINDS, scan
 from .quality_rules import with_quality
 from .registry import query
@@ -128,3 +129,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(table(spark, sf_dir, "documents"), labelled)
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+@query("op6_ngram_join")
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_of", "n_links")
