@@ -9,6 +9,7 @@ from .ann import search
 from .mixing import copies
 from .ngram_join import similar
 from .pii import KINDS, scan
+from .quality_lm import classify
 from .quality_rules import with_quality
 from .registry import query
 from .sentencepiece_codec import encode
@@ -135,3 +136,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "copy_of", "n_links")
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = classify(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
