@@ -68,15 +68,23 @@ def _attach(rows: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame
     return rows.withColumn("_source", key).join(side, "_source", "left").drop("_source")
 
 
+def _sized(docs: DataFrame, doc_id: str, source: str, text: str, seed: int, *more: Column) -> DataFrame:
+    cols = (F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
+    return docs.select(*more, *cols).withColumn("u", uniform(F.col("doc_id"), seed))
+
+
 def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, **targets) -> DataFrame:
     """(doc_id, source, size, source_size, target, n_copies): how often the mix takes each document."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
-    base = written(base.withColumn("u", uniform(F.col("doc_id"), seed)), "sizes")
+    base = written(_sized(docs, doc_id, source, text, seed), "sizes")
+    return _fates(base, base, targets).select("doc_id", "source", "size", "source_size", "target", "n_copies")
+
+
+def _fates(rows: DataFrame, base: DataFrame, targets: dict) -> DataFrame:
+    """rows (as _sized gives them) with n_copies, decided from all of base."""
     plan = written(source_targets(base, **targets), "targets")
     n_sources = plan.count()
-    ranked = _ranked(_attach(base, plan, n_sources))
-    limits = written(_limits(ranked, n_sources), "limits")
-    return _decided(_attach(ranked, limits, n_sources)).select("doc_id", "source", "size", "source_size", "target", "n_copies")
+    limits = written(_limits(_ranked(_attach(base, plan, n_sources)), n_sources), "limits")
+    return _decided(_attach(_ranked(_attach(rows, plan, n_sources)), limits, n_sources))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -123,10 +131,9 @@ def _decided(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_copies", F.when(F.col("size") > 0, F.col("certain") + F.when(one_more, 1).otherwise(0)).otherwise(0))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, its columns unchanged."""
-    taken = copies(docs, doc_id, source, text, **options)
-    # Rows with equal ids share one fate within a source, so one row an id and source says it all.
-    fate = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(F.max("n_copies").alias("_n")).where("_n > 0")
-    joined = docs.join(fate, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).cast("string").eqNullSafe(F.col("_src")))
-    return joined.where(size_of(F.col(text)) > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, **targets) -> DataFrame:
+    """docs with each row as often as the mix takes it, its columns unchanged. No text is shuffled."""
+    base = written(_sized(docs, doc_id, source, text, seed), "sizes")
+    rows = _sized(docs, doc_id, source, text, seed, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    taken = _fates(rows, base, targets).where("n_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")
