@@ -10,9 +10,14 @@ def query(name: str, oracle: str | None = None):
     """Register a query under its name, with its oracle SQL if there is one."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if oracle is not None:
             ORACLES[name] = oracle
         return f
 
     return add
+
+
+from . import aggregation, bars_and_sessions, events_and_risk, joins, ordering, quality, rolling, simulation, sources, statistics, streams  # noqa: E402, F401
