@@ -1 +1,94 @@
+"""Joins between bars, feeds, sessions and parameters."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import sessions as S
+from ..sources.market import bars, daily, second_feed
+from .registry import query
+from .views import BARS, DAILY, FEED_B, q6, r6, sql
+
+_PAIR = BARS + ", " + FEED_B
+
+
+@query("join_inner_1to1", sql(_PAIR, f"SELECT b.bar, {q6('b.close_bid', 'close_bid')}, {q6('f.close_bid', 'close_bid_other')} FROM bars b JOIN feed_b f USING (bar)"))
+def join_inner_1to1(spark, sf):
+    b = bars(spark, sf)
+    other = second_feed(b).select("bar", r6("close_bid", "close_bid_other"))
+    return J.one_to_one(b.select("bar", r6("close_bid", "close_bid")), other, "bar")
+
+
+@query("join_outer_1to1", sql(_PAIR, f"SELECT bar, {q6('b.close_ask', 'a')}, {q6('f.close_ask', 'b')} FROM (SELECT * FROM bars WHERE hour(bar) < 20) b FULL JOIN (SELECT * FROM feed_b WHERE hour(bar) >= 4) f USING (bar)"))
+def join_outer_1to1(spark, sf):
+    b = bars(spark, sf)
+    left = b.where(F.hour("bar") < 20).select("bar", r6("close_ask", "a"))
+    return J.one_to_one(left, second_feed(b).where(F.hour("bar") >= 4).select("bar", r6("close_ask", "b")), "bar", how="full")
+
+
+@query("unpaired_count", sql(_PAIR, "SELECT (SELECT count(*) FROM bars WHERE bar NOT IN (SELECT bar FROM feed_b)) AS left_only, (SELECT count(*) FROM feed_b WHERE bar NOT IN (SELECT bar FROM bars WHERE hour(bar) > 0)) AS right_only"))
+def unpaired_count(spark, sf):
+    b = bars(spark, sf).select("bar")
+    f = second_feed(bars(spark, sf)).select("bar")
+    # Both counts in one aggregate over one full join: no scalar subqueries, no cross join.
+    both = b.withColumn("l", F.lit(True)).join(f.withColumn("r", F.lit(True)), "bar", "full")
+    return both.agg(F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("r").isNotNull() & (F.col("l").isNull() | (F.hour("bar") == 0))).alias("right_only"))
+
+
+@query("join_left_index", sql(_PAIR, f"SELECT b.bar, b.quote_count, {q6('f.open_ask', 'open_ask')} FROM bars b LEFT JOIN feed_b f USING (bar)"))
+def join_left_index(spark, sf):
+    b = bars(spark, sf)
+    return b.select("bar", "quote_count").join(second_feed(b).select("bar", r6("open_ask", "open_ask")), "bar", "left")
+
+
+@query("join_asof_strict", sql(DAILY, f"SELECT l.date, r.date AS as_of, {q6('r.a', 'value')} FROM daily l ASOF LEFT JOIN (SELECT * FROM daily WHERE day(date) % 3 = 0) r ON l.date > r.date"))
+def join_asof_strict(spark, sf):
+    d = daily(spark, sf)
+    found = J.as_of(d.select("date"), d.where(F.dayofmonth("date") % 3 == 0), "date", "a")
+    return found.select("date", "as_of", r6("a", "value"))
+
+
+@query("join_asof_inclusive", sql(DAILY, f"SELECT l.date, r.date AS as_of, {q6('r.a', 'value')} FROM daily l ASOF LEFT JOIN (SELECT * FROM daily WHERE day(date) % 3 = 0) r ON l.date >= r.date"))
+def join_asof_inclusive(spark, sf):
+    d = daily(spark, sf)
+    found = J.as_of(d.select("date"), d.where(F.dayofmonth("date") % 3 == 0), "date", "a", strict=False)
+    return found.select("date", "as_of", r6("a", "value"))
+
+
+@query("join_range_session", sql(BARS, """, w AS (SELECT d::DATE AS date, timezone('UTC', timezone('Europe/London', d + INTERVAL '8 hours')) AS starts, timezone('UTC', timezone('Europe/London', d + INTERVAL '12 hours')) AS ends
+  FROM (SELECT DISTINCT bar::DATE::TIMESTAMP AS d FROM bars)) SELECT w.date, b.bar, b.quote_count FROM bars b JOIN w ON b.bar >= w.starts AND b.bar < w.ends"""))
+def join_range_session(spark, sf):
+    # The window is a function of the local date, so the range becomes an equality on it.
+    b = S.in_session(bars(spark, sf), S.LONDON, weekdays_only=False)
+    return b.select(F.col("session_date").alias("date"), "bar", "quote_count")
+
+
+@query("join_intersect_keys", sql(_PAIR, f"""SELECT count(*) AS n, {q6("max(greatest(abs(b.open_bid - f.open_bid), abs(b.close_bid - f.close_bid), abs(b.open_ask - f.open_ask), abs(b.close_ask - f.close_ask)))", 'max_difference')} FROM bars b JOIN feed_b f USING (bar)"""))
+def join_intersect_keys(spark, sf):
+    b = bars(spark, sf)
+    x = b.alias("b").join(second_feed(b).alias("f"), "bar")
+    diff = F.greatest(*[F.abs(F.col(f"b.{c}") - F.col(f"f.{c}")) for c in ("open_bid", "close_bid", "open_ask", "close_ask")])
+    return x.agg(F.count("*").alias("n"), r6(F.max(diff), "max_difference"))
+
+
+@query("join_split_lookup", sql(DAILY, f"SELECT d.date, s.split, {q6('d.a', 'a')} FROM daily d LEFT JOIN (VALUES (1995, 'development'), (1996, 'development'), (1997, 'development'), (1998, 'validation'), (1999, 'validation')) s(year, split) ON year(d.date) = s.year"))
+def join_split_lookup(spark, sf):
+    labels = spark.createDataFrame([(y, "development" if y < 1998 else "validation") for y in range(1995, 2000)], "year int, split string")
+    d = daily(spark, sf).withColumn("year", F.year("date"))
+    # Five literal rows: bounded by construction.
+    return d.join(F.broadcast(labels), "year", "left").select("date", "split", r6("a", "a"))
+
+
+@query("anti_semi_timestamps", sql(_PAIR, "SELECT bar, 'lost' AS side FROM bars ANTI JOIN feed_b USING (bar) UNION ALL SELECT bar, 'shared' FROM bars SEMI JOIN feed_b USING (bar)"))
+def anti_semi_timestamps(spark, sf):
+    b = bars(spark, sf).select("bar")
+    f = second_feed(bars(spark, sf)).select("bar")
+    return b.join(f, "bar", "left_anti").withColumn("side", F.lit("lost")).unionByName(b.join(f, "bar", "left_semi").withColumn("side", F.lit("shared")))
+
+
+@query("cross_join_params", f"SELECT e AS effect, p AS power, b AS block, {q6('e * p * b', 'product')} FROM (VALUES (0.01::DOUBLE), (0.03), (0.05)) x(e), (VALUES (0.8::DOUBLE), (0.9)) y(p), (VALUES (5), (10), (20)) z(b)")
+def cross_join_params(spark, sf):
+    e, p, b = (spark.createDataFrame([(x,) for x in v], t) for v, t in (((0.01, 0.03, 0.05), "effect double"), ((0.8, 0.9), "power double"), ((5, 10, 20), "block int")))
+    # Literal parameter grids: 18 rows.
+    return e.crossJoin(p).crossJoin(b).withColumn("product", r6(F.col("effect") * F.col("power") * F.col("block")))
