@@ -119,7 +119,8 @@ def wilson(k: Column, n: Column, z: float, upper: bool) -> Column:
 def circular_draws(n: int, block: int, draws: int, spark, seed: int = 1) -> DataFrame:
     """(draw, start) of the blocks of each draw: starts are hashes, so every engine draws the same."""
     blocks = -(-n // block)
-    start = F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("k")).cast("binary")), F.lit(n))
+    text = F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("k"))
+    start = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
     return spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k")).select("draw", "k", start.alias("start"))
 
 
