@@ -18,6 +18,7 @@ columns pass through unchanged. Texts are encoded whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .tokens import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 600_000
 RUN = 64
 #: How far a byte piece's score lies below the least score of a piece.
 BYTE_PENALTY = 10.0
@@ -46,6 +47,14 @@ class Vocabulary:
         self.byte_ids, self.size = byte_ids, size
         self.longest = max(map(len, self.scored), default=1)
         self.byte_score = least - BYTE_PENALTY
+        self.single = {p for p in self.scored if len(p) == 1}
+        # Pieces by character, each node a dict; (id, score) stands under the empty string.
+        self.trie: dict = {}
+        for p, found in self.scored.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = found
         # A cut may always be made before a space mark that follows another character, and around characters that no
         # piece joins to others, if the vocabulary has no piece across it.
         self.marks_lead = all(SPACE not in p.lstrip(SPACE) for p in self.scored)
@@ -75,38 +84,74 @@ def load(path: str = MODEL) -> Vocabulary:
 
 def stream(text: str, v: Vocabulary):
     """Ids of a normalised text, committed as soon as they are certain."""
-    n, longest, scored = len(text), v.longest, v.scored
-    # For each boundary of the window: best sum, start of the last piece, its ids.
-    best, back, ids = {0: 0.0}, {0: -1}, {0: ()}
+    n, longest = len(text), v.longest
+    # For each boundary of the window: best sum, start of the last piece, its id (None: bytes).
+    best, back, ids = {0: 0.0}, {0: -1}, {0: None}
     done = 0
-    for end in range(1, n + 1):
-        c = text[end - 1]
-        raw = ("▁" if c == "" else c).encode()
-        top, start, piece = best[end - 1] + v.byte_score * len(raw), end - 1, None
-        for begin in range(max(done, end - longest), end):
-            if (found := scored.get(text[begin:end])) is not None and (total := best[begin] + found[1]) >= top and (total > top or begin < start or piece is None):
-                top, start, piece = total, begin, (found[0],)
-        best[end], back[end] = top, start
-        ids[end] = tuple(v.byte_ids[b] for b in raw) if piece is None else piece
+    for begin in range(n):
+        here, c = best[begin], text[begin]
+        total = here + v.byte_score * (1 if c == SPACE else len(c.encode()))
+        if total > best.get(begin + 1, -1e300):
+            best[begin + 1], back[begin + 1], ids[begin + 1] = total, begin, None
+        node = v.trie
+        for end in range(begin + 1, n + 1):
+            if (node := node.get(text[end - 1])) is None:
+                break
+            if (found := node.get("")) is not None and (total := here + found[1]) > best.get(end, -1e300):
+                best[end], back[end], ids[end] = total, begin, found[0]
+        end = begin + 1
         if end - done >= 2 * longest or end == n:
-            # Paths that can still win end in the last `longest` boundaries; follow them to where they meet.
-            alive = {end} if end == n else set(range(end - longest + 1, end + 1))
+            # Paths that can still win end in the last boundaries or in those already reached ahead.
+            alive = {n} if end == n else {back[k] for k in best if k > end} | {end}
             while len(alive) > 1:
                 last = max(alive)
                 alive.discard(last)
                 alive.add(back[last])
             meet = alive.pop()
-            out, at = [], meet
-            while at > done:
-                out.append(ids[at])
-                at = back[at]
-            for x in reversed(out):
-                yield from x
+            yield from _path(text, v, back, ids, meet, done)
             for k in range(done, meet):
                 del best[k], back[k], ids[k]
             done = max(done, meet)
 
 
+def _path(text: str, v: Vocabulary, back, ids, at: int, to: int) -> list[int]:
+    """Ids between two boundaries of the best path through the later one."""
+    out = []
+    while at > to:
+        begin = back[at]
+        if ids[at] is None:
+            c = text[begin]
+            out += [v.byte_ids[b] for b in reversed(b" " if c == SPACE else c.encode())]
+        else:
+            out.append(ids[at])
+        at = begin
+    out.reverse()
+    return out
+
+
+def whole(text: str, v: Vocabulary) -> list[int]:
+    """What stream() gives for a text of at most two windows, within which it never commits before the end."""
+    n, root, byte_score, single = len(text), v.trie, v.byte_score, v.single
+    best, back, ids = [-1e300] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+    best[0] = 0.0
+    begin = 0
+    for c in text:
+        here, end, node = best[begin], begin, root
+        # A piece of this one character, if there is one, scores above its bytes.
+        if c not in single and (total := here + byte_score * (1 if c == SPACE else len(c.encode()))) > best[begin + 1]:
+            best[begin + 1], back[begin + 1], ids[begin + 1] = total, begin, None
+        for x in text[begin:]:
+            if (node := node.get(x)) is None:
+                break
+            end += 1
+            if "" in node:
+                found, score = node[""]
+                if here + score > best[end]:
+                    best[end], back[end], ids[end] = here + score, begin, found
+        begin += 1
+    return _path(text, v, back, ids, n, 0)
+
+
 class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.known = v, {}
@@ -128,7 +173,8 @@ class Encoder:
         for run in self.runs.findall(text):
             got = known.get(run)
             if got is None:
-                got = np.fromiter(stream(run, self.v), "<i4").tobytes()
+                short = len(run) <= 2 * self.v.longest
+                got = array("i", whole(run, self.v) if short else stream(run, self.v)).tobytes()
                 if len(run) <= RUN:
                     if len(known) >= CACHE:
                         known.clear()
