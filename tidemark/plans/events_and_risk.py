@@ -1 +1,198 @@
+"""Boxes, breakout replay, sizing and performance."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import replay as RP
+from ..operators import risk as K
+from ..operators import rolling as R
+from ..sources.market import daily, trades
+from .bars_and_sessions import flagged
+from .registry import query
+from .rolling import _V, valid
+from .views import FLAGGED, TRADES, q6, r6, sql
+
+_BOX = FLAGGED + """, placed0 AS (SELECT *, timezone('America/New_York', timezone('UTC', bar)) - INTERVAL '20 hours' AS sh FROM flagged),
+placed AS (SELECT *, sh::DATE AS box_date, hour(sh) * 60 + minute(sh) AS since FROM placed0 WHERE hour(sh) * 60 + minute(sh) <= 720 AND isodow(sh) - 1 IN (6, 0, 1, 2, 3)),
+box0 AS (SELECT box_date, since // 60 AS h, count(*) AS n, max(high_bid) AS hi, min(low_bid) AS lo, bool_or(extreme OR jump OR spread_bad) AS suspect FROM placed WHERE since < 180 GROUP BY 1, 2),
+box1 AS (SELECT box_date, max(hi) AS hi, min(lo) AS lo, count(*) FILTER (n >= 3) AS n_blocks, bool_or(suspect) AS suspect FROM box0 GROUP BY 1),
+box2 AS (SELECT *, hi - lo AS width, n_blocks >= 2 AND hi - lo >= 0.2 AND NOT suspect AS valid FROM box1),
+boxes AS (SELECT *, CASE WHEN count(CASE WHEN valid THEN width END) OVER w >= 10 THEN CASE WHEN valid THEN width END / quantile_cont(CASE WHEN valid THEN width END, 0.5) OVER w END AS rel_width FROM box2 WINDOW w AS (ORDER BY box_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
+
+_ENTRY = _BOX + """, hit AS (SELECT p.*, b.hi, b.lo, p.high_bid >= b.hi AS up, p.low_bid <= b.lo AS down FROM placed p JOIN boxes b USING (box_date) WHERE p.since >= 180 AND p.since < 420 AND (p.high_bid >= b.hi OR p.low_bid <= b.lo)),
+first_hit AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY box_date ORDER BY bar) = 1),
+trade AS (SELECT box_date, bar AS entry_bar, up AS long, hi, lo, CASE WHEN up THEN greatest(hi, open_bid) + (open_ask - open_bid) + 0.05 ELSE least(lo, open_bid) - 0.05 END AS entry,
+  CASE WHEN up THEN lo ELSE hi + (open_ask - open_bid) END AS stop FROM first_hit WHERE NOT (up AND down)),
+path AS (SELECT p.*, t.entry_bar, t.long, t.entry, t.stop, abs(t.entry - t.stop) AS risk FROM placed p JOIN trade t USING (box_date) WHERE p.bar >= t.entry_bar AND abs(t.entry - t.stop) > 0),
+stops AS (SELECT box_date, bar, CASE WHEN long THEN least(stop, open_bid) - 0.05 ELSE greatest(stop, open_ask) + 0.05 END AS fill FROM path WHERE since < 720 AND (CASE WHEN long THEN low_bid <= stop ELSE high_ask >= stop END) QUALIFY row_number() OVER (PARTITION BY box_date ORDER BY bar) = 1),
+times AS (SELECT box_date, bar, CASE WHEN long THEN open_bid - 0.05 ELSE open_ask + 0.05 END AS fill FROM path WHERE since = 720),
+done AS (SELECT t.*, abs(t.entry - t.stop) AS risk, s.bar IS NOT NULL AS stopped, coalesce(s.bar, x.bar) AS exit_bar, coalesce(s.fill, x.fill) AS exit FROM trade t LEFT JOIN stops s USING (box_date) LEFT JOIN times x USING (box_date))"""
+
+
+def _boxed(spark, sf):
+    f = flagged(spark, sf)
+    return f, RP.boxes(f)
+
+
+@query("box_build", sql(_BOX, f"SELECT box_date, {q6('hi', 'hi')}, {q6('lo', 'lo')}, {q6('width', 'width')}, n_blocks, valid FROM boxes"))
+def box_build(spark, sf):
+    _, b = _boxed(spark, sf)
+    return b.select("box_date", r6("hi", "hi"), r6("lo", "lo"), r6("width", "width"), "n_blocks", "valid")
+
+
+@query("box_rel_width_bars", sql(_BOX, f"SELECT box_date, {q6('rel_width', 'rel_width')} FROM boxes"))
+def box_rel_width_bars(spark, sf):
+    _, b = _boxed(spark, sf)
+    return b.select("box_date", r6("rel_width", "rel_width"))
+
+
+@query("path_complete", sql(_BOX, "SELECT box_date, count(*) AS n_path, count(*) >= 0.75 * 37 AND bool_or(since = 720) AS complete FROM placed WHERE since >= 180 GROUP BY 1"))
+def path_complete(spark, sf):
+    return RP.path_quality(flagged(spark, sf)).select("box_date", "n_path", "complete")
+
+
+@query("first_touch_entry", sql(_ENTRY, "SELECT b.box_date, f.bar AS entry_bar, CASE WHEN f.bar IS NULL THEN 'none' WHEN f.up AND f.down THEN 'ambiguous' WHEN f.up THEN 'long' ELSE 'short' END AS side FROM boxes b LEFT JOIN first_hit f USING (box_date)"))
+def first_touch_entry(spark, sf):
+    f, b = _boxed(spark, sf)
+    e = RP.entries(f, b)
+    side = F.when(F.col("entry_bar").isNull(), "none").when(F.col("up") & F.col("down"), "ambiguous").when(F.col("up"), "long").otherwise("short")
+    return e.select("box_date", "entry_bar", side.alias("side"))
+
+
+@query("fill_price", sql(_ENTRY, f"SELECT box_date, long, {q6('entry', 'entry')}, {q6('stop', 'stop')}, {q6('abs(entry - stop)', 'risk')} FROM trade"))
+def fill_price(spark, sf):
+    f, b = _boxed(spark, sf)
+    return RP.priced(RP.entries(f, b)).select("box_date", "long", r6("entry", "entry"), r6("stop", "stop"), r6("risk", "risk"))
+
+
+def _replayed(spark, sf):
+    """Every box, valid or not, wide or narrow: the queries compare the replay itself."""
+    f, b = _boxed(spark, sf)
+    return RP.replay(f, b.withColumns({"valid": F.lit(True), "rel_width": F.lit(0.0)}))
+
+
+@query("stop_or_time_exit", sql(_ENTRY, f"SELECT box_date, stopped, exit_bar IS NULL AS no_exit, {q6('exit', 'exit')} FROM done WHERE risk > 0"))
+def stop_or_time_exit(spark, sf):
+    return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", "stopped", F.col("exit").isNull().alias("no_exit"), r6("exit", "exit"))
+
+
+_MOVES = _ENTRY + """, seen AS (SELECT p.* FROM path p JOIN done d USING (box_date) WHERE CASE WHEN d.stopped THEN p.bar <= d.exit_bar ELSE p.bar < d.exit_bar OR d.exit_bar IS NULL END),
+moves AS (SELECT box_date, greatest(0, max(CASE WHEN long THEN high_bid - entry ELSE entry - low_ask END / risk)) AS mfe, greatest(0, max(CASE WHEN long THEN entry - low_bid ELSE high_ask - entry END / risk)) AS mae FROM seen GROUP BY 1)"""
+
+
+@query("mfe_mae", sql(_MOVES, f"SELECT d.box_date, {q6('mfe', 'mfe')}, {q6('mae', 'mae')} FROM done d LEFT JOIN moves USING (box_date) WHERE risk > 0"))
+def mfe_mae(spark, sf):
+    return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", r6("mfe", "mfe"), r6("mae", "mae"))
+
+
+@query("trade_r", sql(_ENTRY, f"SELECT box_date, {q6('((CASE WHEN long THEN 1 ELSE -1 END) * (exit - entry) - 0.07) / risk', 'r')}, {q6('(epoch(exit_bar) - epoch(entry_bar)) / 60', 'minutes')} FROM done WHERE risk > 0"))
+def trade_r(spark, sf):
+    return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", r6("r", "r"), r6("minutes", "minutes"))
+
+
+@query("status_counts", sql(_ENTRY, "SELECT status, count(*) AS n FROM (SELECT CASE WHEN f.bar IS NULL THEN 'no_breakout' WHEN f.up AND f.down THEN 'ambiguous_entry' WHEN d.risk IS NULL OR d.risk <= 0 THEN 'invalid_risk' WHEN d.exit IS NULL THEN 'missing_exit_quote' WHEN d.stopped THEN 'stop' ELSE 'time' END AS status FROM boxes b LEFT JOIN first_hit f USING (box_date) LEFT JOIN done d USING (box_date)) GROUP BY 1"))
+def status_counts(spark, sf):
+    return _replayed(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_LDN = FLAGGED + """, cl AS (SELECT *, timezone('Europe/London', timezone('UTC', bar)) AS lt FROM flagged WHERE isodow(bar) < 6),
+asia AS (SELECT lt::DATE AS date, max(high_bid) AS hi, min(low_bid) AS lo, last(mid_close ORDER BY bar) AS c FROM cl WHERE hour(lt) < 6 GROUP BY 1),
+ldn AS (SELECT lt::DATE AS date, bar, high_bid, low_bid, mid_close FROM cl WHERE hour(lt) >= 8 AND hour(lt) < 12)"""
+
+
+def _london_asia(spark, sf):
+    from ..operators.sessions import local
+
+    f = flagged(spark, sf).where(F.weekday("bar") < 5).withColumn("lt", local("bar", "Europe/London"))
+    f = f.withColumn("date", F.to_date("lt"))
+    asia = f.where(F.hour("lt") < 6).groupBy("date").agg(F.max("high_bid").alias("hi"), F.min("low_bid").alias("lo"), F.max_by("mid_close", "bar").alias("c"))
+    return asia, f.where((F.hour("lt") >= 8) & (F.hour("lt") < 12)).select("date", "bar", "high_bid", "low_bid", "mid_close")
+
+
+@query("london_first_breach", sql(_LDN, "SELECT date, CASE WHEN up AND down THEN 'both' WHEN up THEN 'up' ELSE 'down' END AS side, date_diff('minute', starts, bar)::BIGINT AS minutes FROM (SELECT date, bar, high_bid > hi AS up, low_bid < lo AS down, timezone('UTC', timezone('Europe/London', date::TIMESTAMP + INTERVAL '8 hours')) AS starts FROM ldn JOIN asia USING (date) WHERE high_bid > hi OR low_bid < lo) QUALIFY row_number() OVER (PARTITION BY date ORDER BY bar) = 1"))
+def london_first_breach(spark, sf):
+    from ..operators.sessions import LONDON, bounds
+
+    asia, ldn = _london_asia(spark, sf)
+    hit = ldn.join(asia, "date").withColumns({"up": F.col("high_bid") > F.col("hi"), "down": F.col("low_bid") < F.col("lo")}).where("up OR down")
+    first = bounds(hit.groupBy("date").agg(F.min_by(F.struct("bar", "up", "down"), "bar").alias("f")), LONDON)
+    sec = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    side = F.when(F.col("f.up") & F.col("f.down"), "both").when(F.col("f.up"), "up").otherwise("down")
+    return first.select("date", side.alias("side"), ((sec(F.col("f.bar")) - sec(F.col("starts"))) / 60).cast("long").alias("minutes"))
+
+
+@query("breach_distance", sql(_LDN, f"SELECT date, {q6('greatest(max(high_bid) - min(hi), min(lo) - min(low_bid), 0) / nullif(min(hi) - min(lo), 0)', 'distance')} FROM ldn JOIN asia USING (date) GROUP BY 1"))
+def breach_distance(spark, sf):
+    asia, ldn = _london_asia(spark, sf)
+    x = ldn.groupBy("date").agg(F.max("high_bid").alias("h"), F.min("low_bid").alias("w")).join(asia, "date")
+    return x.select("date", r6(RP.breach_distance(F.col("h"), F.col("w"), F.col("hi"), F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), "distance"))
+
+
+@query("close_location", sql(_LDN, f"SELECT date, {q6('(c - lo) / nullif(hi - lo, 0)', 'location')} FROM asia"))
+def close_location(spark, sf):
+    asia, _ = _london_asia(spark, sf)
+    return asia.select("date", r6(F.try_divide(F.col("c") - F.col("lo"), F.col("hi") - F.col("lo")), "location"))
+
+
+@query("feature_ratios", sql(_V, f""", m AS (SELECT *, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(a, 0.5) OVER w END AS ma, CASE WHEN count(*) OVER w >= 20 THEN stddev_samp(a - l) OVER w END AS sd, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(l, 0.5) OVER w END AS ml FROM v WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT date, {q6('a / ma', 'c')}, {q6('ln(a / ma)', 'log_c')}, {q6('(a - l) / sd', 'd')}, {q6('ln(l / ml)', 'y_range')}, {q6('(a - l) / sd * ln(a / ma)', 'd_x_c')} FROM m"""))
+def feature_ratios(spark, sf):
+    o = R.ordered("date")
+    x = valid(spark, sf).withColumns({"ma": R.prior(F.col("a"), 20, "median", o), "sd": R.prior(F.col("a") - F.col("l"), 20, "std", o), "ml": R.prior(F.col("l"), 20, "median", o)})
+    c, d = F.try_divide(F.col("a"), F.col("ma")), F.try_divide(F.col("a") - F.col("l"), F.col("sd"))
+    return x.select("date", r6(c, "c"), r6(F.log(c), "log_c"), r6(d, "d"), r6(F.log(F.try_divide(F.col("l"), F.col("ml"))), "y_range"), r6(d * F.log(c), "d_x_c"))
+
+
+_SIZED = TRADES + """, fr AS (SELECT *, CASE WHEN count(r) OVER w >= 20 AND sum(r) OVER w < -4 THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END AS fraction FROM trades WINDOW w AS (ORDER BY n ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+eq AS (SELECT *, exp(sum(ln(1 + fraction * r)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS equity FROM fr),
+sized AS (SELECT *, greatest(1.0, max(equity) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak, 100000 * coalesce(lag(equity) OVER (ORDER BY n), 1) AS before FROM eq)"""
+
+
+@query("sizing", sql(_SIZED, f"SELECT n, {q6('before', 'before')}, {q6('before * fraction * r', 'profit')}, {q6('before * fraction / risk', 'ounces')} FROM sized"))
+def sizing(spark, sf):
+    return K.sized(trades(spark, sf)).select("n", r6("before", "before"), r6("profit", "profit"), r6("ounces", "ounces"))
+
+
+_DAYS = _SIZED + ", days AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series((SELECT min(exit_date) FROM trades), (SELECT max(exit_date) FROM trades), INTERVAL '1 day')) AS d) WHERE isodow(d) < 6), dr AS (SELECT date, coalesce(x, 0) AS ret FROM days LEFT JOIN (SELECT exit_date AS date, sum(fraction * r) AS x FROM sized GROUP BY 1) USING (date))"
+
+
+@query("daily_densify", sql(_DAYS, f"SELECT date, {q6('ret', 'ret')} FROM dr"))
+def daily_densify(spark, sf):
+    return K.daily_returns(K.sized(trades(spark, sf))).select("date", r6("ret", "ret"))
+
+
+@query("perf_metrics", sql(_DAYS, f"""SELECT count(*) AS n, {q6('avg(r)', 'mean_r')}, {q6('quantile_cont(r, 0.5)', 'median_r')}, {q6('sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0)', 'profit_factor')}, {q6('avg((r > 0)::INTEGER)', 'hit_rate')}, {q6('skewness(r)', 'skew_r')}, {q6('kurtosis(r)', 'kurtosis_r')},
+{q6('max(1 - equity / peak)', 'max_drawdown')}, {q6('arg_max(equity, n)', 'final')}, {q6('power(arg_max(equity, n), 365.25 / date_diff(' + chr(39) + 'day' + chr(39) + ', min(exit_date), max(exit_date))) - 1', 'cagr')}, {q6('2 * sum(before * fraction / risk)', 'turnover')},
+(SELECT {q6('avg(ret) / stddev_samp(ret) * sqrt(252)', 's')} FROM dr) AS sharpe, (SELECT {q6('avg(ret) / sqrt(avg(power(least(ret, 0), 2))) * sqrt(252)', 's')} FROM dr) AS sortino FROM sized"""))
+def perf_metrics(spark, sf):
+    m = K.metrics(trades(spark, sf))
+    return m.select("n", *[r6(c, c) for c in ("mean_r", "median_r", "profit_factor", "hit_rate", "skew_r", "kurtosis_r", "max_drawdown", "final", "cagr", "turnover", "sharpe", "sortino")])
+
+
+VARIANTS = {f"{t}_{x}": {"threshold": t, "exit_hours": h} for t in (0.9, 1.0, 1.2) for x, h in (("0800", 9), ("1200", 13))} | {"cost_2": {"cost": 2.0}, "slip_25": {"slip": 0.25}}
+
+
+@query("param_sweep", None)
+def param_sweep(spark, sf):
+    # Eight replays read the same bars and boxes; a lost cached block is made again from the quotes.
+    f = flagged(spark, sf).persist()
+    b = RP.boxes(f).persist()
+    all_trades = RP.swept(f, b, RP.Rules(), VARIANTS)
+    return all_trades.groupBy("variant").agg(F.count("*").alias("boxes"), F.count("r").alias("trades"), r6(F.sum("r"), "total_r"), F.count_if(F.col("status") == "stop").alias("stops"))
+
+
+@query("state_candidate", sql(_V, f"SELECT date, d > quantile_cont(d, 0.8) OVER w AS high_state FROM v QUALIFY count(*) OVER w >= 60 WINDOW w AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)".replace("QUALIFY count(*) OVER w >= 60 WINDOW w AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)", "WINDOW w AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w >= 60")))
+def state_candidate(spark, sf):
+    w = R.ordered("date").rowsBetween(-60, -1)
+    return valid(spark, sf).select("date", (F.col("d") > F.percentile("d", 0.8).over(w)).alias("high_state"), F.count("*").over(w).alias("n")).where("n >= 60").drop("n")
+
+
+@query("mc_iid_block", None)
+def mc_iid_block(spark, sf):
+    s = K.sized(trades(spark, sf))
+    # One supplier's trades: some hundred rows.
+    r = [x["r"] for x in trades(spark, sf).select("r").collect()]
+    d = [x["x"] for x in K.daily_returns(s.withColumn("fraction", F.lit(1.0))).orderBy("date").select(F.col("ret").alias("x")).collect()]
+    return K.monte_carlo(spark, r, d, len(r) / max(len(d), 1), paths=2000)
