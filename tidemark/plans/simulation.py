@@ -1 +1,133 @@
+"""Simulation queries: generators, measures, calibration, audits. Their seeds are fixed; they have no SQL."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions.stats import bartlett_lrv
+from ..operators import rolling as R
+from ..operators import simulate as SIM
+from ..sources.market import daily
+from .registry import query
+from .rolling import valid
+from .views import r6
+
+SMALL = SIM.Design()
+
+
+def _pilot(spark, sf):
+    return SIM.pilot(daily(spark, sf))
+
+
+@query("block_indices", "SELECT path, t, (CAST('0x' || substr(md5('3:' || path || ':' || (t // 5)), 1, 8) AS BIGINT) % 500 + t % 5) % 500 AS index FROM range(0, 50) p(path), range(0, 42) q(t)")
+def block_indices(spark, sf):
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(3), F.col("path"), F.floor(F.col("t") / 5))), 1, 8), 16, 10).cast("long") % 500
+    p = spark.range(50).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(41)).cast("array<bigint>")).alias("t"))
+    return p.select("path", "t", ((start + F.col("t") % 5) % 500).alias("index"))
+
+
+@query("pilot_fit", None)
+def pilot_fit(spark, sf):
+    p = _pilot(spark, sf)
+    rows = [(name, k, float(v)) for name in ("ca", "cl", "cr") for k, v in enumerate(p[name])] + [("theta", 0, p["theta"]), ("residuals", 0, float(len(p["residuals"])))]
+    return spark.createDataFrame(rows, "part string, k int, value double")
+
+
+@query("dgp_reduced", None)
+def dgp_reduced(spark, sf):
+    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("null", 5, 0.0, 100), ("effect", 5, 1.0, 100)], coherent=False)
+    return rows.select("phase", "block", "effect", "path", "n", "statistic", "gain")
+
+
+@query("dgp_coherent", None)
+def dgp_coherent(spark, sf):
+    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("null", 10, 0.0, 100), ("effect", 10, 1.0, 100)])
+    return rows.select("phase", "block", "effect", "path", "n", "statistic", "gain")
+
+
+@query("sim_forecasts", None)
+def sim_forecasts(spark, sf):
+    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("effect", 5, 1.0, 200)])
+    return rows.where("n = 1000").groupBy("block").agg(F.count("*").alias("paths"), F.avg("gain").alias("mean_gain"), F.avg((F.col("coefficient") > 0).cast("double")).alias("positive"))
+
+
+def _cells(paths: int):
+    return [("null", b, 0.0, paths) for b in (5, 10, 20)] + [("effect", b, 1.0, paths) for b in (5, 10, 20)]
+
+
+@query("sim_measure", None)
+def sim_measure(spark, sf):
+    return SIM.simulate(spark, _pilot(spark, sf), SMALL, _cells(100)).select("phase", "block", "effect", "path", "n", "statistic", "gain", "coefficient")
+
+
+@query("sim_summarize", None)
+def sim_summarize(spark, sf):
+    return SIM.summarise(SIM.simulate(spark, _pilot(spark, sf), SMALL, _cells(200)))
+
+
+@query("critical_calibration", None)
+def critical_calibration(spark, sf):
+    return SIM.calibrated(SIM.simulate(spark, _pilot(spark, sf), SMALL, [("null", b, 0.0, 200) for b in (5, 10, 20)]))
+
+
+@query("effect_calibration", None)
+def effect_calibration(spark, sf):
+    grid = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5]
+    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("grid", 5, m, 100) for m in grid])
+    return rows.where("n = 1000").groupBy(F.col("effect").alias("multiplier")).agg(F.avg("gain").alias("mean_gain"))
+
+
+@query("ordering_audit", None)
+def ordering_audit(spark, sf):
+    p = _pilot(spark, sf)
+    one = lambda coherent, name: SIM.simulate(spark, p, SMALL, [("null", 5, 0.0, 100)], coherent).where("n = 1000").agg(F.avg("exceed").alias("share")).select(F.lit(name).alias("generator"), "share")
+    return one(True, "coherent").unionByName(one(False, "reduced"))
+
+
+@query("slope_shrink", None)
+def slope_shrink(spark, sf):
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip([0.1, 0.6, 0.5, 0.2], SIM._damped(np.array([0.1, 0.6, 0.5, 0.2]))))]
+    return spark.createDataFrame(rows, "k int, before double, after double")
+
+
+@query("conditional_power", None)
+def conditional_power(spark, sf):
+    """Share of shifted resamples whose statistic exceeds 1.96, for shifts in units of the standard error."""
+    import pandas as pd
+
+    x = np.array([r["a"] for r in valid(spark, sf).orderBy("date").select("a").collect()])  # the daily ledger
+
+    def run(pdf):
+        shift, k = float(pdf["shift"].iloc[0]), int(pdf["batch"].iloc[0])
+        rng = np.random.default_rng([13, int(shift * 10), k])
+        sample = (x - x.mean())[SIM.block_indices(len(x), 100, len(x), 10, rng)]
+        se = SIM.se_circular(sample, 10)
+        return pd.DataFrame({"shift": [shift], "hits": [int((sample.mean(1) / se + shift > 1.96).sum())], "paths": [100]})
+
+    jobs = spark.createDataFrame([(s, k) for s in (0.0, 1.0, 2.0, 3.0) for k in range(4)], "shift double, batch int")
+    out = jobs.groupBy("shift", "batch").applyInPandas(run, "shift double, hits long, paths long")
+    return out.groupBy("shift").agg((F.sum("hits") / F.sum("paths")).alias("power"))
+
+
+@query("lrv_upper_boot", None)
+def lrv_upper_boot(spark, sf):
+    import pandas as pd
+
+    v = valid(spark, sf)
+    x = np.array([r["a"] for r in v.orderBy("date").select("a").collect()])  # the daily ledger
+
+    def omega(z, lags):
+        z = z - z.mean(1, keepdims=True)
+        n = z.shape[1]
+        g = [(z[:, k:] * z[:, : n - k]).sum(1) / n for k in range(lags + 1)]
+        return np.maximum(0, g[0] + 2 * sum((1 - k / (lags + 1)) * g[k] for k in range(1, lags + 1)))
+
+    def run(pdf):
+        rng = np.random.default_rng([17, int(pdf["batch"].iloc[0])])
+        s = x[SIM.block_indices(len(x), 50, len(x), 20, rng)]
+        return pd.DataFrame({"omega": np.max([omega(s, k) for k in (5, 10, 20)], axis=0)})
+
+    draws = spark.range(8).withColumnRenamed("id", "batch").groupBy("batch").applyInPandas(run, "omega double")
+    point = bartlett_lrv(v, "a", "date", 10).head()[0]
+    return draws.agg(F.count("*").alias("draws"), F.percentile("omega", 0.95).alias("upper")).withColumn("point", F.lit(point))

@@ -1 +1,13 @@
+"""Streaming twins."""
 
+from __future__ import annotations
+
+from ..streaming.bars import bars_stream, quotes_stream, run_available
+from .registry import query
+from .views import BARS, q6, r6, sql
+
+
+@query("stream_bars", sql(BARS, f"SELECT bar, {q6('open_bid', 'open_bid')}, {q6('high_bid', 'high_bid')}, {q6('low_bid', 'low_bid')}, {q6('close_bid', 'close_bid')}, quote_count FROM bars"))
+def stream_bars(spark, sf):
+    found = run_available(bars_stream(quotes_stream(spark, sf), 15), "bar")
+    return found.select("bar", *[r6(c, c) for c in ("open_bid", "high_bid", "low_bid", "close_bid")], "quote_count")
