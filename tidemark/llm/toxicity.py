@@ -82,29 +82,50 @@ def _weights(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, idf: np.
     return w / np.where(norm > 0, norm, 1)[doc]
 
 
+def _runs(texts: pa.Array, limit: int = 1 << 20):
+    """Slices of about so many bytes, with the position of each one's first text."""
+    at = 0
+    for piece in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", limit):
+        yield at, piece.column(0)
+        at += piece.num_rows
+
+
+def _document_counts(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms in order, in how many texts each is, and in how many toxic ones; memory is that of distinct terms."""
+    total = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at, part in _runs(texts):
+        h, doc, _ = terms(part)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, mark = np.concatenate([total[0], h[new]]), toxic[at + doc[new]].astype(np.int64)
+        df, marked = np.concatenate([total[1], np.ones(len(mark), np.int64)]), np.concatenate([total[2], mark])
+        order = np.argsort(h, kind="stable")
+        h, df, marked = h[order], df[order], marked[order]
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        total = (h[edge], np.add.reduceat(df, edge), np.add.reduceat(marked, edge)) if len(h) else total
+    return total
+
+
 def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int]) -> dict:
     """The index over the examples. totals: labelled documents of class 0 and 1 for which the examples stand."""
-    h, doc, n = terms(texts)
-    # Distinct (text, term): sort by both.
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    df = np.diff(np.append(at, len(h)))
-    in_toxic = np.add.reduceat(toxic[doc].astype(np.float64), at) if len(h) else np.zeros(0)
+    n = len(texts)
+    h, df, in_toxic = _document_counts(texts, toxic)
     a, b = in_toxic, df - in_toxic
     n1, n0 = float(toxic.sum()), float(n - toxic.sum())
     p, q = a / max(n1, 1), b / max(n0, 1)
     mean = (a + b) / max(n, 1)
     chi = np.where((mean > 0) & (mean < 1), (p - q) ** 2 / np.maximum(mean * (1 - mean), 1e-12), 0) * (df >= MIN_DOCS)
-    best = np.lexsort((h[at], -chi))[:TERMS] if len(at) else np.zeros(0, np.int64)
+    best = np.lexsort((h, -chi))[:TERMS]
     best = best[chi[best] > 0]
-    best = best[np.argsort(h[at][best])]
-    vocabulary = h[at][best]
+    best = best[np.argsort(h[best])]
+    vocabulary = h[best]
     idf = np.log((n + 1) / (df[best] + 1)) + 1
-    doc, term, tf, _ = counts(texts, vocabulary)
+    parts = [(at, counts(part, vocabulary)) for at, part in _runs(texts)]
+    doc = np.concatenate([d + at for at, (d, _, _, _) in parts]) if parts else np.zeros(0, np.int64)
+    term = np.concatenate([t for _, (_, t, _, _) in parts]) if parts else doc
+    tf = np.concatenate([f for _, (_, _, f, _) in parts]) if parts else doc
     weight = _weights(doc, term, tf, n, idf)
     # Examples with the same heaviest term stand together, so that a block's greatest weights are near its members'.
     lead = np.full(n, len(vocabulary))
