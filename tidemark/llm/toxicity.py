@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 from .tokens import pieces, span_hashes, text_buffer, words
 
-EXAMPLES = 4000
+EXAMPLES = 1500
 MAX_BYTES = 1 << 17
-TERMS = 2000
-MIN_DOCS = 4
+TERMS = 1000
+#: Chi-square with one degree of freedom from which a term counts as different between the classes (p = 0.001).
+LEAST_CHI = 10.83
+#: A term of the vocabulary is in so many examples at least, and in such a share of them at most.
+MIN_DOCS, MAX_SHARE = 4, 0.25
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 64
 K = 15
@@ -116,9 +119,9 @@ def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int,
     n1, n0 = float(toxic.sum()), float(n - toxic.sum())
     p, q = a / max(n1, 1), b / max(n0, 1)
     mean = (a + b) / max(n, 1)
-    chi = np.where((mean > 0) & (mean < 1), (p - q) ** 2 / np.maximum(mean * (1 - mean), 1e-12), 0) * (df >= MIN_DOCS)
+    chi = np.where((mean > 0) & (mean < 1), (p - q) ** 2 / np.maximum(mean * (1 - mean), 1e-12), 0) * ((df >= MIN_DOCS) & (df <= MAX_SHARE * n))
     best = np.lexsort((h, -chi))[:TERMS]
-    best = best[chi[best] > 0]
+    best = best[chi[best] * n1 * n0 / max(n, 1) >= LEAST_CHI]
     best = best[np.argsort(h[best])]
     vocabulary = h[best]
     idf = np.log((n + 1) / (df[best] + 1)) + 1
