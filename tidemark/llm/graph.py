@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         floor = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         lesser = large.join(floor, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = lesser.union(floor.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        discard(old)
         now = _mark(edges)
         if now == mark:
             break

@@ -27,7 +27,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[F.col(q)[k].alias(k) for k in names])
 
 
-@query("op5_substring_dedup")
+_OP5 = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM texts WHERE len(ws) >= 13)),
+least AS (SELECT k, min(doc_id) AS m FROM wins GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM wins JOIN least USING (k), range(0, 13) r(j) WHERE m < doc_id),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda w, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM texts LEFT JOIN lost USING (doc_id)
+"""
+
+
+@query("op5_substring_dedup", _OP5)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -132,7 +144,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
-@query("op6_ngram_join")
+_OP6 = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM texts WHERE len(ws) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM grams GROUP BY doc_id),
+copies AS (SELECT h, min(doc_id) AS copy_of FROM sets GROUP BY h),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sets s ON s.doc_id = x JOIN sets t ON t.doc_id = y WHERE c >= 0.8 * (s.n + t.n - c) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d.doc_id, least(d.doc_id, coalesce(m, d.doc_id)) AS class_id, coalesce(copy_of, d.doc_id) AS copy_of, coalesce(g.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN copies USING (h) LEFT JOIN classes c ON c.x = d.doc_id LEFT JOIN degrees g ON g.x = d.doc_id
+"""
+
+
+@query("op6_ngram_join", _OP6)
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "copy_of", "n_links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import uuid
 
@@ -26,21 +27,43 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(_CLEANUP, old)
 
 
+_kept: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors.
+
+    Results are lazy, so the table stays until discard(), release() or the end of the program.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     with freeing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _kept.pop(path, None)
 
 
 def discard(df: DataFrame) -> None:
-    """Remove a table made by written() once nothing lazy needs it."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles() if "/tidemark/" in x}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove a table made by written() that nothing lazy needs any more."""
+    _remove(df.sparkSession, df._tidemark_path)
+
+
+def release() -> None:
+    """Remove every table made by written(); results not yet computed are lost."""
+    for path, spark in list(_kept.items()):
+        with contextlib.suppress(Exception):  # at the end of the program the session may have gone
+            _remove(spark, path)
+
+
+atexit.register(release)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
