@@ -87,8 +87,8 @@ def mfe_mae(spark, sf):
     return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", r6("mfe", "mfe"), r6("mae", "mae"))
 
 
-@query("trade_r", sql(_ENTRY, f"SELECT box_date, {q6('((CASE WHEN long THEN 1 ELSE -1 END) * (exit - entry) - 0.07) / risk', 'r')}, {q6('(epoch(exit_bar) - epoch(entry_bar)) / 60', 'minutes')} FROM done WHERE risk > 0"))
-def trade_r(spark, sf):
+@query("trade_R", sql(_ENTRY, f"SELECT box_date, {q6('((CASE WHEN long THEN 1 ELSE -1 END) * (exit - entry) - 0.07) / risk', 'r')}, {q6('(epoch(exit_bar) - epoch(entry_bar)) / 60', 'minutes')} FROM done WHERE risk > 0"))
+def trade_R(spark, sf):
     return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", r6("r", "r"), r6("minutes", "minutes"))
 
 

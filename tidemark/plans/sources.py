@@ -128,8 +128,8 @@ def sink_json(spark, sf):
     return _sunk(spark, sf, "json")
 
 
-@query("sink_arrays", sql(DAILY, f"SELECT year(date)::INTEGER AS year, count(a)::INTEGER AS n, {q6('sum(a)', 'total')} FROM daily GROUP BY 1"))
-def sink_arrays(spark, sf):
+@query("sink_npz", sql(DAILY, f"SELECT year(date)::INTEGER AS year, count(a)::INTEGER AS n, {q6('sum(a)', 'total')} FROM daily GROUP BY 1"))
+def sink_npz(spark, sf):
     """Simulation arrays as Parquet lists instead of array archives."""
     rows = daily(spark, sf).groupBy(F.year("date").alias("year")).agg(F.collect_list("a").alias("a"))
     path = FS.staged(rows, "arrays")
