@@ -158,7 +158,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
     dim, n, norm2 = common["dim"], common["n"], common["norm2"]
     data = data.where(F.size("v") == dim)
     share = int(min(1.0, 1.2 * SAMPLE / n) * (1 << 31))
-    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < share).select("v").limit(SAMPLE)
+    sample = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v")
     x = np.unique(_matrix(sample.toArrow()["v"].combine_chunks()).astype(np.float64), axis=0)
     if not len(x):
         x = _matrix(data.select("v").limit(1).toArrow()["v"].combine_chunks()).astype(np.float64)

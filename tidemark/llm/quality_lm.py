@@ -41,7 +41,8 @@ START = 65_535
 FOLDS = 5
 QUANTILE = 0.995
 MIN_HELD = 50
-SHARDS = 128
+#: Shards of context words: at least, and words a shard beyond.
+SHARDS, SHARD_WORDS = 128, 8_000_000
 _STEP = 2048.0
 
 _BLOCK = "block long, ids array<long>, langs array<string>, sizes binary, tokens binary, n_words long"
@@ -279,11 +280,13 @@ def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarr
         return written(blocks.join(told, "block", "left").mapInArrow(total, "id long, lang string, n_words long, log_prob double"), "scores")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, shards: int = SHARDS) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, shards: int | None = None) -> DataFrame:
     """(doc_id, lang, n_words, log_prob, perplexity, threshold, kept). trusted: one column, the ids of trusted documents."""
     cols = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     vocab = vocabulary(cols.select("text"))
     blocks = token_blocks(cols, vocab)
+    total = blocks.agg(F.sum("n_words")).head()[0] or 0
+    shards = shards or min(VOCABULARY // 4, max(SHARDS, math.ceil(total / SHARD_WORDS)))
     held = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)) == 0
     marks = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("held", held)
     model, d, contexts, trained = train(blocks, marks, shards)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .tokens import pieces, span_hashes, text_buffer, words
 
 EXAMPLES = 1500
-MAX_BYTES = 1 << 17
+MAX_BYTES = 1 << 15
 TERMS = 1000
 #: Chi-square with one degree of freedom from which a term counts as different between the classes (p = 0.001).
 LEAST_CHI = 10.83
