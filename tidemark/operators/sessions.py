@@ -96,8 +96,11 @@ def realised_variance(bars: DataFrame, minutes: int, full: int, *keys: str, brid
     return r.groupBy(*keys).agg(F.count("*").alias("n_blocks"), F.count("ret").alias("n_returns"), (F.sqrt(total) if root else total).alias("rv"))
 
 
-def session_summary(bars: DataFrame, session: Session, base_minutes: int, min_share: float = 0.98, max_gap_minutes: int = 30) -> DataFrame:
-    """One row a session: return, range, spread, minutes, gaps, edges, and whether it is valid, in one aggregate."""
+def session_summary(bars: DataFrame, session: Session, base_minutes: int, min_share: float = 0.98, max_gap_minutes: int | None = 30) -> DataFrame:
+    """One row a session: return, range, spread, minutes, gaps, edges, and whether it is valid, in one aggregate.
+
+    Without a limit on gaps (None) any gap passes, as in the older rule that never applied its limit.
+    """
     inside = in_session(bars, session)
     order = Window.partitionBy("session_date").orderBy("bar")
     gap = (F.unix_timestamp(F.col("bar").cast("timestamp")) - F.unix_timestamp(F.lag("bar").over(order).cast("timestamp"))) / 60
@@ -116,5 +119,5 @@ def session_summary(bars: DataFrame, session: Session, base_minutes: int, min_sh
     rows = bounds(rows, session, "session_date")
     edges = (F.col("first_bar") == F.col("starts")) & (F.col("last_bar") == F.col("ends") - F.make_dt_interval(mins=F.lit(base_minutes)))
     enough = F.col("n_bars") >= min_share * expected
-    gaps = F.coalesce("max_gap", F.lit(0.0)) <= max_gap_minutes
+    gaps = F.lit(True) if max_gap_minutes is None else F.coalesce("max_gap", F.lit(0.0)) <= max_gap_minutes
     return rows.withColumns({"range_pct": F.col("range") / F.col("open"), "edges": edges, "enough": enough, "gaps_ok": gaps}).withColumn("valid", edges & enough & gaps & ~F.col("any_suspect"))

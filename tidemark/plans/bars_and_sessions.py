@@ -142,6 +142,13 @@ def session_valid(spark, sf):
     return S.session_summary(flagged(spark, sf), S.LONDON, 15).select("session_date", "n_bars", "edges", "any_suspect", "valid")
 
 
+@query("session_valid_legacy_gap", sql(_SUMMARY, "SELECT session_date, edges AND n_bars >= 0.75 * 16 AND NOT any_suspect AS legacy, edges AND n_bars >= 0.75 * 16 AND coalesce(max_gap, 0) <= 15 AND NOT any_suspect AS intended FROM checked"))
+def session_valid_legacy_gap(spark, sf):
+    f = flagged(spark, sf)
+    old = S.session_summary(f, S.LONDON, 15, 0.75, None).select("session_date", F.col("valid").alias("legacy"))
+    return old.join(S.session_summary(f, S.LONDON, 15, 0.75, 15).select("session_date", F.col("valid").alias("intended")), "session_date")
+
+
 @query("agg_session", sql(_SUMMARY, f"SELECT session_date, {q6('ret', 'ret')}, {q6('range', 'range')}, {q6('range / open', 'range_pct')}, {q6('spread', 'spread')}, n_bars FROM checked"))
 def agg_session(spark, sf):
     s = S.session_summary(flagged(spark, sf), S.LONDON, 15)

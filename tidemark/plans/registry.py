@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -12,10 +14,18 @@ def query(name: str, oracle: str | None = None):
     def add(f):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
+
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            # Timestamps carry no zone and mean UTC; epoch arithmetic on them goes through the session's zone.
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
-        return f
+        return run
 
     return add
 

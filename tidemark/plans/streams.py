@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..streaming.bars import bars_stream, quotes_stream, run_available
+from pyspark.sql import functions as F
+
+from ..streaming.bars import bars_stream, collected_available, events_stream, lag_stream, quotes_stream, run_available
 from .registry import query
 from .views import BARS, q6, r6, sql
 
@@ -11,3 +13,8 @@ from .views import BARS, q6, r6, sql
 def stream_bars(spark, sf):
     found = run_available(bars_stream(quotes_stream(spark, sf), 15), "bar")
     return found.select("bar", *[r6(c, c) for c in ("open_bid", "high_bid", "low_bid", "close_bid")], "quote_count")
+
+
+@query("stream_causal_lag", f"SELECT event_id, {q6('CASE WHEN epoch(ts) - epoch(p) <= 24 * 3600 THEN v END', 'lag_value')} FROM (SELECT event_id, ts, lag(ts) OVER w AS p, lag(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def stream_causal_lag(spark, sf):
+    return collected_available(lag_stream(events_stream(spark, sf))).select("event_id", r6(F.nanvl(F.col("lag_value"), F.lit(None).cast("double")), "lag_value"))

@@ -36,3 +36,41 @@ def run_available(stream: DataFrame, key: str) -> DataFrame:
     rows = spark.read.parquet(out)
     cols = [c for c in rows.columns if c not in (key, "_epoch")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*cols), "_epoch").alias("_last")).select(key, "_last.*")
+
+
+LAGGED = "user_id long, event_id long, ts timestamp, value double, lag_value double"
+
+
+def lag_stream(events: DataFrame, most_hours: int = 24) -> DataFrame:
+    """Each event with its user's latest value before it, null if that is older than most_hours: one value of state a user.
+
+    Events reach a user's state in micro-batches; inside one they are put in (ts, event_id) order.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        last_ts, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for r in rows.itertuples():
+            fresh = last_ts is not None and (r.ts.timestamp() - last_ts) <= most_hours * 3600
+            out.append((key[0], r.event_id, r.ts, r.value, last if fresh else None))
+            last_ts, last = float(r.ts.timestamp()), float(r.value)
+        state.update((last_ts, last))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "value", "lag_value"])
+
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return rows.groupBy("user_id").applyInPandasWithState(step, LAGGED, "last_ts double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def collected_available(stream: DataFrame) -> DataFrame:
+    """Process what is there, then stop; the rows of an append-only stream as a table."""
+    spark = stream.sparkSession
+    out, marks = staging(spark, "stream"), staging(spark, "stream-marks")
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
