@@ -27,7 +27,7 @@ def brute(url):
 
 URLS = [None, "", "no scheme.com/x", "http://", "://", "x://com/", "http://COM/a", "http://a.COM/en/", "http://example.com/en/x", "https://www.example.com/en/1", "http://xwww.example.com/en/", "http://wwwexample.com/en/",
         "http://a.net/es/", "http://a.net/ES/", "http://net/fr/?q", "http://net?x://com/", "http://a.b.net/fr", "http://spam-farm.example.org/en/", "http://casino.example.net/de/1", "http://myspamfarm.org/", "http://a.com#/en/",
-        "http://a.com?/en/", "http://é.com/en/", "http://www.example.com", "http://example.com/en", "ftp://ads.x.org:80/p", "a://b://com/", "http://a\nb.com/\n"]
+        "http://a.com?/en/", "http://é.com/en/", "http://www.example.com", "http://example.com/en", "ftp://ads.x.org:80/p", "a://b://com/", "http://a\nb.com/\n", "http://ads.a\nb.org/\nx", "http://x.org/ads/casino"]
 
 
 def test_matches_brute_force_on_both_paths(spark):

@@ -44,7 +44,7 @@ def site_rule(action: str, where: str) -> Rule:
 
 def token_rule(action: str, *tokens: str) -> Rule:
     """These tokens one after another, parted by ``.``, ``-`` or ``_``, as whole tokens of the host."""
-    return Rule("-".join(tokens), action, rf"^(?:[^/]*[^a-z0-9/])?{'[._-]'.join(tokens)}(?:[^a-z0-9].*)?$", tokens, False)
+    return Rule("-".join(tokens), action, rf"^(?:[^/]*[^a-z0-9/])?{'[._-]'.join(tokens)}(?![a-z0-9])", tokens, False)
 
 
 #: The site rules that a query states, and host words of spam, gambling, pharmacy, adult and ad networks.
