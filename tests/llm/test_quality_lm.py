@@ -55,9 +55,12 @@ def brute(texts, trained, vocab):
     return out, q, d, pairs
 
 
-def test_matches_direct_model(spark, make):
+@pytest.mark.parametrize("group_words", [L.GROUP_WORDS, 20])
+def test_matches_direct_model(spark, make, monkeypatch, group_words):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(L, "GROUP_WORDS", group_words)
+
     good, bad = corpus()
     docs = make(good + bad, clash=True)
     trusted = spark.createDataFrame([(k,) for k, _ in good], "doc_id long")

@@ -1,8 +1,9 @@
 """Documents in compressed blocks, and sorted hash sets in compressed columns, so that joins move bytes instead of rows.
 
-A block holds whole documents, about BLOCK_BYTES of text. What a block asks of, or tells, a hash shard is one packed
-set: sorted 64-bit values, as differences split into byte planes. Work on a shard sees one set for each block, so a
-very common value costs one entry a block and no shard depends on one key.
+A block holds whole documents. What a block asks of, or tells, a hash shard is one packed set: sorted 64-bit values, as
+differences split into byte planes. Work on a shard sees one set for each block, so a very common value costs one entry
+a block and no shard depends on one key. Blocks and shards both grow with the table, within bounds that executors hold
+(2 to 32 MB of text a block, 32 to 256 MB a shard), so that the sets stay long enough to pack.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .shared import written
 from .tokens import pieces, text_buffer
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES, MOST_BLOCK_BYTES = 1 << 21, 1 << 25
+SHARD_BYTES, MOST_SHARD_BYTES = 1 << 25, 1 << 28
 #: A document whose id is null: it sorts after every id.
 NO_ID = np.iinfo(np.int64).max
 BLOCK_SCHEMA = "block long, ids binary, nulls binary, offsets binary, body binary, n_bytes long"
@@ -53,8 +55,15 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
 
 
+def block_bytes(docs: DataFrame) -> int:
+    """Text bytes of a block, from the planner's estimate of the table: some ten thousand blocks beyond 20 GB."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, size // 10_000)))
+
+
 def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """docs' ids and texts as blocks in a table of the shared folder. A null text is an empty one."""
+    limit = block_bytes(docs.select(text))
     cols = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -62,7 +71,7 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in pieces(batch, "text", BLOCK_BYTES):
+            for piece in pieces(batch, "text", limit):
                 buf, offsets = text_buffer(piece.column(1))
                 ids = piece.column(0)
                 row = [number, _z(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()), _z(np.asarray(ids.is_null()).astype(np.uint8).tobytes()), pack(np.diff(offsets).astype(np.uint32)), _z(buf.tobytes(), 3), len(buf)]
@@ -81,11 +90,12 @@ def open_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return ids, nulls, np.frombuffer(_unz(row["body"]), np.uint8), offsets
 
 
-def shard_count(blocks: DataFrame, bytes_a_shard: int = 1 << 25) -> int:
-    """Shards for hashes of all words: so many that one holds the words of about so many text bytes."""
+def shard_count(blocks: DataFrame) -> int:
+    """Shards for hashes of all words: so many that one holds the words of a bounded number of text bytes."""
     spark = blocks.sparkSession
     total = blocks.agg(F.sum("n_bytes")).head()[0] or 0
-    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64, math.ceil(total / bytes_a_shard))
+    each = min(MOST_SHARD_BYTES, max(SHARD_BYTES, total // 10_000))
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64, math.ceil(total / each))
 
 
 def split_by_shard(values: np.ndarray, shards: int):

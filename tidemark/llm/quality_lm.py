@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import each_piece
-from .packed import pack, pack_sorted, unpack, unpack_sorted
+from .packed import block_bytes, pack, pack_sorted, unpack, unpack_sorted
 from .shared import freeing_shuffles, written
 from .tokens import _mix, span_hashes, text_buffer, words
 
@@ -43,6 +43,8 @@ QUANTILE = 0.995
 MIN_HELD = 50
 #: Shards of context words: at least, and words a shard beyond.
 SHARDS, SHARD_WORDS = 128, 8_000_000
+#: Words of a shard that one group takes; beyond that a shard's blocks are dealt to several groups.
+GROUP_WORDS = 64_000_000
 _STEP = 2048.0
 
 _BLOCK = "block long, ids array<long>, langs array<string>, sizes binary, tokens binary, n_words long"
@@ -59,11 +61,12 @@ def _word_counts(batches):
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the commonest words of all texts; at most size rows reach the driver."""
+    """Hashes of the commonest words of all texts, the commonest first; at most size rows reach the driver."""
     with freeing_shuffles(texts.sparkSession):
         total = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-        top = written(total.orderBy(F.desc("n"), "word").limit(size).select("word"), "vocabulary")
-    return np.sort(np.asarray(top.toArrow()["word"].combine_chunks().to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
+        top = written(total.orderBy(F.desc("n"), "word").limit(size), "vocabulary").toArrow()
+    word, n = (np.asarray(top[c].combine_chunks().to_numpy(zero_copy_only=False), np.int64) for c in ("word", "n"))
+    return word[np.lexsort((word, -n))].view(np.uint64)
 
 
 def _flag(chars: bytes) -> np.ndarray:
@@ -77,10 +80,14 @@ _PLAIN = _flag(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(12
 
 
 def token_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """The shape of words outside the vocabulary (0 .. SHAPES - 1), else SHAPES + the word's place in it."""
-    h = span_hashes(buf, starts, ends)
-    at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-    known = vocab[at] == h if len(vocab) else np.zeros(len(h), dtype=bool)
+    """The shape of words outside the vocabulary (0 .. SHAPES - 1), else SHAPES + the word's rank in it.
+
+    Common words have small ids, so packed ids and pairs are small.
+    """
+    h, order = span_hashes(buf, starts, ends), np.argsort(vocab)
+    at = np.minimum(np.searchsorted(vocab, h, sorter=order), max(len(vocab) - 1, 0))
+    rank = order[at] if len(vocab) else at
+    known = vocab[rank] == h if len(vocab) else np.zeros(len(h), dtype=bool)
 
     def share(flags):
         total = np.zeros(len(buf) + 1, np.int64)
@@ -90,18 +97,19 @@ def token_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: np.n
     upper, digits, plain, size = share(_UPPER), share(_DIGIT), share(_PLAIN), ends - starts
     first = _UPPER[buf[starts]] if len(starts) else starts
     shape = np.where(plain < size, 4, np.where(digits > 0, 3, np.where(2 * upper >= size, 2, np.where(first == 1, 1, 0))))
-    return np.where(known, at + SHAPES, shape).astype(np.uint16)
+    return np.where(known, rank + SHAPES, shape).astype(np.uint16)
 
 
 def token_blocks(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
     """Blocks of documents as packed word ids, in a table. docs: id, lang, text."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocab)
+    limit = 2 * block_bytes(docs.select("text"))
 
     def run(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for piece in each_piece(batches, "text", 1 << 22):
+        for piece in each_piece(batches, "text", limit):
             buf, offsets = text_buffer(piece.column(2))
             starts, ends, first = words(buf, offsets)
             tokens = token_ids(buf, starts, ends, shipped.value)
@@ -151,17 +159,17 @@ def _rows(batches):
 def _merged(rows: pa.Table) -> pa.Table:
     """A shard's pairs with their counts over all blocks."""
     codes = np.concatenate([unpack_sorted(x) for x in rows["codes"].to_pylist()])
-    n = np.concatenate([unpack(x, np.uint32) for x in rows["more"].to_pylist()]).astype(np.int64)
+    n = np.concatenate([unpack(x, np.int64) for x in rows["more"].to_pylist()])
     order = np.argsort(codes, kind="stable")
     codes, n = codes[order], n[order]
     at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int32()), "codes": pa.array([pack_sorted(codes[at])], pa.binary()), "counts": pa.array([pack(np.add.reduceat(n, at))], pa.binary())})
+    return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int32()), "codes": pa.array([pack_sorted(codes[at])], pa.binary()), "more": pa.array([pack(np.add.reduceat(n, at))], pa.binary())})
 
 
 def _statistics(batches):
     """(kind, key, n): kind 0 counts of pairs counted 1 .. 4 times; kind 1 different contexts of a word."""
     for row in _rows(batches):
-        codes, n = unpack_sorted(row["codes"]), unpack(row["counts"], np.int64)
+        codes, n = unpack_sorted(row["codes"]), unpack(row["more"], np.int64)
         word, contexts = np.unique(codes & np.uint64(0xFFFF), return_counts=True)
         often = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
         yield pa.RecordBatch.from_arrays([pa.array([0] * 4 + [1] * len(word), pa.int32()), pa.array(np.concatenate([np.arange(1, 5), word.astype(np.int64)])), pa.array(np.concatenate([often, contexts]).astype(np.int64))], names=["kind", "key", "n"])
@@ -207,7 +215,10 @@ def _quantised(log_p: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-log_p * _STEP), 65_535).astype(np.uint16)
 
 
-def train(blocks: DataFrame, trusted: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+_MODEL = "shard int, codes binary, more binary"
+
+
+def train(blocks: DataFrame, trusted: DataFrame, shards: int, groups: int) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     """The sharded counts of the trusted documents' pairs, the discounts, q, and how many documents there are."""
     spark = blocks.sparkSession
     where = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(trusted, "id").where("NOT held")
@@ -219,11 +230,13 @@ def train(blocks: DataFrame, trusted: DataFrame, shards: int) -> tuple[DataFrame
             chosen = np.zeros(len(sizes), dtype=bool)
             chosen[row["chosen"]] = True
             code, n = np.unique(_pairs(tokens, sizes)[np.repeat(chosen, sizes)], return_counts=True)
-            yield _send(row["block"], code, n.astype(np.uint32), shards)
+            yield _send(row["block"], code, n.astype(np.int64), shards)
 
     with freeing_shuffles(spark):
         sent = blocks.join(lists, "block").mapInArrow(count, _SENT)
-        model = written(sent.groupBy("shard").applyInArrow(_merged, "shard int, codes binary, counts binary"), "model")
+        if groups > 1:
+            sent = sent.groupBy("shard", F.pmod(F.xxhash64("block"), F.lit(groups))).applyInArrow(_merged, _MODEL)
+        model = written(sent.groupBy("shard").applyInArrow(_merged, _MODEL), "model")
         # 4 counts of counts and one row for each word id, at most 65,536.
         found = model.mapInArrow(_statistics, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
     often = {r["key"]: r["n"] for r in found if r["kind"] == 0}
@@ -234,7 +247,7 @@ def train(blocks: DataFrame, trusted: DataFrame, shards: int) -> tuple[DataFrame
     return model, discounts(*[float(often.get(k, 0)) for k in (1, 2, 3, 4)]), contexts, len(often)
 
 
-def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarray, shards: int) -> DataFrame:
+def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarray, shards: int, groups: int) -> DataFrame:
     """(id, lang, n_words, log_prob) of every document."""
     spark = blocks.sparkSession
     shipped = spark.sparkContext.broadcast((d, q))
@@ -271,9 +284,10 @@ def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarr
             log_prob = -(cost[ends] - cost[ends - sizes])
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(sizes), pa.array(log_prob)], names=["id", "lang", "n_words", "log_prob"])
 
-    requests = blocks.mapInArrow(ask, _SENT)
-    known = model.select("shard", F.lit(None).cast("long").alias("block"), "codes", F.col("counts").alias("more"))
-    replies = requests.union(known).groupBy("shard").applyInArrow(answer, "block long, shard int, values binary")
+    requests = blocks.mapInArrow(ask, _SENT).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    # A shard's counts are at most some contexts' followers; each of its groups gets them.
+    known = model.select("shard", F.lit(None).cast("long").alias("block"), "codes", "more", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    replies = requests.union(known).groupBy("shard", "part").applyInArrow(answer, "block long, shard int, values binary")
     with freeing_shuffles(spark):
         replies = written(replies, "answers")
         told = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("told"))
@@ -287,10 +301,11 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", lang:
     blocks = token_blocks(cols, vocab)
     total = blocks.agg(F.sum("n_words")).head()[0] or 0
     shards = shards or min(VOCABULARY // 4, max(SHARDS, math.ceil(total / SHARD_WORDS)))
+    groups = max(1, math.ceil(total / shards / GROUP_WORDS))
     held = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)) == 0
     marks = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("held", held)
-    model, d, contexts, trained = train(blocks, marks, shards)
-    scored = perplexities(blocks, model, d, lower_order(contexts, len(vocab) + SHAPES), shards)
+    model, d, contexts, trained = train(blocks, marks, shards, groups)
+    scored = perplexities(blocks, model, d, lower_order(contexts, len(vocab) + SHAPES), shards, groups)
     scored = scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))))
 
     sample = scored.where("n_words > 0").join(marks.where("held"), "id", "left_semi")
