@@ -79,3 +79,22 @@ def test_held_out_rule(spark):
 
     got = spark.range(200).select("id", X.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_terms_of_most_toxic_examples_and_of_few_examples_count(spark, make):
+    """A word of every toxic example, and one of a single example, are neighbours' terms."""
+    rows = [(k, f"{prose(k, 30)} grubtoad" if k % 2 else prose(k, 30)) for k in range(40)]
+    rows[3] = (3, rows[3][1] + " quizzwort")
+    asked = [(100, "grubtoad"), (101, "quizzwort")]
+    learn = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in X.score(make(rows + asked), learn).collect()}
+    assert len(got[100]["evidence"]) == X.K and all(i % 2 for i in got[100]["evidence"]) and got[100]["score"] > 0.5
+    assert got[101]["evidence"] == [3]
+
+
+def test_document_counts_cover_all_documents(make):
+    rows = [(k, f"word{k} shared") for k in range(50)] + [(50, None)]
+    vocabulary = X.vocabulary(pa.array(["shared word7 absent"]))
+    df, n = X._frequencies(make(rows).select("text"), vocabulary)
+    of = lambda w: df[np.searchsorted(vocabulary, X.terms(pa.array([w]))[0][0])]
+    assert n == 51 and (of("shared"), of("word7"), of("absent")) == (50, 1, 0)

@@ -1,16 +1,17 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF with every example.
 
 Examples are labelled documents (at most EXAMPLES of each class, chosen by hash of the id, texts of at most MAX_BYTES;
-these bounds are parameters). Terms are lower-case words and their beginnings of 4 to 8 bytes, for compounds; the TERMS
-terms that differ most between the classes by chi-square make the vocabulary. Weights are (1 + log tf) * idf, scaled to
-length 1.
+these bounds are parameters). Terms are lower-case words and their beginnings of 4 to 8 bytes, for compounds; all terms
+of the examples make the vocabulary. Weights are (1 + log tf) * idf * contrast, scaled to length 1, with idf from the
+number of documents of the whole table that hold the term. The contrast, by which a term differs between the classes, is
+never 0; without it what a text is about outweighs its few toxic words.
 
-Each term's postings are cut into blocks of BLOCK examples with the block's greatest weight. A query visits blocks from
-the greatest possible cosine down and stops when no further block can reach its K-th neighbour: the result is that of
-comparing all examples. Votes weigh cosine ** POWER times how many labelled documents an example stands for, and PRIOR
-pseudo-votes at the labelled share draw scores with little evidence to it; the score is the toxic share of votes.
+A document is compared with all examples: terms of more than a DENSE-th of them by a matrix product, the others by their
+postings. Votes weigh cosine ** POWER times how many labelled documents an example stands for, and PRIOR pseudo-votes at
+the labelled share draw scores with little evidence to it; the score is the toxic share of votes.
 
-Nothing is shuffled but the examples; the index, whose size the bounds fix, is broadcast.
+Nothing is shuffled but the examples and one document count a term and task; the index, whose size the bounds fix, is
+broadcast.
 
 Defined cases: a null or wordless text, or one without vocabulary terms, scores the labelled share; no labelled
 examples at all give 0; equal rows score alike; a null id is never an example and is kept as null; equal neighbours go
@@ -24,17 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import pack, pack_sorted, unpack, unpack_sorted
 from .tokens import pieces, span_hashes, text_buffer, words
 
 EXAMPLES = 1500
 MAX_BYTES = 1 << 15
-TERMS = 1000
-#: Chi-square with one degree of freedom from which a term counts as different between the classes (p = 0.001).
-LEAST_CHI = 10.83
-#: A term of the vocabulary is in so many examples at least, and in such a share of them at most.
-MIN_DOCS, MAX_SHARE = 4, 0.25
 PREFIXES = (4, 5, 6, 7, 8)
-BLOCK = 64
+#: Terms of more than one in so many examples are compared by a matrix product.
+DENSE = 25
 K = 15
 POWER = 2.0
 PRIOR = 1.0
@@ -69,14 +67,31 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(found), np.concatenate(of), len(offsets) - 1
 
 
-def counts(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(text, term, tf) of the sorted vocabulary's terms in the texts, by text, then term; and the number of texts."""
+def lookup(vocab: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Where the sorted hashes of each run of leading bits begin, the shift to those bits, and the longest run."""
+    bits = int(np.clip(len(vocab), 2, 1 << 20) - 1).bit_length() + 1
+    edge = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    first = np.append(np.searchsorted(vocab, edge), len(vocab)).astype(np.int32)
+    return first, 64 - bits, int(np.diff(first).max())
+
+
+def counts(column: pa.Array, vocab: np.ndarray, table: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(text, term, tf) of the sorted vocabulary's terms in the texts, by text, then term; and the number of texts. table: lookup(vocab)."""
     h, doc, n = terms(column)
-    at = np.searchsorted(vocabulary, h) if len(vocabulary) else np.zeros(len(h), np.int64)
-    at[at == len(vocabulary)] = 0
-    hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), dtype=bool)
-    key, tf = np.unique(doc[hit] * np.int64(max(len(vocabulary), 1)) + at[hit], return_counts=True)
-    return key // max(len(vocabulary), 1), key % max(len(vocabulary), 1), tf, n
+    if not len(vocab):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), n
+    first, shift, longest = table or lookup(vocab)
+    bucket = (h >> np.uint64(shift)).astype(np.int64)
+    at, end = first[bucket], first[bucket + 1]
+    keys = []
+    for _ in range(longest):
+        left = at < end
+        h, doc, at, end = h[left], doc[left], at[left], end[left]
+        hit = vocab[at] == h
+        keys.append(doc[hit] * np.int64(len(vocab)) + at[hit])
+        h, doc, at, end = h[~hit], doc[~hit], at[~hit] + 1, end[~hit]
+    key, tf = np.unique(np.concatenate(keys), return_counts=True)
+    return key // len(vocab), key % len(vocab), tf, n
 
 
 def _weights(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
@@ -93,90 +108,115 @@ def _runs(texts: pa.Array, limit: int = 1 << 20):
         at += piece.num_rows
 
 
-def _document_counts(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms in order, in how many texts each is, and in how many toxic ones; memory is that of distinct terms."""
-    total = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for at, part in _runs(texts):
-        h, doc, _ = terms(part)
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, mark = np.concatenate([total[0], h[new]]), toxic[at + doc[new]].astype(np.int64)
-        df, marked = np.concatenate([total[1], np.ones(len(mark), np.int64)]), np.concatenate([total[2], mark])
-        order = np.argsort(h, kind="stable")
-        h, df, marked = h[order], df[order], marked[order]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        total = (h[edge], np.add.reduceat(df, edge), np.add.reduceat(marked, edge)) if len(h) else total
+def vocabulary(texts: pa.Array) -> np.ndarray:
+    """The distinct terms of the texts in order; memory is that of distinct terms."""
+    total = np.zeros(0, np.uint64)
+    for _, part in _runs(texts):
+        total = np.union1d(total, terms(part)[0])
     return total
 
 
-def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int]) -> dict:
-    """The index over the examples. totals: labelled documents of class 0 and 1 for which the examples stand."""
-    n = len(texts)
-    h, df, in_toxic = _document_counts(texts, toxic)
-    a, b = in_toxic, df - in_toxic
+def document_counts(texts: pa.Array, vocab: np.ndarray, table: tuple | None = None) -> np.ndarray:
+    """In how many of the texts each term is."""
+    total = np.zeros(len(vocab), np.int64)
+    for _, part in _runs(texts):
+        total += np.bincount(counts(part, vocab, table)[1], minlength=len(vocab))
+    return total
+
+
+def gathered(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int], known: tuple[np.ndarray, np.ndarray, int]) -> dict:
+    """What the index is built from, packed: it is sent to executors, which build the index."""
+    arranged = np.argsort(ids, kind="stable")
+    ids, toxic, texts = ids[arranged], toxic[arranged], texts.take(pa.array(arranged))
+    vocab, df, n_docs = known
+    table = lookup(vocab)
+    keys, tfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for at, part in _runs(texts):
+        doc, term, tf, _ = counts(part, vocab, table)
+        keys.append(((doc + at) * len(vocab) + term).astype(np.uint64))
+        tfs.append(tf.astype(np.uint32))
+    return {"ids": ids, "toxic": toxic, "totals": totals, "vocabulary": pack_sorted(vocab), "df": pack(df.astype(np.int64)), "n_docs": n_docs, "keys": pack_sorted(np.concatenate(keys)), "tf": pack(np.concatenate(tfs))}
+
+
+def contrast(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How much terms differ between the classes, from how many of n1 toxic and n0 other examples hold each: the
+    correlation with the class, plus its sampling error, so that no term weighs nothing."""
+    mean = (a + b) / max(n1 + n0, 1)
+    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (n1 + n0) ** 2 / max(n1 * n0, 1))
+    return np.abs(a / max(n1, 1) - b / max(n0, 1)) / spread + 1 / np.sqrt(max(n1 + n0, 1))
+
+
+def built(g: dict) -> dict:
+    """The index: weights of common terms as a matrix, of others as postings."""
+    ids, toxic, totals, n = g["ids"], g["toxic"], g["totals"], len(g["ids"])
+    vocab, df, tf = unpack_sorted(g["vocabulary"]), unpack(g["df"], np.int64), unpack(g["tf"], np.uint32)
+    doc, term = np.divmod(unpack_sorted(g["keys"]).astype(np.int64), max(len(vocab), 1))
     n1, n0 = float(toxic.sum()), float(n - toxic.sum())
-    p, q = a / max(n1, 1), b / max(n0, 1)
-    mean = (a + b) / max(n, 1)
-    chi = np.where((mean > 0) & (mean < 1), (p - q) ** 2 / np.maximum(mean * (1 - mean), 1e-12), 0) * ((df >= MIN_DOCS) & (df <= MAX_SHARE * n))
-    best = np.lexsort((h, -chi))[:TERMS]
-    best = best[chi[best] * n1 * n0 / max(n, 1) >= LEAST_CHI]
-    best = best[np.argsort(h[best])]
-    vocabulary = h[best]
-    idf = np.log((n + 1) / (df[best] + 1)) + 1
-    parts = [(at, counts(part, vocabulary)) for at, part in _runs(texts)]
-    doc = np.concatenate([d + at for at, (d, _, _, _) in parts]) if parts else np.zeros(0, np.int64)
-    term = np.concatenate([t for _, (_, t, _, _) in parts]) if parts else doc
-    tf = np.concatenate([f for _, (_, _, f, _) in parts]) if parts else doc
+    held = np.bincount(term, minlength=len(vocab))
+    in_toxic = np.bincount(term, toxic[doc], minlength=len(vocab))
+    idf = (np.log((g["n_docs"] + 1) / (df + 1)) + 1) * contrast(in_toxic, held - in_toxic, n1, n0)
     weight = _weights(doc, term, tf, n, idf)
-    # Examples with the same heaviest term stand together, so that a block's greatest weights are near its members'.
-    lead = np.full(n, len(vocabulary))
-    heavy = np.lexsort((term, -weight, doc))
-    firsts = np.concatenate([[True], doc[heavy][1:] != doc[heavy][:-1]]) if len(doc) else np.zeros(0, dtype=bool)
-    lead[doc[heavy][firsts]] = term[heavy][firsts]
-    place = np.empty(n, np.int64)
-    arranged = np.lexsort((ids, lead))
-    place[arranged] = np.arange(n)
-    blocks = max(1, -(-n // BLOCK))
-    by_term = np.lexsort((place[doc], term))
-    post_term, post_doc, post_weight = term[by_term], place[doc][by_term], weight[by_term]
-    start = np.searchsorted(post_term * np.int64(blocks) + post_doc // BLOCK, np.arange(len(vocabulary) * blocks + 1))
-    top = np.zeros(len(vocabulary) * blocks)
-    np.maximum.at(top, post_term * np.int64(blocks) + post_doc // BLOCK, post_weight)
+    common = np.flatnonzero(held * DENSE > n)
+    row = np.full(len(vocab), -1, np.int32)
+    row[common] = np.arange(len(common))
+    in_dense = row[term] >= 0
+    dense = np.zeros((len(common), n))
+    dense[row[term[in_dense]], doc[in_dense]] = weight[in_dense]
+    doc, term, weight = doc[~in_dense], term[~in_dense], weight[~in_dense]
+    by_term = np.lexsort((doc, term))
+    start = np.searchsorted(term[by_term], np.arange(len(vocab) + 1))
     share = totals[1] / max(sum(totals), 1)
-    stands_for = np.where(toxic[arranged], totals[1] / max(n1, 1), totals[0] / max(n0, 1))
+    stands_for = np.where(toxic, totals[1] / max(n1, 1), totals[0] / max(n0, 1))
     mean_vote = float(stands_for.mean()) if n else 1.0
-    return {"vocabulary": vocabulary, "idf": idf, "ids": ids[arranged], "toxic": toxic[arranged], "stands_for": stands_for / mean_vote, "blocks": blocks, "start": start, "post_doc": post_doc, "post_weight": post_weight, "top": top.reshape(len(vocabulary), blocks), "share": share}
+    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "start": start, "post_doc": doc[by_term].astype(np.int32), "post_weight": weight[by_term], "share": share}
+
+
+def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int]) -> dict:
+    """The index over the examples, as if they were the whole table. totals: labelled documents of class 0 and 1 for which the examples stand."""
+    vocab = vocabulary(texts)
+    return built(gathered(ids, texts, toxic, totals, (vocab, document_counts(texts, vocab), len(texts))))
+
+
+#: Texts compared at a time, and postings added at a time.
+_TEXTS, _POSTINGS = 128, 1 << 21
+
+
+def cosines(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Cosines of n texts with all examples; doc, term and weight are sorted by text."""
+    m = len(index["ids"])
+    row = index["row"][term]
+    dense = row >= 0
+    query = np.zeros((n, len(index["dense"])))
+    query[doc[dense], row[dense]] = weight[dense]
+    out = query @ index["dense"]
+    doc, term, weight = doc[~dense], term[~dense], weight[~dense]
+    size = index["start"][term + 1] - index["start"][term]
+    total = np.cumsum(size)
+    at = 0
+    while at < len(term):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _POSTINGS, side="right")))
+        c = size[at:to]
+        take = np.repeat(index["start"][term[at:to]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        low, high = doc[at], doc[to - 1] + 1
+        place = np.repeat((doc[at:to] - low) * m, c) + index["post_doc"][take]
+        out[low:high] += np.bincount(place, index["post_weight"][take] * np.repeat(weight[at:to], c), minlength=(high - low) * m).reshape(-1, m)
+        at = to
+    return out
+
+
+def _best(index: dict, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    # Sums in different orders may part equal cosines in the last bits: compare them rounded. Examples stand by id.
+    some = np.flatnonzero(cosine > 0)
+    if len(some) > k:
+        least = np.partition(cosine[some], len(some) - k)[len(some) - k]
+        some = some[cosine[some] >= least - 1e-9]
+    best = some[np.lexsort((index["ids"][some], -np.round(cosine[some], 10)))[:k]]
+    return best, cosine[best]
 
 
 def nearest(index: dict, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and cosines of the k nearest examples with a cosine over 0; ties to smaller ids."""
-    blocks, start = index["blocks"], index["start"]
-    bound = weight @ index["top"][term]
-    order = np.argsort(-bound, kind="stable")
-    found = np.zeros(0, np.int64)
-    cosine = np.zeros(0)
-    least, at, step = 0.0, 0, 4
-    while at < len(order) and (limit := bound[order[at]]) > 0 and limit >= least - 1e-12:
-        part = order[at : at + step]
-        part = part[bound[part] > 0]
-        at, step = at + step, min(2 * step, 32)
-        cell = (term[:, None] * np.int64(blocks) + part[None, :]).ravel()
-        n = start[cell + 1] - start[cell]
-        take = np.repeat(start[cell] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        slot = np.repeat(np.tile(np.arange(len(part)), len(term)), n) * BLOCK + index["post_doc"][take] % BLOCK
-        score = np.bincount(slot, index["post_weight"][take] * np.repeat(np.repeat(weight, len(part)), n), minlength=len(part) * BLOCK)
-        some = np.flatnonzero(score > 0)
-        found = np.concatenate([found, part[some // BLOCK] * BLOCK + some % BLOCK])
-        cosine = np.concatenate([cosine, score[some]])
-        if len(found) > k:
-            # Sums in different orders may part equal cosines in the last bits: compare them rounded.
-            best = np.lexsort((index["ids"][found], -np.round(cosine, 10)))[:k]
-            found, cosine = found[best], cosine[best]
-            least = cosine[-1] - 1e-9
-    best = np.lexsort((index["ids"][found], -np.round(cosine, 10)))[:k]
-    return found[best], cosine[best]
+    return _best(index, cosines(index, np.zeros(len(term), np.int64), term, weight, 1)[0], k)
 
 
 def vote(index: dict, found: np.ndarray, cosine: np.ndarray) -> float:
@@ -184,6 +224,28 @@ def vote(index: dict, found: np.ndarray, cosine: np.ndarray) -> float:
     return float((w[index["toxic"][found]].sum() + PRIOR * index["share"]) / (w.sum() + PRIOR))
 
 
+def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are; a task sends a row a term at most."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def count(batches):
+        vocab = shipped.value
+        table = lookup(vocab)
+        total, n = np.zeros(len(vocab), np.int64), 0
+        for batch in batches:
+            total += document_counts(batch.column(0), vocab, table)
+            n += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n], total[some]]))], names=["term", "n"])
+
+    # One row for each term of the examples, whose number the bounds fix, and one for the documents.
+    found = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (found[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("term", "n"))
+    df = np.zeros(len(vocab) + 1, np.int64)
+    df[term] = n
+    return df[:-1], int(df[-1])
+
+
 _OUT = "id long, score double, evidence array<long>"
 
 
@@ -206,23 +268,30 @@ def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: st
         for c in (False, True):
             keep[np.flatnonzero(toxic == c)[:examples]] = True
         chosen = rows["text"].combine_chunks().take(pa.array(np.flatnonzero(keep)))
-        index = fit(ids[keep], chosen, toxic[keep], (totals.get(False, 0), totals.get(True, 0)))
-    shipped = spark.sparkContext.broadcast(index)
+        vocab = vocabulary(chosen)
+        index = gathered(ids[keep], chosen, toxic[keep], (totals.get(False, 0), totals.get(True, 0)), (vocab, *_frequencies(docs.select(F.col(text).alias("text")), vocab)))
+    shipped = spark.sparkContext.broadcast(index and {"packed": index})
 
     def run(batches):
         index = shipped.value
+        if index and "packed" in index:
+            # Built once a worker, which keeps the broadcast value.
+            index.update(built(index.pop("packed")))
         for batch in batches:
             for piece in pieces(batch, "text"):
                 n = piece.num_rows
                 scores, evidence = np.full(n, index["share"] if index else 0.0), [[] for _ in range(n)]
                 if index:
-                    doc, term, tf, _ = counts(piece.column(1), index["vocabulary"])
+                    doc, term, tf, _ = counts(piece.column(1), index["vocabulary"], index["table"])
                     weight = _weights(doc, term, tf, n, index["idf"])
                     edge = np.searchsorted(doc, np.arange(n + 1))
-                    for i in np.flatnonzero(np.diff(edge)):
-                        part = slice(edge[i], edge[i + 1])
-                        found, cosine = nearest(index, term[part], weight[part], k)
-                        scores[i], evidence[i] = vote(index, found, cosine), index["ids"][found].tolist()
+                    for low in range(0, n, _TEXTS):
+                        high = min(n, low + _TEXTS)
+                        part = slice(edge[low], edge[high])
+                        cosine = cosines(index, doc[part] - low, term[part], weight[part], high - low)
+                        for i in low + np.flatnonzero(np.diff(edge[low : high + 1])):
+                            found, near = _best(index, cosine[i - low], k)
+                            scores[i], evidence[i] = vote(index, found, near), index["ids"][found].tolist()
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
     found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _OUT)
