@@ -412,6 +412,29 @@ def test_effect_raises_power_and_batches_agree(spark):
     assert gain["effect"] > gain["null"] + 0.05
 
 
+def test_registered_simulations_have_the_reference_design(spark, monkeypatch):
+    from tidemark.plans import registry
+    from tidemark.plans import simulation as PS
+
+    asked = []
+
+    def simulate(spark, p, design, cells, coherent=True):
+        asked.append((design, cells))
+        return spark.createDataFrame([], SIM._OUT)
+
+    monkeypatch.setattr(PS.SIM, "simulate", simulate)
+    monkeypatch.setattr(PS, "_pilot", lambda spark, sf: PILOT)
+    for name in ("dgp_reduced", "dgp_coherent", "sim_forecasts", "sim_measure", "sim_summarize", "critical_calibration", "effect_calibration", "ordering_audit"):
+        asked.clear()
+        registry.QUERIES[name](spark, "")
+        for design, cells in asked:
+            calibration = name == "effect_calibration"
+            assert (design.burn, design.train, design.scored, design.sizes) == (500, 4000 if calibration else 400, 8000, (250, 500, 1000, 2000, 4000, 8000))
+            assert {(c[0], c[3]) for c in cells} <= {("null", 2000), ("effect", 1000), ("grid", 16)}
+            assert not calibration or [c[2] for c in cells] == [0, 0.125, 0.25, 0.5, 0.75, 1, 1.5, 2, 3]
+        assert asked
+
+
 # Streaming
 
 

@@ -13,7 +13,13 @@ from .registry import query
 from .rolling import valid
 from .views import r6
 
-SMALL = SIM.Design()
+#: The reference's design: study-iii-c/src/power.py.
+FULL = SIM.Design(burn=500, train=400, scored=8000, sizes=(250, 500, 1000, 2000, 4000, 8000))
+LONGEST = FULL.sizes[-1]
+NULL_PATHS, EFFECT_PATHS = 2000, 1000
+#: Effects are calibrated on longer training, in block 10 and 16 paths a multiplier.
+CALIBRATION = SIM.Design(burn=500, train=4000, scored=8000, sizes=FULL.sizes)
+MULTIPLIERS, CALIBRATION_PATHS = (0.0, 0.125, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), 16
 
 
 def _pilot(spark, sf):
@@ -36,52 +42,51 @@ def pilot_fit(spark, sf):
 
 @query("dgp_reduced", None)
 def dgp_reduced(spark, sf):
-    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("null", 5, 0.0, 100), ("effect", 5, 1.0, 100)], coherent=False)
+    rows = SIM.simulate(spark, _pilot(spark, sf), FULL, [("null", 5, 0.0, NULL_PATHS), ("effect", 5, 1.0, EFFECT_PATHS)], coherent=False)
     return rows.select("phase", "block", "effect", "path", "n", "statistic", "gain")
 
 
 @query("dgp_coherent", None)
 def dgp_coherent(spark, sf):
-    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("null", 10, 0.0, 100), ("effect", 10, 1.0, 100)])
+    rows = SIM.simulate(spark, _pilot(spark, sf), FULL, [("null", 10, 0.0, NULL_PATHS), ("effect", 10, 1.0, EFFECT_PATHS)])
     return rows.select("phase", "block", "effect", "path", "n", "statistic", "gain")
 
 
 @query("sim_forecasts", None)
 def sim_forecasts(spark, sf):
-    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("effect", 5, 1.0, 200)])
-    return rows.where("n = 1000").groupBy("block").agg(F.count("*").alias("paths"), F.avg("gain").alias("mean_gain"), F.avg((F.col("coefficient") > 0).cast("double")).alias("positive"))
+    rows = SIM.simulate(spark, _pilot(spark, sf), FULL, [("effect", 5, 1.0, EFFECT_PATHS)])
+    return rows.where(F.col("n") == LONGEST).groupBy("block").agg(F.count("*").alias("paths"), F.avg("gain").alias("mean_gain"), F.avg((F.col("coefficient") > 0).cast("double")).alias("positive"))
 
 
-def _cells(paths: int):
-    return [("null", b, 0.0, paths) for b in (5, 10, 20)] + [("effect", b, 1.0, paths) for b in (5, 10, 20)]
+def _cells():
+    return [("null", b, 0.0, NULL_PATHS) for b in FULL.blocks] + [("effect", b, 1.0, EFFECT_PATHS) for b in FULL.blocks]
 
 
 @query("sim_measure", None)
 def sim_measure(spark, sf):
-    return SIM.simulate(spark, _pilot(spark, sf), SMALL, _cells(100)).select("phase", "block", "effect", "path", "n", "statistic", "gain", "coefficient")
+    return SIM.simulate(spark, _pilot(spark, sf), FULL, _cells()).select("phase", "block", "effect", "path", "n", "statistic", "gain", "coefficient")
 
 
 @query("sim_summarize", None)
 def sim_summarize(spark, sf):
-    return SIM.summarise(SIM.simulate(spark, _pilot(spark, sf), SMALL, _cells(200)))
+    return SIM.summarise(SIM.simulate(spark, _pilot(spark, sf), FULL, _cells()))
 
 
 @query("critical_calibration", None)
 def critical_calibration(spark, sf):
-    return SIM.calibrated(SIM.simulate(spark, _pilot(spark, sf), SMALL, [("null", b, 0.0, 200) for b in (5, 10, 20)]))
+    return SIM.calibrated(SIM.simulate(spark, _pilot(spark, sf), FULL, [("null", b, 0.0, NULL_PATHS) for b in FULL.blocks]))
 
 
 @query("effect_calibration", None)
 def effect_calibration(spark, sf):
-    grid = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5]
-    rows = SIM.simulate(spark, _pilot(spark, sf), SMALL, [("grid", 5, m, 100) for m in grid])
-    return rows.where("n = 1000").groupBy(F.col("effect").alias("multiplier")).agg(F.avg("gain").alias("mean_gain"))
+    rows = SIM.simulate(spark, _pilot(spark, sf), CALIBRATION, [("grid", 10, m, CALIBRATION_PATHS) for m in MULTIPLIERS])
+    return rows.where(F.col("n") == LONGEST).groupBy(F.col("effect").alias("multiplier")).agg(F.avg("gain").alias("mean_gain"))
 
 
 @query("ordering_audit", None)
 def ordering_audit(spark, sf):
     p = _pilot(spark, sf)
-    one = lambda coherent, name: SIM.simulate(spark, p, SMALL, [("null", 5, 0.0, 100)], coherent).where("n = 1000").agg(F.avg("exceed").alias("share")).select(F.lit(name).alias("generator"), "share")
+    one = lambda coherent, name: SIM.simulate(spark, p, FULL, [("null", 5, 0.0, NULL_PATHS)], coherent).where(F.col("n") == LONGEST).agg(F.avg("exceed").alias("share")).select(F.lit(name).alias("generator"), "share")
     return one(True, "coherent").unionByName(one(False, "reduced"))
 
 
