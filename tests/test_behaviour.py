@@ -435,6 +435,19 @@ def test_registered_simulations_have_the_reference_design(spark, monkeypatch):
         assert asked
 
 
+def test_random_draws_are_as_many_as_the_reference_has(spark):
+    import os
+
+    from tidemark.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    assert {(r["block"], r["draws"]) for r in registry.QUERIES["lrv_upper_boot"](spark, sf).collect()} == {(5, 2000), (10, 2000), (20, 2000)}
+    assert registry.QUERIES["block_boot_beta"](spark, sf).head()["draws"] == 2000
+    assert {r["paths"] for r in registry.QUERIES["mc_iid_block"](spark, sf).collect()} == {10_000}
+
+
 # Streaming
 
 

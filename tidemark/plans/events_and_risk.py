@@ -195,4 +195,4 @@ def mc_iid_block(spark, sf):
     # One supplier's trades: some hundred rows.
     r = [x["r"] for x in trades(spark, sf).select("r").collect()]
     d = [x["x"] for x in K.daily_returns(s.withColumn("fraction", F.lit(1.0))).orderBy("date").select(F.col("ret").alias("x")).collect()]
-    return K.monte_carlo(spark, r, d, len(r) / max(len(d), 1), paths=2000)
+    return K.monte_carlo(spark, r, d, len(r) / max(len(d), 1), paths=10_000)

@@ -19,6 +19,8 @@ LONGEST = FULL.sizes[-1]
 NULL_PATHS, EFFECT_PATHS = 2000, 1000
 #: Effects are calibrated on longer training, in block 10 and 16 paths a multiplier.
 CALIBRATION = SIM.Design(burn=500, train=4000, scored=8000, sizes=FULL.sizes)
+#: Draws a block of the bound on the long-run variance: study-iii-design/planning.json.
+LRV_DRAWS = 2000
 MULTIPLIERS, CALIBRATION_PATHS = (0.0, 0.125, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), 16
 
 
@@ -129,10 +131,12 @@ def lrv_upper_boot(spark, sf):
         return np.maximum(0, g[0] + 2 * sum((1 - k / (lags + 1)) * g[k] for k in range(1, lags + 1)))
 
     def run(pdf):
-        rng = np.random.default_rng([17, int(pdf["batch"].iloc[0])])
-        s = x[SIM.block_indices(len(x), 50, len(x), 20, rng)]
-        return pd.DataFrame({"omega": np.max([omega(s, k) for k in (5, 10, 20)], axis=0)})
+        block, batch = int(pdf["block"].iloc[0]), int(pdf["batch"].iloc[0])
+        rng = np.random.default_rng([17, block, batch])
+        s = x[SIM.block_indices(len(x), 50, len(x), block, rng)]
+        return pd.DataFrame({"block": block, "omega": np.max([omega(s, k) for k in (5, 10, 20)], axis=0)})
 
-    draws = spark.range(8).withColumnRenamed("id", "batch").groupBy("batch").applyInPandas(run, "omega double")
+    jobs = spark.createDataFrame([(b, k) for b in FULL.blocks for k in range(LRV_DRAWS // 50)], "block int, batch int")
+    draws = jobs.groupBy("block", "batch").applyInPandas(run, "block int, omega double")
     point = bartlett_lrv(v, "a", "date", 10).head()[0]
-    return draws.agg(F.count("*").alias("draws"), F.percentile("omega", 0.95).alias("upper")).withColumn("point", F.lit(point))
+    return draws.groupBy("block").agg(F.count("*").alias("draws"), F.percentile("omega", 0.95).alias("upper")).withColumn("point", F.lit(point))

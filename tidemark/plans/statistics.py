@@ -114,7 +114,7 @@ def block_boot_beta(spark, sf):
     return ST_block_boot_beta(logs(spark, sf), "ll", "lag_ll", "date").agg(F.count("*").alias("draws"), F.percentile("beta", 0.025).alias("ci_low"), F.percentile("beta", 0.975).alias("ci_high"))
 
 
-def ST_block_boot_beta(rows, y, x, on, draws: int = 500, block: int = 5):
+def ST_block_boot_beta(rows, y, x, on, draws: int = 2000, block: int = 5):
     """Slopes of resampled series from circular block sums of x, y, xx, xy: the same join as for means."""
     n = rows.count()
     parts = rows.select(on, F.lit(1.0).alias("one"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col(x) * F.col(x)).alias("xx"), (F.col(x) * F.col(y)).alias("xy"))
