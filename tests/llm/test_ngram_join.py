@@ -62,6 +62,13 @@ def test_deduplicated_keeps_one_of_each_class(make):
     assert out.columns == docs.columns and ids == sorted({c for c in found.values()})
 
 
+def test_deduplicated_keeps_other_texts_of_a_repeated_id(make):
+    """Id 1 stands on two equal texts, on a text of another class, and on one without links."""
+    a, b, alone = prose(1, 60), prose(2, 60), prose(3, 60)
+    docs = make([(1, a), (1, a), (2, a), (1, b), (3, b), (1, alone)], clash=True)
+    assert sorted((r["doc_id"], r["text"]) for r in N.deduplicated(docs).collect()) == sorted([(1, a), (1, b), (1, alone)])
+
+
 def test_empty_table(make):
     assert N.similar(make([])).count() == 0 and N.deduplicated(make([])).count() == 0
 

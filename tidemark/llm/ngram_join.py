@@ -247,6 +247,11 @@ def _grams(batches):
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, text_hash, class_id, copy_of, n_links) for each row: the similarity class, the least id with an equal
     n-gram set, and how many other documents reach the threshold, copies included."""
+    return _similar(docs, doc_id, text, threshold, tolerance).drop("root")
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """similar() with root, which tells classes apart whose least ids are equal."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rows = written(texts.mapInArrow(_features, _FEATURES), "signatures")
     part = rows.where("doc_id IS NOT NULL AND key IS NOT NULL")
@@ -277,9 +282,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     roots = components(compared.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "key"})
     named = classes.join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least.doc_id").alias("class_id"))
-    named = named.join(least, "root").select("key", "class_id", F.col("least.doc_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = named.join(least, "root").select("key", "root", "class_id", F.col("least.doc_id").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
-    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "text_hash", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -287,12 +292,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
     Rows with a null id, or without words, all stay.
     """
-    found = written(similar(docs, doc_id, text, **options), "similar")
+    found = written(_similar(docs, doc_id, text, **options), "similar")
     gone = found.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
     left = docs.join(gone, (F.col(doc_id).cast("long") == F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash")), "left_anti")
-    # Equal rows of one id are one class: the least id is theirs together, and one of them stays.
-    twice = found.where("class_id = doc_id AND n_links > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    # Rows of one class and its least id: one of them stays. An id's rows of other classes, or without links, are others.
+    least = found.where("class_id = doc_id AND n_links > 0")
+    twice = least.groupBy("doc_id", "root").count().where("count > 1").select("doc_id", "root")
     if twice.isEmpty():
         return left
-    some = left.join(twice, F.col(doc_id).cast("long") == F.col("_twice"), "left_semi").dropDuplicates([doc_id])
-    return left.join(twice, F.col(doc_id).cast("long") == F.col("_twice"), "left_anti").unionByName(some)
+    twice = least.join(twice, ["doc_id", "root"], "left_semi").select(F.col("doc_id").alias("_twice"), F.col("text_hash").alias("_twice_hash"), F.col("root").alias("_root")).distinct()
+    same = (F.col(doc_id).cast("long") == F.col("_twice")) & (F.xxhash64(text) == F.col("_twice_hash"))
+    some = left.join(twice, same).dropDuplicates(["_twice", "_root"]).select(*docs.columns)
+    return left.join(twice, same, "left_anti").unionByName(some)
