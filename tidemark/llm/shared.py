@@ -7,6 +7,7 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -66,5 +67,15 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Rows up to which a counted table is broadcast.
+MAX_BROADCAST = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df as a table, marked for broadcast where it has at most MAX_BROADCAST rows; beyond that joins shuffle."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
