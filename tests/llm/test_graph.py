@@ -1,9 +1,12 @@
 import random
 
+import pytest
+
 from tidemark.llm.graph import components
 
 
-def test_components_of_chains_stars_and_rings(spark):
+@pytest.mark.parametrize("hot", [512, 5])
+def test_components_of_chains_stars_and_rings(spark, hot):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(k, (k - 200 + 7) % 30 + 200) for k in range(200, 230)]
     edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
@@ -18,9 +21,10 @@ def test_components_of_chains_stars_and_rings(spark):
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
     want = {(x, top(x)) for a, b in edges if a != b for x in (a, b)}
-    rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    rows = components(spark.createDataFrame(edges, "a long, b long"), hot=hot).collect()
     assert len(rows) == len(want) and {(r["node"], r["root"]) for r in rows} == want
 
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([(1, 1), (None, 2), (3, None)], "a long, b long")).count() == 0

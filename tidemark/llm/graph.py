@@ -1,32 +1,54 @@
-"""Connected components without collecting links: alternating large and small stars, each round a table."""
+"""Connected components without collecting links: alternating large and small stars, each round a table.
+
+A component ends as a star, whose centre neighbours all its nodes. The neighbours of a node with more than HOT are dealt
+to several tasks, each of which gets a copy of the node's row.
+
+Defined cases: an edge of a node with itself, or with a null end, makes no component; repeated edges count once; no
+edges give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import discard, small, written
+
+HOT = 512
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _salted(rows: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
+    """rows (a, b) with m of their node a (u, m, n): nodes of more than hot rows go in parts."""
+    crowded = nodes.where(F.col("n") > hot).select("u", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts"))
+    if crowded.isEmpty():
+        return rows.join(nodes, F.col("a") == F.col("u")).select("a", "b", "m")
+    crowded = small(crowded)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(crowded.withColumnRenamed("u", "h"), F.col("a") == F.col("h"), "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    copies = nodes.join(crowded, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("of"))
+    return dealt.join(copies, (F.col("a") == F.col("u")) & (F.col("part") == F.col("of"))).select("a", "b", "m")
+
+
+def components(edges: DataFrame, most_rounds: int = 60, hot: int = HOT) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node of its component."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)
     for _ in range(most_rounds):
         # Large star: every greater neighbour of a node links to the least of the node's neighbourhood.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        nodes = written(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "nodes")
+        large = _salted(both.where("b > a"), nodes, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node's lesser neighbours, and it itself, link to the least of them.
         floor = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         lesser = large.join(floor, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = lesser.union(floor.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        old, edges = edges, written(small, "edges")
+        star = lesser.union(floor.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        old, edges = edges, written(star, "edges")
         discard(old)
+        discard(nodes)
         now = _mark(edges)
         if now == mark:
             break

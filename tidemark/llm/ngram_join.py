@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrow import each_piece
 from .graph import components
 from .packed import pack_sorted, unpack_sorted
-from .shared import written
+from .shared import small, written
 from .tokens import _mix, span_hashes, text_buffer, window_starts, windows, words
 
 SHINGLE = 5
@@ -38,6 +38,10 @@ BANDS, BAND_ROWS = 32, 4
 STEP = 32
 TOLERANCE = 1e-6
 SIDE = 1024
+#: Classes of a band that one task links; a band with more is dealt to several.
+BAND_PART = 512
+#: Texts fetched by a broadcast of their ids and hashes: 16 bytes each.
+MAX_FETCHED = 2_000_000
 BIN = 2000
 _SEED = 20_011
 
@@ -210,9 +214,6 @@ def _compare(key: np.ndarray, weight: np.ndarray, sig: np.ndarray, sets: list, f
     return links.astype(np.int64), _roots(len(key), x, y)
 
 
-_MEMBER = "bin long, cluster long, i int, j int, side int, key long, weight long, sig binary, grams binary"
-
-
 def _group(threshold: float, tolerance: float):
     table = least_matches(threshold, tolerance)
 
@@ -244,6 +245,22 @@ def _grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([pack_sorted(value[offsets[i] : offsets[i + 1]]) for i in some], pa.binary())], names=["key", "grams"])
 
 
+def _linked(bands: DataFrame, shared: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the classes of each band: to the band's least, or in a common band to the least of a
+    part, which links to the band's least."""
+    crowded = shared.where(F.col("n") > BAND_PART).select("band", F.ceil(F.sqrt(F.col("n") / F.lit(BAND_PART)) * 8).cast("int").alias("parts"))
+    plain = shared.where(F.col("n") <= BAND_PART)
+    edge = lambda rows, head: rows.where(F.col("key") != F.col(head)).select(F.col("key").alias("a"), F.col(head).alias("b"))
+    near = edge(bands.join(plain, "band"), "head")
+    if crowded.isEmpty():
+        return near
+    common = bands.join(small(crowded), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    heads = written(common.groupBy("band", "part").agg(F.min("key").alias("own")), "heads")
+    inner = edge(common.join(heads, ["band", "part"]), "own")
+    outer = edge(heads.withColumnRenamed("own", "key").join(shared.select("band", "head"), "band"), "head")
+    return near.union(inner).union(outer)
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, text_hash, class_id, copy_of, n_links) for each row: the similarity class, the least id with an equal
     n-gram set, and how many other documents reach the threshold, copies included."""
@@ -259,21 +276,22 @@ def _similar(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHO
     classes = written(classes, "classes")
 
     bands = classes.select("key", "sig").mapInArrow(_bands, "band long, key long")
-    shared = bands.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("other")).where("head <> other").select("band", "head")
-    near = bands.join(shared, "band").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    clusters = written(components(near).withColumnsRenamed({"node": "key", "root": "cluster"}), "clusters")
+    shared = bands.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
+    clusters = written(components(_linked(bands, written(shared, "bands"))).withColumnsRenamed({"node": "key", "root": "cluster"}), "clusters")
 
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("n_blocks"))
     n_bins = max(1, math.ceil(clusters.count() / BIN))
     members = clusters.join(blocks, "cluster").join(classes, "key")
-    wanted = members.select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).distinct()
+    # So few texts are fetched by a broadcast of their ids, and none is shuffled; more by a shuffle, which the planner
+    # thins by a Bloom filter of the ids where it can.
+    wanted = small(members.select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).distinct(), MAX_FETCHED)
     grams = texts.join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("text").mapInArrow(_grams, "key long, grams binary").dropDuplicates(["key"])
     own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("n_blocks")).cast("int")
     placed = members.select("cluster", "key", "weight", "sig", "n_blocks", own.alias("own")).join(grams, "key")
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    small = F.col("n_blocks") == 1
+    alone = F.col("n_blocks") == 1
     i, j = F.least("own", "with"), F.greatest("own", "with")
-    bin_ = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(n_bins))).otherwise(F.xxhash64("cluster", i, j))
+    bin_ = F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(n_bins))).otherwise(F.xxhash64("cluster", i, j))
     placed = placed.select(bin_.cast("long").alias("bin"), "cluster", i.alias("i"), j.alias("j"), F.when(F.col("own") == i, 0).otherwise(1).alias("side"), "key", "weight", "sig", "grams")
     compared = placed.groupBy("bin", F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("i")), F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("j"))).applyInArrow(_group(threshold, tolerance), "key long, links long, root long")
     compared = written(compared, "links")
@@ -302,5 +320,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
         return left
     twice = least.join(twice, ["doc_id", "root"], "left_semi").select(F.col("doc_id").alias("_twice"), F.col("text_hash").alias("_twice_hash"), F.col("root").alias("_root")).distinct()
     same = (F.col(doc_id).cast("long") == F.col("_twice")) & (F.xxhash64(text) == F.col("_twice_hash"))
-    some = left.join(twice, same).dropDuplicates(["_twice", "_root"]).select(*docs.columns)
+    # The one of the least text hash stays; of rows with that text, the one whose columns hash least.
+    row = F.struct(*[docs[c] for c in docs.columns])
+    plain = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    some = left.join(twice, same).groupBy("_twice", "_root").agg(F.min_by(row, F.struct("_twice_hash", F.xxhash64(*plain))).alias("_row")).select("_row.*")
     return left.join(twice, same, "left_anti").unionByName(some)

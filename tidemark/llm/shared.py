@@ -71,10 +71,10 @@ atexit.register(release)
 MAX_BROADCAST = 100_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df as a table, marked for broadcast where it has at most MAX_BROADCAST rows; beyond that joins shuffle."""
+def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """df as a table, marked for broadcast where it has at most so many rows; beyond that joins shuffle."""
     df = written(df, "small")
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
