@@ -46,7 +46,8 @@ FEW = 8
 PROBES = 64
 PART, BIN, ASKED = 4096, 16_384, 8192
 NEIGHBOURS = 24
-BEAM = 96
+#: Width of the search for a query's lists, and for a vector's own.
+BEAM, INDEX_BEAM = 96, 32
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,10 +94,10 @@ class Graph:
         else:
             self.links = np.zeros((n, 1), np.int64)
 
-    def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, want: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The want nearest centroids found for each row, nearest first, and their squared distances."""
         n = len(self.c)
-        want, beam = min(want, n), min(max(BEAM, want), n)
+        want, beam = min(want, n), min(max(beam, want), n)
         found, dist = np.empty((len(x), want), np.int64), np.empty((len(x), want))
         for at in range(0, len(x), 512):
             y = x[at : at + 512]
@@ -192,7 +193,7 @@ class _Space:
 
 def _nearest(g: Graph, y: np.ndarray, replicas: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, lists and whether the list is the row's nearest: the nearest list and those across a close boundary."""
-    near, d2 = g.search(y, max(2 * replicas, 8))
+    near, d2 = g.search(y, max(2 * replicas, 8), INDEX_BEAM)
     keep = d2 <= d2[:, :1] * (1 + epsilon) ** 2
     keep[:, 0] = True
     keep &= np.cumsum(keep, 1) <= replicas
@@ -280,7 +281,7 @@ def _refined(placed: DataFrame, postings: DataFrame, probes: DataFrame, asks: Da
     def place(model: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows or not model.num_rows:
             return pa.table({"vec_id": pa.array([], pa.int64()), "v": rows["v"].slice(0, 0), "list": pa.array([], pa.int64()), "main": pa.array([], pa.bool_())})
-        near, _ = opened(model).search(space.vectors(_matrix(rows["v"])), 1)
+        near, _ = opened(model).search(space.vectors(_matrix(rows["v"])), 1, INDEX_BEAM)
         return pa.table({"vec_id": rows["vec_id"], "v": rows["v"], "list": rows["list"][0].as_py() * most + near[:, 0], "main": rows["main"]})
 
     def probe(model: pa.Table, rows: pa.Table) -> pa.Table:

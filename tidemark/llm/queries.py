@@ -100,6 +100,9 @@ hits AS (
 SELECT p.page_id, p.host, p.path, h.rule,
        CASE WHEN h.rule IS NOT NULL THEN h.action
             WHEN regexp_matches(p.host, '(^|[^a-z0-9])(spam|casino|pills|bets|adult|ads|porn|xxx|warez|phish)([^a-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(p.host, '(^|[^a-z0-9])(click[._-]track|win[._-]prize|cheap[._-]meds|payday[._-]loans|fake[._-]login)([^a-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(translate(p.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^a-z0-9](online[^a-z0-9]+casino|buy[^a-z0-9]+pills|free[^a-z0-9]+porn|sports[^a-z0-9]+bets|crack[^a-z0-9]+serial|work[^a-z0-9]+from[^a-z0-9]+home[^a-z0-9]+cash)([^a-z0-9]|$)') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM parts p LEFT JOIN hits h ON p.page_id = h.page_id AND p.host = h.host AND p.path = h.path
 """

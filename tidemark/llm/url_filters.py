@@ -5,10 +5,12 @@ The index maps each rule's rarest token, by how many URLs of the table hold it,
 candidate rules and only those run their expressions. With up to MAX_INLINE rules the index is a literal map inside the
 projection: no join, no shuffle, no Python; beyond that the distinct URLs join the rule table on the token.
 
-Rank decides among matching rules: site rules (host and path prefix) before patterns, longer before shorter.
+Rank decides among matching rules: site rules (host and path prefix) before patterns, longer before shorter. Site rules
+see the path as it is; patterns, and the tokens of both, see it with A-Z lower-cased. No other letter changes case: a
+Kelvin sign is no k.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and matches no rule, so it gets the default
-verdict; equal rows are judged alike and each returned; an empty table gives an empty result; columns of the table
+verdict; a very long URL is judged whole, its expressions run in linear time; equal rows are judged alike and each returned; an empty table gives an empty result; columns of the table
 other than the URL don't matter and pass through unless they have a name that the operator adds.
 """
 
@@ -47,13 +49,22 @@ def token_rule(action: str, *tokens: str) -> Rule:
     return Rule("-".join(tokens), action, rf"^(?:[^/]*[^a-z0-9/])?{'[._-]'.join(tokens)}(?![a-z0-9])", tokens, False)
 
 
-#: The site rules that a query states, and host words of spam, gambling, pharmacy, adult and ad networks.
+def path_rule(action: str, *tokens: str) -> Rule:
+    """These tokens one after another, parted by anything but letters and digits, as whole tokens of the path."""
+    return Rule("/" + "-".join(tokens), action, rf"(?s)^[^/]*/(?:.*[^a-z0-9])?{'[^a-z0-9]+'.join(tokens)}(?![a-z0-9])", tokens, False)
+
+
+#: The site rules that a query states, and words and phrases of hosts and paths that spam, gambling,
+#: pharmacy, adult, ad and piracy pages use; the words of a phrase are harmless alone.
 SITE_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 HOST_WORDS = ["spam", "casino", "pills", "bets", "adult", "ads", "porn", "xxx", "warez", "phish"]
+HOST_PHRASES = [("click", "track"), ("win", "prize"), ("cheap", "meds"), ("payday", "loans"), ("fake", "login")]
+PATH_PHRASES = [("online", "casino"), ("buy", "pills"), ("free", "porn"), ("sports", "bets"), ("crack", "serial"), ("work", "from", "home", "cash")]
 
 
 def default_rules() -> list[Rule]:
-    return [site_rule(*r) for r in SITE_RULES] + [token_rule("block", w) for w in HOST_WORDS]
+    phrases = [token_rule("block", *t) for t in HOST_PHRASES] + [path_rule("block", *t) for t in PATH_PHRASES]
+    return [site_rule(*r) for r in SITE_RULES] + [token_rule("block", w) for w in HOST_WORDS] + phrases
 
 
 def ranked(rules: list[Rule]) -> list[Rule]:
@@ -76,8 +87,12 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
+def _lowered(subject: Column) -> Column:
+    return F.translate(subject, _UPPER, _LOWER)
+
+
 def _tokens(subject: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(subject), TOKEN_BREAK))
+    return F.array_distinct(F.split(_lowered(subject), TOKEN_BREAK))
 
 
 def token_frequencies(pages: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]:
@@ -124,7 +139,8 @@ def _best_inline(pages: DataFrame, rules: list[Rule], index: dict, url: str, def
     found = F.array_intersect(F.array_append(_tokens(subject), F.lit("")), keys)
     candidates = F.flatten(F.transform(found, lambda t: F.element_at(lookup, t)))
     regexes = F.array(*[F.lit(r.regex) for r in rules])
-    rank = F.array_min(F.filter(candidates, lambda k: F.rlike(subject, F.get(regexes, k))))
+    sites, low = sum(r.site for r in rules), _lowered(subject)
+    rank = F.array_min(F.filter(candidates, lambda k: F.rlike(F.when(k < sites, subject).otherwise(low), F.get(regexes, k))))
     return pages.withColumn("_rank", rank).withColumns(_outcome(F.col("_rank"), rules, default)).drop("_rank")
 
 
@@ -135,7 +151,8 @@ def _best_joined(pages: DataFrame, rules: list[Rule], index: dict, url: str, def
     table = spark.createDataFrame(rows, "token string, rank int, regex string, rule string, pattern string, verdict string")
     subject = F.concat("host", "path")
     asked = pages.select("host", "path").distinct().withColumn("token", F.explode(F.array_append(_tokens(subject), F.lit(""))))
-    hits = asked.join(table, "token").where(F.rlike(subject, F.col("regex")))
+    seen = F.when(F.col("rule").isNotNull(), subject).otherwise(_lowered(subject))
+    hits = asked.join(table, "token").where(F.rlike(seen, F.col("regex")))
     best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "pattern", "verdict"), "rank").alias("_best"))
     joined = pages.join(best, ["host", "path"], "left")
     out = joined.withColumns({k: F.col("_best")[k] for k in ("rule", "pattern")} | {"verdict": F.coalesce(F.col("_best")["verdict"], F.lit(default))})
