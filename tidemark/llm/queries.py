@@ -60,21 +60,31 @@ filled AS (
 targets AS (
   SELECT source, source_size, CASE WHEN filled THEN cap ELSE weight * ((total - coalesce(sum(CASE WHEN filled THEN cap END) OVER (), 0))
          / sum(CASE WHEN NOT filled THEN weight END) OVER ()) END AS target FROM filled),
-expected AS (
-  SELECT s.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-ranked AS (
-  SELECT *, floor(e) AS certain, CASE WHEN e = floor(e) THEN 1.0 ELSE (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS xi,
-         target - floor(e) * source_size AS left_words FROM expected),
-summed AS (SELECT *, sum(CASE WHEN left_words > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY xi / (1 + xi), doc_id ROWS UNBOUNDED PRECEDING) AS after_it FROM ranked),
+parts AS (
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS certain,
+         target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * source_size AS left_words FROM targets),
+roots AS (SELECT source, ceil(sqrt(size::DOUBLE))::BIGINT AS root, sum(size)::BIGINT AS words FROM sized WHERE size > 0 GROUP BY ALL),
+shares AS (
+  SELECT r.*, left_words, coalesce(sum(words) OVER (PARTITION BY r.source ORDER BY root DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+         sum(words * root) OVER (PARTITION BY r.source ORDER BY root DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest
+  FROM roots r JOIN parts t ON r.source IS NOT DISTINCT FROM t.source),
+rates AS (
+  SELECT source, (left_words - coalesce(sum(CASE WHEN rest <= root * (left_words - before) THEN words END), 0)::DOUBLE)
+         / nullif(sum(CASE WHEN rest <= root * (left_words - before) THEN 0 ELSE words * root END)::DOUBLE, 0) AS rate FROM shares GROUP BY source, left_words),
+chances AS (
+  SELECT s.*, t.source_size, t.target, t.certain, t.left_words,
+         CASE WHEN size > 0 AND left_words > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(rate, 1.0::DOUBLE) * ceil(sqrt(size::DOUBLE)))) ELSE 0.0::DOUBLE END AS p
+  FROM sized s JOIN parts t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+ranked AS (SELECT *, (u * (1 - p)) / (u * (1 - p) + p * (1 - u)) AS pareto FROM chances),
+summed AS (SELECT *, sum(CASE WHEN left_words > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY pareto, doc_id ROWS UNBOUNDED PRECEDING) AS after_it FROM ranked),
 picked AS (
-  SELECT *, after_it <= left_words AND size > 0 AND e > certain AS prefix,
+  SELECT *, after_it <= left_words AND size > 0 AND left_words > 0 AS prefix,
          left_words - max(CASE WHEN after_it <= left_words THEN after_it ELSE 0 END) OVER (PARTITION BY source) AS gap FROM summed),
 closing AS (
   SELECT source, doc_id FROM picked WHERE NOT prefix AND size > 0 AND left_words > 0 AND abs(size - gap) < gap
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), xi / (1 + xi), doc_id) = 1)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), pareto, doc_id) = 1)
 SELECT p.doc_id, p.size, p.source_size, p.target,
-       (CASE WHEN p.size > 0 THEN (certain + CASE WHEN (prefix OR c.doc_id IS NOT NULL) AND e > certain THEN 1 ELSE 0 END) * p.size ELSE 0 END)::BIGINT AS taken
+       (CASE WHEN p.size > 0 THEN (certain + CASE WHEN prefix OR c.doc_id IS NOT NULL THEN 1 ELSE 0 END) * p.size ELSE 0 END)::BIGINT AS taken
 FROM picked p LEFT JOIN closing c ON p.source IS NOT DISTINCT FROM c.source AND p.doc_id = c.doc_id
 """
 
