@@ -40,7 +40,7 @@ TOLERANCE = 1e-6
 SIDE = 1024
 #: Classes of a band that one task links; a band with more is dealt to several.
 BAND_PART = 512
-#: Texts fetched by a broadcast of their ids and hashes: 16 bytes each.
+#: Texts fetched by a broadcast of one long for each.
 MAX_FETCHED = 2_000_000
 BIN = 2000
 _SEED = 20_011
@@ -282,10 +282,10 @@ def _similar(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHO
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("n_blocks"))
     n_bins = max(1, math.ceil(clusters.count() / BIN))
     members = clusters.join(blocks, "cluster").join(classes, "key")
-    # So few texts are fetched by a broadcast of their ids, and none is shuffled; more by a shuffle, which the planner
-    # thins by a Bloom filter of the ids where it can.
-    wanted = small(members.select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).distinct(), MAX_FETCHED)
-    grams = texts.join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("text").mapInArrow(_grams, "key long, grams binary").dropDuplicates(["key"])
+    # So few texts are fetched by a broadcast of a hash of their ids, and none is shuffled; more by a shuffle, which the
+    # planner thins by a Bloom filter where it can. A text fetched by a collision finds no member below.
+    wanted = small(members.select(F.xxhash64("least.doc_id", "least.text_hash").alias("wanted")).distinct(), MAX_FETCHED)
+    grams = texts.join(wanted, F.xxhash64("doc_id", "text_hash") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("text").mapInArrow(_grams, "key long, grams binary").dropDuplicates(["key"])
     own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("n_blocks")).cast("int")
     placed = members.select("cluster", "key", "weight", "sig", "n_blocks", own.alias("own")).join(grams, "key")
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
