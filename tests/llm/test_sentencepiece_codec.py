@@ -49,10 +49,48 @@ def test_round_trip_and_best_score(vocabulary):
         assert total(ids, vocabulary) == pytest.approx(brute(x, vocabulary))
 
 
+def whole(text, v):
+    """All boundaries kept to the end; of equal sums the cut whose last piece is longer."""
+    best, back = [0.0], [None]
+    for j in range(1, len(text) + 1):
+        found = (-1e300, None)
+        for i in range(max(0, j - v.longest), j):
+            piece = v.scored.get(text[i:j])
+            if piece and best[i] + piece[1] > found[0]:
+                found = (best[i] + piece[1], (i, [piece[0]]))
+        c = text[j - 1]
+        raw = b" " if c == S.SPACE else c.encode()
+        if c not in v.single and best[j - 1] + v.byte_score * len(raw) > found[0]:
+            found = (best[j - 1] + v.byte_score * len(raw), (j - 1, [v.byte_ids[b] for b in raw]))
+        best.append(found[0])
+        back.append(found[1])
+    out, at = [], len(text)
+    while at:
+        at, ids = back[at]
+        out = ids + out
+    return out
+
+
 def test_streaming_equals_one_window(vocabulary):
     for x in samples():
         plain = (" " + x).replace(" ", S.SPACE)
-        assert list(S.stream(plain, vocabulary)) == S.whole(plain, vocabulary)
+        assert list(S.stream(plain, vocabulary)) == whole(plain, vocabulary)
+
+
+def test_streaming_where_paths_meet_late():
+    """Pieces of a's alone, in two phases of which the end decides: no boundary is certain for a long way."""
+    v = S.Vocabulary({"aa": (0, -1.0), "a": (1, -1.2), "aab": (2, -0.1), "aaab": (3, -3.0)}, list(range(10, 266)), 300)
+    for n in [*range(1, 60), 1000, 1001]:
+        for tail in ("", "b", "bz"):
+            assert list(S.stream("a" * n + tail, v)) == whole("a" * n + tail, v)
+
+
+def test_encoder_equals_the_stream_over_the_whole_text(vocabulary):
+    """What is remembered between boundaries that no piece crosses is what the window commits there."""
+    for x in samples():
+        if S.SPACE not in x:
+            e = S.Encoder(vocabulary)
+            assert np.frombuffer(e.encode(x), "<i4").tolist() == list(S.stream((" " + x).replace(" ", S.SPACE), vocabulary))
 
 
 def test_stream_commits_before_the_end(vocabulary):

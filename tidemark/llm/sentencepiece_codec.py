@@ -5,10 +5,12 @@ sum of their scores is greatest; of equal sums, the cut whose last piece is long
 byte pieces at a score below every piece's. Decoding gives the text back exactly: a U+2581 of the text itself goes as
 bytes too.
 
-The Viterbi window holds the last max_piece positions. Whenever all of its surviving backpointer paths meet in one
+The Viterbi window holds a few times max_piece positions. Whenever all of its surviving backpointer paths meet in one
 boundary, the ids up to there are committed and forgotten, so memory is bounded by the window and by what is committed.
-Between a character and another that no piece holds side by side, paths always meet; runs between such boundaries (mostly
-words) are encoded once per task and remembered, up to CACHE runs of at most RUN characters.
+Paths meet at once where no piece reaches beyond a boundary; otherwise the window looks for their meeting point each time
+it fills. Boundaries that no piece of the vocabulary crosses (mostly those of words) are known beforehand: all paths meet
+there, so what was committed between two of them is the same wherever it stands, and each task remembers it for up to
+CACHE such runs of at most RUN characters.
 
 Defined cases: a null text gives null ids, an empty text none; unknown ids decode to nothing, control pieces too;
 invalid byte sequences decode to U+FFFD; equal rows are encoded alike; an empty table gives an empty result; other
@@ -37,6 +39,9 @@ RUN = 64
 BYTE_PENALTY = 10.0
 
 
+_NEVER = -1e300
+
+
 class Vocabulary:
     """Pieces with ids and scores, byte pieces, and what decodes to nothing. Its size is that of the model file."""
 
@@ -84,43 +89,57 @@ def load(path: str = MODEL) -> Vocabulary:
 
 def stream(text: str, v: Vocabulary):
     """Ids of a normalised text, committed as soon as they are certain."""
-    n, longest = len(text), v.longest
-    # For each boundary of the window: best sum, start of the last piece, its id (None: bytes).
-    best, back, ids = {0: 0.0}, {0: -1}, {0: None}
-    done = 0
+    n, longest, root, byte_score, single = len(text), v.longest, v.trie, v.byte_score, v.single
+    # For each boundary of the window, from the last committed one: best sum, start of the last piece, its id (None: bytes).
+    size = min(n, 3 * longest) + 1
+    best, back, ids = [_NEVER] * size, [0] * size, [None] * size
+    best[0] = 0.0
+    done, at, far = 0, 0, 0
     for begin in range(n):
-        here, c = best[begin], text[begin]
-        total = here + v.byte_score * (1 if c == SPACE else len(c.encode()))
-        if total > best.get(begin + 1, -1e300):
-            best[begin + 1], back[begin + 1], ids[begin + 1] = total, begin, None
-        node = v.trie
-        for end in range(begin + 1, n + 1):
-            if (node := node.get(text[end - 1])) is None:
+        here, c, end, node = best[at], text[begin], at, root
+        # A piece of this one character, if there is one, scores above its bytes.
+        if c not in single and (total := here + byte_score * (1 if c == SPACE else len(c.encode()))) > best[at + 1]:
+            best[at + 1], back[at + 1], ids[at + 1] = total, at, None
+        for x in text[begin : begin + longest]:
+            if (node := node.get(x)) is None:
                 break
-            if (found := node.get("")) is not None and (total := here + found[1]) > best.get(end, -1e300):
-                best[end], back[end], ids[end] = total, begin, found[0]
-        end = begin + 1
-        if end - done >= 2 * longest or end == n:
-            # Paths that can still win end in the last boundaries or in those already reached ahead.
-            alive = {n} if end == n else {back[k] for k in best if k > end} | {end}
+            end += 1
+            if "" in node:
+                found, score = node[""]
+                if here + score > best[end]:
+                    best[end], back[end], ids[end] = here + score, at, found
+                    if end > far:
+                        far = end
+        at += 1
+        if far <= at:
+            meet = far = at
+        elif at >= 2 * longest:
+            # Paths that can still win go through this boundary or come from before it to those reached ahead.
+            alive = {back[k] for k in range(at + 1, far + 1) if best[k] > _NEVER} | {at}
             while len(alive) > 1:
                 last = max(alive)
                 alive.discard(last)
                 alive.add(back[last])
             meet = alive.pop()
-            yield from _path(text, v, back, ids, meet, done)
-            for k in range(done, meet):
-                del best[k], back[k], ids[k]
-            done = max(done, meet)
+        else:
+            continue
+        if not meet:
+            more = at + longest + 1 - len(best)
+            if more > 0:
+                best, back, ids = best + [_NEVER] * more, back + [0] * more, ids + [None] * more
+        else:
+            yield from _path(text, v, done, back, ids, meet)
+            done, at, far = done + meet, at - meet, far - meet
+            best, back, ids = best[meet:] + [_NEVER] * meet, [k - meet for k in back[meet:]] + [0] * meet, ids[meet:] + [None] * meet
 
 
-def _path(text: str, v: Vocabulary, back, ids, at: int, to: int) -> list[int]:
-    """Ids between two boundaries of the best path through the later one."""
+def _path(text: str, v: Vocabulary, done: int, back: list, ids: list, at: int) -> list[int]:
+    """Ids of the best path from the window's first boundary, at the text's position done, to boundary at."""
     out = []
-    while at > to:
+    while at > 0:
         begin = back[at]
         if ids[at] is None:
-            c = text[begin]
+            c = text[done + begin]
             out += [v.byte_ids[b] for b in reversed(b" " if c == SPACE else c.encode())]
         else:
             out.append(ids[at])
@@ -129,29 +148,6 @@ def _path(text: str, v: Vocabulary, back, ids, at: int, to: int) -> list[int]:
     return out
 
 
-def whole(text: str, v: Vocabulary) -> list[int]:
-    """What stream() gives for a text of at most two windows, within which it never commits before the end."""
-    n, root, byte_score, single = len(text), v.trie, v.byte_score, v.single
-    best, back, ids = [-1e300] * (n + 1), [0] * (n + 1), [None] * (n + 1)
-    best[0] = 0.0
-    begin = 0
-    for c in text:
-        here, end, node = best[begin], begin, root
-        # A piece of this one character, if there is one, scores above its bytes.
-        if c not in single and (total := here + byte_score * (1 if c == SPACE else len(c.encode()))) > best[begin + 1]:
-            best[begin + 1], back[begin + 1], ids[begin + 1] = total, begin, None
-        for x in text[begin:]:
-            if (node := node.get(x)) is None:
-                break
-            end += 1
-            if "" in node:
-                found, score = node[""]
-                if here + score > best[end]:
-                    best[end], back[end], ids[end] = here + score, begin, found
-        begin += 1
-    return _path(text, v, back, ids, n, 0)
-
-
 class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.known = v, {}
@@ -164,7 +160,7 @@ class Encoder:
         if not text:
             return b""
         plain = " " + text
-        if SPACE in plain or "" in plain:
+        if SPACE in plain:
             return self._escaped(plain)
         return self._runs(plain.replace(" ", SPACE))
 
@@ -173,8 +169,7 @@ class Encoder:
         for run in self.runs.findall(text):
             got = known.get(run)
             if got is None:
-                short = len(run) <= 2 * self.v.longest
-                got = array("i", whole(run, self.v) if short else stream(run, self.v)).tobytes()
+                got = array("i", stream(run, self.v)).tobytes()
                 if len(run) <= RUN:
                     if len(known) >= CACHE:
                         known.clear()
@@ -184,11 +179,8 @@ class Encoder:
 
     def _escaped(self, plain: str) -> bytes:
         """A space mark of the text itself goes as bytes: no piece may hold it, so the text is cut around it."""
-        raw = lambda c: np.array([self.v.byte_ids[b] for b in c.encode()], "<i4").tobytes()
-        out = []
-        for part in re.split(f"([{SPACE}])", plain):
-            out.append(raw(part) if part in (SPACE, "") else self._runs(part.replace(" ", SPACE)) if part else b"")
-        return b"".join(out)
+        mark = np.array([self.v.byte_ids[b] for b in SPACE.encode()], "<i4").tobytes()
+        return mark.join(self._runs(part.replace(" ", SPACE)) for part in plain.split(SPACE))
 
 
 def decode(ids, v: Vocabulary) -> str:
