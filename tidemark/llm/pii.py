@@ -1,24 +1,26 @@
 """PII: base patterns, and information-theoretic sanitisation of what reveals them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers (Luhn) and international phone numbers. Every
-distinct value is a protected entity. Corpus co-occurrence then tells which terms give an entity away: a term is a word
-of at least MIN_TERM letters within CONTEXT words of an entity's mention. With p() the share of distinct contexts
-(mentions whose surrounding words are equal count once, so copies prove nothing),
+distinct value is a protected entity. Corpus co-occurrence then tells which terms give an entity away. A term is a word
+of at least MIN_TERM code points; it co-occurs with an entity wherever both stand in one document, however far apart.
+With p() the share of all documents,
 
     PMI(entity; term) = log p(entity, term) / (p(entity) p(term)),      IC(entity) = -log p(entity),
 
-and a term discloses an entity if PMI >= THRESHOLD * IC and the two share at least MIN_SUPPORT distinct contexts. In
-documents that hold the entity, disclosing terms within CONTEXT words of it become spans of kind ``term``. Sanitising
-replaces base spans by their kind, generalises a term that starts with a capital or is numeric to its class, and
-removes other terms.
+and a term discloses an entity if PMI >= THRESHOLD * IC and the two share documents of at least MIN_SUPPORT similarity
+classes (of the n-gram Jaccard join, so near copies of one text prove nothing). Every occurrence of a disclosing term, in
+any document, becomes a span of kind ``term``: such terms tell on their own. Sanitising replaces base spans by their
+kind, generalises a term that starts with a capital or holds a digit to its class, and removes other terms.
 
-Only mentions leave a document's task: (entity hash, term hash, context hash) rows, a small share of the words. Entities
-or terms that are very common are summed before they are shuffled. What is kept is the set of disclosing pairs, joined
-back to the documents that mention the entity, by hash; no text is shuffled.
+An entity in fewer than MIN_SUPPORT different texts can't be disclosed, and one in a PUBLIC share of the documents or
+more has too little information to protect: neither costs more than its count. Only the texts of the others are fetched,
+by a broadcast of their hashes where these are few, and only hashes of their terms are shuffled, summed first. How many
+documents hold a candidate term is counted over all documents, a sum a task. Up to MAX_TERMS candidates, or disclosing
+terms, go to executors as sorted hashes; more meet the documents' terms in a join.
 
 Defined cases: a null text counts as empty; a null id is kept as null; equal rows are scanned alike and each returned;
-an empty table gives an empty result; other columns pass through a sanitised table unchanged. Texts are scanned whole;
-every pattern is scanned in linear time.
+an empty table gives an empty result; other columns pass through a sanitised table unchanged; a term that overlaps a base
+span is none. Texts are scanned whole, very long ones too; every pattern is scanned in linear time.
 """
 
 from __future__ import annotations
@@ -32,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import fresh
-from .shared import freeing_shuffles, written
-from .tokens import WORD, pieces
+from .arrow import each_piece, fresh
+from .ngram_join import similar
+from .packed import find
+from .shared import freeing_shuffles, small, written
+from .tokens import pieces, span_hashes, text_buffer, words
+from .toxicity import _BREAK, _folded
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 5
 MIN_TERM = 4
 MIN_SUPPORT = 3
 THRESHOLD = 0.9
+PUBLIC = 0.1
 
 # The base patterns. E-mail is scanned from its @, with the same result as from the left.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -48,7 +53,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(WORD)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -105,81 +109,136 @@ def entity_key(kind: int, value: str) -> str:
     return f"{kind}:{value.lower() if kind < 2 else re.sub('[^0-9]', '', value)}"
 
 
-def mentions(text: str, spans: list) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """Each base span's entity and the terms around it: words within CONTEXT words, no part of which is in a base span."""
-    word = None
-    for a, k, b in spans:
-        if word is None:
-            word = [m.span() for m in _WORD.finditer(text)]
-            starts = np.array([x for x, _ in word])
-            taken = np.zeros(len(word), dtype=bool)
-            for x, _, y in spans:
-                taken[max(int(np.searchsorted(starts, x, side="right")) - 1, 0) : int(np.searchsorted(starts, y))] = True
-        first = max(int(np.searchsorted(starts, a, side="right")) - 1, 0)
-        last = int(np.searchsorted(starts, b))
-        near = [*range(max(0, first - CONTEXT), first), *range(last, min(len(word), last + CONTEXT))]
-        terms = []
-        for i in near:
-            if not taken[i]:
-                x, y = word[i]
-                while x < y and not text[x].isalnum():
-                    x += 1
-                while y > x and not text[y - 1].isalnum():
-                    y -= 1
-                if y - x >= MIN_TERM:
-                    terms.append((x, y, text[x:y].lower()))
-        yield entity_key(k, text[a:b]), terms
-
-
 def _hash(text: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_MENTION = "entity long, term long, context long"
+def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of at least MIN_TERM code points of all texts: hash, text, start and end in code points of the text.
+
+    Words are runs of ASCII letters, digits and other than ASCII characters; ASCII and Latin letters count in lower case.
+    """
+    buf, offsets = text_buffer(column)
+    starts, ends, first = words(buf, offsets, _BREAK)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    points = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+    long = points[ends] - points[starts] >= MIN_TERM
+    starts, ends, doc = starts[long], ends[long], doc[long]
+    origin = points[offsets[:-1]][doc]
+    return span_hashes(_folded(buf), starts, ends), doc, points[starts] - origin, points[ends] - origin
 
 
-def _mention_rows(batches):
+_ENTITY = "text_hash long, entity long"
+_TERMS = "text_hash long, terms array<long>"
+
+
+def _entity_rows(batches):
+    """The distinct entities of each text."""
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            if text and (spans := base_spans(text)):
-                for entity, terms in mentions(text, spans):
-                    e, context = _hash(entity), _hash(" ".join(t for _, _, t in terms))
-                    rows.append((e, None, context))
-                    rows += {(e, _hash(t), context) for _, _, t in terms}
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], names=["entity", "term", "context"])
-
-
-def disclosing(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term), hashes: the pairs whose pointwise mutual information reaches the threshold."""
-    found = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[@+]|[0-9]")).mapInArrow(_mention_rows, _MENTION)
-    # One row for each distinct context; what is common is summed before the shuffle.
-    distinct = written(found.distinct(), "mentions")
-    total = distinct.where("term IS NULL").count()
-    entities = distinct.where("term IS NULL").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = distinct.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = distinct.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    known = pairs.join(entities, "entity").join(terms, "term")
+        hashes, found = [], []
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = {_hash(entity_key(k, text[a:b])) for a, k, b in base_spans(text)} if text else ()
+            hashes += [h] * len(own)
+            found += own
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.int64())], names=["text_hash", "entity"])
+
+
+def _distinct_terms(batches):
+    """The distinct terms of each text, those of its base spans left out."""
+    for piece in each_piece(batches, "text"):
+        h, doc, start, end = terms_of(piece.column(1))
+        edge = np.searchsorted(doc, np.arange(piece.num_rows + 1))
+        found = []
+        for i, text in enumerate(piece.column(1).to_pylist()):
+            part = slice(edge[i], edge[i + 1])
+            own = h[part][~_overlapping(start[part], end[part], base_spans(text or ""))]
+            found.append(np.unique(own).view(np.int64))
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.list_(pa.int64()))], names=["text_hash", "terms"])
+
+
+def _overlapping(start: np.ndarray, end: np.ndarray, spans: list) -> np.ndarray:
+    """Which of these stretches, in order, share a code point with a span."""
+    out = np.zeros(len(start), dtype=bool)
+    for a, _, b in spans:
+        out[np.searchsorted(end, a, side="right") : np.searchsorted(start, b)] = True
+    return out
+
+
+def _sorted_terms(terms: DataFrame) -> np.ndarray:
+    """Distinct hashes in unsigned order; the caller has checked their number."""
+    column = terms.toArrow()["term"].combine_chunks()
+    return np.sort(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _documents_with(texts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """(term, n): how many documents hold each of the terms."""
+    if terms.count() > most:
+        each = texts.mapInArrow(_counted(None), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return each.join(terms, "term", "left_semi")
+    return texts.mapInArrow(_counted(texts.sparkSession.sparkContext.broadcast(_sorted_terms(terms))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _counted(shipped):
+    """Rows (term, n) of a task: documents that hold each term of the broadcast, or each term of a piece of texts."""
+
+    def run(batches):
+        wanted = None if shipped is None else shipped.value
+        total = None if wanted is None else np.zeros(len(wanted), np.int64)
+        for piece in each_piece(batches, "text"):
+            h, doc, _, _ = terms_of(piece.column(0))
+            if wanted is None:
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                term, n = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+            elif len(wanted):
+                at, there = find(wanted, h)
+                total += np.bincount(np.unique(doc[there] * len(wanted) + at[there]) % len(wanted), minlength=len(wanted))
+        if wanted is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], names=["term", "n"])
+
+    return run
+
+
+def disclosing(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT, public: float = PUBLIC, max_terms: int | None = None) -> DataFrame:
+    """(entity, term, n_entity, n_term, n_both, n_classes), hashes and counts of documents: the pairs whose pointwise
+    mutual information reaches the threshold."""
+    most = MAX_TERMS if max_terms is None else max_terms
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    some = texts.where(F.col("text").rlike("[@+]|[0-9]"))
+    held = written(some.mapInArrow(_entity_rows, _ENTITY).groupBy("entity", "text_hash").agg(F.count("*").alias("n")), "entities")
+    total = docs.count()
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"))
+    entities = written(entities.where((F.col("n_texts") >= min_support) & (F.col("n_entity") < public * total)).select("entity", "n_entity"), "recurring")
+    schema = "entity long, term long, n_entity long, n_term long, n_both long, n_classes long"
+    if entities.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    held = held.join(entities.select("entity"), "entity", "left_semi")
+    fetched = small(held.select("text_hash").distinct(), most)
+    own = written(some.join(fetched, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
+    classes = similar(own, "text_hash", "text").select(F.col("doc_id").alias("text_hash"), "class_id")
+    terms = own.mapInArrow(_distinct_terms, _TERMS)
+    pairs = held.join(classes, "text_hash").join(terms, "text_hash").select("entity", "class_id", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term", "class_id").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_classes"))
+    pairs = written(pairs.where(F.col("n_classes") >= min_support), "pairs")
+    counts = _documents_with(texts.select("text"), written(pairs.select("term").distinct(), "candidates"), most).select("term", F.col("n").alias("n_term"))
+    known = pairs.join(entities, "entity").join(counts, "term")
     n = F.lit(float(max(total, 1)))
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    return known.where(pmi >= threshold * F.log(n / F.col("n_entity"))).where(F.col("n_entity") < total).select("entity", "term")
+    return known.where(pmi >= threshold * F.log(n / F.col("n_entity")) - 1e-12).select(*[c.split()[0] for c in schema.split(", ")])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = T.StructType([T.StructField("spans", SPANS), T.StructField("clean", T.StringType())])
-#: Disclosing pairs that go to executors with the task; above that the documents' entities fetch theirs by a join.
-MAX_PAIRS = 1_000_000
-
-
-def _term_spans(text: str, spans: list, pairs) -> list[tuple[int, int, int]]:
-    out = set()
-    for entity, terms in mentions(text, spans):
-        if told := pairs.get(_hash(entity)):
-            out |= {(x, 4, y) for x, y, t in terms if _hash(t) in told}
-    return sorted(out)
+#: Terms that go to executors as sorted hashes, 8 bytes each.
+MAX_TERMS = 1_000_000
 
 
 def generalise(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -198,65 +257,55 @@ def generalise(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out)
 
 
-def _scan(text: str | None, told: dict) -> tuple[list, str | None]:
-    if not text:
-        return [], text
-    spans = base_spans(text)
-    if spans and told:
-        spans = sorted(spans + _term_spans(text, spans, told))
-    return spans, generalise(text, spans) if spans else text
-
-
-def _entities(batches):
-    """(row's texts unchanged) The distinct entity hashes of each text."""
-    for batch in batches:
-        found = []
-        for text in batch.column(0).to_pylist():
-            found.append(sorted({_hash(entity_key(k, text[a:b])) for a, k, b in base_spans(text)}) if text else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["text", "entities"])
-
-
-def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT, clean: bool = True, max_pairs: int = MAX_PAIRS) -> tuple[DataFrame, str]:
+def _found_in(column: pa.Array, told: np.ndarray | None, own: list | None) -> list[list[tuple[int, int, int]]]:
+    """All spans of each text; told: disclosing terms, sorted; own: those of each text, instead."""
+    texts = column.to_pylist()
+    out = [base_spans(x) if x else [] for x in texts]
+    if told is not None and len(told) or own is not None and any(own):
+        h, doc, start, end = terms_of(column)
+        if own is None:
+            hit = find(told, h)[1]
+        else:
+            pairs = {(i, t) for i, known in enumerate(own) for t in known or ()}
+            hit = np.array([p in pairs for p in zip(doc.tolist(), h.view(np.int64).tolist())], dtype=bool)
+        doc, start, end = doc[hit], start[hit], end[hit]
+        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            a, b = start[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]]
+            free = ~_overlapping(a, b, out[i])
+            out[i] = sorted(out[i] + [(int(x), 4, int(y)) for x, y in zip(a[free], b[free])])
+    return out
+
+
+def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT, clean: bool = True, max_terms: int | None = None) -> tuple[DataFrame, str]:
     """docs and a struct column (its name is returned): spans (kind, start, end) by start, then kind; clean, the sanitised text."""
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, MAX_TERMS if max_terms is None else max_terms
     with freeing_shuffles(spark):
-        pairs = written(disclosing(docs, text, threshold, min_support), "disclosing")
-        n_pairs = pairs.count()
+        terms = written(disclosing(docs, text, threshold, min_support, max_terms=most).select("term").distinct(), "disclosing")
+        n_terms = terms.count()
     name = fresh(docs.columns, "pii")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, _FOUND)])
-    if n_pairs <= max_pairs:
-        # Checked: at most max_pairs rows of two longs.
-        told: dict = {}
-        for e, t in pairs.collect():
-            told.setdefault(e, set()).add(t)
-        source, column, shipped = docs, None, told
+    if n_terms <= most:
+        source, column, shipped = docs, None, spark.sparkContext.broadcast(_sorted_terms(terms))
     else:
-        # Each distinct text with entities fetches its own pairs; texts without entities don't move.
-        texts = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[@+]|[0-9]")).distinct()
-        asked = texts.mapInArrow(_entities, "text string, entities array<long>").select(F.sha2("text", 256).alias("_key"), F.explode("entities").alias("entity"))
-        per_text = asked.join(pairs, "entity").groupBy("_key").agg(F.collect_set(F.struct("entity", "term")).alias("told"))
-        column = fresh([*docs.columns, name], "told")
-        per_text = per_text.withColumnRenamed("told", column)
-        source = docs.withColumn("_key", F.sha2(F.col(text), 256)).join(per_text, "_key", "left").select(*docs.columns, column)
-        shipped = {}
+        # Each distinct text fetches the disclosing ones of its terms.
+        texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_distinct_terms, _TERMS)
+        hits = texts.select("text_hash", F.explode("terms").alias("term")).join(terms, "term")
+        column, key = fresh([*docs.columns, name], "told"), fresh(docs.columns, "key")
+        own = hits.groupBy(F.col("text_hash").alias(key)).agg(F.collect_set("term").alias(column))
+        source = docs.withColumn(key, F.xxhash64(text)).join(own, key, "left").select(*docs.columns, column)
+        shipped = spark.sparkContext.broadcast(None)
 
     keep = list(docs.columns)
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, text, 1 << 22):
-                texts = piece.column(piece.schema.get_field_index(text)).to_pylist()
+                texts = piece.column(piece.schema.get_field_index(text))
                 own = piece.column(piece.schema.get_field_index(column)).to_pylist() if column else None
-                spans, cleaned = [], []
-                for i, x in enumerate(texts):
-                    known = shipped
-                    if own and own[i]:
-                        known = {}
-                        for p in own[i]:
-                            known.setdefault(p["entity"], set()).add(p["term"])
-                    s, c = _scan(x, known)
-                    spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s])
-                    cleaned.append(c if clean else None)
+                found = _found_in(texts, shipped.value, own)
+                spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in found]
+                cleaned = [generalise(x, s) if s else x for x, s in zip(texts.to_pylist(), found)] if clean else [None] * len(found)
                 made = pa.StructArray.from_arrays([pa.array(spans, _SPAN_ARROW), pa.array(cleaned, pa.string())], names=["spans", "clean"])
                 yield pa.RecordBatch.from_arrays([*[piece.column(k) for k in range(len(keep))], made], names=[*keep, name])
 
