@@ -1,21 +1,28 @@
 """Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF with every example.
 
-Examples are labelled documents (at most EXAMPLES of each class, chosen by hash of the id, texts of at most MAX_BYTES;
-these bounds are parameters). Terms are lower-case words and their beginnings of 4 to 8 bytes, for compounds; all terms
-of the examples make the vocabulary. Weights are (1 + log tf) * idf * contrast, scaled to length 1, with idf from the
-number of documents of the whole table that hold the term. The contrast, by which a term differs between the classes, is
-never 0; without it what a text is about outweighs its few toxic words.
-
-A document is compared with all examples: terms of more than a DENSE-th of them by a matrix product, the others by their
-postings. Votes weigh cosine ** POWER times how many labelled documents an example stands for, and PRIOR pseudo-votes at
-the labelled share draw scores with little evidence to it; the score is the toxic share of votes.
-
-Nothing is shuffled but the examples and one document count a term and task; the index, whose size the bounds fix, is
-broadcast.
-
-Defined cases: a null or wordless text, or one without vocabulary terms, scores the labelled share; no labelled
-examples at all give 0; equal rows score alike; a null id is never an example and is kept as null; equal neighbours go
-by the smaller id; an empty table gives an empty result. Texts are read whole; other columns are not read.
+Examples are labelled documents, at most EXAMPLES of each class, chosen by hash of the id: that bound is a parameter.
+Terms are lower-case words and their beginnings of 4 to 8 bytes, for compounds; all terms of the examples make the
+vocabulary. Weights are (1 + log tf) * idf * contrast, scaled to length 1, with idf from the number of documents of the
+whole table that hold the term. The contrast, by which a term differs between the classes, is never 0; without it what
+a text is about outweighs its few toxic words.
+
+The index is block-max: examples stand in blocks of BLOCK, and each term knows its greatest weight in each block that
+holds it. Sums of those bound the cosines of a block. A text is compared with the examples of its best blocks first, then
+of all blocks whose bound reaches the K-th cosine found: the nearest examples are exact, the other blocks' postings are
+not read. Terms of more than a DENSE-th of the examples stand in a matrix, the others in postings.
+
+Votes weigh cosine ** POWER times how many labelled documents an example stands for, and PRIOR pseudo-votes at the
+labelled share draw votes with little evidence to it. An example with the text itself has no vote, so no label decides
+its own document's score. The toxic share of votes becomes a probability by a logistic curve (Platt's, with his
+smoothed targets) that is fit on the examples' own shares, each without its own text. A score depends on the text alone.
+
+Nothing is shuffled but the examples and one document count a term and task; the index, whose size the bound fixes, is
+broadcast; the driver holds terms of examples, never texts.
+
+Defined cases: a null or wordless text, or one without vocabulary terms, has the labelled share of votes; no labelled
+examples at all give 0; equal texts score alike; a null id is never an example and is kept as null; an id labelled both
+ways is no example, and of an id's several texts the one of the least hash is; equal neighbours go by the smaller id; an
+empty table gives an empty result. Texts are read whole, very long ones too; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from .packed import pack, pack_sorted, unpack, unpack_sorted
 from .tokens import pieces, span_hashes, text_buffer, words
 
 EXAMPLES = 1500
-MAX_BYTES = 1 << 15
+BLOCK = 64
 PREFIXES = (4, 5, 6, 7, 8)
 #: Terms of more than one in so many examples are compared by a matrix product.
 DENSE = 25
@@ -108,12 +115,20 @@ def _runs(texts: pa.Array, limit: int = 1 << 20):
         at += piece.num_rows
 
 
-def vocabulary(texts: pa.Array) -> np.ndarray:
-    """The distinct terms of the texts in order; memory is that of distinct terms."""
-    total = np.zeros(0, np.uint64)
+def held_terms(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct terms of each text in order, and how often each occurs."""
+    out = []
     for _, part in _runs(texts):
-        total = np.union1d(total, terms(part)[0])
-    return total
+        h, doc, n = terms(part)
+        order = np.argsort(doc, kind="stable")
+        h, edge = h[order], np.searchsorted(doc[order], np.arange(n + 1))
+        out += [np.unique(h[edge[i] : edge[i + 1]], return_counts=True) for i in range(n)]
+    return out
+
+
+def vocabulary(held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The distinct terms of the examples in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in held)]))
 
 
 def document_counts(texts: pa.Array, vocab: np.ndarray, table: tuple | None = None) -> np.ndarray:
@@ -124,18 +139,14 @@ def document_counts(texts: pa.Array, vocab: np.ndarray, table: tuple | None = No
     return total
 
 
-def gathered(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int], known: tuple[np.ndarray, np.ndarray, int]) -> dict:
-    """What the index is built from, packed: it is sent to executors, which build the index."""
-    arranged = np.argsort(ids, kind="stable")
-    ids, toxic, texts = ids[arranged], toxic[arranged], texts.take(pa.array(arranged))
+def gathered(ids: np.ndarray, held: list, hashes: np.ndarray, toxic: np.ndarray, totals: tuple[int, int], known: tuple[np.ndarray, np.ndarray, int]) -> dict:
+    """What the index is built from, packed: it is sent to executors, which build the index. Classes stand apart, so that
+    blocks hold similar examples."""
+    arranged = np.lexsort((ids, toxic))
     vocab, df, n_docs = known
-    table = lookup(vocab)
-    keys, tfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    for at, part in _runs(texts):
-        doc, term, tf, _ = counts(part, vocab, table)
-        keys.append(((doc + at) * len(vocab) + term).astype(np.uint64))
-        tfs.append(tf.astype(np.uint32))
-    return {"ids": ids, "toxic": toxic, "totals": totals, "vocabulary": pack_sorted(vocab), "df": pack(df.astype(np.int64)), "n_docs": n_docs, "keys": pack_sorted(np.concatenate(keys)), "tf": pack(np.concatenate(tfs))}
+    keys = [np.zeros(0, np.uint64), *(np.uint64(k) * np.uint64(len(vocab)) + np.searchsorted(vocab, held[i][0]).astype(np.uint64) for k, i in enumerate(arranged))]
+    tfs = [np.zeros(0, np.uint32), *(held[i][1].astype(np.uint32) for i in arranged)]
+    return {"ids": ids[arranged], "hashes": hashes[arranged], "toxic": toxic[arranged], "totals": totals, "vocabulary": pack_sorted(vocab), "df": pack(df.astype(np.int64)), "n_docs": n_docs, "keys": pack_sorted(np.concatenate(keys)), "tf": pack(np.concatenate(tfs)), "curve": (1.0, 0.0)}
 
 
 def contrast(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -164,49 +175,89 @@ def built(g: dict) -> dict:
     dense[row[term[in_dense]], doc[in_dense]] = weight[in_dense]
     doc, term, weight = doc[~in_dense], term[~in_dense], weight[~in_dense]
     by_term = np.lexsort((doc, term))
-    start = np.searchsorted(term[by_term], np.arange(len(vocab) + 1))
+    term, doc, weight = term[by_term], doc[by_term], weight[by_term]
+    # Entries: the stretch of postings of a term in a block, and the greatest weight there.
+    new = np.ones(len(term), dtype=bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] // BLOCK != doc[:-1] // BLOCK)
+    entry = np.flatnonzero(new)
+    entries = {"block": (doc[entry] // BLOCK).astype(np.int32), "most": np.maximum.reduceat(weight, entry) if len(entry) else weight, "start": np.append(entry, len(term)), "of": np.searchsorted(term[entry], np.arange(len(vocab) + 1))}
+    blocks = max(1, -(-n // BLOCK))
+    edges = np.arange(0, max(n, 1), BLOCK)
+    dense_most = np.maximum.reduceat(dense, edges, axis=1) if n and len(common) else np.zeros((len(common), blocks))
     share = totals[1] / max(sum(totals), 1)
     stands_for = np.where(toxic, totals[1] / max(n1, 1), totals[0] / max(n0, 1))
     mean_vote = float(stands_for.mean()) if n else 1.0
-    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "start": start, "post_doc": doc[by_term].astype(np.int32), "post_weight": weight[by_term], "share": share}
+    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "hashes": g["hashes"], "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "dense_most": dense_most, "blocks": blocks, "entries": entries, "post_doc": doc.astype(np.int32), "post_weight": weight, "share": share, "curve": g["curve"]}
 
 
 def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int]) -> dict:
     """The index over the examples, as if they were the whole table. totals: labelled documents of class 0 and 1 for which the examples stand."""
-    vocab = vocabulary(texts)
-    return built(gathered(ids, texts, toxic, totals, (vocab, document_counts(texts, vocab), len(texts))))
+    held = held_terms(texts)
+    vocab = vocabulary(held)
+    return built(gathered(ids, held, ids, toxic, totals, (vocab, document_counts(texts, vocab), len(texts))))
 
 
-#: Texts compared at a time, and postings added at a time.
-_TEXTS, _POSTINGS = 128, 1 << 21
+#: Texts compared at a time, entries and postings added at a time, and blocks looked at first.
+_TEXTS, _POSTINGS, _FIRST = 128, 1 << 21, 2
 
 
-def cosines(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Cosines of n texts with all examples; doc, term and weight are sorted by text."""
-    m = len(index["ids"])
+def _added(out: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+    """Add weight * value[j] to out[doc, place[j]] for the size values j from first; rows are sorted by doc."""
+    total, at = np.cumsum(size), 0
+    while at < len(doc):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _POSTINGS, side="right")))
+        c = size[at:to]
+        take = np.repeat(first[at:to] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        low, high = doc[at], doc[to - 1] + 1
+        flat = np.repeat((doc[at:to] - low) * out.shape[1], c) + place[take]
+        out[low:high] += np.bincount(flat, value[take] * np.repeat(weight[at:to], c), minlength=(high - low) * out.shape[1]).reshape(-1, out.shape[1])
+        at = to
+
+
+def cosines(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Cosines of n texts with the examples, 0 where a block can't hold one of the k nearest; doc, term and weight are sorted by text."""
+    m, blocks, entries = len(index["ids"]), index["blocks"], index["entries"]
     row = index["row"][term]
     dense = row >= 0
     query = np.zeros((n, len(index["dense"])))
     query[doc[dense], row[dense]] = weight[dense]
-    out = query @ index["dense"]
     doc, term, weight = doc[~dense], term[~dense], weight[~dense]
-    size = index["start"][term + 1] - index["start"][term]
-    total = np.cumsum(size)
-    at = 0
-    while at < len(term):
-        to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _POSTINGS, side="right")))
-        c = size[at:to]
-        take = np.repeat(index["start"][term[at:to]] - np.cumsum(c) + c, c) + np.arange(c.sum())
-        low, high = doc[at], doc[to - 1] + 1
-        place = np.repeat((doc[at:to] - low) * m, c) + index["post_doc"][take]
-        out[low:high] += np.bincount(place, index["post_weight"][take] * np.repeat(weight[at:to], c), minlength=(high - low) * m).reshape(-1, m)
-        at = to
+    bound = query @ index["dense_most"]
+    first, size = entries["of"][term], entries["of"][term + 1] - entries["of"][term]
+    _added(bound, doc, first, size, weight, entries["block"], entries["most"])
+    # The entries of all texts, to be read where their block is.
+    which = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    asker, part = np.repeat(doc, size), np.repeat(weight, size)
+    block = entries["block"][which]
+    out, done = np.zeros((n, m)), np.zeros((n, blocks), dtype=bool)
+
+    def read(wanted: np.ndarray) -> None:
+        for b in np.flatnonzero(wanted.any(0)):
+            who, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, min(m, (b + 1) * BLOCK))
+            out[who, cols] += query[who] @ index["dense"][:, cols]
+        some = wanted[asker, block]
+        e = which[some]
+        _added(out, asker[some], entries["start"][e], entries["start"][e + 1] - entries["start"][e], part[some], index["post_doc"], index["post_weight"])
+        done[wanted] = True
+
+    if blocks > _FIRST:
+        best = np.argpartition(-bound, _FIRST - 1, axis=1)[:, :_FIRST]
+        wanted = np.zeros((n, blocks), dtype=bool)
+        np.put_along_axis(wanted, best, True, 1)
+        read(wanted)
+        # One neighbour more than k: the text itself may be an example.
+        kth = np.partition(out, m - min(k + 1, m), axis=1)[:, m - min(k + 1, m)]
+        read((bound >= kth[:, None] - 1e-9) & (bound > 0) & ~done)
+    else:
+        read(np.ones((n, blocks), dtype=bool))
     return out
 
 
-def _best(index: dict, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(index: dict, cosine: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     # Sums in different orders may part equal cosines in the last bits: compare them rounded. Examples stand by id.
     some = np.flatnonzero(cosine > 0)
+    if own is not None:
+        some = some[index["hashes"][some] != own]
     if len(some) > k:
         least = np.partition(cosine[some], len(some) - k)[len(some) - k]
         some = some[cosine[some] >= least - 1e-9]
@@ -216,7 +267,7 @@ def _best(index: dict, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 
 def nearest(index: dict, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and cosines of the k nearest examples with a cosine over 0; ties to smaller ids."""
-    return _best(index, cosines(index, np.zeros(len(term), np.int64), term, weight, 1)[0], k)
+    return _best(index, cosines(index, np.zeros(len(term), np.int64), term, weight, 1, k)[0], k)
 
 
 def vote(index: dict, found: np.ndarray, cosine: np.ndarray) -> float:
@@ -224,6 +275,66 @@ def vote(index: dict, found: np.ndarray, cosine: np.ndarray) -> float:
     return float((w[index["toxic"][found]].sum() + PRIOR * index["share"]) / (w.sum() + PRIOR))
 
 
+def _votes(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, list]:
+    """The toxic share of votes of each text, and its neighbours' ids."""
+    n = len(hashes)
+    shares, evidence, edge = np.full(n, index["share"]), [[] for _ in range(n)], np.searchsorted(doc, np.arange(n + 1))
+    for low in range(0, n, _TEXTS):
+        high = min(n, low + _TEXTS)
+        part = slice(edge[low], edge[high])
+        cosine = cosines(index, doc[part] - low, term[part], weight[part], high - low, k)
+        for i in low + np.flatnonzero(np.diff(edge[low : high + 1])):
+            found, near = _best(index, cosine[i - low], k, hashes[i])
+            shares[i], evidence[i] = vote(index, found, near), index["ids"][found].tolist()
+    return shares, evidence
+
+
+def _odds(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
+def calibrated(curve: tuple[float, float], share: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] * _odds(share) + curve[1], -500, 500)))
+
+
+def calibration(share: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from log odds of votes to log odds of the label, by Newton steps; targets
+    are Platt's. Without both classes, or where votes tell nothing, the votes stay as they are."""
+    if not toxic.any() or toxic.all():
+        return 1.0, 0.0
+    x, n1, n0 = _odds(share), weight[toxic].sum(), weight[~toxic].sum()
+    y = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    a, b = 1.0, 0.0
+
+    def loss(a, b):
+        z = a * x + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum()
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
+        g, h = weight * (p - y), weight * p * (1 - p)
+        hessian = np.array([[(h * x * x).sum() + 1e-9, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-9]])
+        step = np.linalg.solve(hessian, np.array([(g * x).sum(), g.sum()]))
+        size, old = 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > old:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
+def _curve(g: dict, k: int) -> tuple[float, float]:
+    """The calibration from the examples' own votes, each example weighing as many labelled documents as it stands for."""
+    index = built(g)
+    n = len(index["ids"])
+    doc, term = np.divmod(unpack_sorted(g["keys"]).astype(np.int64), max(len(index["vocabulary"]), 1))
+    weight = _weights(doc, term, unpack(g["tf"], np.uint32), n, index["idf"])
+    shares, _ = _votes(index, doc, term, weight, index["hashes"], k)
+    return calibration(shares, index["toxic"].astype(bool), index["stands_for"])
+
+
 def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many documents there are; a task sends a row a term at most."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocab)
@@ -246,30 +357,43 @@ def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
+_EXAMPLE = "id long, toxic boolean, hash long, terms binary, tf binary"
+
+
+def _example_rows(batches):
+    for batch in batches:
+        held = held_terms(batch.column(3))
+        packed = [pa.array([pack_sorted(h) for h, _ in held], pa.binary()), pa.array([pack(n.astype(np.uint32)) for _, n in held], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed], names=["id", "toxic", "hash", "terms", "tf"])
+
+
 _OUT = "id long, score double, evidence array<long>"
 
 
-def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, examples: int = EXAMPLES, max_bytes: int = MAX_BYTES) -> DataFrame:
+def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, score, evidence: the neighbours' ids). labelled: (id, toxic) of the documents to learn from."""
     spark = docs.sparkSession
-    marks = labelled.select(F.col(labelled.columns[0]).cast("long").alias("id"), (F.col(labelled.columns[1]) == 1).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["id"])
+    marks = labelled.select(F.col(labelled.columns[0]).cast("long").alias("id"), (F.col(labelled.columns[1]) == 1).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    marks = marks.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("id", "toxic")
     totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     # Not more than the bound of each class, by hash of the id: a share that gives somewhat more, then the first.
     share = [int(min(1.0, (examples + 4 * examples**0.5 + 16) / max(totals.get(c, 0), 1)) * (1 << 31)) for c in (False, True)]
     hashed = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 31))
     some = marks.withColumn("h", hashed).where(F.col("h") < F.when(F.col("toxic"), share[1]).otherwise(share[0]))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes)
-    rows = texts.join(F.broadcast(some), "id").dropDuplicates(["id"])
-    rows = rows.orderBy("h", "id").limit(2 * examples + 400).toArrow() if totals else None
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    # One text an id, then the first of each class: about twice the bound of rows, whose terms alone reach the driver.
+    own = texts.join(F.broadcast(some), "id").groupBy("id", "toxic", "h").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("own"))
+    own = own.orderBy("h", "id").limit(2 * examples + 400).select("id", "toxic", "own.hash", "own.text")
+    rows = own.mapInArrow(_example_rows, _EXAMPLE).withColumn("h", hashed).orderBy("h", "id").toArrow() if totals else None
     index = None
     if rows is not None and rows.num_rows:
-        toxic, ids = rows["toxic"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool), rows["id"].combine_chunks().to_numpy()
-        keep = np.zeros(len(ids), dtype=bool)
-        for c in (False, True):
-            keep[np.flatnonzero(toxic == c)[:examples]] = True
-        chosen = rows["text"].combine_chunks().take(pa.array(np.flatnonzero(keep)))
-        vocab = vocabulary(chosen)
-        index = gathered(ids[keep], chosen, toxic[keep], (totals.get(False, 0), totals.get(True, 0)), (vocab, *_frequencies(docs.select(F.col(text).alias("text")), vocab)))
+        toxic, ids, hashes = (rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("toxic", "id", "hash"))
+        toxic = toxic.astype(bool)
+        keep = np.sort(np.concatenate([np.flatnonzero(toxic == c)[:examples] for c in (False, True)]))
+        held = [(unpack_sorted(h), unpack(n, np.uint32)) for h, n in zip(rows["terms"].take(pa.array(keep)).to_pylist(), rows["tf"].take(pa.array(keep)).to_pylist())]
+        vocab = vocabulary(held)
+        index = gathered(ids[keep], held, hashes[keep], toxic[keep], (totals.get(False, 0), totals.get(True, 0)), (vocab, *_frequencies(docs.select(F.col(text).alias("text")), vocab)))
+        index["curve"] = _curve(index, k)
     shipped = spark.sparkContext.broadcast(index and {"packed": index})
 
     def run(batches):
@@ -280,21 +404,14 @@ def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: st
         for batch in batches:
             for piece in pieces(batch, "text"):
                 n = piece.num_rows
-                scores, evidence = np.full(n, index["share"] if index else 0.0), [[] for _ in range(n)]
+                scores, evidence = np.zeros(n), [[] for _ in range(n)]
                 if index:
                     doc, term, tf, _ = counts(piece.column(1), index["vocabulary"], index["table"])
-                    weight = _weights(doc, term, tf, n, index["idf"])
-                    edge = np.searchsorted(doc, np.arange(n + 1))
-                    for low in range(0, n, _TEXTS):
-                        high = min(n, low + _TEXTS)
-                        part = slice(edge[low], edge[high])
-                        cosine = cosines(index, doc[part] - low, term[part], weight[part], high - low)
-                        for i in low + np.flatnonzero(np.diff(edge[low : high + 1])):
-                            found, near = _best(index, cosine[i - low], k)
-                            scores[i], evidence[i] = vote(index, found, near), index["ids"][found].tolist()
+                    shares, evidence = _votes(index, doc, term, _weights(doc, term, tf, n, index["idf"]), piece.column(2).to_numpy(zero_copy_only=False), k)
+                    scores = calibrated(index["curve"], shares)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
-    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _OUT)
+    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, _OUT)
     return found.withColumnRenamed("id", doc_id)
 
 
