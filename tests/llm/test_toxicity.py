@@ -30,7 +30,8 @@ def test_held_out_accuracy_and_evidence(spark, make):
     assert all(set(got[i]["evidence"]) <= {k for k, _ in marks if k % 3} for i, _ in test)
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 16)
     rows, marks = labelled_docs(400)
     ids, texts = np.array([r[0] for r in rows]), pa.array([r[1] for r in rows])
     tox = np.array([bool(m[1]) for m in marks])

@@ -7,9 +7,10 @@ whole table that hold the term. The contrast, by which a term differs between th
 a text is about outweighs its few toxic words.
 
 The index is block-max: examples stand in blocks of BLOCK, and each term knows its greatest weight in each block that
-holds it. Sums of those bound the cosines of a block. A text is compared with the examples of its best blocks first, then
-of all blocks whose bound reaches the K-th cosine found: the nearest examples are exact, the other blocks' postings are
-not read. Terms of more than a DENSE-th of the examples stand in a matrix, the others in postings.
+holds it. Terms of more than a DENSE-th of the examples stand in a matrix, whose product gives their exact part of all
+cosines; the others stand in postings. The best exact part in a block and the greatest weights bound its cosines. A text
+is compared with the examples of its best blocks first, then of all blocks whose bound reaches the K-th cosine found: the
+nearest examples are exact, the other blocks' postings are not read.
 
 Votes weigh cosine ** POWER times how many labelled documents an example stands for, and PRIOR pseudo-votes at the
 labelled share draw votes with little evidence to it. An example with the text itself has no vote, so no label decides
@@ -36,7 +37,7 @@ from .packed import pack, pack_sorted, unpack, unpack_sorted
 from .tokens import pieces, span_hashes, text_buffer, words
 
 EXAMPLES = 1500
-BLOCK = 64
+BLOCK = 256
 PREFIXES = (4, 5, 6, 7, 8)
 #: Terms of more than one in so many examples are compared by a matrix product.
 DENSE = 25
@@ -182,12 +183,10 @@ def built(g: dict) -> dict:
     entry = np.flatnonzero(new)
     entries = {"block": (doc[entry] // BLOCK).astype(np.int32), "most": np.maximum.reduceat(weight, entry) if len(entry) else weight, "start": np.append(entry, len(term)), "of": np.searchsorted(term[entry], np.arange(len(vocab) + 1))}
     blocks = max(1, -(-n // BLOCK))
-    edges = np.arange(0, max(n, 1), BLOCK)
-    dense_most = np.maximum.reduceat(dense, edges, axis=1) if n and len(common) else np.zeros((len(common), blocks))
     share = totals[1] / max(sum(totals), 1)
     stands_for = np.where(toxic, totals[1] / max(n1, 1), totals[0] / max(n0, 1))
     mean_vote = float(stands_for.mean()) if n else 1.0
-    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "hashes": g["hashes"], "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "dense_most": dense_most, "blocks": blocks, "entries": entries, "post_doc": doc.astype(np.int32), "post_weight": weight, "share": share, "curve": g["curve"]}
+    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "hashes": g["hashes"], "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "blocks": blocks, "entries": entries, "post_doc": doc.astype(np.int32), "post_weight": weight, "share": share, "curve": g["curve"]}
 
 
 def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int]) -> dict:
@@ -222,19 +221,18 @@ def cosines(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray,
     query = np.zeros((n, len(index["dense"])))
     query[doc[dense], row[dense]] = weight[dense]
     doc, term, weight = doc[~dense], term[~dense], weight[~dense]
-    bound = query @ index["dense_most"]
+    # Common terms of all examples by one product; their blocks' bounds are exact, those of other terms are added.
+    out = query @ index["dense"]
+    bound = np.maximum.reduceat(out, np.arange(0, m, BLOCK), axis=1) if m else np.zeros((n, blocks))
     first, size = entries["of"][term], entries["of"][term + 1] - entries["of"][term]
     _added(bound, doc, first, size, weight, entries["block"], entries["most"])
     # The entries of all texts, to be read where their block is.
     which = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
     asker, part = np.repeat(doc, size), np.repeat(weight, size)
     block = entries["block"][which]
-    out, done = np.zeros((n, m)), np.zeros((n, blocks), dtype=bool)
+    done = np.zeros((n, blocks), dtype=bool)
 
     def read(wanted: np.ndarray) -> None:
-        for b in np.flatnonzero(wanted.any(0)):
-            who, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, min(m, (b + 1) * BLOCK))
-            out[who, cols] += query[who] @ index["dense"][:, cols]
         some = wanted[asker, block]
         e = which[some]
         _added(out, asker[some], entries["start"][e], entries["start"][e + 1] - entries["start"][e], part[some], index["post_doc"], index["post_weight"])
@@ -245,9 +243,11 @@ def cosines(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray,
         wanted = np.zeros((n, blocks), dtype=bool)
         np.put_along_axis(wanted, best, True, 1)
         read(wanted)
-        # One neighbour more than k: the text itself may be an example.
+        # What is not read yet counts with its common terms alone, so this is at most the true k-th cosine. One neighbour
+        # more than k: the text itself may be an example.
         kth = np.partition(out, m - min(k + 1, m), axis=1)[:, m - min(k + 1, m)]
-        read((bound >= kth[:, None] - 1e-9) & (bound > 0) & ~done)
+        read((bound >= kth[:, None] - 1e-9) & ~done)
+        out[~np.repeat(done, BLOCK, axis=1)[:, :m]] = 0
     else:
         read(np.ones((n, blocks), dtype=bool))
     return out
