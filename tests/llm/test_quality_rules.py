@@ -66,3 +66,15 @@ def test_base_rule_is_exact(make):
     got = {r["doc_id"]: r["x"] for r in out.select("doc_id", F.col(q)["base_failed"].alias("x")).collect()}
     n = brute("a b c d e f g h " * 2 + " ".join(map(str, range(38))))
     assert got == {1: True, 2: False, 3: 100 * n[4] > 30 * n[0]}
+
+
+def test_prose_of_other_languages_is_no_bad_vote(make):
+    """Polish, Russian and Greek: few of the known function words, but short words; a run of long junk has neither."""
+    polish = "To jest pies i kot w domu na ulicy, a my nie wiemy, co on tu robi i po co mu to było. " * 2
+    russian = "Это не та книга, о чём он мне и вам тут всё же так долго и не раз говорил на той неделе. " * 2
+    greek = "Και να που δεν είναι το ίδιο με το άλλο, που μας είπε ότι θα το δει και αυτό στο σπίτι του. " * 2
+    junk = " ".join(f"qxzv{k}wwjkq" for k in range(40))
+    out, q = Q.with_quality(make([(1, polish), (2, russian), (3, greek), (4, junk)]))
+    votes = {r["doc_id"]: r["v"][8] for r in out.select("doc_id", F.col(q)["votes"].alias("v")).collect()}
+    assert list(Q.rule_votes(lambda k: F.col(k)))[8] == "common_words"
+    assert votes[4] == -1 and all(votes[k] >= 0 for k in (1, 2, 3))

@@ -1,7 +1,9 @@
 import re
 
+import numpy as np
 import pytest
 
+from tidemark.llm.packed import split_by_shard
 from tidemark.llm.substring_dedup import remove_repeats
 
 from .conftest import ODD, prose
@@ -16,7 +18,7 @@ def brute(rows, size=13):
             least[key] = min(least.get(key, float("inf")), i)
     out = []
     for (i, _), r, w in zip(rows, rank, ws):
-        gone = {p for k in range(len(w) - size + 1) if least[tuple(w[k : k + size])] < r for p in range(k, k + size)}
+        gone = {p for k in range(len(w) - size + 1) if i is not None and least[tuple(w[k : k + size])] < r for p in range(k, k + size)}
         out.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
     return out
 
@@ -26,7 +28,8 @@ def planted(seed):
     rows = [(k, prose(k + 100 * seed, 50 + k)) for k in range(12)]
     rows += [(20 + k, prose(20 + k, 11 + k) + " " + a + " " + prose(40 + k, k)) for k in range(6)]
     rows += [(30, b), (31, b + " tail"), (32, " ".join(b.split()[:12])), (33, a + " " + a), (29, " ".join(a.split()[3:17]))]
-    return rows
+    # Ids are null: such documents neither lose words nor take any.
+    return [*rows, (None, a), (None, prose(990 + seed, 30)), (34, prose(990 + seed, 30))]
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -42,3 +45,14 @@ def test_other_window_and_empty_table(make):
     got = {(r["doc_id"], r["kept"]) for r in remove_repeats(make(rows), window=3).collect()}
     assert got == {(1, "a b c d e"), (2, "x y"), (3, "")}
     assert remove_repeats(make([])).count() == 0
+
+
+def test_sets_are_cut_by_shards_that_have_values():
+    """At most one part a value, however many shards; the parts are those of floor(value * shards / 2**64)."""
+    rng = np.random.default_rng(1)
+    values = np.sort(np.concatenate([rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    for shards in (1, 2, 3, 64, 1000, 390_625, (1 << 31) - 1):
+        parts = list(split_by_shard(values, shards))
+        assert len(parts) <= min(shards, len(values)) and [k for k, _ in parts] == sorted({int(v) * shards >> 64 for v in values})
+        assert all(int(v) * shards >> 64 == k for k, part in parts for v in values[part])
+    assert list(split_by_shard(values[:0], 64)) == []

@@ -99,12 +99,13 @@ def shard_count(blocks: DataFrame) -> int:
 
 
 def split_by_shard(values: np.ndarray, shards: int):
-    """Sorted values cut where the shard of a value, floor(value * shards / 2**64), changes."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-    cuts = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
-    for k in range(shards):
-        if cuts[k + 1] > cuts[k]:
-            yield k, slice(cuts[k], cuts[k + 1])
+    """Sorted values cut where the shard of a value, floor(value * shards / 2**64), changes: the shards that have any, so
+    there are never more parts than values, nor than shards."""
+    high, low = values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)
+    shard = (high * np.uint64(shards) + (low * np.uint64(shards) >> np.uint64(32))) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate([[len(values) > 0], shard[1:] != shard[:-1]])) if len(values) else np.zeros(0, np.int64)
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(values))):
+        yield int(shard[lo]), slice(lo, hi)
 
 
 def unique_min(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ histogram of vote patterns (at most 3**rules rows, however large the corpus) est
 vote is right in either class, without labels; the posterior probability of good quality then decides.
 
 Defined cases: a null or wordless text has no words, every ratio is 0 and the base rules fail it; a null id is kept as
-null; repeated rows are judged alike and each returned; an empty table gives an empty result; columns of docs other
+null; repeated rows are judged alike and each returned; a very long text is judged whole, by one task; an empty table gives an empty result; columns of docs other
 than the text never matter, whatever their names.
 """
 
@@ -25,13 +25,15 @@ from .tokens import covered, per_text, span_hashes, text_buffer, window_starts,
 #: What counts as a symbol, and frequent function words of English, German, French and Spanish.
 SYMBOLS = "#*$%&|<>"
 COMMON = "the of and to in is that for with der die und das ist von mit den le la les de et des un une que el los y en con para del"
+#: Code points of the short words that prose in any language has many of.
+SHORT = 3
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Posterior from which a document stays: losing a good one costs more than keeping a bad one.
 KEEP_AT = 0.2
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bare", "n_common", "n_ended", "n_adjacent"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bare", "n_common", "n_short", "n_ended", "n_adjacent"]
 FEATURE_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in FEATURES])
 
 
@@ -82,6 +84,10 @@ def features(column: pa.Array) -> pa.Array:
     known_starts, known_ends, _ = words(known, np.array([0, len(known)]))
     out["n_common"] = per_text(np.isin(h, span_hashes(known, known_starts, known_ends)).astype(np.int64), first)
 
+    points = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(lead, out=points[1:])
+    out["n_short"] = per_text((points[ends] - points[starts] <= SHORT).astype(np.int64), first)
+
     pair, _ = window_starts(first, 2)
     same = np.zeros(len(h), np.int64)
     same[pair + 1] = h[pair] == h[pair + 1]
@@ -140,7 +146,8 @@ def rule_votes(q) -> dict[str, Column]:
         "repeat_lines": _vote((q("n_dup_lines") == 0) & (lines > 2), (lines >= 5) & (q("n_dup_lines") * 2 > lines)),
         "upper_case": _vote(q("n_upper") * 5 <= letters, q("n_upper") * 2 >= letters),
         "bare_tokens": _vote(q("n_bare") * 50 <= w, q("n_bare") * 5 >= w),
-        "common_words": _vote(enough & (q("n_common") * 20 >= w), enough & (q("n_common") * 100 <= w)),
+        # Prose of other languages has short words instead: the rule abstains.
+        "common_words": _vote(enough & (q("n_common") * 20 >= w), enough & (q("n_common") * 100 <= w) & (q("n_short") * 10 < w)),
         "sentences": _vote(q("n_ended") * 2 >= lines, enough & (q("n_ended") == 0)),
     }
 

@@ -8,8 +8,8 @@ hashes, and runs of removable windows extend to maximal exact repeats.
 A word goes if it lies in a window whose word sequence also starts in a document with a smaller id. Windows are judged
 on the input. Three passes over the blocks; between them only packed hash sets move, and only for windows that repeat.
 
-Defined cases: a null text has no words; a text shorter than the window loses none; a null id sorts after all ids, so
-such a document never takes words from one with an id; rows with equal ids don't take words from each other; all rows
+Defined cases: a null text has no words; a text shorter than the window loses none; no id is smaller
+than a null one, nor a null one smaller than any, so such a document keeps all its words and takes none; rows with equal ids don't take words from each other; all rows
 come back, extra columns don't; an empty table gives an empty result. A text is held whole by one task.
 """
 
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 inside = at < len(keys)
                 hit = np.flatnonzero(inside)[(keys[at[inside]] == h[inside]) & (more["check"][at[inside]] == check[inside])]
                 least[hit] = np.minimum(least[hit], more["least"][at[hit]])
-            gone = covered(start[least[group] < ids], window, len(w.h))
+            gone = covered(start[(least[group] < ids) & ~w.nulls[doc]], window, len(w.h))
             yield _kept(w, gone)
 
     with freeing_shuffles(spark):
