@@ -84,12 +84,22 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span; the same bytes give the same value wherever they stand."""
+def running_hash(buf: np.ndarray, which: int = 0) -> np.ndarray:
+    """What span_hashes takes differences of: one value more than there are bytes."""
     n = len(buf)
-    up, down = _powers(_BASES[which], n + 1)
+    up, _ = _powers(_BASES[which], n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    value = buf.astype(np.uint64)
+    value += np.uint64(1)
+    value *= up[:n]
+    np.cumsum(value, out=total[1:])
+    return total
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each byte span; the same bytes give the same value wherever they stand. total: running_hash(buf, which)."""
+    total = running_hash(buf, which) if total is None else total
+    _, down = _powers(_BASES[which], len(buf) + 1)
     h = (total[ends] - total[starts]) * down[starts]
     return _mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 

@@ -8,9 +8,8 @@ a text is about outweighs its few toxic words.
 
 The index is block-max: examples stand in blocks of BLOCK, and each term knows its greatest weight in each block that
 holds it. Terms of more than a DENSE-th of the examples stand in a matrix, whose product gives their exact part of all
-cosines; the others stand in postings. The best exact part in a block and the greatest weights bound its cosines. A text
-is compared with the examples of its best blocks first, then of all blocks whose bound reaches the K-th cosine found: the
-nearest examples are exact, the other blocks' postings are not read.
+cosines; the others stand in postings. The best exact part in a block and the greatest weights bound its cosines. Only
+postings of blocks whose bound reaches the K-th best exact part are read: the nearest examples are exact.
 
 Votes weigh cosine ** POWER times how many labelled documents an example stands for, and PRIOR pseudo-votes at the
 labelled share draw votes with little evidence to it. An example with the text itself has no vote, so no label decides
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import pack, pack_sorted, unpack, unpack_sorted
-from .tokens import pieces, span_hashes, text_buffer, words
+from .tokens import pieces, running_hash, span_hashes, text_buffer, words
 
 EXAMPLES = 1500
 BLOCK = 256
@@ -66,11 +65,12 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     buf = _folded(buf)
     starts, ends, first = words(buf, offsets, _BREAK)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    found, of = [span_hashes(buf, starts, ends)], [doc]
+    total = running_hash(buf)
+    found, of = [span_hashes(buf, starts, ends, total=total)], [doc]
     for k in PREFIXES:
         longer = ends - starts > k
         # Another multiplier for each length: a beginning is not the word of the same bytes.
-        found.append(span_hashes(buf, starts[longer], starts[longer] + k) * np.uint64(2 * k + 1))
+        found.append(span_hashes(buf, starts[longer], starts[longer] + k, total=total) * np.uint64(2 * k + 1))
         of.append(doc[longer])
     return np.concatenate(found), np.concatenate(of), len(offsets) - 1
 
@@ -147,7 +147,7 @@ def gathered(ids: np.ndarray, held: list, hashes: np.ndarray, toxic: np.ndarray,
     vocab, df, n_docs = known
     keys = [np.zeros(0, np.uint64), *(np.uint64(k) * np.uint64(len(vocab)) + np.searchsorted(vocab, held[i][0]).astype(np.uint64) for k, i in enumerate(arranged))]
     tfs = [np.zeros(0, np.uint32), *(held[i][1].astype(np.uint32) for i in arranged)]
-    return {"ids": ids[arranged], "hashes": hashes[arranged], "toxic": toxic[arranged], "totals": totals, "vocabulary": pack_sorted(vocab), "df": pack(df.astype(np.int64)), "n_docs": n_docs, "keys": pack_sorted(np.concatenate(keys)), "tf": pack(np.concatenate(tfs)), "curve": (1.0, 0.0)}
+    return {"ids": ids[arranged], "hashes": hashes[arranged], "toxic": toxic[arranged], "totals": totals, "vocabulary": pack_sorted(vocab), "df": pack(df.astype(np.int64)), "n_docs": n_docs, "keys": pack_sorted(np.concatenate(keys)), "tf": pack(np.concatenate(tfs))}
 
 
 def contrast(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -186,7 +186,7 @@ def built(g: dict) -> dict:
     share = totals[1] / max(sum(totals), 1)
     stands_for = np.where(toxic, totals[1] / max(n1, 1), totals[0] / max(n0, 1))
     mean_vote = float(stands_for.mean()) if n else 1.0
-    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "hashes": g["hashes"], "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "blocks": blocks, "entries": entries, "post_doc": doc.astype(np.int32), "post_weight": weight, "share": share, "curve": g["curve"]}
+    return {"vocabulary": vocab, "table": lookup(vocab), "idf": idf, "ids": ids, "hashes": g["hashes"], "toxic": toxic, "stands_for": stands_for / mean_vote, "row": row, "dense": dense, "blocks": blocks, "entries": entries, "post_doc": doc.astype(np.int32), "post_weight": weight, "share": share}
 
 
 def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int]) -> dict:
@@ -196,8 +196,8 @@ def fit(ids: np.ndarray, texts: pa.Array, toxic: np.ndarray, totals: tuple[int,
     return built(gathered(ids, held, ids, toxic, totals, (vocab, document_counts(texts, vocab), len(texts))))
 
 
-#: Texts compared at a time, entries and postings added at a time, and blocks looked at first.
-_TEXTS, _POSTINGS, _FIRST = 128, 1 << 21, 2
+#: Texts compared at a time, entries and postings added at a time.
+_TEXTS, _POSTINGS = 128, 1 << 21
 
 
 def _added(out: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
@@ -226,30 +226,22 @@ def cosines(index: dict, doc: np.ndarray, term: np.ndarray, weight: np.ndarray,
     bound = np.maximum.reduceat(out, np.arange(0, m, BLOCK), axis=1) if m else np.zeros((n, blocks))
     first, size = entries["of"][term], entries["of"][term + 1] - entries["of"][term]
     _added(bound, doc, first, size, weight, entries["block"], entries["most"])
-    # The entries of all texts, to be read where their block is.
+    # The k-th of the exact parts is at most the true k-th cosine. One neighbour more than k: the text may be an example.
+    kth = np.partition(out, m - min(k + 1, m), axis=1)[:, m - min(k + 1, m)] if m else np.zeros(n)
+    wanted = bound >= kth[:, None] - 1e-9
+    start = entries["start"]
+    whole = wanted.all(1)
+    some = whole[doc]
+    low, high = start[entries["of"][term[some]]], start[entries["of"][term[some] + 1]]
+    _added(out, doc[some], low, high - low, weight[some], index["post_doc"], index["post_weight"])
+    # Of the other texts the entries of wanted blocks alone.
+    doc, first, size, weight = doc[~some], first[~some], size[~some], weight[~some]
     which = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
     asker, part = np.repeat(doc, size), np.repeat(weight, size)
-    block = entries["block"][which]
-    done = np.zeros((n, blocks), dtype=bool)
-
-    def read(wanted: np.ndarray) -> None:
-        some = wanted[asker, block]
-        e = which[some]
-        _added(out, asker[some], entries["start"][e], entries["start"][e + 1] - entries["start"][e], part[some], index["post_doc"], index["post_weight"])
-        done[wanted] = True
-
-    if blocks > _FIRST:
-        best = np.argpartition(-bound, _FIRST - 1, axis=1)[:, :_FIRST]
-        wanted = np.zeros((n, blocks), dtype=bool)
-        np.put_along_axis(wanted, best, True, 1)
-        read(wanted)
-        # What is not read yet counts with its common terms alone, so this is at most the true k-th cosine. One neighbour
-        # more than k: the text itself may be an example.
-        kth = np.partition(out, m - min(k + 1, m), axis=1)[:, m - min(k + 1, m)]
-        read((bound >= kth[:, None] - 1e-9) & ~done)
-        out[~np.repeat(done, BLOCK, axis=1)[:, :m]] = 0
-    else:
-        read(np.ones((n, blocks), dtype=bool))
+    keep = wanted[asker, entries["block"][which]]
+    e = which[keep]
+    _added(out, asker[keep], start[e], start[e + 1] - start[e], part[keep], index["post_doc"], index["post_weight"])
+    out[~np.repeat(wanted, BLOCK, axis=1)[:, :m]] = 0
     return out
 
 
@@ -393,14 +385,22 @@ def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: st
         held = [(unpack_sorted(h), unpack(n, np.uint32)) for h, n in zip(rows["terms"].take(pa.array(keep)).to_pylist(), rows["tf"].take(pa.array(keep)).to_pylist())]
         vocab = vocabulary(held)
         index = gathered(ids[keep], held, hashes[keep], toxic[keep], (totals.get(False, 0), totals.get(True, 0)), (vocab, *_frequencies(docs.select(F.col(text).alias("text")), vocab)))
-        index["curve"] = _curve(index, k)
     shipped = spark.sparkContext.broadcast(index and {"packed": index})
 
+    def fit_curve(batches):
+        for _ in batches:
+            a, b = _curve(shipped.value["packed"], k)
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], names=["a", "b"])
+
+    # One task, over examples alone.
+    curve = tuple(spark.range(0, 1, 1, 1).mapInArrow(fit_curve, "a double, b double").head()) if index else (1.0, 0.0)
+
     def run(batches):
         index = shipped.value
-        if index and "packed" in index:
+        if index and "built" not in index:
             # Built once a worker, which keeps the broadcast value.
-            index.update(built(index.pop("packed")))
+            index["built"] = built(index["packed"])
+        index = index and index["built"]
         for batch in batches:
             for piece in pieces(batch, "text"):
                 n = piece.num_rows
@@ -408,7 +408,7 @@ def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: st
                 if index:
                     doc, term, tf, _ = counts(piece.column(1), index["vocabulary"], index["table"])
                     shares, evidence = _votes(index, doc, term, _weights(doc, term, tf, n, index["idf"]), piece.column(2).to_numpy(zero_copy_only=False), k)
-                    scores = calibrated(index["curve"], shares)
+                    scores = calibrated(curve, shares)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["id", "score", "evidence"])
 
     found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, _OUT)
