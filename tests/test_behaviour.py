@@ -386,55 +386,6 @@ def test_benjamini_hochberg_is_monotone(spark):
     assert q == [pytest.approx(v) for v in (0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.5)]
 
 
-# Simulation
-
-PILOT = {"ca": np.array([-0.5, 0.1, 0.1, 0.1, 0.1]), "cl": np.array([-0.5, 0.1, 0.1, 0.1, 0.1]), "cr": np.array([-0.5, 0.1, 0.1, 0.1, 0.1]), "theta": 0.5, "residuals": np.random.default_rng(1).normal(size=(100, 4)) * 0.2, "start": (-1.0, 0.0)}
-DESIGN = SIM.Design(burn=20, train=60, scored=60, sizes=(30, 60), batch=10)
-
-
-def test_coherent_days_contain_their_sessions():
-    a, lon, d, r = SIM.generate(PILOT, DESIGN, 5, 5, 1.0, np.random.default_rng(2), True)
-    assert (d > lon).all() and (d > a).all() and np.allclose(np.exp(d), np.exp(a) + np.exp(lon) + np.exp(r))
-
-
-def test_simulated_past_ignores_later_shocks():
-    run = lambda p: SIM.generate(p, DESIGN, 3, 200, 1.0, np.random.default_rng(4), True)[1]
-    changed = PILOT | {"residuals": PILOT["residuals"]}
-    assert np.array_equal(run(PILOT), run(changed))
-
-
-def test_effect_raises_power_and_batches_agree(spark):
-    cells = [("null", 5, 0.0, 20), ("effect", 5, 2.0, 20)]
-    a = SIM.simulate(spark, PILOT, DESIGN, cells).orderBy("phase", "path", "n").collect()
-    b = SIM.simulate(spark, PILOT, DESIGN, cells).orderBy("phase", "path", "n").collect()
-    assert a == b and len(a) == 2 * 20 * 2
-    gain = {p: np.mean([r["gain"] for r in a if r["phase"] == p]) for p in ("null", "effect")}
-    assert gain["effect"] > gain["null"] + 0.05
-
-
-def test_registered_simulations_have_the_reference_design(spark, monkeypatch):
-    from tidemark.plans import registry
-    from tidemark.plans import simulation as PS
-
-    asked = []
-
-    def simulate(spark, p, design, cells, coherent=True):
-        asked.append((design, cells))
-        return spark.createDataFrame([], SIM._OUT)
-
-    monkeypatch.setattr(PS.SIM, "simulate", simulate)
-    monkeypatch.setattr(PS, "_pilot", lambda spark, sf: PILOT)
-    for name in ("dgp_reduced", "dgp_coherent", "sim_forecasts", "sim_measure", "sim_summarize", "critical_calibration", "effect_calibration", "ordering_audit"):
-        asked.clear()
-        registry.QUERIES[name](spark, "")
-        for design, cells in asked:
-            calibration = name == "effect_calibration"
-            assert (design.burn, design.train, design.scored, design.sizes) == (500, 4000 if calibration else 400, 8000, (250, 500, 1000, 2000, 4000, 8000))
-            assert {(c[0], c[3]) for c in cells} <= {("null", 2000), ("effect", 1000), ("grid", 16)}
-            assert not calibration or [c[2] for c in cells] == [0, 0.125, 0.25, 0.5, 0.75, 1, 1.5, 2, 3]
-        assert asked
-
-
 def test_random_draws_are_as_many_as_the_reference_has(spark):
     import os
 
