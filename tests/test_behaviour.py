@@ -299,6 +299,70 @@ def test_drawdown_counts_from_the_initial_equity(spark):
     assert got == [0.01, round(1 - 0.99 * 1.005, 6), 0.0, 0.01]
 
 
+def year_by_day(x, base):
+    """A resampled year, one day after the other."""
+    level = peak = 1.0
+    done, levels, depth, ret = [], [], [], []
+    for v in x:
+        risk = base / 2 if len(done) >= 20 and sum(done[-20:]) < -4 - 1e-9 else base
+        ret.append(risk * v)
+        level *= 1 + risk * v
+        peak = max(peak, level)
+        levels.append(level)
+        depth.append(1 - level / peak)
+        if v:
+            done.append(v)
+
+    def longest(flags):
+        return max((len(list(g)) for k, g in itertools.groupby(flags) if k), default=0)
+
+    months = [levels[21 * k + 20] / (levels[21 * k - 1] if k else 1) - 1 for k in range(12)]
+    return {"max_drawdown": max(depth), "terminal": level, "lowest": min(1, *levels), "sharpe": np.mean(ret) / np.std(ret, ddof=1) * math.sqrt(252), "drawdown_days": longest(d > 1e-9 for d in depth), "losing_streak": longest(v < 0 for v in done), "losing_months": sum(m < -1e-12 for m in months)}
+
+
+def test_resampled_years_match_a_day_by_day_run():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(-0.15, 1, (40, 252)), 1) * (rng.random((40, 252)) < 0.6)
+    for base in (0.0025, 0.01):
+        got = K.resampled_years(x, base)
+        for k in range(40):
+            for name, v in year_by_day(x[k], base).items():
+                assert got[name][k] == pytest.approx(v), (name, k)
+
+
+def test_monte_carlo_draws_are_trades_and_days_of_books(spark, monkeypatch):
+    day = datetime.date(2024, 1, 1)
+    rows = [(b, k + 1, day + datetime.timedelta(days=3 * k), float(b * 100 + k), 1.0, "long", 5.0) for b in (1, 2) for k in range(10 * b)]
+    t = spark.createDataFrame(rows, "book long, n long, exit_date date, r double, risk double, direction string, minutes double")
+    days = K.daily_returns(t.withColumn("fraction", F.lit(1.0)), ("book",))
+    by_book = {}
+    for r in days.orderBy("book", "date").collect():
+        by_book.setdefault(r["book"], []).append(r["ret"])
+    got = {}
+    for r in K.draws(t, days, 50).collect():
+        got.setdefault((r["method"], r["path"]), {})[r["t"]] = r["x"]
+    known = {r[3] for r in rows}
+    pace = round(30 / sum(map(len, by_book.values())) * 252)
+    assert len(got) == 100
+    for (method, _), x in got.items():
+        if method == "iid":
+            assert sorted(x) == sorted({int(v) for v in np.linspace(0, 251, pace)}) and set(x.values()) <= known
+        else:
+            assert sorted(x) == list(range(252))
+            for k in range(0, 252, 10):
+                part = [x[j] for j in range(k, min(k + 10, 252))]
+                assert any(part == [d[(s + j) % len(d)] for j in range(len(part))] for d in by_book.values() for s in range(len(d)))
+    rows = K.monte_carlo(t, days, 60, batch=25).collect()
+    assert {(r["method"], r["risk"], r["paths"]) for r in rows} == {(m, f, 60) for m in ("iid", "block") for f in (0.0025, 0.005, 0.0075, 0.01)}
+    paths = {}
+    for r in K.draws(t, days, 60).collect():
+        paths.setdefault((r["method"], r["path"]), np.zeros(252))[r["t"]] = r["x"]
+    for r in rows:
+        each = [year_by_day(v, r["risk"]) for (m, _), v in paths.items() if m == r["method"]]
+        assert r["p_dd10"] == np.mean([e["max_drawdown"] > 0.1 for e in each]) and r["p_ruin"] == np.mean([e["lowest"] <= 0.5 for e in each])
+        assert r["terminal_p05"] == pytest.approx(np.quantile([e["terminal"] for e in each], 0.05)) and r["drawdown_days_p95"] == pytest.approx(np.quantile([e["drawdown_days"] for e in each], 0.95))
+
+
 def test_corrected_moments(spark):
     row = spark.createDataFrame([(float(k),) for k in range(1, 11)], "x double").agg(M.kurtosis_corrected(F.col("x")), M.skew_corrected(F.col("x"))).head()
     assert row[0] == pytest.approx(-1.2) and row[1] == pytest.approx(0)
@@ -396,7 +460,9 @@ def test_random_draws_are_as_many_as_the_reference_has(spark):
         pytest.skip("no test tables here")
     assert {(r["block"], r["draws"]) for r in registry.QUERIES["lrv_upper_boot"](spark, sf).collect()} == {(5, 2000), (10, 2000), (20, 2000)}
     assert registry.QUERIES["block_boot_beta"](spark, sf).head()["draws"] == 2000
-    assert {r["paths"] for r in registry.QUERIES["mc_iid_block"](spark, sf).collect()} == {10_000}
+    from tidemark.plans import events_and_risk
+
+    assert events_and_risk.MC_PATHS == 10_000
 
 
 # Streaming

@@ -11,6 +11,10 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 
+#: A drawdown deeper than rounding.
+DRAWN = 1e-9
+
+
 def ordered(on: str | tuple[str, ...], by: tuple[str, ...] = ()) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*([on] if isinstance(on, str) else on))
 
@@ -43,19 +47,18 @@ def runs(rows: DataFrame, flag: Column, on: str, by: tuple[str, ...] = ()) -> Da
     return marked.groupBy(*by, "_island").agg(F.min(on).alias("first"), F.max(on).alias("last"), F.count("*").alias("length")).drop("_island")
 
 
-def equity(trades: DataFrame, fraction: Column, on: str = "n") -> DataFrame:
+def equity(trades: DataFrame, fraction: Column, on: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
     """trades with equity, peak and drawdown of compounding fraction * r; the peak starts at the initial equity, 1."""
-    upto = ordered(on).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ordered(on, by).rowsBetween(Window.unboundedPreceding, 0)
     e = F.exp(F.sum(F.log1p(fraction * F.col("r"))).over(upto))
     out = trades.withColumn("equity", e)
     return out.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(upto))).withColumn("drawdown", 1 - F.col("equity") / F.col("peak"))
 
 
-def braked(base: float = 0.01, order: WindowSpec | None = None) -> Column:
+def braked(base: float = 0.01, on: str = "n", by: tuple[str, ...] = ()) -> Column:
     """Half the risk after 20 trades whose sum of R is under -4; it depends on R alone, so no recursion."""
-    order = order or ordered("n")
-    frame = order.rowsBetween(-20, -1)
-    low = (F.count("r").over(frame) >= 20) & (F.sum("r").over(frame) < -4)
+    frame = ordered(on, by).rowsBetween(-20, -1)
+    low = (F.count("r").over(frame) >= 20) & (F.round(F.sum("r").over(frame), 9) < -4)
     return F.when(low, base / 2).otherwise(base)
 
 

@@ -52,14 +52,14 @@ def agg_named(spark, sf):
     return daily(spark, sf).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"), r6(F.avg("a"), "mean_a"), r6(F.max("l"), "max_l"), F.count_if(F.col("a") > 5).alias("n_large"))
 
 
-@query("agg_yearly_trades", sql(TRADES, f"SELECT year(exit_date)::INTEGER AS year, direction, count(*) AS n, {q6('sum(r)', 'total_r')}, {q6('100.0 * avg((r > 0)::INTEGER)', 'win_pct')} FROM trades GROUP BY 1, 2"))
+@query("agg_yearly_trades", sql(TRADES, f"SELECT book, year(exit_date)::INTEGER AS year, direction, count(*) AS n, {q6('sum(r)', 'total_r')}, {q6('100.0 * avg((r > 0)::INTEGER)', 'win_pct')} FROM trades GROUP BY 1, 2, 3"))
 def agg_yearly_trades(spark, sf):
-    return trades(spark, sf).groupBy(F.year("exit_date").alias("year"), "direction").agg(F.count("*").alias("n"), r6(F.sum("r"), "total_r"), r6(100.0 * F.avg((F.col("r") > 0).cast("int")), "win_pct"))
+    return trades(spark, sf).groupBy("book", F.year("exit_date").alias("year"), "direction").agg(F.count("*").alias("n"), r6(F.sum("r"), "total_r"), r6(100.0 * F.avg((F.col("r") > 0).cast("int")), "win_pct"))
 
 
-@query("agg_direction_weekday", sql(TRADES, f"SELECT direction, dayname(exit_date) AS day, {q6('sum(r)', 'total_r')} FROM trades GROUP BY 1, 2"))
+@query("agg_direction_weekday", sql(TRADES, f"SELECT book, direction, dayname(exit_date) AS day, {q6('sum(r)', 'total_r')} FROM trades GROUP BY 1, 2, 3"))
 def agg_direction_weekday(spark, sf):
-    return trades(spark, sf).groupBy("direction", F.date_format("exit_date", "EEEE").alias("day")).agg(r6(F.sum("r"), "total_r"))
+    return trades(spark, sf).groupBy("book", "direction", F.date_format("exit_date", "EEEE").alias("day")).agg(r6(F.sum("r"), "total_r"))
 
 
 @query("session_spread_quantiles", sql(FLAGGED + _LONDON, f"SELECT {q6('quantile_cont(m, 0.5)', 'median')}, {q6('quantile_cont(m, 0.95)', 'p95')} FROM (SELECT quantile_cont(spread_close, 0.5) AS m FROM inside GROUP BY session_date)"))
@@ -68,18 +68,20 @@ def session_spread_quantiles(spark, sf):
     return m.agg(r6(F.percentile("m", 0.5), "median"), r6(F.percentile("m", 0.95), "p95"))
 
 
-@query("cash_pf", sql(TRADES, f"SELECT direction, {q6('sum(r * risk) FILTER (r > 0) / nullif(-sum(r * risk) FILTER (r < 0), 0)', 'profit_factor')} FROM trades GROUP BY 1"))
+@query("cash_pf", sql(TRADES, f"SELECT book, direction, {q6('sum(r * risk) FILTER (r > 0) / nullif(-sum(r * risk) FILTER (r < 0), 0)', 'profit_factor')} FROM trades GROUP BY 1, 2"))
 def cash_pf(spark, sf):
     cash = F.col("r") * F.col("risk")
-    return trades(spark, sf).groupBy("direction").agg(r6(F.try_divide(F.sum(F.when(F.col("r") > 0, cash)), -F.sum(F.when(F.col("r") < 0, cash))), "profit_factor"))
+    return trades(spark, sf).groupBy("book", "direction").agg(r6(F.try_divide(F.sum(F.when(F.col("r") > 0, cash)), -F.sum(F.when(F.col("r") < 0, cash))), "profit_factor"))
 
 
-@query("representative_row", sql(TRADES, f"SELECT 'median' AS kind, n, {q6('r', 'r')} FROM (SELECT n, r FROM trades ORDER BY abs(r - (SELECT quantile_cont(r, 0.5) FROM trades)), n LIMIT 1) UNION ALL SELECT 'worst', n, {q6('r', 'r')} FROM (SELECT n, r FROM trades ORDER BY r, n LIMIT 1)"))
+@query("representative_row", sql(TRADES, f", m AS (SELECT *, abs(r - quantile_cont(r, 0.5) OVER (PARTITION BY book)) AS off FROM trades) SELECT book, 'median' AS kind, n, {q6('r', 'r')} FROM m QUALIFY row_number() OVER (PARTITION BY book ORDER BY round(off, 9), n) = 1 UNION ALL SELECT book, 'worst', n, {q6('r', 'r')} FROM trades QUALIFY row_number() OVER (PARTITION BY book ORDER BY r, n) = 1"))
 def representative_row(spark, sf):
     t = trades(spark, sf)
-    middle = t.agg(F.percentile("r", 0.5)).head()[0]
-    pick = t.agg(F.min_by(F.struct("n", "r"), F.struct(F.abs(F.col("r") - middle), "n")).alias("median"), F.min_by(F.struct("n", "r"), F.struct("r", "n")).alias("worst"))
-    return pick.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k)["n"].alias("n"), r6(F.col(k)["r"], "r")) for k in ("median", "worst")])).alias("x")).select("x.*")
+    # A book's trades are some hundred rows: its median is an exact aggregate.
+    t = t.join(t.groupBy("book").agg(F.percentile("r", 0.5).alias("middle")), "book")
+    off = F.round(F.abs(F.col("r") - F.col("middle")), 9)
+    pick = t.groupBy("book").agg(F.min_by(F.struct("n", "r"), F.struct(off, "n")).alias("median"), F.min_by(F.struct("n", "r"), F.struct("r", "n")).alias("worst"))
+    return pick.select("book", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k)["n"].alias("n"), r6(F.col(k)["r"], "r")) for k in ("median", "worst")])).alias("x")).select("book", "x.*")
 
 
 @query("valid_share", sql(DAILY, f"SELECT year(date)::INTEGER AS year, {q6('avg((d IS NOT NULL)::INTEGER)', 'share')} FROM daily GROUP BY 1"))

@@ -11,7 +11,7 @@ from ..operators import rolling as R
 from ..sources.market import daily, trades
 from .bars_and_sessions import flagged
 from .registry import query
-from .rolling import _V, valid
+from .rolling import _V, BOOK, valid
 from .views import FLAGGED, TRADES, q6, r6, sql
 
 _BOX = FLAGGED + """, placed0 AS (SELECT *, timezone('America/New_York', timezone('UTC', bar)) - INTERVAL '20 hours' AS sh FROM flagged),
@@ -145,30 +145,44 @@ def feature_ratios(spark, sf):
     return x.select("date", r6(c, "c"), r6(F.log(c), "log_c"), r6(d, "d"), r6(F.log(F.try_divide(F.col("l"), F.col("ml"))), "y_range"), r6(d * F.log(c), "d_x_c"))
 
 
-_SIZED = TRADES + """, fr AS (SELECT *, CASE WHEN count(r) OVER w >= 20 AND sum(r) OVER w < -4 THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END AS fraction FROM trades WINDOW w AS (ORDER BY n ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-eq AS (SELECT *, exp(sum(ln(1 + fraction * r)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS equity FROM fr),
-sized AS (SELECT *, greatest(1.0, max(equity) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak, 100000 * coalesce(lag(equity) OVER (ORDER BY n), 1) AS before FROM eq)"""
+_SIZED = TRADES + """, fr AS (SELECT *, CASE WHEN count(r) OVER w >= 20 AND round(sum(r) OVER w, 9) < -4 THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END AS fraction FROM trades WINDOW w AS (PARTITION BY book ORDER BY n ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+eq AS (SELECT *, exp(sum(ln(1 + fraction * r)) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS equity FROM fr),
+sized AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak, 100000 * coalesce(lag(equity) OVER (PARTITION BY book ORDER BY n), 1) AS before FROM eq)"""
 
 
-@query("sizing", sql(_SIZED, f"SELECT n, {q6('before', 'before')}, {q6('before * fraction * r', 'profit')}, {q6('before * fraction / risk', 'ounces')} FROM sized"))
+@query("sizing", sql(_SIZED, f"SELECT book, n, {q6('before', 'before')}, {q6('before * fraction * r', 'profit')}, {q6('before * fraction / risk', 'ounces')} FROM sized"))
 def sizing(spark, sf):
-    return K.sized(trades(spark, sf)).select("n", r6("before", "before"), r6("profit", "profit"), r6("ounces", "ounces"))
+    return K.sized(trades(spark, sf), by=BOOK).select("book", "n", r6("before", "before"), r6("profit", "profit"), r6("ounces", "ounces"))
 
 
-_DAYS = _SIZED + ", days AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series((SELECT min(exit_date) FROM trades), (SELECT max(exit_date) FROM trades), INTERVAL '1 day')) AS d) WHERE isodow(d) < 6), dr AS (SELECT date, coalesce(x, 0) AS ret FROM days LEFT JOIN (SELECT exit_date AS date, sum(fraction * r) AS x FROM sized GROUP BY 1) USING (date))"
+_DAYS = _SIZED + """, days AS (SELECT book, d::DATE AS date FROM (SELECT book, unnest(generate_series(min(exit_date)::TIMESTAMP, max(exit_date)::TIMESTAMP, INTERVAL '1 day')) AS d FROM trades GROUP BY book) WHERE isodow(d) < 6),
+dr AS (SELECT book, date, coalesce(x, 0) AS ret FROM days LEFT JOIN (SELECT book, exit_date AS date, sum(fraction * r) AS x FROM sized GROUP BY 1, 2) USING (book, date))"""
 
 
-@query("daily_densify", sql(_DAYS, f"SELECT date, {q6('ret', 'ret')} FROM dr"))
+@query("daily_densify", sql(_DAYS, f"SELECT book, date, {q6('ret', 'ret')} FROM dr"))
 def daily_densify(spark, sf):
-    return K.daily_returns(K.sized(trades(spark, sf))).select("date", r6("ret", "ret"))
+    return K.daily_returns(K.sized(trades(spark, sf), by=BOOK), BOOK).select("book", "date", r6("ret", "ret"))
 
 
-@query("perf_metrics", sql(_DAYS, f"""SELECT count(*) AS n, {q6('avg(r)', 'mean_r')}, {q6('quantile_cont(r, 0.5)', 'median_r')}, {q6('sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0)', 'profit_factor')}, {q6('avg((r > 0)::INTEGER)', 'hit_rate')}, {q6('skewness(r)', 'skew_r')}, {q6('kurtosis(r)', 'kurtosis_r')},
-{q6('max(1 - equity / peak)', 'max_drawdown')}, {q6('arg_max(equity, n)', 'final')}, {q6('power(arg_max(equity, n), 365.25 / date_diff(' + chr(39) + 'day' + chr(39) + ', min(exit_date), max(exit_date))) - 1', 'cagr')}, {q6('2 * sum(before * fraction / risk)', 'turnover')},
-(SELECT {q6('avg(ret) / stddev_samp(ret) * sqrt(252)', 's')} FROM dr) AS sharpe, (SELECT {q6('avg(ret) / sqrt(avg(power(least(ret, 0), 2))) * sqrt(252)', 's')} FROM dr) AS sortino FROM sized"""))
+_PERF = _DAYS + """, de AS (SELECT book, date, exp(sum(ln(1 + ret)) OVER (PARTITION BY book ORDER BY date ROWS UNBOUNDED PRECEDING)) AS e FROM dr),
+dd AS (SELECT book, date, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY book ORDER BY date ROWS UNBOUNDED PRECEDING)) > 1e-9 AS below FROM de),
+dur AS (SELECT book, max(c) AS drawdown_days FROM (SELECT book, count(*) AS c FROM (SELECT book, below, row_number() OVER (PARTITION BY book ORDER BY date) - row_number() OVER (PARTITION BY book, below ORDER BY date) AS g FROM dd) WHERE below GROUP BY book, g) GROUP BY book),
+streaks AS (SELECT book, max(c) AS losing_streak FROM (SELECT book, count(*) AS c FROM (SELECT book, r, row_number() OVER (PARTITION BY book ORDER BY n) - row_number() OVER (PARTITION BY book, r < 0 ORDER BY n) AS g FROM trades) WHERE r < 0 GROUP BY book, g) GROUP BY book),
+months AS (SELECT book, avg((x > 1e-12)::INTEGER) AS monthly FROM (SELECT book, date_trunc('month', date) AS p, sum(ln(1 + ret)) AS x FROM dr GROUP BY 1, 2) GROUP BY book),
+years AS (SELECT book, avg((x > 1e-12)::INTEGER) AS yearly FROM (SELECT book, year(date) AS p, sum(ln(1 + ret)) AS x FROM dr GROUP BY 1, 2) GROUP BY book),
+perday AS (SELECT book, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(ret) / nullif(sqrt(avg(power(least(ret, 0), 2))), 0) * sqrt(252) AS sortino, stddev_samp(ret) * sqrt(252) AS volatility, count(*) AS business_days FROM dr GROUP BY book),
+pertrade AS (SELECT book, count(*) AS n, avg(r) AS mean_r, quantile_cont(r, 0.5) AS median_r, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor, avg((r > 0)::INTEGER) AS hit_rate,
+  avg(r) FILTER (r > 0) / -(avg(r) FILTER (r < 0)) AS payoff, (avg(r * r * r) - 3 * avg(r) * avg(r * r) + 2 * power(avg(r), 3)) / power(var_pop(r), 1.5) AS skew_r, kurtosis_pop(r) AS kurtosis_r,
+  max(1 - equity / peak) AS max_drawdown, arg_max(equity, n) AS final, power(arg_max(equity, n), 365.25 / greatest(date_diff('day', min(exit_date), max(exit_date)), 1)) - 1 AS cagr,
+  2 * sum(before * fraction / risk) AS turnover, sum(minutes) / 60 AS exposure_hours FROM sized GROUP BY book)"""
+_FIGURES = ("mean_r", "median_r", "profit_factor", "hit_rate", "payoff", "skew_r", "kurtosis_r", "max_drawdown", "final", "cagr", "turnover", "exposure_hours", "sharpe", "sortino", "volatility")
+
+
+@query("perf_metrics", sql(_PERF, f"""SELECT book, n, {', '.join(q6(c, c) for c in _FIGURES)}, {q6('exposure_hours / (24 * business_days)', 'exposure_share')}, {q6('monthly', 'monthly_hit_rate')}, {q6('yearly', 'yearly_hit_rate')},
+coalesce(drawdown_days, 0) AS drawdown_days, coalesce(losing_streak, 0) AS losing_streak FROM pertrade JOIN perday USING (book) JOIN months USING (book) JOIN years USING (book) LEFT JOIN dur USING (book) LEFT JOIN streaks USING (book)"""))
 def perf_metrics(spark, sf):
-    m = K.metrics(trades(spark, sf))
-    return m.select("n", *[r6(c, c) for c in ("mean_r", "median_r", "profit_factor", "hit_rate", "skew_r", "kurtosis_r", "max_drawdown", "final", "cagr", "turnover", "sharpe", "sortino")])
+    m = K.metrics(trades(spark, sf), by=BOOK)
+    return m.select("book", "n", *[r6(c, c) for c in (*_FIGURES, "exposure_share")], r6("monthly_hit_rate", "monthly_hit_rate"), r6("yearly_hit_rate", "yearly_hit_rate"), "drawdown_days", "losing_streak")
 
 
 VARIANTS = {f"{t}_{x}": {"threshold": t, "exit_hours": h} for t in (0.9, 1.0, 1.2) for x, h in (("0800", 9), ("1200", 13))} | {"cost_2": {"cost": 2.0}, "slip_25": {"slip": 0.25}}
@@ -189,10 +203,11 @@ def state_candidate(spark, sf):
     return valid(spark, sf).select("date", (F.col("d") > F.percentile("d", 0.8).over(w)).alias("high_state"), F.count("*").over(w).alias("n")).where("n >= 60").drop("n")
 
 
+#: Paths of the reference.
+MC_PATHS = 10_000
+
+
 @query("mc_iid_block", None)
 def mc_iid_block(spark, sf):
-    s = K.sized(trades(spark, sf))
-    # One supplier's trades: some hundred rows.
-    r = [x["r"] for x in trades(spark, sf).select("r").collect()]
-    d = [x["x"] for x in K.daily_returns(s.withColumn("fraction", F.lit(1.0))).orderBy("date").select(F.col("ret").alias("x")).collect()]
-    return K.monte_carlo(spark, r, d, len(r) / max(len(d), 1), paths=10_000)
+    t = trades(spark, sf)
+    return K.monte_carlo(t, K.daily_returns(t.withColumn("fraction", F.lit(1.0)), BOOK), MC_PATHS)

@@ -13,9 +13,9 @@ from .views import BARS, DAILY, FEED_B, TRADES, q6, r6, sql
 _PAIR = BARS + ", " + FEED_B
 
 
-@query("sort", sql(TRADES, f"SELECT n, {q6('r', 'r')} FROM trades ORDER BY r DESC, n"))
+@query("sort", sql(TRADES, f"SELECT book, n, {q6('r', 'r')} FROM trades ORDER BY r DESC, book, n"))
 def sort(spark, sf):
-    return trades(spark, sf).orderBy(F.desc("r"), "n").select("n", r6("r", "r"))
+    return trades(spark, sf).orderBy(F.desc("r"), "book", "n").select("book", "n", r6("r", "r"))
 
 
 @query("topk_200", sql(BARS, f"SELECT bar, {q6('abs(close_bid - open_bid)', 'move')} FROM bars ORDER BY abs(close_bid - open_bid) DESC, bar LIMIT 200"))
@@ -29,11 +29,12 @@ def limit_50(spark, sf):
     return bars(spark, sf).where("quote_count < 3").select("bar", "quote_count").orderBy("bar").limit(50)
 
 
-@query("trim_best", sql(TRADES, f"SELECT f::DOUBLE AS fraction, count(*) AS n, {q6('sum(r)', 'total_r')} FROM (SELECT r, row_number() OVER (ORDER BY r DESC, n) AS k, count(*) OVER () AS m FROM trades), (VALUES (0.01), (0.05), (0.1)) x(f) WHERE k > ceil(m * f::DOUBLE) GROUP BY 1"))
+@query("trim_best", sql(TRADES, f"SELECT book, f::DOUBLE AS fraction, count(*) AS n, {q6('sum(r)', 'total_r')} FROM (SELECT book, r, row_number() OVER (PARTITION BY book ORDER BY r DESC, n) AS k, count(*) OVER (PARTITION BY book) AS m FROM trades), (VALUES (0.01), (0.05), (0.1)) x(f) WHERE k > ceil(m * f::DOUBLE) GROUP BY 1, 2"))
 def trim_best(spark, sf):
-    k = trades(spark, sf).select("r", F.row_number().over(Window.orderBy(F.desc("r"), "n")).alias("k"), F.count("*").over(Window.partitionBy()).alias("m"))
+    book = Window.partitionBy("book")
+    k = trades(spark, sf).select("book", "r", F.row_number().over(book.orderBy(F.desc("r"), "n")).alias("k"), F.count("*").over(book).alias("m"))
     kept = F.array_compact(F.array(*[F.when(F.col("k") > F.ceil(F.col("m") * F.lit(f)), F.lit(f)) for f in (0.01, 0.05, 0.1)]))
-    return k.select("r", F.explode(kept).alias("fraction")).groupBy("fraction").agg(F.count("*").alias("n"), r6(F.sum("r"), "total_r"))
+    return k.select("book", "r", F.explode(kept).alias("fraction")).groupBy("book", "fraction").agg(F.count("*").alias("n"), r6(F.sum("r"), "total_r"))
 
 
 @query("stratified_sample", "SELECT year, priority, o_orderkey FROM (SELECT year(o_orderdate)::INTEGER AS year, o_orderpriority AS priority, o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate), o_orderpriority ORDER BY md5('11:' || o_orderkey::VARCHAR)) AS k FROM orders) WHERE k = 1")

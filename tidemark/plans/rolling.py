@@ -14,6 +14,10 @@ _V = DAILY + ", v AS (SELECT * FROM daily WHERE d IS NOT NULL)"
 _P20 = "ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING"
 
 
+#: Trades are kept apart by their book.
+BOOK = ("book",)
+
+
 def valid(spark, sf):
     return daily(spark, sf).where("d IS NOT NULL")
 
@@ -87,26 +91,26 @@ def box_rel_width(spark, sf):
     return daily(spark, sf).select("date", r6(F.try_divide(F.col("d"), med), "rel_width"))
 
 
-@query("cum_equity", sql(TRADES, f"SELECT n, {q6('e', 'equity')}, {q6('p', 'peak')}, {q6('1 - e / p', 'drawdown')} FROM (SELECT n, e, greatest(1.0, max(e) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS p FROM (SELECT n, exp(sum(ln(1 + 0.01 * r)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS e FROM trades))"))
+@query("cum_equity", sql(TRADES, f"SELECT book, n, {q6('e', 'equity')}, {q6('p', 'peak')}, {q6('1 - e / p', 'drawdown')} FROM (SELECT book, n, e, greatest(1.0, max(e) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS p FROM (SELECT book, n, exp(sum(ln(1 + 0.01 * r)) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS e FROM trades))"))
 def cum_equity(spark, sf):
-    return R.equity(trades(spark, sf), F.lit(0.01)).select("n", r6("equity", "equity"), r6("peak", "peak"), r6("drawdown", "drawdown"))
+    return R.equity(trades(spark, sf), F.lit(0.01), by=BOOK).select("book", "n", r6("equity", "equity"), r6("peak", "peak"), r6("drawdown", "drawdown"))
 
 
-@query("equity_brake", sql(TRADES, f"SELECT n, {q6('CASE WHEN count(r) OVER w >= 20 AND sum(r) OVER w < -4 THEN 0.005 ELSE 0.01 END', 'fraction')} FROM trades WINDOW w AS (ORDER BY n {_P20})"))
+@query("equity_brake", sql(TRADES, f"SELECT book, n, {q6('CASE WHEN count(r) OVER w >= 20 AND round(sum(r) OVER w, 9) < -4 THEN 0.005 ELSE 0.01 END', 'fraction')} FROM trades WINDOW w AS (PARTITION BY book ORDER BY n {_P20})"))
 def equity_brake(spark, sf):
-    return trades(spark, sf).select("n", r6(R.braked(), "fraction"))
+    return trades(spark, sf).select("book", "n", r6(R.braked(by=BOOK), "fraction"))
 
 
-@query("streak_loss", sql(TRADES, "SELECT max(c) AS longest, count(*) AS n_runs FROM (SELECT count(*) AS c FROM (SELECT r, row_number() OVER (ORDER BY n) - row_number() OVER (PARTITION BY r < 0 ORDER BY n) AS g FROM trades) WHERE r < 0 GROUP BY g)"))
+@query("streak_loss", sql(TRADES, "SELECT book, max(c) AS longest, count(*) AS n_runs FROM (SELECT book, count(*) AS c FROM (SELECT book, r, row_number() OVER (PARTITION BY book ORDER BY n) - row_number() OVER (PARTITION BY book, r < 0 ORDER BY n) AS g FROM trades) WHERE r < 0 GROUP BY book, g) GROUP BY book"))
 def streak_loss(spark, sf):
-    return R.runs(trades(spark, sf), F.col("r") < 0, "n").agg(F.max("length").alias("longest"), F.count("*").alias("n_runs"))
+    return R.runs(trades(spark, sf), F.col("r") < 0, "n", BOOK).groupBy("book").agg(F.max("length").alias("longest"), F.count("*").alias("n_runs"))
 
 
-@query("dd_duration", sql(TRADES, """, e AS (SELECT n, exp(sum(ln(1 + 0.01 * r)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS e FROM trades), p AS (SELECT n, e < greatest(1.0, max(e) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS below FROM e)
-SELECT max(c) AS longest FROM (SELECT count(*) AS c FROM (SELECT below, row_number() OVER (ORDER BY n) - row_number() OVER (PARTITION BY below ORDER BY n) AS g FROM p) WHERE below GROUP BY g)"""))
+@query("dd_duration", sql(TRADES, """, e AS (SELECT book, n, exp(sum(ln(1 + 0.01 * r)) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS e FROM trades), p AS (SELECT book, n, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) > 1e-9 AS below FROM e)
+SELECT book, max(c) AS longest FROM (SELECT book, count(*) AS c FROM (SELECT book, below, row_number() OVER (PARTITION BY book ORDER BY n) - row_number() OVER (PARTITION BY book, below ORDER BY n) AS g FROM p) WHERE below GROUP BY book, g) GROUP BY book"""))
 def dd_duration(spark, sf):
-    e = R.equity(trades(spark, sf), F.lit(0.01))
-    return R.runs(e, F.col("equity") < F.col("peak"), "n").agg(F.max("length").alias("longest"))
+    e = R.equity(trades(spark, sf), F.lit(0.01), by=BOOK)
+    return R.runs(e, F.col("drawdown") > R.DRAWN, "n", BOOK).groupBy("book").agg(F.max("length").alias("longest"))
 
 
 @query("cum_qlike", sql(_V, f"SELECT date, {q6('sum(b - e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)', 'gain')} FROM (SELECT date, l / m - ln(l / m) - 1 AS b, l / (0.5 * m + 0.5 * a) - ln(l / (0.5 * m + 0.5 * a)) - 1 AS e FROM (SELECT *, lag(l) OVER (ORDER BY date) AS m FROM v) WHERE m IS NOT NULL)"))

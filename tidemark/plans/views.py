@@ -31,10 +31,10 @@ daily AS (SELECT *, a + l + r AS d FROM (
   SELECT date, sum(v) FILTER (p IN ('1', '2')) AS a, sum(v) FILTER (p = '3') AS l, sum(v) FILTER (p NOT IN ('1', '2', '3')) AS r FROM daily0 GROUP BY date))"""
 
 TRADES = """trades AS (
-  SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n, l_shipdate::DATE AS exit_date,
+  SELECT l_suppkey AS book, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n, l_shipdate::DATE AS exit_date,
          ((l_partkey % 41) - 19)::DOUBLE / 10.0::DOUBLE AS r, 1 + l_quantity / 10.0::DOUBLE AS risk,
-         CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS direction
-  FROM lineitem WHERE l_suppkey = 1)"""
+         CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS direction, 15 * l_quantity AS minutes
+  FROM lineitem)"""
 
 #: Bars with mid prices and the quality flags at the thresholds that the queries use.
 FLAGGED = (

@@ -51,13 +51,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n, exit_date, r, risk, direction) of one supplier's line items, in order."""
-    order = Window.orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey = 1")
-    return rows.select(
+    """(book, n, exit_date, r, risk, direction, minutes) of all line items: a supplier's are a book, numbered in order."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("book"),
         F.row_number().over(order).cast("long").alias("n"),
         F.col("l_shipdate").cast("date").alias("exit_date"),
         ((F.col("l_partkey") % 41 - 19) / 10.0).alias("r"),
         (1 + F.col("l_quantity") / 10.0).alias("risk"),
         F.when(F.col("l_returnflag") == "R", "short").otherwise("long").alias("direction"),
+        (15 * F.col("l_quantity")).alias("minutes"),
     )
