@@ -12,7 +12,7 @@ from ..sources.market import daily, trades
 from .bars_and_sessions import flagged
 from .registry import query
 from .rolling import _V, BOOK, valid
-from .views import FLAGGED, TRADES, q6, r6, sql
+from .views import FLAGGED, TRADES, q6, q6n, r6, r6n, sql
 
 _BOX = FLAGGED + """, placed0 AS (SELECT *, timezone('America/New_York', timezone('UTC', bar)) - INTERVAL '20 hours' AS sh FROM flagged),
 placed AS (SELECT *, sh::DATE AS box_date, hour(sh) * 60 + minute(sh) AS since FROM placed0 WHERE hour(sh) * 60 + minute(sh) <= 720 AND isodow(sh) - 1 IN (6, 0, 1, 2, 3)),
@@ -150,9 +150,9 @@ eq AS (SELECT *, exp(sum(ln(1 + fraction * r)) OVER (PARTITION BY book ORDER BY
 sized AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak, 100000 * coalesce(lag(equity) OVER (PARTITION BY book ORDER BY n), 1) AS before FROM eq)"""
 
 
-@query("sizing", sql(_SIZED, f"SELECT book, n, {q6('before', 'before')}, {q6('before * fraction * r', 'profit')}, {q6('before * fraction / risk', 'ounces')} FROM sized"))
+@query("sizing", sql(_SIZED, f"SELECT book, n, {q6n('before', 'before', 3)}, {q6n('before * fraction * r', 'profit', 3)}, {q6n('before * fraction / risk', 'ounces', 3)} FROM sized"))
 def sizing(spark, sf):
-    return K.sized(trades(spark, sf), by=BOOK).select("book", "n", r6("before", "before"), r6("profit", "profit"), r6("ounces", "ounces"))
+    return K.sized(trades(spark, sf), by=BOOK).select("book", "n", *[r6n(c, c, 3) for c in ("before", "profit", "ounces")])
 
 
 _DAYS = _SIZED + """, days AS (SELECT book, d::DATE AS date FROM (SELECT book, unnest(generate_series(min(exit_date)::TIMESTAMP, max(exit_date)::TIMESTAMP, INTERVAL '1 day')) AS d FROM trades GROUP BY book) WHERE isodow(d) < 6),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rolling as R
 from ..sources.market import bars, daily, trades
 from .registry import query
-from .views import BARS, DAILY, TRADES, q6, r6, sql
+from .views import BARS, DAILY, TRADES, q6, q6n, r6, r6n, sql
 
 _V = DAILY + ", v AS (SELECT * FROM daily WHERE d IS NOT NULL)"
 _P20 = "ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING"
@@ -91,9 +91,9 @@ def box_rel_width(spark, sf):
     return daily(spark, sf).select("date", r6(F.try_divide(F.col("d"), med), "rel_width"))
 
 
-@query("cum_equity", sql(TRADES, f"SELECT book, n, {q6('e', 'equity')}, {q6('p', 'peak')}, {q6('1 - e / p', 'drawdown')} FROM (SELECT book, n, e, greatest(1.0, max(e) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS p FROM (SELECT book, n, exp(sum(ln(1 + 0.01 * r)) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS e FROM trades))"))
+@query("cum_equity", sql(TRADES, f"SELECT book, n, {q6n('e', 'equity')}, {q6n('p', 'peak')}, {q6n('1 - e / p', 'drawdown')} FROM (SELECT book, n, e, greatest(1.0, max(e) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS p FROM (SELECT book, n, exp(sum(ln(1 + 0.01 * r)) OVER (PARTITION BY book ORDER BY n ROWS UNBOUNDED PRECEDING)) AS e FROM trades))"))
 def cum_equity(spark, sf):
-    return R.equity(trades(spark, sf), F.lit(0.01), by=BOOK).select("book", "n", r6("equity", "equity"), r6("peak", "peak"), r6("drawdown", "drawdown"))
+    return R.equity(trades(spark, sf), F.lit(0.01), by=BOOK).select("book", "n", *[r6n(c, c) for c in ("equity", "peak", "drawdown")])
 
 
 @query("equity_brake", sql(TRADES, f"SELECT book, n, {q6('CASE WHEN count(r) OVER w >= 20 AND round(sum(r) OVER w, 9) < -4 THEN 0.005 ELSE 0.01 END', 'fraction')} FROM trades WINDOW w AS (PARTITION BY book ORDER BY n {_P20})"))

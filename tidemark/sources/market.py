@@ -52,7 +52,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, n, exit_date, r, risk, direction, minutes) of all line items: a supplier's are a book, numbered in order."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("book"),
         F.row_number().over(order).cast("long").alias("n"),
