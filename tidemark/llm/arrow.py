@@ -19,13 +19,13 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
-def each_piece(batches, text: str, limit: int = 1 << 21):
+def each_piece(batches, text: str, limit: int = 1 << 20):
     """The batches in pieces of about so many text bytes."""
     for batch in batches:
         yield from pieces(batch, text, limit)
 
 
-def add_column(docs: DataFrame, name: str, kind: T.DataType, text: str, make: Callable[[pa.RecordBatch], pa.Array], limit: int = 1 << 21) -> DataFrame:
+def add_column(docs: DataFrame, name: str, kind: T.DataType, text: str, make: Callable[[pa.RecordBatch], pa.Array], limit: int = 1 << 20) -> DataFrame:
     """docs with one more column, made from each piece of rows; all columns of docs pass unchanged."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 

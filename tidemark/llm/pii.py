@@ -300,7 +300,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text, 1 << 22):
+            for piece in pieces(batch, text):
                 texts = piece.column(piece.schema.get_field_index(text))
                 own = piece.column(piece.schema.get_field_index(column)).to_pylist() if column else None
                 found = _found_in(texts, shipped.value, own)

@@ -202,7 +202,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, check: bool
         v = Vocabulary(*shipped.value)
         encoder = Encoder(v)
         for batch in batches:
-            for piece in pieces(batch, text, 1 << 22):
+            for piece in pieces(batch, text):
                 texts = piece.column(piece.schema.get_field_index(text)).to_pylist()
                 coded = [None if x is None else encoder.encode(x) for x in texts]
                 sizes = np.array([0, *(len(x or b"") // 4 for x in coded)])

@@ -32,7 +32,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, name: str, limit: int = 1 << 21):
+def pieces(batch: pa.RecordBatch, name: str, limit: int = 1 << 20):
     """The batch in runs of rows of about so many text bytes; a longer text is a run of its own."""
     lengths = np.diff(text_buffer(batch.column(name))[1])
     at = 0
