@@ -53,7 +53,7 @@ _SENT = "shard int, block long, codes binary, more binary"
 
 def _word_counts(batches):
     """(word hash, count), summed over each piece of text."""
-    for piece in each_piece(batches, "text"):
+    for piece in each_piece(batches, "text", 1 << 21):
         buf, offsets = text_buffer(piece.column(0))
         starts, ends, _ = words(buf, offsets)
         h, n = np.unique(span_hashes(buf, starts, ends), return_counts=True)
