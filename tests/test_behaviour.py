@@ -26,7 +26,7 @@ SCHEMA = "bar timestamp_ntz, open_bid double, high_bid double, low_bid double, c
 
 
 def bars(spark, quads, start=T0, minutes=1, spread=0.2, skip=()):
-    rows = [(start + datetime.timedelta(minutes=minutes * k), *map(float, q), *[v + spread for v in q], 1) for k, q in enumerate(quads) if k not in skip]
+    rows = [(start + datetime.timedelta(minutes=minutes * k), *map(float, q), *[v + spread for v in q], 1) for k, q in enumerate(quads) if q is not None and k not in skip]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -243,14 +243,15 @@ def test_holdout_opens_once(spark, tmp_path):
 RULES = RP.Rules(zone="UTC", box_start=0, box_hours=3, entry_hours=4, exit_hours=9, base_minutes=60, weekdays=(0,))
 
 
-def replayed(spark, quads, **changes):
+def replayed(spark, quads, gate=False, suspect_hour=None, **changes):
     from dataclasses import replace
 
     r = replace(RULES, **changes)
     b = bars(spark, quads, datetime.datetime(2016, 1, 4), 60)
     f = Q.flagged(b, Q.Limits(bar_minutes=60, jump=9.0))
+    f = f.withColumn("suspect", F.col("suspect") | (F.hour("bar") == F.lit(suspect_hour if suspect_hour is not None else -1)))
     box = RP.boxes(f, replace(r, least_blocks=0)).withColumns({"valid": F.lit(True), "rel_width": F.lit(0.0)})
-    return RP.replay(f, box, r).head()
+    return RP.replay(f, box, r, gate).head()
 
 
 BOX = [(100, 101, 99, 100)] * 3
@@ -284,6 +285,20 @@ def test_no_breakout_and_missing_exit(spark):
     assert replayed(spark, BOX + [(100.5, 101.5, 100.2, 101.2)] + [(102, 102, 102, 102)] * 3)["status"] == "missing_exit_quote"
 
 
+def test_broken_paths_are_refused(spark):
+    """A box is priced only if its path has its first and last bar, nearly all between, no long gap and no suspect bar."""
+    whole = BOX + [(100.5, 101.5, 100.2, 101.2)] + [(102, 102.5, 101.5, 102)] * 9
+    assert replayed(spark, whole, gate=True)["status"] == "time"
+    for broken in (whole[:12], whole[:3] + [None] + whole[4:], whole[:5] + [None] + whole[6:]):
+        got = replayed(spark, broken, gate=True)
+        assert got["status"] == "incomplete_execution_path" and got["r"] is None
+        assert replayed(spark, broken, gate=False)["status"] != "incomplete_execution_path"
+    gap = whole[:6] + [None] * 3 + whole[9:]
+    assert replayed(spark, gap, gate=True, path_share=0.5)["status"] == "time"
+    assert replayed(spark, gap, gate=True, path_share=0.5, path_gap_bars=3)["status"] == "incomplete_execution_path"
+    assert replayed(spark, whole, gate=True, suspect_hour=6)["status"] == "incomplete_execution_path"
+
+
 # Sizing and moments
 
 
@@ -459,7 +474,8 @@ def test_random_draws_are_as_many_as_the_reference_has(spark):
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
     assert {(r["block"], r["draws"]) for r in registry.QUERIES["lrv_upper_boot"](spark, sf).collect()} == {(5, 2000), (10, 2000), (20, 2000)}
-    assert registry.QUERIES["block_boot_beta"](spark, sf).head()["draws"] == 2000
+    assert registry.QUERIES["block_boot_beta"](spark, sf).head()["draws"] == 2000 and registry.QUERIES["paired_block_ci"](spark, sf).head()["draws"] == 10_000
+    assert registry.QUERIES["circ_shift_perm"](spark, sf).head()["shifts"] == 2000 and registry.QUERIES["block_boot_mean"](spark, sf).count() == 2000
     from tidemark.plans import events_and_risk
 
     assert events_and_risk.MC_PATHS == 10_000

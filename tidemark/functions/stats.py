@@ -124,6 +124,48 @@ def circular_draws(n: int, block: int, draws: int, spark, seed: int = 1) -> Data
     return spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k")).select("draw", "k", start.alias("start"))
 
 
+def drawn_sums(rows: DataFrame, values: list[str], on: str, block: int, draws: int) -> DataFrame:
+    """(draw, values): sums of each column over resampled series of circular blocks, the last one cut to the length."""
+    from ..operators.rolling import circular_sums
+
+    n = rows.count()
+    d, whole = circular_draws(n, block, draws, rows.sparkSession), n // block
+
+    def joined(width: int, which: Column) -> DataFrame:
+        return d.where(which).join(circular_sums(rows, values, width, on), F.col("start") == F.col("t")).select("draw", *values)
+
+    parts = joined(block, F.col("k") < whole)
+    if n % block:
+        parts = parts.unionByName(joined(n % block, F.col("k") == whole))
+    return parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in values])
+
+
+def bootstrap_coefficients(rows: DataFrame, outcome: str, regressors: list[str], target: str, on: str, block: int = 5, draws: int = 2000) -> DataFrame:
+    """(draw, beta): the target's coefficient in resampled regressions with an intercept, from resampled cross-products.
+
+    A draw whose regressors don't vary has a null coefficient."""
+    import pandas as pd
+
+    names = ["one", *regressors, outcome]
+    base = rows.dropna(subset=[outcome, *regressors]).withColumn("one", F.lit(1.0))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    products = base.select(on, *[(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs])
+    sums = drawn_sums(products, [f"p{i}_{j}" for i, j in pairs], on, block, draws)
+    k, at = len(names) - 1, names.index(target)
+
+    def solve(frames):
+        for f in frames:
+            g = np.zeros((len(f), k + 1, k + 1))
+            for i, j in pairs:
+                g[:, i, j] = g[:, j, i] = f[f"p{i}_{j}"]
+            beta = np.full(len(f), np.nan)
+            good = np.linalg.matrix_rank(g[:, :k, :k], hermitian=True) == k
+            beta[good] = np.linalg.solve(g[good][:, :k, :k], g[good][:, :k, k:])[:, at, 0]
+            yield pd.DataFrame({"draw": f["draw"], "beta": beta})
+
+    return sums.mapInPandas(solve, "draw long, beta double").withColumn("beta", F.when(~F.isnan("beta"), F.col("beta")))
+
+
 def bootstrap_means(sums: DataFrame, full_blocks: int, draws: DataFrame, remainder: DataFrame | None = None) -> DataFrame:
     """(draw, mean): each draw adds precomputed circular block sums, the last block cut to the series' length.
 

@@ -63,10 +63,15 @@ def braked(base: float = 0.01, on: str = "n", by: tuple[str, ...] = ()) -> Colum
 
 
 def circular_block_sums(rows: DataFrame, value: str, block: int, on: str = "t") -> DataFrame:
-    """(t, s): sums of block consecutive values, wrapping around; t is 0 .. n - 1."""
-    numbered = rows.select((F.row_number().over(ordered(on)) - 1).alias("t"), F.col(value).alias("v"))
-    n = Window.partitionBy()
-    sized = numbered.withColumn("n", F.count("*").over(n))
-    tail = sized.where(F.col("t") < block - 1).select((F.col("t") + F.col("n")).alias("t"), "v", "n")
-    frame = Window.orderBy("t").rowsBetween(0, block - 1)
-    return sized.unionByName(tail).withColumn("s", F.sum("v").over(frame)).where("t < n").select("t", "s", "n")
+    """(t, s, n): sums of block consecutive values, wrapping around; t is 0 .. n - 1."""
+    return circular_sums(rows.withColumn("_s", F.col(value)), ["_s"], block, on).withColumnRenamed("_s", "s").select("t", "s", "n")
+
+
+def circular_sums(rows: DataFrame, values: list[str], block: int, on: str = "t") -> DataFrame:
+    """(t, values, n): sums of block consecutive values of each column, wrapping around; unknown values don't count."""
+    numbered = rows.select((F.row_number().over(ordered(on)) - 1).alias("_t"), *values)
+    sized = numbered.withColumn("n", F.count("*").over(Window.partitionBy()))
+    tail = sized.where(F.col("_t") < block - 1).withColumn("_t", F.col("_t") + F.col("n"))
+    frame = Window.orderBy("_t").rowsBetween(0, block - 1)
+    out = sized.unionByName(tail).select("_t", "n", *[F.sum(c).over(frame).alias(c) for c in values])
+    return out.where("_t < n").withColumnRenamed("_t", "t")

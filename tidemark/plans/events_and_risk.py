@@ -24,11 +24,34 @@ boxes AS (SELECT *, CASE WHEN count(CASE WHEN valid THEN width END) OVER w >= 10
 _ENTRY = _BOX + """, hit AS (SELECT p.*, b.hi, b.lo, p.high_bid >= b.hi AS up, p.low_bid <= b.lo AS down FROM placed p JOIN boxes b USING (box_date) WHERE p.since >= 180 AND p.since < 420 AND (p.high_bid >= b.hi OR p.low_bid <= b.lo)),
 first_hit AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY box_date ORDER BY bar) = 1),
 trade AS (SELECT box_date, bar AS entry_bar, up AS long, hi, lo, CASE WHEN up THEN greatest(hi, open_bid) + (open_ask - open_bid) + 0.05 ELSE least(lo, open_bid) - 0.05 END AS entry,
+  CASE WHEN up THEN lo ELSE hi + (open_ask - open_bid) END AS stop FROM first_hit WHERE NOT (up AND down))"""
+
+
+def _replay_sql(variants: str, chosen: str, placed: str) -> str:
+    """CTEs up to done, one row a variant and box that is chosen; variants: VALUES (variant, threshold, cost, slip, finish)."""
+    return placed + f""", variants(variant, threshold, cost, slip, finish) AS ({variants}),
+pick AS (SELECT b.*, v.* FROM boxes b, variants v WHERE {chosen}),
+pth AS (SELECT p.*, b.variant, b.hi, b.lo, b.cost, b.slip, b.finish, p.extreme OR p.jump OR p.spread_bad AS bad, p.since - lag(p.since) OVER (PARTITION BY b.variant, p.box_date ORDER BY p.bar) AS gap
+  FROM placed p JOIN pick b ON p.box_date = b.box_date WHERE p.since >= 180 AND p.since <= b.finish),
+whole AS (SELECT variant, box_date, count(*) >= 0.75 * ((max(finish) - 180) / 15.0 + 1) AND count(*) >= 2 AND bool_or(since = 180) AND bool_or(since = finish) AND coalesce(max(gap), 0) <= 75 AND NOT bool_or(bad) AS complete FROM pth GROUP BY 1, 2),
+first_hit AS (SELECT *, high_bid >= hi AS up, low_bid <= lo AS down FROM pth WHERE since < 420 AND (high_bid >= hi OR low_bid <= lo) QUALIFY row_number() OVER (PARTITION BY variant, box_date ORDER BY bar) = 1),
+trade AS (SELECT variant, box_date, bar AS entry_bar, up AS long, cost, CASE WHEN up THEN greatest(hi, open_bid) + (open_ask - open_bid) * cost + slip ELSE least(lo, open_bid) - slip END AS entry,
   CASE WHEN up THEN lo ELSE hi + (open_ask - open_bid) END AS stop FROM first_hit WHERE NOT (up AND down)),
-path AS (SELECT p.*, t.entry_bar, t.long, t.entry, t.stop, abs(t.entry - t.stop) AS risk FROM placed p JOIN trade t USING (box_date) WHERE p.bar >= t.entry_bar AND abs(t.entry - t.stop) > 0),
-stops AS (SELECT box_date, bar, CASE WHEN long THEN least(stop, open_bid) - 0.05 ELSE greatest(stop, open_ask) + 0.05 END AS fill FROM path WHERE since < 720 AND (CASE WHEN long THEN low_bid <= stop ELSE high_ask >= stop END) QUALIFY row_number() OVER (PARTITION BY box_date ORDER BY bar) = 1),
-times AS (SELECT box_date, bar, CASE WHEN long THEN open_bid - 0.05 ELSE open_ask + 0.05 END AS fill FROM path WHERE since = 720),
-done AS (SELECT t.*, abs(t.entry - t.stop) AS risk, s.bar IS NOT NULL AS stopped, coalesce(s.bar, x.bar) AS exit_bar, coalesce(s.fill, x.fill) AS exit FROM trade t LEFT JOIN stops s USING (box_date) LEFT JOIN times x USING (box_date))"""
+path AS (SELECT p.*, (p.cost - 1) * (p.open_ask - p.open_bid) / 2 AS extra, t.long, t.entry, t.stop, abs(t.entry - t.stop) AS risk FROM pth p JOIN trade t ON p.variant = t.variant AND p.box_date = t.box_date WHERE p.bar >= t.entry_bar AND abs(t.entry - t.stop) > 0),
+stops AS (SELECT variant, box_date, bar, CASE WHEN long THEN least(stop, open_bid - extra) - slip ELSE greatest(stop, open_ask + extra) + slip END AS fill FROM path
+  WHERE since < finish AND (CASE WHEN long THEN low_bid - extra <= stop ELSE high_ask + extra >= stop END) QUALIFY row_number() OVER (PARTITION BY variant, box_date ORDER BY bar) = 1),
+times AS (SELECT variant, box_date, bar, CASE WHEN long THEN open_bid - extra - slip ELSE open_ask + extra + slip END AS fill FROM path WHERE since = finish),
+moves AS (SELECT p.variant, p.box_date, greatest(0, max(CASE WHEN long THEN high_bid - entry ELSE entry - low_ask END / risk)) AS mfe, greatest(0, max(CASE WHEN long THEN entry - low_bid ELSE high_ask - entry END / risk)) AS mae
+  FROM path p LEFT JOIN stops s ON s.variant = p.variant AND s.box_date = p.box_date WHERE CASE WHEN s.bar IS NOT NULL THEN p.bar <= s.bar ELSE p.since < p.finish END GROUP BY 1, 2),
+done AS (SELECT k.variant, k.box_date, coalesce(w.complete, false) AS complete, f.bar IS NOT NULL AS broke, f.up AND f.down AS both_sides, t.entry_bar, t.long, t.entry, t.stop, abs(t.entry - t.stop) AS risk,
+  s.bar IS NOT NULL AS stopped, coalesce(s.bar, x.bar) AS exit_bar, coalesce(s.fill, x.fill) AS exit, m.mfe, m.mae, ((CASE WHEN t.long THEN 1 ELSE -1 END) * (coalesce(s.fill, x.fill) - t.entry) - 0.07 * k.cost) / abs(t.entry - t.stop) AS r
+  FROM pick k LEFT JOIN whole w USING (variant, box_date) LEFT JOIN first_hit f USING (variant, box_date) LEFT JOIN trade t USING (variant, box_date) LEFT JOIN stops s USING (variant, box_date) LEFT JOIN times x USING (variant, box_date) LEFT JOIN moves m USING (variant, box_date)),
+stated AS (SELECT *, CASE WHEN NOT complete THEN 'incomplete_execution_path' WHEN NOT broke THEN 'no_breakout' WHEN both_sides THEN 'ambiguous_entry' WHEN risk <= 0 THEN 'invalid_risk' WHEN exit IS NULL THEN 'missing_exit_quote' WHEN stopped THEN 'stop' ELSE 'time' END AS status FROM done)"""
+
+
+_REPLAY = _replay_sql("VALUES ('base', 1.2::DOUBLE, 1.0::DOUBLE, 0.05::DOUBLE, 720)", "true", _BOX)
+#: The tables' quotes are thinner than the feed for which the rules' own share of path bars is meant.
+THIN = RP.Rules(path_share=0.75)
 
 
 def _boxed(spark, sf):
@@ -48,9 +71,12 @@ def box_rel_width_bars(spark, sf):
     return b.select("box_date", r6("rel_width", "rel_width"))
 
 
-@query("path_complete", sql(_BOX, "SELECT box_date, count(*) AS n_path, count(*) >= 0.75 * 37 AND bool_or(since = 720) AS complete FROM placed WHERE since >= 180 GROUP BY 1"))
+_PATHS = _BOX + ", pth AS (SELECT *, extreme OR jump OR spread_bad AS bad, since - lag(since) OVER (PARTITION BY box_date ORDER BY bar) AS gap FROM placed WHERE since >= 180)"
+
+
+@query("path_complete", sql(_PATHS, "SELECT box_date, count(*) AS n_path, max(gap) AS largest_gap, bool_or(bad) AS suspect, count(*) >= 0.75 * 37 AND bool_or(since = 180) AND bool_or(since = 720) AND coalesce(max(gap), 0) <= 75 AND NOT bool_or(bad) AS complete FROM pth GROUP BY 1"))
 def path_complete(spark, sf):
-    return RP.path_quality(flagged(spark, sf)).select("box_date", "n_path", "complete")
+    return RP.path_quality(flagged(spark, sf), THIN).select("box_date", "n_path", F.col("largest_gap").cast("long").alias("largest_gap"), "suspect", "complete")
 
 
 @query("first_touch_entry", sql(_ENTRY, "SELECT b.box_date, f.bar AS entry_bar, CASE WHEN f.bar IS NULL THEN 'none' WHEN f.up AND f.down THEN 'ambiguous' WHEN f.up THEN 'long' ELSE 'short' END AS side FROM boxes b LEFT JOIN first_hit f USING (box_date)"))
@@ -70,29 +96,25 @@ def fill_price(spark, sf):
 def _replayed(spark, sf):
     """Every box, valid or not, wide or narrow: the queries compare the replay itself."""
     f, b = _boxed(spark, sf)
-    return RP.replay(f, b.withColumns({"valid": F.lit(True), "rel_width": F.lit(0.0)}))
+    return RP.replay(f, b.withColumns({"valid": F.lit(True), "rel_width": F.lit(0.0)}), THIN)
 
 
-@query("stop_or_time_exit", sql(_ENTRY, f"SELECT box_date, stopped, exit_bar IS NULL AS no_exit, {q6('exit', 'exit')} FROM done WHERE risk > 0"))
+@query("stop_or_time_exit", sql(_REPLAY, f"SELECT box_date, stopped, exit IS NULL AS no_exit, {q6('exit', 'exit')} FROM stated WHERE complete AND risk > 0"))
 def stop_or_time_exit(spark, sf):
     return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", "stopped", F.col("exit").isNull().alias("no_exit"), r6("exit", "exit"))
 
 
-_MOVES = _ENTRY + """, seen AS (SELECT p.* FROM path p JOIN done d USING (box_date) WHERE CASE WHEN d.stopped THEN p.bar <= d.exit_bar ELSE p.bar < d.exit_bar OR d.exit_bar IS NULL END),
-moves AS (SELECT box_date, greatest(0, max(CASE WHEN long THEN high_bid - entry ELSE entry - low_ask END / risk)) AS mfe, greatest(0, max(CASE WHEN long THEN entry - low_bid ELSE high_ask - entry END / risk)) AS mae FROM seen GROUP BY 1)"""
-
-
-@query("mfe_mae", sql(_MOVES, f"SELECT d.box_date, {q6('mfe', 'mfe')}, {q6('mae', 'mae')} FROM done d LEFT JOIN moves USING (box_date) WHERE risk > 0"))
+@query("mfe_mae", sql(_REPLAY, f"SELECT box_date, {q6('mfe', 'mfe')}, {q6('mae', 'mae')} FROM stated WHERE complete AND risk > 0"))
 def mfe_mae(spark, sf):
     return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", r6("mfe", "mfe"), r6("mae", "mae"))
 
 
-@query("trade_R", sql(_ENTRY, f"SELECT box_date, {q6('((CASE WHEN long THEN 1 ELSE -1 END) * (exit - entry) - 0.07) / risk', 'r')}, {q6('(epoch(exit_bar) - epoch(entry_bar)) / 60', 'minutes')} FROM done WHERE risk > 0"))
+@query("trade_R", sql(_REPLAY, f"SELECT box_date, {q6('r', 'r')}, {q6('(epoch(exit_bar) - epoch(entry_bar)) / 60', 'minutes')} FROM stated WHERE complete AND risk > 0"))
 def trade_R(spark, sf):
     return _replayed(spark, sf).where("risk IS NOT NULL").select("box_date", r6("r", "r"), r6("minutes", "minutes"))
 
 
-@query("status_counts", sql(_ENTRY, "SELECT status, count(*) AS n FROM (SELECT CASE WHEN f.bar IS NULL THEN 'no_breakout' WHEN f.up AND f.down THEN 'ambiguous_entry' WHEN d.risk IS NULL OR d.risk <= 0 THEN 'invalid_risk' WHEN d.exit IS NULL THEN 'missing_exit_quote' WHEN d.stopped THEN 'stop' ELSE 'time' END AS status FROM boxes b LEFT JOIN first_hit f USING (box_date) LEFT JOIN done d USING (box_date)) GROUP BY 1"))
+@query("status_counts", sql(_REPLAY, "SELECT status, count(*) AS n FROM stated GROUP BY 1"))
 def status_counts(spark, sf):
     return _replayed(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -186,14 +208,15 @@ def perf_metrics(spark, sf):
 
 
 VARIANTS = {f"{t}_{x}": {"threshold": t, "exit_hours": h} for t in (0.9, 1.0, 1.2) for x, h in (("0800", 9), ("1200", 13))} | {"cost_2": {"cost": 2.0}, "slip_25": {"slip": 0.25}}
+_SWEEP = _replay_sql(
+    "VALUES " + ", ".join(f"('{k}', {v.get('threshold', 1.2)}::DOUBLE, {v.get('cost', 1.0)}::DOUBLE, {v.get('slip', 0.05)}::DOUBLE, {(3 + v.get('exit_hours', 9)) * 60})" for k, v in VARIANTS.items()),
+    "b.valid AND b.rel_width < v.threshold", _BOX.replace("<= 720", "<= 960"))
 
 
-@query("param_sweep", None)
+@query("param_sweep", sql(_SWEEP, f"SELECT variant, count(*) AS boxes, count(CASE WHEN complete AND risk > 0 THEN r END) AS trades, {q6('sum(CASE WHEN complete AND risk > 0 THEN r END)', 'total_r')}, count(*) FILTER (status = 'stop') AS stops FROM stated GROUP BY 1"))
 def param_sweep(spark, sf):
-    # Eight replays read the same bars and boxes; a lost cached block is made again from the quotes.
-    f = flagged(spark, sf).persist()
-    b = RP.boxes(f).persist()
-    all_trades = RP.swept(f, b, RP.Rules(), VARIANTS)
+    f, b = _boxed(spark, sf)
+    all_trades = RP.swept(f, b, THIN, VARIANTS)
     return all_trades.groupBy("variant").agg(F.count("*").alias("boxes"), F.count("r").alias("trades"), r6(F.sum("r"), "total_r"), F.count_if(F.col("status") == "stop").alias("stops"))
 
 

@@ -134,7 +134,7 @@ def omega(z: np.ndarray, lags: int) -> np.ndarray:
     """Long-run variance of each row with Bartlett weights, floored at 0."""
     z = z - z.mean(1, keepdims=True)
     n = z.shape[1]
-    weights = [1.0] + [2 * (1 - k / (lags + 1)) for k in range(1, lags + 1)]
+    weights = [1.0] + [2 * (1 - k / (lags + 1)) for k in range(1, min(lags, n - 1) + 1)]
     return np.maximum(0, sum(w * (z[:, k:] * z[:, : n - k]).sum(1) / n for k, w in enumerate(weights)))
 
 

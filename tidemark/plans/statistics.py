@@ -80,18 +80,18 @@ def bh_fdr(spark, sf):
     return ST.benjamini_hochberg(t).select("test", r6("p", "p"), r6("q", "q"))
 
 
-_DRAWS = ", draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start FROM range(0, 200) d(draw), (SELECT count(*) AS n FROM v), range(0, 1000) kk(k) WHERE k < ceil(n / 10.0))"
+_DRAWS = ", draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start FROM range(0, 2000) d(draw), (SELECT count(*) AS n FROM v), range(0, 1000) kk(k) WHERE k < ceil(n / 10.0))"
 _NUM = ", num AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, a, count(*) OVER () AS n FROM v)"
 _BOOT = _V + _DRAWS + _NUM + ", boot AS (SELECT d.draw, avg(m.a) AS mean FROM draws d JOIN range(0, 10) j(j) ON d.k * 10 + j.j < (SELECT count(*) FROM v) JOIN num m ON m.t = (d.start + j.j) % m.n GROUP BY 1)"
 
 
-def _boot(spark, sf, draws: int = 200, block: int = 10):
-    v = valid(spark, sf)
-    n = v.count()
-    sums = R.circular_block_sums(v, "a", block, "date").select("t", "s", F.lit(block).alias("c"))
-    rest = n % block
-    last = R.circular_block_sums(v, "a", rest, "date").select("t", "s", F.lit(rest).alias("c")) if rest else None
-    return ST.bootstrap_means(sums, n // block, ST.circular_draws(n, block, draws, spark), last)
+#: Resamples of means and coefficients, of paired differences, and of shifts; valid resamples needed.
+DRAWS, PAIRED_DRAWS, SHIFTS, VALID_SHARE = 2000, 10_000, 2000, 0.99
+
+
+def _boot(spark, sf, block: int = 10):
+    s = ST.drawn_sums(valid(spark, sf).select("date", "a", F.lit(1.0).alias("c")), ["a", "c"], "date", block, DRAWS)
+    return s.select("draw", (F.col("a") / F.col("c")).alias("mean"))
 
 
 @query("block_boot_mean", sql(_BOOT, f"SELECT draw, {q6('mean', 'mean')} FROM boot"))
@@ -99,9 +99,21 @@ def block_boot_mean(spark, sf):
     return _boot(spark, sf).select("draw", r6("mean", "mean"))
 
 
-@query("paired_block_ci", sql(_BOOT, f"SELECT count(mean) AS draws, {q6('quantile_cont(mean, 0.025)', 'ci_low')}, {q6('quantile_cont(mean, 0.975)', 'ci_high')} FROM boot"))
+_PAIRED = _V + """, num AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, CASE WHEN d IS NOT NULL THEN a - l END AS x, count(*) OVER () AS n FROM daily),
+draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start, n FROM range(0, 10000) d(draw), (SELECT max(n) AS n FROM num), range(0, 1000) kk(k) WHERE k < ceil(n / 10.0)),
+boot AS (SELECT d.draw, avg(m.x) AS mean FROM draws d JOIN range(0, 10) j(j) ON d.k * 10 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % m.n GROUP BY 1)"""
+
+
+@query("paired_block_ci", sql(_PAIRED, f"SELECT count(mean) AS draws, {q6('quantile_cont(mean, 0.025)', 'ci_low')}, {q6('quantile_cont(mean, 0.975)', 'ci_high')} FROM boot"))
 def paired_block_ci(spark, sf):
-    return _boot(spark, sf).agg(F.count("mean").alias("draws"), r6(F.percentile("mean", 0.025), "ci_low"), r6(F.percentile("mean", 0.975), "ci_high"))
+    """Differences keep their calendar positions, unknown ones included; resamples without any known day don't count, and
+    too few that count are an error."""
+    x = daily(spark, sf).select("date", F.when(F.col("d").isNotNull(), F.col("a") - F.col("l")).alias("x"))
+    s = ST.drawn_sums(x.withColumn("c", F.col("x").isNotNull().cast("double")), ["x", "c"], "date", 10, PAIRED_DRAWS)
+    g = s.select(F.try_divide("x", "c").alias("mean")).agg(F.count("mean").alias("draws"), F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
+    enough = F.col("draws") >= VALID_SHARE * PAIRED_DRAWS
+    bound = lambda k: F.when(enough, F.col("ci")[k]).otherwise(F.raise_error(F.lit("too few resamples hold a known day")).cast("double"))
+    return g.select("draws", r6(bound(0), "ci_low"), r6(bound(1), "ci_high"))
 
 
 @query("boot_count_matrix", sql(_BOOT, f"SELECT {q6('avg(mean)', 'mean')}, {q6('stddev_samp(mean)', 'se')} FROM boot"))
@@ -109,29 +121,17 @@ def boot_count_matrix(spark, sf):
     return _boot(spark, sf).agg(r6(F.avg("mean"), "mean"), r6(F.stddev_samp("mean"), "se"))
 
 
-@query("block_boot_beta", None)
-def block_boot_beta(spark, sf):
-    return ST_block_boot_beta(logs(spark, sf), "ll", "lag_ll", "date").agg(F.count("*").alias("draws"), F.percentile("beta", 0.025).alias("ci_low"), F.percentile("beta", 0.975).alias("ci_high"))
+_BETA = _LOG + """, num AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, ll AS y, lag_ll AS u, la AS w, count(*) OVER () AS n FROM y),
+draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start, n FROM range(0, 2000) d(draw), (SELECT max(n) AS n FROM num), range(0, 1000) kk(k) WHERE k < ceil(n / 5.0)),
+sums AS (SELECT d.draw, count(*) AS c, sum(u * u) - sum(u) * sum(u) / count(*) AS uu, sum(w * w) - sum(w) * sum(w) / count(*) AS ww, sum(u * w) - sum(u) * sum(w) / count(*) AS uw, sum(u * y) - sum(u) * sum(y) / count(*) AS uy, sum(w * y) - sum(w) * sum(y) / count(*) AS wy
+  FROM draws d JOIN range(0, 5) j(j) ON d.k * 5 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % m.n GROUP BY 1),
+boot AS (SELECT (ww * uy - uw * wy) / (uu * ww - uw * uw) AS beta FROM sums)"""
 
 
-def ST_block_boot_beta(rows, y, x, on, draws: int = 2000, block: int = 5):
-    """Slopes of resampled series from circular block sums of x, y, xx, xy: the same join as for means."""
-    n = rows.count()
-    parts = rows.select(on, F.lit(1.0).alias("one"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col(x) * F.col(x)).alias("xx"), (F.col(x) * F.col(y)).alias("xy"))
-
-    def sums(width):
-        out = None
-        for c in ("one", "x", "y", "xx", "xy"):
-            s = R.circular_block_sums(parts, c, width, on).select("t", F.col("s").alias(c))
-            out = s if out is None else out.join(s, "t")
-        return out
-
-    d = ST.circular_draws(n, block, draws, rows.sparkSession)
-    whole = d.where(F.col("k") < n // block).join(sums(block), F.col("start") == F.col("t"))
-    if n % block:
-        whole = whole.unionByName(d.where(F.col("k") == n // block).join(sums(n % block), F.col("start") == F.col("t")))
-    s = whole.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("one", "x", "y", "xx", "xy")])
-    return s.select("draw", F.try_divide(F.col("one") * F.col("xy") - F.col("x") * F.col("y"), F.col("one") * F.col("xx") - F.col("x") * F.col("x")).alias("beta"))
+@query("block_boot_beta", sql(_BETA, f"SELECT count(beta) AS draws, {q6('quantile_cont(beta, 0.025)', 'ci_low')}, {q6('quantile_cont(beta, 0.975)', 'ci_high')} FROM boot"))
+def block_boot_beta(spark, sf):
+    b = ST.bootstrap_coefficients(logs(spark, sf), "ll", ["lag_ll", "la"], "lag_ll", "date", draws=DRAWS)
+    return b.agg(F.count("beta").alias("draws"), r6(F.percentile("beta", 0.025), "ci_low"), r6(F.percentile("beta", 0.975), "ci_high"))
 
 
 @query("assoc_simple", sql(_LOG, f"SELECT year(date)::INTEGER AS year, count(*) AS n, {q6('regr_slope(ll, la)', 'slope')}, {q6('regr_r2(ll, la)', 'r2')} FROM y GROUP BY 1 HAVING count(*) > 20"))
@@ -152,18 +152,25 @@ def se_circular(spark, sf):
     return whole.crossJoin(last).select(r6(F.sqrt(F.lit(n // 10) * F.col("whole") + F.col("last")) / n, "se"))
 
 
-@query("circ_shift_perm", sql(_V + ", k AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY l) AS rl, count(*) OVER () AS n FROM v), sh AS (SELECT s, CAST('0x' || substr(md5('shift:' || s), 1, 8) AS BIGINT) % n AS sh FROM range(0, 20) r(s), (SELECT count(*) AS n FROM v))", f"SELECT s AS shift_id, {q6('corr(x.ra, y.rl)', 'rho')} FROM sh JOIN k x ON true JOIN k y ON y.t = (x.t + sh.sh) % x.n GROUP BY 1"))
+_SHIFT = _V + """, k AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY l) AS rl, count(*) OVER () AS n FROM v),
+sh AS (SELECT s, (10 + CAST('0x' || substr(md5('shift:' || s), 1, 8) AS BIGINT) % greatest(n - 20, 1)) % n AS sh FROM range(0, 2000) r(s), (SELECT count(*) AS n FROM v)),
+p AS (SELECT s, corr(x.ra, y.rl) AS rho FROM sh JOIN k x ON true JOIN k y ON y.t = (x.t + sh.sh) % x.n GROUP BY 1)"""
+
+
+@query("circ_shift_perm", sql(_SHIFT, f"SELECT (SELECT count(*) FROM p) AS shifts, {q6('o.rho', 'rho')}, {q6('(1 + (SELECT count(*) FROM p WHERE round(abs(p.rho), 9) >= round(abs(o.rho), 9))) / 2001.0::DOUBLE', 'p')} FROM (SELECT corr(ra, rl) AS rho FROM k) o"))
 def circ_shift_perm(spark, sf):
+    """Rank correlation, and the share of series shifted around their end (by 10 days at least) that reach it."""
     from ..functions.moments import average_rank
 
     v = average_rank(average_rank(valid(spark, sf), "a", "ra"), "l", "rl")
-    n = v.count()
     k = v.select((F.row_number().over(R.ordered("date")) - 1).alias("t"), "ra", "rl")
-    shift = F.conv(F.substring(F.md5(F.concat(F.lit("shift:"), F.col("shift_id").cast("string"))), 1, 8), 16, 10).cast("long") % n
+    n, rho = k.agg(F.count("*"), F.corr("ra", "rl")).head()
+    shift = (10 + F.conv(F.substring(F.md5(F.concat(F.lit("shift:"), F.col("shift_id").cast("string"))), 1, 8), 16, 10).cast("long") % max(n - 20, 1)) % max(n, 1)
     # Every row meets one partner for each of a fixed number of shifts.
-    moved = k.select("t", "ra", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("shift_id")).withColumn("u", (F.col("t") + shift) % n)
-    pairs = moved.join(k.select(F.col("t").alias("u"), "rl"), "u")
-    return pairs.groupBy(F.col("shift_id").cast("long").alias("shift_id")).agg(r6(F.corr("ra", "rl"), "rho"))
+    moved = k.select("t", "ra", F.explode(F.sequence(F.lit(0), F.lit(SHIFTS - 1))).alias("shift_id")).withColumn("u", (F.col("t") + shift) % max(n, 1))
+    each = moved.join(k.select(F.col("t").alias("u"), "rl"), "u").groupBy("shift_id").agg(F.corr("ra", "rl").alias("rho"))
+    reached = F.round(F.abs("rho"), 9) >= F.round(F.abs(F.lit(rho).cast("double")), 9)
+    return each.agg(F.count("*").alias("shifts"), r6(F.lit(rho).cast("double"), "rho"), r6((1 + F.count_if(reached)) / F.lit(SHIFTS + 1.0), "p"))
 
 
 @query("extreme_directed", sql(_V + ", z AS (SELECT (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS z, l - avg(l) OVER () AS y FROM v)", f"SELECT count(*) AS n, {q6('avg(sign(z) * y)', 'mean_directed')}, {q6('avg((sign(z) * y > 0)::INTEGER)', 'hit_rate')} FROM z WHERE abs(z) >= 1.5"))
