@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -19,6 +20,8 @@ from tidemark.operators import risk as K
 from tidemark.operators import rolling as R
 from tidemark.operators import sessions as S
 from tidemark.operators import simulate as SIM
+from tidemark.plans import events_and_risk, registry
+from tidemark.sources import market
 from tidemark.sources import files as FS
 
 T0 = datetime.datetime(2016, 1, 4, 4, 0)
@@ -466,21 +469,33 @@ def test_benjamini_hochberg_is_monotone(spark):
 
 
 def test_random_draws_are_as_many_as_the_reference_has(spark):
-    import os
-
-    from tidemark.plans import registry
-
     sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
     assert {(r["block"], r["draws"]) for r in registry.QUERIES["lrv_upper_boot"](spark, sf).collect()} == {(5, 2000), (10, 2000), (20, 2000)}
     assert registry.QUERIES["block_boot_beta"](spark, sf).head()["draws"] == 2000 and registry.QUERIES["paired_block_ci"](spark, sf).head()["draws"] == 10_000
     assert registry.QUERIES["circ_shift_perm"](spark, sf).head()["shifts"] == 2000 and registry.QUERIES["block_boot_mean"](spark, sf).count() == 2000
-    from tidemark.plans import events_and_risk
-
     assert events_and_risk.MC_PATHS == 10_000
 
 
+def test_monte_carlo_query_resamples_all_books(spark, monkeypatch):
+    """The registered query, on few paths, from the draws of its own trades."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(events_and_risk, "MC_PATHS", 40)
+    t = market.trades(spark, sf)
+    days = K.daily_returns(t.withColumn("fraction", F.lit(1.0)), ("book",))
+    paths = {}
+    for r in K.draws(t, days, 40).collect():
+        paths.setdefault((r["method"], r["path"]), np.zeros(252))[r["t"]] = r["x"]
+    rows = registry.QUERIES["mc_iid_block"](spark, sf).collect()
+    assert len(rows) == 8
+    for r in rows:
+        each = [year_by_day(v, r["risk"]) for (m, _), v in paths.items() if m == r["method"]]
+        assert r["paths"] == 40 and r["mean_equity"] == pytest.approx(np.mean([e["terminal"] for e in each])) and r["max_drawdown_p95"] == pytest.approx(np.quantile([e["max_drawdown"] for e in each], 0.95))
+
+
 # Streaming
 
 

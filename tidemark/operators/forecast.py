@@ -36,14 +36,15 @@ def ledger(daily: DataFrame) -> DataFrame:
     return out.withColumn("eligible", eligible)
 
 
-def forecasts(ledger: DataFrame, train_until, min_train: int = 400, models: dict = MODELS) -> DataFrame:
-    """(date, model, mode, actual, forecast): expanding refits up to train_until, frozen coefficients after it.
+def forecasts(ledger: DataFrame, train_until, min_train: int = 400, models: dict = MODELS, series: str | None = None) -> DataFrame:
+    """(series, date, model, mode, actual, forecast): expanding refits up to train_until, frozen coefficients after it.
 
-    One series is one group of a few thousand rows: refits and the mean of exponential residuals, which no running sum
-    gives, are solved there; many series run side by side.
+    series names the column that keeps series apart; without it the ledger is one. A series is a group of a few thousand
+    rows. Its refits come from running cross-products; the mean of exponential residuals has no running sum.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf["_series"].iloc[0]
         pdf = pdf[pdf.eligible].sort_values("date").reset_index(drop=True)
         y, known = pdf.log_l.to_numpy(float), pdf.log_l.notna().to_numpy()
         early = (pdf.date <= train_until).to_numpy()
@@ -51,20 +52,25 @@ def forecasts(ledger: DataFrame, train_until, min_train: int = 400, models: dict
         for name, cols in models.items():
             x = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(float) for c in cols]])
 
-            def fit(rows):
-                b, *_ = np.linalg.lstsq(x[rows], y[rows], rcond=None)
-                return b, float(np.exp(y[rows] - x[rows] @ b).mean())
+            xk, yk = x[known], y[known]
+            gram = np.cumsum(xk[:, :, None] * xk[:, None, :], axis=0)
+            cross = np.cumsum(xk * yk[:, None], axis=0)
 
-            for t in np.flatnonzero(early):
-                rows = np.flatnonzero(known[:t])
-                if len(rows) >= min_train:
-                    b, smear = fit(rows)
-                    out.append((pdf.date[t], name, "expanding", pdf.actual[t], max(FLOOR, float(np.exp(x[t] @ b)) * smear)))
-            rows = np.flatnonzero(known & early)
-            if len(rows) >= min_train:
-                b, smear = fit(rows)
-                value = np.maximum(FLOOR, np.exp(x @ b) * smear)
-                out += [(pdf.date[t], name, "frozen", pdf.actual[t], float(value[t])) for t in np.flatnonzero(~early)]
-        return pd.DataFrame(out, columns=["date", "model", "mode", "actual", "forecast"])
+            def value(at: np.ndarray, m: int) -> np.ndarray:
+                """Forecasts of these rows from the first m known ones."""
+                b = np.linalg.solve(gram[m - 1], cross[m - 1])
+                return np.maximum(FLOOR, np.exp(x[at] @ b) * np.exp(yk[:m] - xk[:m] @ b).mean())
 
-    return ledger.withColumn("series", F.lit(0)).groupBy("series").applyInPandas(run, "date date, model string, mode string, actual double, forecast double")
+            before = np.cumsum(known) - known
+            for t in np.flatnonzero(early & (before >= min_train)):
+                out.append((pdf.date[t], name, "expanding", pdf.actual[t], float(value(np.array([t]), before[t])[0])))
+            m = int((known & early).sum())
+            if m >= min_train and (~early).any():
+                late = np.flatnonzero(~early)
+                out += [(pdf.date[t], name, "frozen", pdf.actual[t], float(v)) for t, v in zip(late, value(late, m))]
+        return pd.DataFrame(out, columns=["date", "model", "mode", "actual", "forecast"]).assign(series=key)[["series", "date", "model", "mode", "actual", "forecast"]]
+
+    kind = ledger.schema[series].dataType.simpleString() if series else "int"
+    one = ledger.withColumn("_series", F.col(series) if series else F.lit(0))
+    out = one.groupBy("_series").applyInPandas(run, f"series {kind}, date date, model string, mode string, actual double, forecast double")
+    return out if series else out.drop("series")

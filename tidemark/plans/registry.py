@@ -17,10 +17,14 @@ def query(name: str, oracle: str | None = None):
 
         @functools.wraps(f)
         def run(spark, sf_dir):
-            # Timestamps carry no zone and mean UTC; epoch arithmetic on them goes through the session's zone.
-            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-                spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
+            # Timestamps carry no zone and mean UTC; epoch arithmetic on them goes through the session's zone, which a
+            # plan takes over when it is analysed: here. The user's zone stands again afterwards.
+            zone = spark.conf.get("spark.sql.session.timeZone")
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            try:
+                return f(spark, sf_dir)
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", zone)
 
         QUERIES[name] = run
         if oracle is not None:

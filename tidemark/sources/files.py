@@ -17,8 +17,13 @@ CANDLES = "struct<instrument:string,granularity:string,candles:array<struct<time
 
 
 def staging(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or under /tmp where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path in the folder that all executors share, spark.checkpoint.dir. Only a session on this machine alone may
+    leave that unset: then it is a folder under /tmp."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
