@@ -24,7 +24,7 @@ def brute(texts, trained, vocab):
     def ids(x):
         buf, off = text_buffer(pa.array([x]))
         s, e, _ = words(buf, off)
-        return L.token_ids(buf, s, e, vocab).tolist()
+        return L.token_ids(buf, s, e, L.by_hash(vocab)).tolist()
 
     pairs = Counter()
     for x in trained:
@@ -35,8 +35,8 @@ def brute(texts, trained, vocab):
     contexts = defaultdict(set)
     for v, w in pairs:
         contexts[w].add(v)
-    n = np.array([len(contexts.get(k, ())) for k in range(1 << 16)])
     size = len(vocab) + L.SHAPES
+    n = np.array([len(contexts.get(k, ())) for k in range(size)])
     q = L.lower_order(n, size)
     total, held = Counter(), defaultdict(float)
     for (v, _), c in pairs.items():
@@ -80,18 +80,23 @@ def test_probabilities_sum_to_one():
     vocab = np.sort(np.array([], np.uint64))
     _, q, d, pairs = brute([], [x for _, x in good], vocab)
     assert q[: L.SHAPES].sum() == pytest.approx(1)
-    codes = np.sort(np.array([v << 16 | w for v, w in pairs], np.uint64))
-    counts = np.array([pairs[int(c) >> 16, int(c) & 0xFFFF] for c in codes])
-    for v in {int(c) >> 16 for c in codes}:
-        asked = np.array([v << 16 | w for w in range(L.SHAPES)], np.uint64)
+    codes = np.sort(np.array([v << L.WORD_BITS | w for v, w in pairs], np.uint64))
+    counts = np.array([pairs[int(c) >> L.WORD_BITS, int(c) & L.START] for c in codes])
+    for v in {int(c) >> L.WORD_BITS for c in codes}:
+        asked = np.array([v << L.WORD_BITS | w for w in range(L.SHAPES)], np.uint64)
         assert np.exp(L.log_probabilities(codes, counts, asked, d, q)).sum() == pytest.approx(1)
 
 
-def test_thresholds_by_language_reject_foreign_text(spark, make, monkeypatch):
-    monkeypatch.setattr(L, "MIN_HELD", 5)
+def test_vocabulary_is_all_that_occurs_twice_or_the_commonest(make):
+    docs = make([(1, "a a a b b c c d"), (2, "a e e")]).select("text")
+    assert len(L.vocabulary(docs)) == 4 and len(L.vocabulary(docs, 3)) == 1 and len(L.vocabulary(docs, 4)) == 4
+    assert L.vocabulary(docs, 3)[0] == L.vocabulary(docs)[0] and len(L.vocabulary(docs, 0)) == 0
+
+
+def test_thresholds_by_language_reject_foreign_text(spark, make):
     good, bad = corpus()
     docs = make([(k, x, "en" if k % 2 else "de") for k, x in good] + [(k, x, "en") for k, x in bad])
-    got = {r["doc_id"]: r for r in L.classify(docs, spark.createDataFrame([(k,) for k, _ in good], "doc_id long")).collect()}
+    got = {r["doc_id"]: r for r in L.classify(docs, spark.createDataFrame([(k,) for k, _ in good], "doc_id long"), min_held=5).collect()}
     assert not any(got[k]["kept"] for k, _ in bad) and np.mean([got[k]["kept"] for k, _ in good]) > 0.95
     assert len({r["threshold"] for r in got.values()}) == 2
 

@@ -1,19 +1,21 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-The vocabulary is the VOCABULARY commonest words of all texts; any other word is one of a few shapes (lower case,
-capitalised, upper case, with digits, with symbols). Word ids fit 16 bits, and documents move as packed ids in blocks.
+The vocabulary is every word of all texts that occurs twice, up to VOCABULARY of the commonest (what executors hold: 12
+bytes a word); any other word is one of a few shapes (lower case, capitalised, upper case, with digits, with symbols).
+Documents move as packed word ids in blocks.
 
 Counts are sharded by the context word: a shard has all that follows a word, at most VOCABULARY + shapes entries, so it
 knows the word's total and how many followers were seen once, twice and more. Each block asks each shard once for every
 distinct pair its documents hold, and gets log probabilities back: what moves grows with the corpus, and a very common
-pair costs one entry a block. Log probabilities travel as sixteen bits, steps of 1/2048 nat.
+pair costs one entry a block. Log probabilities travel as sixteen bits, steps of 1/2048 nat. Shards answer in WAVES, one
+after the other, so that only a part of the questions and answers takes up disk at a time.
 
     p(w | v) = max(c(v w) - D(c), 0) / c(v) + gamma(v) * q(w),   gamma(v) = (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v)
     q(w)     = max(N(. w) - D'(N), 0) / N(. .) + gamma' / |V|,   discounts from counts of counts
 
 Trusted documents of every FOLDS-th hash are not trained on; a language's threshold is a quantile of their perplexity
 (a sketch of bounded size), so that text as good as trusted text is rejected as rarely as the quantile says. Languages
-with fewer than MIN_HELD such documents take the quantile of all languages together.
+with fewer than min_held such documents take the quantile of all languages together: a quantile of so few is one of them.
 
 Defined cases: a null text counts as empty; a text without words has null perplexity and is not kept; a null language
 is one of its own; rows with equal ids are different documents, trusted alike; a null id is never trusted; without
@@ -31,16 +33,20 @@ from pyspark.sql import functions as F
 
 from .arrow import each_piece
 from .packed import block_bytes, pack, pack_sorted, unpack, unpack_sorted
-from .shared import freeing_shuffles, written
+from .shared import discard, freeing_shuffles, written
 from .tokens import _mix, span_hashes, text_buffer, words
 
-VOCABULARY = 65_000
+VOCABULARY = 1 << 22
 SHAPES = 5
-#: The context of a text's first word.
-START = 65_535
+#: Bits of a word id, and the id that stands before a text's first word.
+WORD_BITS = 23
+START = (1 << WORD_BITS) - 1
+_SHIFT, _WORD = np.uint64(WORD_BITS), np.uint64(START)
 FOLDS = 5
 QUANTILE = 0.995
 MIN_HELD = 50
+#: Parts in which shards are asked, one after the other.
+WAVES = 3
 #: Shards of context words: at least, and words a shard beyond.
 SHARDS, SHARD_WORDS = 128, 8_000_000
 #: Words of a shard that one group takes; beyond that a shard's blocks are dealt to several groups.
@@ -61,10 +67,14 @@ def _word_counts(batches):
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the commonest words of all texts, the commonest first; at most size rows reach the driver."""
-    with freeing_shuffles(texts.sparkSession):
-        total = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-        top = written(total.orderBy(F.desc("n"), "word").limit(size), "vocabulary").toArrow()
+    """Hashes of the words that occur twice, the commonest first: all of them, or if these are more than size, all that
+    occur so often that at most size are left. At most size rows reach the driver."""
+    total = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    total = written(total, "words")
+    # One row for each different count: some square root of the words.
+    often, words_ = (np.asarray(c.combine_chunks()) for c in total.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toArrow().columns)
+    fits = often[np.cumsum(words_) <= size]
+    top = total.where(F.col("n") >= int(fits[-1])).toArrow() if len(fits) else total.limit(0).toArrow()
     word, n = (np.asarray(top[c].combine_chunks().to_numpy(zero_copy_only=False), np.int64) for c in ("word", "n"))
     return word[np.lexsort((word, -n))].view(np.uint64)
 
@@ -79,15 +89,21 @@ _UPPER, _DIGIT = _flag(bytes(range(65, 91))), _flag(bytes(range(48, 58)))
 _PLAIN = _flag(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *b".,;:!?'\"()-"]))
 
 
-def token_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """The shape of words outside the vocabulary (0 .. SHAPES - 1), else SHAPES + the word's rank in it.
+def by_hash(vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary's hashes in order, and the rank of each."""
+    order = np.argsort(vocab)
+    return vocab[order], order.astype(np.uint32)
+
+
+def token_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, ordered: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shape of words outside the vocabulary (0 .. SHAPES - 1), else SHAPES + the word's rank in it; ordered: by_hash().
 
     Common words have small ids, so packed ids and pairs are small.
     """
-    h, order = span_hashes(buf, starts, ends), np.argsort(vocab)
-    at = np.minimum(np.searchsorted(vocab, h, sorter=order), max(len(vocab) - 1, 0))
-    rank = order[at] if len(vocab) else at
-    known = vocab[rank] == h if len(vocab) else np.zeros(len(h), dtype=bool)
+    h, (hashes, ranks) = span_hashes(buf, starts, ends), ordered
+    at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+    rank = ranks[at] if len(hashes) else at
+    known = hashes[at] == h if len(hashes) else np.zeros(len(h), dtype=bool)
 
     def share(flags):
         total = np.zeros(len(buf) + 1, np.int64)
@@ -97,12 +113,12 @@ def token_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: np.n
     upper, digits, plain, size = share(_UPPER), share(_DIGIT), share(_PLAIN), ends - starts
     first = _UPPER[buf[starts]] if len(starts) else starts
     shape = np.where(plain < size, 4, np.where(digits > 0, 3, np.where(2 * upper >= size, 2, np.where(first == 1, 1, 0))))
-    return np.where(known, rank + SHAPES, shape).astype(np.uint16)
+    return np.where(known, rank + np.uint32(SHAPES), shape).astype(np.uint32)
 
 
 def token_blocks(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
     """Blocks of documents as packed word ids, in a table. docs: id, lang, text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(vocab)
+    shipped = docs.sparkSession.sparkContext.broadcast(by_hash(vocab))
     limit = 2 * block_bytes(docs.select("text"))
 
     def run(batches):
@@ -122,18 +138,18 @@ def token_blocks(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """context << 16 | word for every word; a text's first word follows START."""
+    """context << WORD_BITS | word for every word; a text's first word follows START."""
     before = np.empty(len(tokens), np.uint64)
     if len(tokens):
         before[1:] = tokens[:-1]
         starts = np.cumsum(sizes) - sizes
         before[starts[sizes > 0]] = START
-    return before << np.uint64(16) | tokens.astype(np.uint64)
+    return before << _SHIFT | tokens.astype(np.uint64)
 
 
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     """By context word."""
-    return _mix((codes >> np.uint64(16)) + np.uint64(1)) % np.uint64(shards)
+    return _mix((codes >> _SHIFT) + np.uint64(1)) % np.uint64(shards)
 
 
 def _by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +186,7 @@ def _statistics(batches):
     """(kind, key, n): kind 0 counts of pairs counted 1 .. 4 times; kind 1 different contexts of a word."""
     for row in _rows(batches):
         codes, n = unpack_sorted(row["codes"]), unpack(row["more"], np.int64)
-        word, contexts = np.unique(codes & np.uint64(0xFFFF), return_counts=True)
+        word, contexts = np.unique(codes & _WORD, return_counts=True)
         often = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
         yield pa.RecordBatch.from_arrays([pa.array([0] * 4 + [1] * len(word), pa.int32()), pa.array(np.concatenate([np.arange(1, 5), word.astype(np.int64)])), pa.array(np.concatenate([often, contexts]).astype(np.int64))], names=["kind", "key", "n"])
 
@@ -196,15 +212,15 @@ def lower_order(contexts: np.ndarray, size: int) -> np.ndarray:
 
 def log_probabilities(codes: np.ndarray, counts: np.ndarray, asked: np.ndarray, d: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Natural log of p(w | v) for asked pairs, from the sorted pairs and counts of a shard."""
-    base = q[(asked & np.uint64(0xFFFF)).astype(np.int64)]
+    base = q[(asked & _WORD).astype(np.int64)]
     if not len(codes):
         return np.log(base)
-    context = codes >> np.uint64(16)
+    context = codes >> _SHIFT
     at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     total = np.add.reduceat(counts, at).astype(np.float64)
     held = np.add.reduceat(d[np.minimum(counts, 3)], at)
-    place = np.minimum(np.searchsorted(context[at], asked >> np.uint64(16)), len(at) - 1)
-    seen = context[at][place] == asked >> np.uint64(16)
+    place = np.minimum(np.searchsorted(context[at], asked >> _SHIFT), len(at) - 1)
+    seen = context[at][place] == asked >> _SHIFT
     pair = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
     n = np.where(codes[pair] == asked, counts[pair], 0)
     own = np.maximum(n - d[np.minimum(n, 3)], 0) / total[place]
@@ -218,15 +234,16 @@ def _quantised(log_p: np.ndarray) -> np.ndarray:
 _MODEL = "shard int, codes binary, more binary"
 
 
-def train(blocks: DataFrame, trusted: DataFrame, shards: int, groups: int) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
-    """The sharded counts of the trusted documents' pairs, the discounts, q, and how many documents there are."""
+def train(blocks: DataFrame, trusted: DataFrame, shards: int, groups: int, size: int) -> tuple[DataFrame, np.ndarray, np.ndarray, bool]:
+    """The sharded counts of the trusted documents' pairs, the discounts, each word's different contexts (size words), and
+    whether there are any."""
     spark = blocks.sparkSession
     where = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(trusted, "id").where("NOT held")
     lists = where.groupBy("block").agg(F.collect_list("pos").alias("chosen"))
 
     def count(batches):
         for row in _rows(batches):
-            sizes, tokens = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["tokens"], np.uint16)
+            sizes, tokens = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["tokens"], np.uint32)
             chosen = np.zeros(len(sizes), dtype=bool)
             chosen[row["chosen"]] = True
             code, n = np.unique(_pairs(tokens, sizes)[np.repeat(chosen, sizes)], return_counts=True)
@@ -237,14 +254,13 @@ def train(blocks: DataFrame, trusted: DataFrame, shards: int, groups: int) -> tu
         if groups > 1:
             sent = sent.groupBy("shard", F.pmod(F.xxhash64("block"), F.lit(groups))).applyInArrow(_merged, _MODEL)
         model = written(sent.groupBy("shard").applyInArrow(_merged, _MODEL), "model")
-        # 4 counts of counts and one row for each word id, at most 65,536.
-        found = model.mapInArrow(_statistics, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
-    often = {r["key"]: r["n"] for r in found if r["kind"] == 0}
-    contexts = np.zeros(1 << 16, np.int64)
-    for r in found:
-        if r["kind"] == 1:
-            contexts[r["key"]] = r["n"]
-    return model, discounts(*[float(often.get(k, 0)) for k in (1, 2, 3, 4)]), contexts, len(often)
+        # 4 counts of counts and one row for each word of the vocabulary.
+        found = model.mapInArrow(_statistics, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, key, n = (np.asarray(c.combine_chunks()) for c in found.columns)
+    often = dict(zip(key[kind == 0].tolist(), n[kind == 0].tolist()))
+    contexts = np.zeros(size, np.int64)
+    contexts[key[kind == 1]] = n[kind == 1]
+    return model, discounts(*[float(often.get(k, 0)) for k in (1, 2, 3, 4)]), contexts, bool(often)
 
 
 def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarray, shards: int, groups: int) -> DataFrame:
@@ -252,11 +268,6 @@ def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarr
     spark = blocks.sparkSession
     shipped = spark.sparkContext.broadcast((d, q))
 
-    def ask(batches):
-        for row in _rows(batches):
-            codes = np.unique(_pairs(unpack(row["tokens"], np.uint16), unpack(row["sizes"], np.uint32).astype(np.int64)))
-            yield _send(row["block"], codes, None, shards)
-
     def answer(rows: pa.Table) -> pa.Table:
         d, q = shipped.value
         codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -270,31 +281,56 @@ def perplexities(blocks: DataFrame, model: DataFrame, d: np.ndarray, q: np.ndarr
         shard = rows["shard"][0].as_py()
         return pa.table({"block": pa.array([b for b, _ in asked], pa.int64()), "shard": pa.array([shard] * len(asked), pa.int32()), "values": pa.array(told, pa.binary())})
 
-    def total(batches):
-        for row in _rows(batches):
-            sizes, tokens = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["tokens"], np.uint16)
-            codes, back = np.unique(_pairs(tokens, sizes), return_inverse=True)
-            order, edge = _by_shard(codes, shards)
-            value = np.zeros(len(codes))
-            for part in row["told"] or []:
-                value[order[edge[part["shard"]] : edge[part["shard"] + 1]]] = unpack(part["values"], np.uint16) / _STEP
-            cost = np.zeros(len(tokens) + 1)
-            np.cumsum(value[back], out=cost[1:])
-            ends = np.cumsum(sizes)
-            log_prob = -(cost[ends] - cost[ends - sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(sizes), pa.array(log_prob)], names=["id", "lang", "n_words", "log_prob"])
-
-    requests = blocks.mapInArrow(ask, _SENT).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    def wave_of(row: dict, wave: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of a block's words, which of them this wave asks for, and the words of each document."""
+        sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
+        pairs = _pairs(unpack(row["tokens"], np.uint32), sizes)
+        return pairs, shard_of(pairs, shards) % np.uint64(WAVES) == np.uint64(wave), sizes
+
+    def asking(wave: int):
+        def ask(batches):
+            for row in _rows(batches):
+                pairs, mine, _ = wave_of(row, wave)
+                yield _send(row["block"], np.unique(pairs[mine]), None, shards)
+
+        return ask
+
+    def totalling(wave: int):
+        def total(batches):
+            for row in _rows(batches):
+                pairs, mine, sizes = wave_of(row, wave)
+                codes, back = np.unique(pairs[mine], return_inverse=True)
+                order, edge = _by_shard(codes, shards)
+                value = np.zeros(len(codes))
+                for part in row["told"] or []:
+                    value[order[edge[part["shard"]] : edge[part["shard"] + 1]]] = unpack(part["values"], np.uint16) / _STEP
+                cost = np.zeros(len(pairs) + 1)
+                cost[1:][mine] = value[back]
+                np.cumsum(cost, out=cost)
+                ends = np.cumsum(sizes)
+                log_prob = -(cost[ends] - cost[ends - sizes])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(sizes), pa.int64()), pa.array(np.arange(len(sizes), dtype=np.int32)), pa.array(row["ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(sizes), pa.array(log_prob)], names=["block", "pos", "id", "lang", "n_words", "log_prob"])
+
+        return total
+
     # A shard's counts are at most some contexts' followers; each of its groups gets them.
     known = model.select("shard", F.lit(None).cast("long").alias("block"), "codes", "more", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    replies = requests.union(known).groupBy("shard", "part").applyInArrow(answer, "block long, shard int, values binary")
+    parts = []
     with freeing_shuffles(spark):
-        replies = written(replies, "answers")
-        told = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("told"))
-        return written(blocks.join(told, "block", "left").mapInArrow(total, "id long, lang string, n_words long, log_prob double"), "scores")
-
-
-def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, shards: int | None = None) -> DataFrame:
+        for wave in range(WAVES):
+            requests = blocks.mapInArrow(asking(wave), _SENT).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+            replies = written(requests.union(known.where(F.col("shard") % WAVES == wave)).groupBy("shard", "part").applyInArrow(answer, "block long, shard int, values binary"), "answers")
+            told = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("told"))
+            parts.append(written(blocks.join(told, "block", "left").mapInArrow(totalling(wave), "block long, pos int, id long, lang string, n_words long, log_prob double"), "scores"))
+            discard(replies)
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    whole = rows.groupBy("block", "pos").agg(F.first("id").alias("id"), F.first("lang").alias("lang"), F.first("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob"))
+    return written(whole.drop("block", "pos"), "scores")
+
+
+def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, shards: int | None = None, min_held: int = MIN_HELD) -> DataFrame:
     """(doc_id, lang, n_words, log_prob, perplexity, threshold, kept). trusted: one column, the ids of trusted documents."""
     cols = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     vocab = vocabulary(cols.select("text"))
@@ -304,14 +340,15 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", lang:
     groups = max(1, math.ceil(total / shards / GROUP_WORDS))
     held = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)) == 0
     marks = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("held", held)
-    model, d, contexts, trained = train(blocks, marks, shards, groups)
-    scored = perplexities(blocks, model, d, lower_order(contexts, len(vocab) + SHAPES), shards, groups)
+    size = len(vocab) + SHAPES
+    model, d, contexts, trained = train(blocks, marks, shards, groups, size)
+    scored = perplexities(blocks, model, d, lower_order(contexts, size), shards, groups)
     scored = scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))))
 
     sample = scored.where("n_words > 0").join(marks.where("held"), "id", "left_semi")
     sketch = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     # One row a language, and one for all: the sketch holds so many values at most.
-    each = sample.groupBy("lang").agg(sketch.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_HELD)
+    each = sample.groupBy("lang").agg(sketch.alias("own"), F.count("*").alias("n")).where(F.col("n") >= min_held)
     overall = sample.agg(sketch).head()[0] if trained else None
     key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
     limits = each.select(key.alias("_lang"), "own")
