@@ -151,6 +151,22 @@ def test_the_future_cannot_reach_the_past(spark):
     assert a == b and a[79][4] is True
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_as_of_looks_back_over_months_within_its_group(spark, strict):
+    rng = np.random.default_rng(4)
+    day = lambda: datetime.date(2023, 1, 1) + datetime.timedelta(days=int(rng.integers(0, 400)))
+    left = [(int(rng.integers(0, 3)) or None, day()) for _ in range(60)]
+    right = list({(int(rng.integers(0, 3)) or None, day()): None for _ in range(12)})
+    a = spark.createDataFrame(left, "g int, date date")
+    b = spark.createDataFrame([(g, d, float(k)) for k, (g, d) in enumerate(right)], "g int, date date, v double")
+    got = list((str(r["g"]), r["date"], r["as_of"], r["v"]) for r in J.as_of(a, b, "date", "v", by=("g",), strict=strict).collect())
+    want = []
+    for g, d in left:
+        before = [(e, float(k)) for k, (h, e) in enumerate(right) if h == g and (e < d or e == d and not strict)]
+        want.append((str(g), d, *(max(before) if before else (None, None))))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_as_of_is_strict_or_not(spark):
     d = datetime.date
     left = spark.createDataFrame([(d(2023, 1, k),) for k in (1, 2, 3, 5)], "date date")
@@ -392,11 +408,22 @@ def test_quantile_buckets_are_right_closed_and_may_be_empty(spark):
     assert [tuple(r) for r in got] == [(1, 8), (5, 2)]
 
 
-def test_average_ranks(spark):
-    got = M.average_rank(spark.createDataFrame([(3.0,), (1.0,), (3.0,), (None,)], "x double"), "x", "k").orderBy("x").collect()
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_average_ranks(spark, bound):
+    got = M.average_rank(spark.createDataFrame([(3.0,), (1.0,), (3.0,), (None,)], "x double"), "x", "k", bound).orderBy("x").collect()
     assert [r["k"] for r in got] == [None, 1.0, 2.5, 2.5]
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_quantiles_are_exact_in_one_task_and_in_many(spark, bound):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3001), np.full(1500, 0.25)])
+    at = [0.0, 0.2, 0.5, 0.95, 0.99, 1.0]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    assert M.exact_quantiles(df, "x", at, bound) == pytest.approx(np.quantile(x, at).tolist())
+    assert M.exact_quantiles(df.where("x IS NULL"), "x", [0.5], bound) == [None]
+
+
 # Inference
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,15 +22,35 @@ def one_to_one(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner"
 def as_of(left: DataFrame, right: DataFrame, on: str, *values: str, by: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """left with as_of and the values of the latest right row before each left row (strictly, or up to it).
 
-    One union and one running window for each by-group: linear after the sort, where a range join would be quadratic.
+    One union and one running window for each by-group and month: linear after the sort, where a range join would be
+    quadratic. A month's first rows take the last right row of the latest earlier month, from a table of one row a
+    by-group and month. Only where ``on`` is no date or time is a by-group one window.
     """
     payload = F.struct(F.col(on).alias("as_of"), *values)
     order_right = 1 if strict else 0
     a = left.select(*[F.col(k) for k in by], F.col(on), F.lit(1 - order_right).alias("_turn"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_value"))
     b = right.select(*[F.col(k) for k in by], F.col(on), F.lit(order_right).alias("_turn"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), payload.alias("_value"))
-    before = Window.partitionBy(*by).orderBy(on, "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_found", F.last("_value", ignorenulls=True).over(before)).where(F.col("_row").isNotNull())
-    return both.select("_row.*", "_found.*")
+    months = left.schema[on].dataType.simpleString() in ("date", "timestamp", "timestamp_ntz")
+    month = F.trunc(F.col(on).cast("date"), "month") if months else F.lit(None).cast("date")
+    both, keys = a.unionByName(b).withColumn("_month", month), (*by, "_month")
+    upto = Window.partitionBy(*keys).orderBy(on, "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_found", F.last("_value", ignorenulls=True).over(upto)).where(F.col("_row").isNotNull() | F.lit(not months))
+    if months:
+        last = b.withColumn("_month", month).groupBy(*keys).agg(F.max_by("_value", on).alias("_last"))
+        every = left.select(*by, month.alias("_month")).union(right.select(*by, month.alias("_month"))).distinct()
+        earlier = Window.partitionBy(*by).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys]
+        ends = every.join(last.withColumnsRenamed({k: f"_{k}_of" for k in keys}), _all(same), "left")
+        ends = ends.select(*keys, F.last("_last", ignorenulls=True).over(earlier).alias("_before")).withColumnsRenamed({k: f"_{k}_of" for k in keys})
+        both = both.join(ends, _all(same), "left").withColumn("_found", F.coalesce("_found", "_before"))
+    return both.where(F.col("_row").isNotNull()).select("_row.*", "_found.*")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.moments import exact_quantiles
 from ..operators import quality as Q
 from ..sources.market import bars, daily, quotes, second_feed, table
 from .registry import query
@@ -59,7 +60,9 @@ def flat_flag(spark, sf):
 def audit_summary(spark, sf):
     f = Q.flagged(bars(spark, sf))
     clean = F.when(~F.col("suspect"), F.col("spread_open"))
-    return f.agg(F.count_if("invalid").alias("n_invalid"), F.count_if(F.col("suspect")).alias("n_flagged"), F.count_if("flat").alias("n_flat"), F.percentile(clean, F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("p"), F.max(clean).alias("m")).select("n_invalid", "n_flagged", "n_flat", r6(F.col("p")[0], "p50"), r6(F.col("p")[1], "p95"), r6(F.col("p")[2], "p99"), r6("m", "largest"))
+    out = f.agg(F.count_if("invalid").alias("n_invalid"), F.count_if(F.col("suspect")).alias("n_flagged"), F.count_if("flat").alias("n_flat"), F.max(clean).alias("m"))
+    found = zip(("p50", "p95", "p99"), exact_quantiles(f.select(clean.alias("clean")), "clean", [0.5, 0.95, 0.99]))
+    return out.select("n_invalid", "n_flagged", "n_flat", *[r6(F.lit(v).cast("double"), k) for k, v in found], r6("m", "largest"))
 
 
 @query(
