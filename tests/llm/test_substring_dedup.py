@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from tidemark.llm import packed
 from tidemark.llm.packed import split_by_shard
 from tidemark.llm.substring_dedup import remove_repeats
 
@@ -32,8 +33,12 @@ def planted(seed):
     return [*rows, (None, a), (None, prose(990 + seed, 30)), (34, prose(990 + seed, 30))]
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_matches_brute_force(make, seed):
+@pytest.mark.parametrize("seed, most_sets, merged", [(0, 1 << 28, 1 << 22), (1, 1 << 28, 1 << 22), (0, 0, 1 << 22), (1, 0, 50)])
+def test_matches_brute_force(make, monkeypatch, seed, most_sets, merged):
+    monkeypatch.setattr(packed, "MOST_SETS", most_sets)
+    monkeypatch.setattr(packed, "MERGED", merged)
+    monkeypatch.setattr(packed, "BLOCK_BYTES", 1 << 21 if most_sets else 2000)
+    monkeypatch.setattr(packed, "MOST_BLOCK_BYTES", 1 << 25 if most_sets else 2000)
     rows = planted(seed) + [(i, x) for i, x in ODD]
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(make(rows, clash=True)).collect()]
     key = lambda t: (t[0] is None, t[0] or 0, t[3])
@@ -56,3 +61,27 @@ def test_sets_are_cut_by_shards_that_have_values():
         assert len(parts) <= min(shards, len(values)) and [k for k, _ in parts] == sorted({int(v) * shards >> 64 for v in values})
         assert all(int(v) * shards >> 64 == k for k, part in parts for v in values[part])
     assert list(split_by_shard(values[:0], 64)) == []
+
+
+def test_merged_sets_grow_with_values_not_with_pairs(spark):
+    """300 blocks send 200 values each to 4096 shards: as rows of their own nearly one a value, merged far fewer."""
+    rng = np.random.default_rng(2)
+    shards, rows, direct, want = 4096, [], 0, set()
+    for block in range(300):
+        values = np.sort(rng.integers(0, 1 << 64, 200, dtype=np.uint64))
+        direct += sum(1 for _ in split_by_shard(values, shards))
+        want |= {(block, int(v)) for v in values}
+        rows += [(k, block, 0, packed.pack_sorted(values[part]), None) for k, part in split_by_shard(values, packed.coarse(shards))]
+    sent = spark.createDataFrame(rows, "shard int, block long, kind int, keys binary, more binary")
+    found = packed.to_shards(sent, shards, limit=20_000).toArrow()
+    assert direct > 50_000 and found.num_rows < direct / 3
+    got = set()
+    for i in range(found.num_rows):
+        shard = found["shard"][i].as_py()
+        for block, _, keys, _ in packed.sets_of(found.slice(i, 1)):
+            assert all(int(v) * shards >> 64 == shard for v in keys) and (np.diff(keys) > 0).all()
+            got |= {(block, int(v)) for v in keys}
+    assert got == want
+    told = spark.createDataFrame([(b, packed.pack_sorted(np.array([v], np.uint64)), None) for b, v in sorted(want)[:5000]], "block long, keys binary, more binary")
+    back = packed.to_blocks(told, 17).toArrow().to_pylist()
+    assert len(back) < 200 and {(r["block"], int(v)) for r in back for v in packed.unpack_sorted(r["keys"])} == set(sorted(want)[:5000])

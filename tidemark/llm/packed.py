@@ -3,11 +3,17 @@
 A block holds whole documents. What a block asks of, or tells, a hash shard is one packed set: sorted 64-bit values, as
 differences split into byte planes. Work on a shard sees one set for each block, so a very common value costs one entry
 a block and no shard depends on one key. Blocks and shards both grow with the table, within bounds that executors hold
-(2 to 32 MB of text a block, 32 to 256 MB a shard), so that the sets stay long enough to pack.
+(2 to 32 MB of text a block, 32 to 256 MB a shard).
+
+A table of many blocks has many shards, and most pairs of them would share a few values only. Beyond MOST_SETS pairs sets
+travel in two steps: to one of about the square root of the shards, where the sets of many blocks are merged (MERGED
+values at a time, each with its block) and cut into the shards' own; answers go back to blocks the same way. The number of
+rows then grows with the values, not with pairs of blocks and shards.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -21,6 +27,8 @@ from .tokens import pieces, text_buffer
 
 BLOCK_BYTES, MOST_BLOCK_BYTES = 1 << 21, 1 << 25
 SHARD_BYTES, MOST_SHARD_BYTES = 1 << 25, 1 << 28
+#: Pairs of blocks and shards up to which each pair's set is a row of its own, and values merged at a time beyond.
+MOST_SETS, MERGED = 1 << 28, 1 << 22
 #: A document whose id is null: it sorts after every id.
 NO_ID = np.iinfo(np.int64).max
 BLOCK_SCHEMA = "block long, ids binary, nulls binary, offsets binary, body binary, n_bytes long"
@@ -108,6 +116,98 @@ def split_by_shard(values: np.ndarray, shards: int):
         yield int(shard[lo]), slice(lo, hi)
 
 
+def coarse(n: int) -> int:
+    return max(1, math.isqrt(n))
+
+
+_MERGED = "{key} long, blocks binary, kind int, keys binary, more binary"
+
+
+def _gathered(batches, limit: int):
+    """Runs of rows that hold about so many values together."""
+    rows, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            row["keys"] = unpack_sorted(row["keys"])
+            rows.append(row)
+            size += len(row["keys"])
+            if size >= limit:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _merged_rows(rows: list[dict], kind: int | None, more_kind):
+    """Keys of the rows of one kind, with the block of each and what goes with it."""
+    mine = [r for r in rows if r["kind"] == kind]
+    blocks = [unpack(r["blocks"], np.int64) if r.get("blocks") is not None else np.full(len(r["keys"]), r["block"], np.int64) for r in mine]
+    more = np.concatenate([unpack(r["more"], more_kind) for r in mine]) if mine and mine[0]["more"] is not None else None
+    return np.concatenate([r["keys"] for r in mine]), np.concatenate(blocks), more
+
+
+def _row(key: int, kind: int | None, blocks: np.ndarray | None, keys: np.ndarray, more: np.ndarray | None) -> tuple:
+    return key, None if blocks is None else pack(blocks), kind, pack_sorted(keys), None if more is None else pack(more)
+
+
+def _batch(rows: list[tuple], key: str) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, kinds)], names=[key, "blocks", "kind", "keys", "more"])
+
+
+def to_shards(sent: DataFrame, shards: int, more_kind=None, limit: int | None = None) -> DataFrame:
+    """(shard, blocks, kind, keys, more) for sets that were sent to coarse(shards) shards: those of many blocks in one."""
+    limit = limit or MERGED
+
+    def run(batches):
+        for rows in _gathered(batches, limit):
+            out = []
+            for kind in sorted({r["kind"] for r in rows}):
+                keys, blocks, more = _merged_rows(rows, kind, more_kind)
+                order = np.argsort(keys, kind="stable")
+                keys, blocks, more = keys[order], blocks[order], None if more is None else more[order]
+                out += [_row(k, kind, blocks[part], keys[part], None if more is None else more[part]) for k, part in split_by_shard(keys, shards)]
+            yield _batch(out, "shard")
+
+    return sent.repartition("shard").mapInArrow(run, _MERGED.format(key="shard"))
+
+
+def sets_of(rows: pa.Table, more_kind=None) -> list[tuple[int, int | None, np.ndarray, np.ndarray | None]]:
+    """(block, kind, keys, more) of a shard's rows, whether a row is one block's set or those of many, merged."""
+    out = []
+    merged = rows["blocks"].to_pylist() if "blocks" in rows.column_names else itertools.repeat(None)
+    single = rows["block"].to_pylist() if "block" in rows.column_names else itertools.repeat(None)
+    for block, blocks, kind, keys, more in zip(single, merged, rows["kind"].to_pylist(), rows["keys"].to_pylist(), rows["more"].to_pylist()):
+        keys, more = unpack_sorted(keys), None if more is None else unpack(more, more_kind)
+        if blocks is None:
+            out.append((block, kind, keys, more))
+            continue
+        blocks = unpack(blocks, np.int64)
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], blocks[order][1:] != blocks[order][:-1], [True]])) if len(order) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            part = order[lo:hi]
+            out.append((int(blocks[part[0]]), kind, keys[part], None if more is None else more[part]))
+    return out
+
+
+def to_blocks(told: DataFrame, groups: int, more_kind=None, limit: int | None = None) -> DataFrame:
+    """(block, keys, more) for answers (block, keys, more) of many shards to many blocks: a block's, merged."""
+    limit = limit or MERGED
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")
+
+    def run(batches):
+        for rows in _gathered(batches, limit):
+            keys, blocks, more = _merged_rows(rows, None, more_kind)
+            order = np.lexsort((keys, blocks))
+            keys, blocks, more = keys[order], blocks[order], None if more is None else more[order]
+            cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
+            yield _batch([_row(int(blocks[lo]), None, None, keys[lo:hi], None if more is None else more[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])], "block")
+
+    rows = told.select(group, "block", F.lit(None).cast("int").alias("kind"), "keys", "more").repartition("group").drop("group")
+    return rows.mapInArrow(run, _MERGED.format(key="block")).select("block", "keys", "more")
+
+
 def unique_min(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct hashes in order, the least id of each, and the greatest."""
     if not len(h):

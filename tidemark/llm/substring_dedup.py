@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import blocks_of, find, open_block, pack, pack_sorted, shard_count, split_by_shard, unique_min, unpack, unpack_sorted
+from . import packed
+from .packed import blocks_of, find, open_block, pack, pack_sorted, sets_of, shard_count, split_by_shard, unique_min, unpack, unpack_sorted
 from .shared import freeing_shuffles, written
 from .tokens import covered, per_text, span_hashes, window_starts, windows, words
 
@@ -54,14 +55,14 @@ def _sends(shards: int, block: int, kinds: list) -> pa.RecordBatch | None:
 
 
 _SENT = "shard int, block long, kind int, keys binary, more binary"
+_TOLD = [("check", "<u8"), ("least", "<i8")]
 _REPLY = "block long, keys binary, more binary"
 INDEX, PROBE = 0, 1
 
 
 def _live_anchors(rows: pa.Table) -> pa.Table:
     """For a shard: the indexed hashes that more than one block knows, told to every block that knows them."""
-    sets = [unpack_sorted(x) for x in rows["keys"].to_pylist()]
-    kinds, block = rows["kind"].to_pylist(), rows["block"].to_pylist()
+    block, kinds, sets, _ = zip(*sets_of(rows))
     indexed = [s for s, kind in zip(sets, kinds) if kind == INDEX]
     out: dict = defaultdict(list)
     if indexed:
@@ -79,8 +80,7 @@ def _live_anchors(rows: pa.Table) -> pa.Table:
 
 def _least_ids(rows: pa.Table) -> pa.Table:
     """For a shard: the least id of each window, told to the blocks that know only greater ones."""
-    keys = [unpack_sorted(x) for x in rows["keys"].to_pylist()]
-    more = [unpack(x, [("check", "<u8"), ("least", "<i8")]) for x in rows["more"].to_pylist()]
+    block, _, keys, more = zip(*sets_of(rows, _TOLD))
     out = {}
     if keys:
         h, check = np.concatenate(keys), np.concatenate([m["check"] for m in more])
@@ -94,15 +94,22 @@ def _least_ids(rows: pa.Table) -> pa.Table:
         best = np.empty(len(h), np.int64)
         best[order] = lowest[group]
         at = 0
-        for b, k, m in zip(rows["block"].to_pylist(), keys, more):
+        for b, k, m in zip(block, keys, more):
             mine = best[at : at + len(k)]
             at += len(k)
             if (hit := mine < m["least"]).any():
                 # Keys may repeat with another check value; the block tells them apart by the check.
-                told = np.zeros(int(hit.sum()), [("check", "<u8"), ("least", "<i8")])
+                told = np.zeros(int(hit.sum()), _TOLD)
                 told["check"], told["least"] = m["check"][hit], mine[hit]
-                out[b] = (k[hit], told)
-    return _replies(out)
+                out.setdefault(b, []).append((k[hit], told))
+    return _replies({b: _joined(x) for b, x in out.items()})
+
+
+def _joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """A block's answers from sets that came apart, as one sorted set."""
+    keys, more = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], more[order]
 
 
 def _replies(found: dict) -> pa.Table:
@@ -156,9 +163,6 @@ def _candidates(w: _Words, row: dict, window: int, anchor: int) -> tuple[np.ndar
     return start[some], of[some]
 
 
-_TOLD = [("check", "<u8"), ("least", "<i8")]
-
-
 def _own_windows(w: _Words, start: np.ndarray, doc: np.ndarray, window: int):
     """Hash, check and id of the windows at these starts, and of each distinct window the least id."""
     h = windows(w.h, window)[start] if len(start) else np.zeros(0, np.uint64)
@@ -178,14 +182,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_words, n_removed, kept): kept is the words that stay, joined by one space."""
     spark, anchor = docs.sparkSession, (window + 1) // 2
     blocks = blocks_of(docs, doc_id, text)
-    shards = shard_count(blocks)
+    shards, n_blocks = shard_count(blocks), blocks.count()
+    # Beyond so many pairs of blocks and shards sets are merged on their way.
+    two_steps = n_blocks * shards > packed.MOST_SETS
+    first_shards = packed.coarse(shards) if two_steps else shards
+
+    def exchanged(sent: DataFrame, work, more_kind=None) -> DataFrame:
+        if not two_steps:
+            return sent.groupBy("shard").applyInArrow(work, _REPLY)
+        told = packed.to_shards(sent, shards, more_kind).groupBy("shard").applyInArrow(work, _REPLY)
+        return packed.to_blocks(told, packed.coarse(n_blocks), more_kind)
 
     def anchors(batches):
         for row in _rows(batches):
             _, _, h, own = _Words(row).anchors(anchor)
             mine = np.unique(h[own])
             rest = np.unique(h[~own])
-            if (sent := _sends(shards, row["block"], [(INDEX, mine, None), (PROBE, rest[~find(mine, rest)[1]], None)])) is not None:
+            if (sent := _sends(first_shards, row["block"], [(INDEX, mine, None), (PROBE, rest[~find(mine, rest)[1]], None)])) is not None:
                 yield sent
 
     def candidates(batches):
@@ -194,7 +207,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             h, check, least, _, _ = _own_windows(w, *_candidates(w, row, window, anchor), window)
             more = np.zeros(len(h), _TOLD)
             more["check"], more["least"] = check, least
-            if (sent := _sends(shards, row["block"], [(0, h, more)])) is not None:
+            if (sent := _sends(first_shards, row["block"], [(0, h, more)])) is not None:
                 yield sent
 
     def clean(batches):
@@ -214,10 +227,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield _kept(w, gone)
 
     with freeing_shuffles(spark):
-        live = blocks.mapInArrow(anchors, _SENT).groupBy("shard").applyInArrow(_live_anchors, _REPLY)
+        live = exchanged(blocks.mapInArrow(anchors, _SENT), _live_anchors)
         asked = written(_ask(blocks.select("block"), live).select("block", F.col("told").alias("live")), "anchors")
         first = blocks.join(asked, "block").withColumn("told", F.col("live"))
-        least = first.mapInArrow(candidates, _SENT).groupBy("shard").applyInArrow(_least_ids, _REPLY)
+        least = exchanged(first.mapInArrow(candidates, _SENT), _least_ids, _TOLD)
         least = written(least, "windows")
     told = least.groupBy("block").agg(F.collect_list(F.struct("keys", "more")).alias("told"))
     last = blocks.join(asked, "block").join(told, "block", "left")
