@@ -80,9 +80,9 @@ def bh_fdr(spark, sf):
     return ST.benjamini_hochberg(t).select("test", r6("p", "p"), r6("q", "q"))
 
 
-_DRAWS = ", draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start FROM range(0, 2000) d(draw), (SELECT count(*) AS n FROM v), range(0, 1000) kk(k) WHERE k < ceil(n / 10.0))"
+_DRAWS = ", draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start, n FROM range(0, 2000) d(draw), (SELECT count(*) AS n FROM v), range(0, 1000) kk(k) WHERE k < ceil(n / 10.0))"
 _NUM = ", num AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, a, count(*) OVER () AS n FROM v)"
-_BOOT = _V + _DRAWS + _NUM + ", boot AS (SELECT d.draw, avg(m.a) AS mean FROM draws d JOIN range(0, 10) j(j) ON d.k * 10 + j.j < (SELECT count(*) FROM v) JOIN num m ON m.t = (d.start + j.j) % m.n GROUP BY 1)"
+_BOOT = _V + _DRAWS + _NUM + ", boot AS (SELECT d.draw, avg(m.a) AS mean FROM draws d JOIN range(0, 10) j(j) ON d.k * 10 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % d.n GROUP BY 1)"
 
 
 #: Resamples of means and coefficients, of paired differences, and of shifts; valid resamples needed.
@@ -101,7 +101,7 @@ def block_boot_mean(spark, sf):
 
 _PAIRED = _V + """, num AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, CASE WHEN d IS NOT NULL THEN a - l END AS x, count(*) OVER () AS n FROM daily),
 draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start, n FROM range(0, 10000) d(draw), (SELECT max(n) AS n FROM num), range(0, 1000) kk(k) WHERE k < ceil(n / 10.0)),
-boot AS (SELECT d.draw, avg(m.x) AS mean FROM draws d JOIN range(0, 10) j(j) ON d.k * 10 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % m.n GROUP BY 1)"""
+boot AS (SELECT d.draw, avg(m.x) AS mean FROM draws d JOIN range(0, 10) j(j) ON d.k * 10 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % d.n GROUP BY 1)"""
 
 
 @query("paired_block_ci", sql(_PAIRED, f"SELECT count(mean) AS draws, {q6('quantile_cont(mean, 0.025)', 'ci_low')}, {q6('quantile_cont(mean, 0.975)', 'ci_high')} FROM boot"))
@@ -124,7 +124,7 @@ def boot_count_matrix(spark, sf):
 _BETA = _LOG + """, num AS (SELECT row_number() OVER (ORDER BY date) - 1 AS t, ll AS y, lag_ll AS u, la AS w, count(*) OVER () AS n FROM y),
 draws AS (SELECT draw, k, CAST('0x' || substr(md5('1:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start, n FROM range(0, 2000) d(draw), (SELECT max(n) AS n FROM num), range(0, 1000) kk(k) WHERE k < ceil(n / 5.0)),
 sums AS (SELECT d.draw, count(*) AS c, sum(u * u) - sum(u) * sum(u) / count(*) AS uu, sum(w * w) - sum(w) * sum(w) / count(*) AS ww, sum(u * w) - sum(u) * sum(w) / count(*) AS uw, sum(u * y) - sum(u) * sum(y) / count(*) AS uy, sum(w * y) - sum(w) * sum(y) / count(*) AS wy
-  FROM draws d JOIN range(0, 5) j(j) ON d.k * 5 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % m.n GROUP BY 1),
+  FROM draws d JOIN range(0, 5) j(j) ON d.k * 5 + j.j < d.n JOIN num m ON m.t = (d.start + j.j) % d.n GROUP BY 1),
 boot AS (SELECT (ww * uy - uw * wy) / (uu * ww - uw * uw) AS beta FROM sums)"""
 
 
