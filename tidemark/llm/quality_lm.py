@@ -36,17 +36,17 @@ from .packed import block_bytes, pack, pack_sorted, unpack, unpack_sorted
 from .shared import discard, freeing_shuffles, written
 from .tokens import _mix, span_hashes, text_buffer, words
 
-VOCABULARY = 1 << 22
+VOCABULARY = 1 << 20
 SHAPES = 5
 #: Bits of a word id, and the id that stands before a text's first word.
-WORD_BITS = 23
+WORD_BITS = 21
 START = (1 << WORD_BITS) - 1
 _SHIFT, _WORD = np.uint64(WORD_BITS), np.uint64(START)
 FOLDS = 5
 QUANTILE = 0.995
 MIN_HELD = 50
 #: Parts in which shards are asked, one after the other.
-WAVES = 3
+WAVES = 4
 #: Shards of context words: at least, and words a shard beyond.
 SHARDS, SHARD_WORDS = 128, 8_000_000
 #: Words of a shard that one group takes; beyond that a shard's blocks are dealt to several groups.
