@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .arrow import each_piece
 from .packed import block_bytes, pack, pack_sorted, unpack, unpack_sorted
 from .shared import discard, freeing_shuffles, written
-from .tokens import _mix, span_hashes, text_buffer, words
+from .tokens import _mix, pieces, span_hashes, text_buffer, words
 
 VOCABULARY = 1 << 20
 SHAPES = 5
@@ -52,6 +52,8 @@ SHARDS, SHARD_WORDS = 128, 8_000_000
 #: Words of a shard that one group takes; beyond that a shard's blocks are dealt to several groups.
 GROUP_WORDS = 64_000_000
 _STEP = 2048.0
+#: Text bytes hashed at a time.
+_PART = 1 << 19
 
 _BLOCK = "block long, ids array<long>, langs array<string>, sizes binary, tokens binary, n_words long"
 _SENT = "shard int, block long, codes binary, more binary"
@@ -60,9 +62,12 @@ _SENT = "shard int, block long, codes binary, more binary"
 def _word_counts(batches):
     """(word hash, count), summed over each piece of text."""
     for piece in each_piece(batches, "text", 1 << 21):
-        buf, offsets = text_buffer(piece.column(0))
-        starts, ends, _ = words(buf, offsets)
-        h, n = np.unique(span_hashes(buf, starts, ends), return_counts=True)
+        found = []
+        for part in pieces(piece, "text", _PART):
+            buf, offsets = text_buffer(part.column(0))
+            starts, ends, _ = words(buf, offsets)
+            found.append(span_hashes(buf, starts, ends))
+        h, n = np.unique(np.concatenate(found), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
@@ -126,10 +131,14 @@ def token_blocks(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for piece in each_piece(batches, "text", limit):
-            buf, offsets = text_buffer(piece.column(2))
-            starts, ends, first = words(buf, offsets)
-            tokens = token_ids(buf, starts, ends, shipped.value)
-            one = [[number], [piece.column(0).to_pylist()], [piece.column(1).to_pylist()], [pack(np.diff(first).astype(np.uint32))], [pack(tokens)], [len(tokens)]]
+            found, sizes = [], []
+            for part in pieces(piece, "text", _PART):
+                buf, offsets = text_buffer(part.column(2))
+                starts, ends, first = words(buf, offsets)
+                found.append(token_ids(buf, starts, ends, shipped.value))
+                sizes.append(np.diff(first).astype(np.uint32))
+            tokens = np.concatenate(found)
+            one = [[number], [piece.column(0).to_pylist()], [piece.column(1).to_pylist()], [pack(np.concatenate(sizes))], [pack(tokens)], [len(tokens)]]
             number += 1
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, kinds)], names=["block", "ids", "langs", "sizes", "tokens", "n_words"])
