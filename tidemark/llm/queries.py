@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_codec
 from .ann import search
+from .importance import resample
+from .merkle import verify
 from .mixing import copies
 from .ngram_join import similar
 from .pii import KINDS, scan
@@ -184,3 +187,98 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     found = classify(table(spark, sf_dir, "documents"), trusted)
     return found.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
+
+
+@query("op11_bpe")
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded, ids = bpe_codec.encode(docs, packed=True)
+    both, text = bpe_codec.decoded(coded.drop("text"), ids)
+    n_tokens = (F.octet_length(ids) / 4).cast("long").alias("n_tokens")
+    return both.select("doc_id", n_tokens, F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+def _crc32_sql(s: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes; the query has the table crc(t) of all bytes' registers."""
+    octets = f"list_transform(range(0, octet_length(encode({s}))), lambda k: ('0x' || substr(hex(encode({s})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+_CRC = "crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _merkle_sql(levels: int = 7, tops: int = 4) -> str:
+    """Trees of up to 16^levels leaves over up to 16^tops sources, level by level."""
+
+    def digest(text: str) -> str:
+        part = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+        return "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def climb(name: str, steps: int) -> list[str]:
+        out = []
+        for k in range(steps):
+            runs = f"SELECT t, i // 16 AS p, n, list(h ORDER BY i) AS hs FROM {name}{k} WHERE n > 1 GROUP BY t, i // 16, n"
+            out.append(f"{name}_runs{k} AS ({runs})")
+            out.append(f"{name}{k + 1} AS (SELECT t, p AS i, (n + 15) // 16 AS n, sha256(array_to_string(hs, '')) AS h FROM {name}_runs{k} UNION ALL SELECT t, i, n, h FROM {name}{k} WHERE n = 1)")
+        return out
+
+    def fold(name: str, at: str, tree: str, steps: int, before: str, prefix: str) -> list[str]:
+        out = []
+        for k in range(steps):
+            own = f"({at} // {16**k}) % 16 + 1"
+            others = "coalesce(array_to_string(list_filter(hs, lambda x, j: j <> " + own + "), ''), '')"
+            with_own = "sha256(array_to_string(list_transform(hs, lambda x, j: CASE WHEN j = " + own + " THEN folded ELSE x END), ''))"
+            columns = f"f.* EXCLUDE (folded, proof), proof || {others} AS proof, CASE WHEN hs IS NULL THEN folded ELSE {with_own} END AS folded"
+            out.append(f"{prefix}{k} AS (SELECT {columns} FROM {before if k == 0 else f'{prefix}{k - 1}'} f LEFT JOIN {name}_runs{k} r ON r.t = {tree} AND r.p = {at} // {16 ** (k + 1)})")
+        return out
+
+    tampered = f"CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    parts = [
+        _CRC,
+        f"hashed AS (SELECT doc_id, source, {digest('text')} AS leaf, {digest('changed')} AS claimed FROM (SELECT *, {tampered} AS changed FROM documents, crc))",
+        "placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS spot, count(*) OVER (PARTITION BY source) AS size FROM hashed)",
+        "a0 AS (SELECT tree AS t, spot AS i, size AS n, leaf AS h FROM placed)",
+        *climb("a", levels),
+        f"b0 AS (SELECT 0 AS t, t AS i, count(*) OVER () AS n, h FROM a{levels})",
+        *climb("b", tops),
+        "start AS (SELECT *, claimed AS folded, '' AS proof FROM placed)",
+        *fold("a", "spot", "tree", levels, "start", "up"),
+        *fold("b", "tree", "0", tops, f"up{levels - 1}", "over"),
+    ]
+    body = f"SELECT doc_id, leaf, a{levels}.h AS subroot, b{tops}.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = b{tops}.h AS verified FROM over{tops - 1} o JOIN a{levels} ON a{levels}.t = o.tree CROSS JOIN b{tops}"
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+@query("op12_merkle", _merkle_sql())
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower).otherwise(F.col("text"))
+    return verify(docs, {"text": tampered}).drop("source")
+
+
+_OP13 = rf"""
+WITH {_CRC},
+told AS (
+  SELECT row_number() OVER () AS r, doc_id, s, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT doc_id, text, true AS s FROM documents UNION ALL SELECT NULL, text, false FROM benchmark)),
+grams AS (
+  SELECT r, s, array_to_string(ws[i : i + k - 1], ' ') AS g FROM (SELECT r, s, ws, unnest(range(1, len(ws) + 1)) AS i FROM told WHERE len(ws) > 0), range(1, 4) k(k) WHERE i + k - 1 <= len(ws)),
+spelt AS (SELECT g, {_crc32_sql("g")} % 10000 AS b FROM (SELECT DISTINCT g FROM grams), crc),
+found AS (SELECT r, s, b, count(*) AS c FROM grams JOIN spelt USING (g) GROUP BY ALL),
+sides AS (SELECT b, coalesce(sum(c) FILTER (s), 0) AS s, coalesce(sum(c) FILTER (NOT s), 0) AS t FROM found GROUP BY b),
+gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sides),
+weights AS (SELECT r, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM found JOIN gains USING (b) WHERE s GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM told LEFT JOIN weights USING (r) WHERE s),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight, n_words) AS k, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 5 * n // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+@query("op13_importance", _OP13)
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
