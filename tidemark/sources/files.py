@@ -5,6 +5,8 @@ Everything goes through Spark's readers and writers, so paths may be in any stor
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime
 import uuid
 from collections.abc import Callable
@@ -33,6 +35,30 @@ def staged(df: DataFrame, name: str, kind: str = "parquet", **options) -> str:
     return path
 
 
+_temporary: dict[str, SparkSession] = {}
+
+
+def temporary(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors. The table
+    stays until release() or the end of the program, since results are lazy."""
+    spark = df.sparkSession
+    path = staged(df, name)
+    _temporary[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Remove every table made by temporary(); results not yet computed are lost."""
+    for path, spark in list(_temporary.items()):
+        with contextlib.suppress(Exception):  # at the end of the program the session may have gone
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _temporary.pop(path, None)
+
+
+atexit.register(release)
+
+
 def read_side_csv(spark: SparkSession, path: str) -> DataFrame:
     """(bar, side, open, high, low, close) from CSV files of one price side each; the side is in the path."""
     rows = spark.read.schema(SIDE_CSV).csv(path, header=True, enforceSchema=False, recursiveFileLookup=True)
