@@ -37,6 +37,8 @@ N = 3
 CHUNK = 1 << 16
 SEED = 42
 MIN_WORDS = 20
+#: Chunks that are cut at a time.
+CHUNKS = 64
 #: Words of more bytes are hashed one by one.
 LONG = 64
 COUNTS = ("n_words", "n_features", "weight")
@@ -145,9 +147,12 @@ def _cut(chunk: int, n: int):
                 buf = np.frombuffer(raw, np.uint8)
                 starts, ends, _ = words(buf, np.array([0, len(buf)]), _APART)
                 cuts = np.append(np.flatnonzero(np.diff(starts // chunk, prepend=-1)), len(starts))
-                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    text = raw[starts[a] : ends[min(b + n - 2, len(ends) - 1)]].decode()
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part]), pa.array([text]), pa.array([int(b - a)])], names=["_row", "part", "text", "own"])
+                for at in range(0, len(cuts) - 1, CHUNKS):
+                    edges = cuts[at : at + CHUNKS + 1]
+                    texts = [raw[starts[a] : ends[min(b + n - 2, len(ends) - 1)]].decode() for a, b in zip(edges[:-1], edges[1:])]
+                    parts = np.arange(at, at + len(texts))
+                    columns = [np.full(len(texts), k), parts, pa.array(texts), np.diff(edges)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["_row", "part", "text", "own"])
 
     return run
 

@@ -200,7 +200,7 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _crc32_sql(s: str) -> str:
     """CRC-32 of a string's UTF-8 bytes; the query has the table crc(t) of all bytes' registers."""
-    octets = f"list_transform(range(0, octet_length(encode({s}))), lambda k: ('0x' || substr(hex(encode({s})), 2 * k + 1, 2))::BIGINT)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda x: ('0x' || x)::BIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
 
 
