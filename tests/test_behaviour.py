@@ -469,9 +469,7 @@ def test_block_sums_wrap_around(spark):
 
 def test_bootstrap_draws_are_deterministic_and_centred(spark):
     df = spark.createDataFrame([(k, float(k % 7)) for k in range(53)], "t long, v double")
-    sums = R.circular_block_sums(df, "v", 5).select("t", "s", F.lit(5).alias("c"))
-    rest = R.circular_block_sums(df, "v", 3).select("t", "s", F.lit(3).alias("c"))
-    run = lambda seed: [r["mean"] for r in ST.bootstrap_means(sums, 10, ST.circular_draws(53, 5, 300, spark, seed), rest).orderBy("draw").collect()]
+    run = lambda seed: [r["v"] / 53 for r in ST.drawn_sums(df, ["v"], "t", 5, 300, seed).orderBy("draw").collect()]
     a, true = run(1), np.mean([k % 7 for k in range(53)])
     assert a == run(1) != run(2) and abs(np.mean(a) - true) < 0.05
     assert np.std(a) == pytest.approx(SIM.se_circular(np.array([[k % 7 for k in range(53)]], float), 5)[0], rel=0.2)

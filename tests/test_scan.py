@@ -11,6 +11,7 @@ from tidemark.operators import scan as SC
 
 @pytest.fixture(scope="module")
 def series(spark):
+    kept, SC.SHORT = SC.SHORT, 0
     rng = random.Random(4)
     rows = [(rng.choice("aab") if k % 11 else None, k * 3 % 1009, rng.choice([None, float(rng.randint(-9, 9))])) for k in range(1009)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -18,6 +19,7 @@ def series(spark):
     yield spark.createDataFrame(rows, "g string, t long, v double").repartition(5)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    SC.SHORT = kept
 
 
 def rows(df):
@@ -65,6 +67,16 @@ def test_frames_that_wrap_around(series, block):
         assert r["s"] == sum(t[(at + k) % len(t)] for k in range(block)) and r["b"] == t[at - 2]
 
 
+@pytest.mark.parametrize("block", [1, 10, 2500])
+def test_short_series_are_one_window(series, monkeypatch, block):
+    columns = lambda w: {"s": F.sum("t").over(w.rowsBetween(-3, block - 1))}
+    dealt = rows(SC.framed(series, ["t"], 3, block - 1, columns, wrap=True))
+    sums = rows(SC.running(series, ["t"], {"s": ("sum", F.col("v"))}))
+    monkeypatch.setattr(SC, "SHORT", 5000)
+    assert rows(SC.framed(series, ["t"], 3, block - 1, columns, wrap=True)) == dealt
+    assert rows(SC.running(series, ["t"], {"s": ("sum", F.col("v"))})) == sums
+
+
 def test_empty_and_single(spark, series):
     none = series.limit(0)
     assert SC.running(none, ["t"], {"s": ("sum", F.col("v"))}).count() == 0

@@ -13,21 +13,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import framed
+
 NORMAL = NormalDist()
 
 
-def autocovariances(rows: DataFrame, value: str, on: str, lags: int) -> DataFrame:
-    """(lag, gamma) for 0 .. lags with divisor n: lagged products in one window pass, one aggregate."""
-    whole = Window.partitionBy()
-    z = rows.select(on, (F.col(value) - F.avg(value).over(whole)).alias("z"))
-    order = Window.orderBy(on)
-    lagged = z.select("z", *[F.lag("z", k).over(order).alias(f"z{k}") for k in range(1, lags + 1)])
-    sums = lagged.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("s0"), *[F.sum(F.col("z") * F.col(f"z{k}")).alias(f"s{k}") for k in range(1, lags + 1)])
+def lagged(rows: DataFrame, on: str | list[str], columns: list[str], lags: int) -> DataFrame:
+    """columns and their values of 1 .. lags rows before as c_1, c_2 ...: dealt by ranges of the order, with halos."""
+    order = [on] if isinstance(on, str) else on
+    names = {f"{c}_{k}": (c, k) for c in columns for k in range(1, lags + 1)}
+    found = framed(rows, order, lags, 0, lambda w: {name: F.lag(c, k).over(w) for name, (c, k) in names.items()})
+    return found.select(*columns, *names)
+
+
+def autocovariances(rows: DataFrame, value: str, on: str | list[str], lags: int) -> DataFrame:
+    """(lag, gamma) for 0 .. lags with divisor n: lagged products in one pass, one aggregate."""
+    mean = rows.agg(F.avg(value)).head()[0]
+    order = [on] if isinstance(on, str) else on
+    z = lagged(rows.select(*order, (F.col(value) - F.lit(mean)).alias("z")), order, ["z"], lags)
+    sums = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("s0"), *[F.sum(F.col("z") * F.col(f"z_{k}")).alias(f"s{k}") for k in range(1, lags + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("n")).alias("gamma")) for k in range(lags + 1)])
     return sums.where("n > 0").select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def bartlett_lrv(rows: DataFrame, value: str, on: str, lags: int) -> DataFrame:
+def bartlett_lrv(rows: DataFrame, value: str, on: str | list[str], lags: int) -> DataFrame:
     """(omega): long-run variance with Bartlett weights, floored at 0."""
     g = autocovariances(rows, value, on, lags)
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (lags + 1.0)))
@@ -67,7 +76,7 @@ def gram(rows: DataFrame, outcome: str, regressors: list[str]) -> tuple[np.ndarr
     return m[:-1, :-1], m[:-1, -1], float(m[-1, -1]), int(sums["n"])
 
 
-def ols(rows: DataFrame, outcome: str, regressors: list[str], on: str | None = None, hac_lags: int | None = None) -> Fit:
+def ols(rows: DataFrame, outcome: str, regressors: list[str], on: str | list[str] | None = None, hac_lags: int | None = None) -> Fit:
     """Least squares with an intercept; the covariance is HAC (Bartlett, no small-sample correction) if lags are given."""
     xx, xy, yy, n = gram(rows, outcome, regressors)
     beta = np.linalg.solve(xx, xy)
@@ -82,17 +91,17 @@ def ols(rows: DataFrame, outcome: str, regressors: list[str], on: str | None = N
     return Fit(("const", *regressors), beta, cov, n, 1 - residual_ss / total_ss if total_ss else math.nan)
 
 
-def _hac_meat(rows: DataFrame, outcome: str, regressors: list[str], beta: np.ndarray, on: str, lags: int) -> np.ndarray:
+def _hac_meat(rows: DataFrame, outcome: str, regressors: list[str], beta: np.ndarray, on: str | list[str], lags: int) -> np.ndarray:
     fitted = F.lit(float(beta[0]))
     for b, c in zip(beta[1:], regressors):
         fitted = fitted + float(b) * F.col(c)
     e = F.col(outcome) - fitted
     k = len(beta)
-    scores = rows.select(on, *[(x * e).alias(f"u{i}") for i, x in enumerate([F.lit(1.0), *[F.col(c) for c in regressors]])])
-    order = Window.orderBy(on)
-    lagged = scores.select(*[f"u{i}" for i in range(k)], *[F.lag(f"u{i}", q).over(order).alias(f"u{i}_{q}") for i in range(k) for q in range(1, lags + 1)])
+    order = [on] if isinstance(on, str) else on
+    scores = rows.select(*order, *[(x * e).alias(f"u{i}") for i, x in enumerate([F.lit(1.0), *[F.col(c) for c in regressors]])])
+    near = lagged(scores, order, [f"u{i}" for i in range(k)], lags)
     aggs = [F.sum(F.col(f"u{i}") * F.col(f"u{j}" if q == 0 else f"u{j}_{q}")).alias(f"s{q}_{i}_{j}") for q in range(lags + 1) for i in range(k) for j in range(k)]
-    row = lagged.agg(*aggs).head()
+    row = near.agg(*aggs).head()
     meat = np.zeros((k, k))
     for q in range(lags + 1):
         g = np.array([[row[f"s{q}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
@@ -124,12 +133,12 @@ def circular_draws(n: int, block: int, draws: int, spark, seed: int = 1) -> Data
     return spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k")).select("draw", "k", start.alias("start"))
 
 
-def drawn_sums(rows: DataFrame, values: list[str], on: str, block: int, draws: int) -> DataFrame:
+def drawn_sums(rows: DataFrame, values: list[str], on: str, block: int, draws: int, seed: int = 1) -> DataFrame:
     """(draw, values): sums of each column over resampled series of circular blocks, the last one cut to the length."""
     from ..operators.rolling import circular_sums
 
     n = rows.count()
-    d, whole = circular_draws(n, block, draws, rows.sparkSession), n // block
+    d, whole = circular_draws(n, block, draws, rows.sparkSession, seed), n // block
 
     def joined(width: int, which: Column) -> DataFrame:
         return d.where(which).join(circular_sums(rows, values, width, on), F.col("start") == F.col("t")).select("draw", *values)
@@ -164,15 +173,3 @@ def bootstrap_coefficients(rows: DataFrame, outcome: str, regressors: list[str],
             yield pd.DataFrame({"draw": f["draw"], "beta": beta})
 
     return sums.mapInPandas(solve, "draw long, beta double").withColumn("beta", F.when(~F.isnan("beta"), F.col("beta")))
-
-
-def bootstrap_means(sums: DataFrame, full_blocks: int, draws: DataFrame, remainder: DataFrame | None = None) -> DataFrame:
-    """(draw, mean): each draw adds precomputed circular block sums, the last block cut to the series' length.
-
-    sums: (t, s, c) with sums and counts of known values; remainder: the same for the shorter last block.
-    """
-    whole = draws.where(F.col("k") < full_blocks).join(sums, F.col("start") == F.col("t"))
-    parts = whole.select("draw", "s", "c")
-    if remainder is not None:
-        parts = parts.unionByName(draws.where(F.col("k") == full_blocks).join(remainder, F.col("start") == F.col("t")).select("draw", "s", "c"))
-    return parts.groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean"))

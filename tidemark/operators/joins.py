@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import temporary
+from .scan import MAX_BROADCAST, null_safe
+
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their counts."""
@@ -56,3 +59,65 @@ def _all(conditions: list[Column]) -> Column:
 def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one side only, with the side; empty if both hold the same set."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+#: Left copies in one bin beyond which the bin is split.
+HOT = 10_000
+MICROS = ("timestamp", "timestamp_ntz", "date")
+
+
+def _spot(rows: DataFrame, c: str) -> Column:
+    kind = rows.schema[c].dataType.simpleString()
+    return F.unix_micros(F.col(c).cast("timestamp")) if kind in MICROS else F.col(c).cast("long")
+
+
+def _spans(rows: DataFrame, span: tuple[str, str | None], by: tuple[str, ...], side: str) -> DataFrame:
+    """(by, _<side> row, _<side>s, _<side>e, _<side>k): half-open spans that are not empty, with their level."""
+    begin, end = _spot(rows, span[0]), None if span[1] is None else _spot(rows, span[1])
+    out = rows.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], F.struct(*rows.columns).alias(side), begin.alias("_s"), (begin + 1 if end is None else end).alias("_e")).where("_s < _e")
+    bits = F.length(F.bin(F.col("_e") - F.col("_s") - 1))
+    return out.withColumn("_k", (F.ceil(bits / 2) * 2).cast("int"))
+
+
+def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str | None], right_span: tuple[str, str | None], by: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+    """(left, right): each pair of rows whose half-open spans [begin, end) meet, once, where the columns of by are equal.
+
+    A span is two columns (times, or whole numbers), or one and None for a point. Spans that are empty or have an unknown
+    end meet none.
+
+    A span's level is the least width 4^k that holds it, so it touches two bins of that width at most. Two spans meet at
+    the level of the longer one: each row has copies at its own level and at the levels above it that the other side has,
+    which were measured. The join is an equality on (by, level, bin). A pair that shares two bins counts in the one where
+    their common part begins. Bins with more than so many left copies are split: their left copies are dealt by number to
+    several keys, the right ones go to each. A window of any length thus has a few copies, never one for each short bin.
+    """
+    a, b = _spans(left, left_span, by, "left"), _spans(right, right_span, by, "right")
+    levels = [sorted(r[0] for r in x.select("_k").distinct().collect()) for x in (a, b)]  # at most 32 each
+    keys = [f"_by{i}" for i in range(len(by))]
+
+    def copies(x: DataFrame, others: list[int]) -> DataFrame:
+        at = F.array_union(F.array("_k"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda k: k > F.col("_k")))
+        x = x.withColumn("_level", F.explode(at))
+        edge = lambda c: F.expr(f"shiftright({c}, _level)")
+        return x.withColumn("_bin", F.explode(F.sequence(edge("_s"), edge("(_e - 1)"))))
+
+    a, b, cell = copies(a, levels[1]), copies(b, levels[0]), [*keys, "_level", "_bin"]
+    busy = a.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).withColumn("_parts", F.ceil(F.col("_n") / hot).cast("int")).drop("_n")
+    busy = temporary(busy, "busy-bins")
+    if not busy.isEmpty():
+        a, b = (attached_left(x, busy, cell).withColumn("_parts", F.coalesce("_parts", F.lit(1))) for x in (a, b))
+        a = a.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"))
+        b = b.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        cell = [*cell, "_deal"]
+    x, y = a.alias("a"), b.alias("b")
+    same = _all([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) if k in keys else F.col(f"a.{k}") == F.col(f"b.{k}") for k in cell])
+    meet = (F.col("a._s") < F.col("b._e")) & (F.col("b._s") < F.col("a._e")) & (F.greatest("a._k", "b._k") == F.col("a._level"))
+    once = F.expr("shiftright(greatest(a._s, b._s), a._level)") == F.col("a._bin")
+    return x.join(y, same & meet & once).select("left", "right")
+
+
+def attached_left(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of facts where it has the keys' values; broadcast if it is counted small."""
+    side = F.broadcast(facts) if facts.count() <= MAX_BROADCAST else facts
+    extra = [F.col(f"f.{c}") for c in facts.columns if c not in keys]
+    return rows.alias("r").join(side.alias("f"), null_safe(tuple(keys), "r", "f"), "left").select("r.*", *extra)

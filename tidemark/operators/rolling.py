@@ -1,7 +1,7 @@
 """Rolling and causal windows over ledgers.
 
-Ledgers have a row a day or a trade, so a running order over one series is at most some thousand rows; many series are
-kept apart by ``by``. Bars never go through a window without a partition.
+Many series are kept apart by ``by``. Windows of ``ordered`` without it are for ledgers, which have a row a day; sums that
+wrap around take series of any length.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from .scan import framed, numbered
 
 #: A drawdown deeper than rounding.
 DRAWN = 1e-9
@@ -68,10 +69,10 @@ def circular_block_sums(rows: DataFrame, value: str, block: int, on: str = "t")
 
 
 def circular_sums(rows: DataFrame, values: list[str], block: int, on: str = "t") -> DataFrame:
-    """(t, values, n): sums of block consecutive values of each column, wrapping around; unknown values don't count."""
-    numbered = rows.select((F.row_number().over(ordered(on)) - 1).alias("_t"), *values)
-    sized = numbered.withColumn("n", F.count("*").over(Window.partitionBy()))
-    tail = sized.where(F.col("_t") < block - 1).withColumn("_t", F.col("_t") + F.col("n"))
-    frame = Window.orderBy("_t").rowsBetween(0, block - 1)
-    out = sized.unionByName(tail).select("_t", "n", *[F.sum(c).over(frame).alias(c) for c in values])
-    return out.where("_t < n").withColumnRenamed("_t", "t")
+    """(t, values, n): sums of block consecutive values of each column, wrapping around; unknown values don't count.
+
+    The series is dealt by ranges with halos; its last rows see copies of its first."""
+    first = numbered(rows.select(on, *values), [on], (), "_n").withColumn("t", F.col("_n") - 1)
+    n = rows.count()
+    sums = framed(first.select("t", *values), ["t"], 0, max(block - 1, 0), lambda w: {f"_s{k}": F.sum(c).over(w.rowsBetween(0, block - 1)) for k, c in enumerate(values)}, wrap=True)
+    return sums.select("t", F.lit(n).cast("long").alias("n"), *[F.col(f"_s{k}").alias(c) for k, c in enumerate(values)])

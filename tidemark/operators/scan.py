@@ -22,10 +22,16 @@ from pyspark.sql import types as T
 from ..sources.files import temporary
 
 PART, AT = "_part", "_at"
+#: Rows up to which one series is a single window (a ledger with a row a day); counted first, longer ones are dealt.
+SHORT = 5_000
 #: Facts of parts and series up to which they are broadcast, counted first.
 MAX_BROADCAST = 100_000
 
 
+def _short(rows: DataFrame, by: tuple[str, ...]) -> bool:
+    return not by and rows.limit(SHORT + 1).count() <= SHORT
+
+
 def null_safe(names: tuple[str, ...], left: str, right: str) -> Column:
     out = F.lit(True)
     for c in names:
@@ -73,6 +79,8 @@ def lay_out(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = ()
 
 def numbered(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), name: str = "n", group: str | None = None) -> DataFrame:
     """rows with their number from 1 in their series and, if a name is given, the number from 1 of the series itself."""
+    if _short(rows, by):
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     laid = lay_out(rows, order, by)
     if not by:
         return laid.rows.withColumn(name, F.col(AT) + 1).drop(PART, AT)
@@ -106,6 +114,9 @@ def running(rows: DataFrame, order: list[str | Column], values: dict[str, tuple[
     """rows with running values from the series' begin up to each row (strictly: up to the one before).
 
     values: name -> (sum, count, min, max or last, value); last is the latest known value. Nulls don't count."""
+    if _short(rows, by):
+        frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strictly else 0)
+        return rows.withColumns({name: KINDS[how][0](c).over(frame) for name, (how, c) in values.items()})
     held = {f"_v{k}": c for k, (_, c) in enumerate(values.values())}
     laid = lay_out(rows.withColumns(held), order, by)
     whole, parts = laid.window(), Window.partitionBy(*by).orderBy(PART)
@@ -141,11 +152,21 @@ def _halos(laid: Laid, before: int, after: int, wrap: bool) -> list[tuple[int, i
     return out
 
 
+def _wrapped(rows: DataFrame, order: list[str | Column], before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """A short series between copies of itself, as many as the frames reach into."""
+    n = max(rows.count(), 1)
+    one = rows.withColumn(AT, F.row_number().over(Window.orderBy(*order)))
+    turns = one.withColumn("_turn", F.explode(F.sequence(F.lit(-before // n), F.lit(-(-after // n)))))
+    return turns.withColumns(columns(Window.orderBy("_turn", AT))).where("_turn = 0").drop("_turn", AT)
+
+
 def framed(rows: DataFrame, order: list[str | Column], before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]], by: tuple[str, ...] = (), wrap: bool = False) -> DataFrame:
     """rows with columns over ROWS frames (lags and leads too) that reach at most so many rows before and after.
 
     columns gets a window of one series' rows in order and returns the columns. wrap: the last row is before the first."""
-    laid = rows if isinstance(rows, Laid) else lay_out(rows, order, by)
+    if _short(rows, by):
+        return _wrapped(rows, order, before, after, columns) if wrap else rows.withColumns(columns(Window.orderBy(*order)))
+    laid = lay_out(rows, order, by)
     kept = [c for c in laid.rows.columns if c not in (PART, AT)]
     spark = laid.rows.sparkSession
     own = laid.rows.withColumn("_own", F.lit(True))
@@ -156,4 +177,4 @@ def framed(rows: DataFrame, order: list[str | Column], before: int, after: int,
         near = (F.col(PART) == F.col("_from")) & (F.col(AT) >= F.col("_lo")) & (F.col(AT) < F.col("_hi"))
         halo = laid.rows.join(table, near).withColumns({PART: F.col("_to"), AT: F.col(AT) + F.col("_moved")})
         own = own.unionByName(halo.select(*kept, PART, AT, F.lit(False).alias("_own")))
-    return own.withColumns(columns(laid.window())).where("_own").drop("_own", PART)
+    return own.withColumns(columns(laid.window())).where("_own").drop("_own", PART, AT)

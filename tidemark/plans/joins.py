@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import sessions as S
-from ..sources.market import bars, daily, second_feed
+from ..sources.market import bars, daily, second_feed, table
 from .registry import query
 from .views import BARS, DAILY, FEED_B, q6, r6, sql
 
@@ -92,3 +92,44 @@ def cross_join_params(spark, sf):
     e, p, b = (spark.createDataFrame([(x,) for x in v], t) for v, t in (((0.01, 0.03, 0.05), "effect double"), ((0.8, 0.9), "power double"), ((5, 10, 20), "block int")))
     # Literal parameter grids: 18 rows.
     return e.crossJoin(p).crossJoin(b).withColumn("product", r6(F.col("effect") * F.col("power") * F.col("block")))
+
+
+#: A window lasts its event's value in minutes, and of every so many events so many times as long.
+LONG_EVERY, LONG_TIMES = 50, 200
+_SPANS = f"""spans AS (SELECT event_id, event_type, ts, ts + to_microseconds(round(value * 100)::BIGINT * 600000 * CASE WHEN event_id % {LONG_EVERY} = 0 THEN {LONG_TIMES} ELSE 1 END) AS until FROM events)"""
+
+
+def spans(spark, sf, kind: str):
+    """(event_id, ts, until): a window from each event of a kind on, from none to some weeks."""
+    micros = F.round(F.col("value") * 100).cast("long") * 600_000 * F.when(F.col("event_id") % LONG_EVERY == 0, LONG_TIMES).otherwise(1)
+    e = table(spark, sf, "events").where(F.col("event_type") == kind)
+    return e.select("event_id", "ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + micros).cast("timestamp_ntz").alias("until"))
+
+
+@query("join_interval_points", f"""WITH {_SPANS} SELECT s.event_id, count(*) AS n, sum(round(e.value * 100)::BIGINT)::BIGINT AS cents, min(e.event_id) AS first
+FROM spans s JOIN events e ON e.ts >= s.ts AND e.ts < s.until WHERE s.event_type = 'error' GROUP BY 1""")
+def join_interval_points(spark, sf):
+    """Every event in every window that an error opens; windows overlap and last from none to weeks."""
+    points = table(spark, sf, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    pairs = J.interval_join(points, spans(spark, sf, "error"), ("ts", None), ("ts", "until"))
+    return pairs.groupBy(F.col("right.event_id").alias("event_id")).agg(F.count("*").alias("n"), F.sum("left.cents").alias("cents"), F.min("left.event_id").alias("first"))
+
+
+@query("join_interval_overlaps", f"""WITH {_SPANS} SELECT a.event_id, count(*) AS n, sum(date_diff('microsecond', greatest(a.ts, b.ts), least(a.until, b.until)))::BIGINT AS common
+FROM spans a JOIN spans b ON a.ts < b.until AND b.ts < a.until WHERE a.event_type = 'signup' AND b.event_type = 'error' AND a.ts < a.until AND b.ts < b.until GROUP BY 1""")
+def join_interval_overlaps(spark, sf):
+    """Overlaps of two sets of windows, and how long each lasts."""
+    pairs = J.interval_join(spans(spark, sf, "signup"), spans(spark, sf, "error"), ("ts", "until"), ("ts", "until"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    common = micros(F.least("left.until", "right.until")) - micros(F.greatest("left.ts", "right.ts"))
+    return pairs.groupBy(F.col("left.event_id").alias("event_id")).agg(F.count("*").alias("n"), F.sum(common).alias("common"))
+
+
+@query("join_interval_by_user", f"""WITH {_SPANS.replace("event_type, ts,", "event_type, user_id, ts,")} SELECT a.event_id, b.event_id AS other FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.ts < b.until AND b.ts < a.until
+WHERE a.event_type = 'signup' AND b.event_type = 'error' AND a.ts < a.until AND b.ts < b.until""")
+def join_interval_by_user(spark, sf):
+    """Pairs of overlapping windows of the same user."""
+    user = table(spark, sf, "events").select("event_id", "user_id")
+    a, b = (spans(spark, sf, k).join(user, "event_id") for k in ("signup", "error"))
+    pairs = J.interval_join(a, b, ("ts", "until"), ("ts", "until"), ("user_id",))
+    return pairs.select(F.col("left.event_id").alias("event_id"), F.col("right.event_id").alias("other"))
