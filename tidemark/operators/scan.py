@@ -152,6 +152,19 @@ def _halos(laid: Laid, before: int, after: int, wrap: bool) -> list[tuple[int, i
     return out
 
 
+def with_halos(laid: Laid, before: int, after: int, wrap: bool) -> DataFrame:
+    """The rows of each part (_own) and copies of its neighbours' nearest rows, in the same positions."""
+    own = laid.rows.withColumn("_own", F.lit(True))
+    lent = _halos(laid, before, after, wrap)
+    if not lent:
+        return own
+    table = F.broadcast(laid.rows.sparkSession.createDataFrame(lent, "_from int, _to int, _lo long, _hi long, _moved long"))  # some rows a part
+    near = (F.col(PART) == F.col("_from")) & (F.col(AT) >= F.col("_lo")) & (F.col(AT) < F.col("_hi"))
+    kept = [c for c in laid.rows.columns if c not in (PART, AT)]
+    halo = laid.rows.join(table, near).select(*kept, F.col("_to").alias(PART), (F.col(AT) + F.col("_moved")).alias(AT), F.lit(False).alias("_own"))
+    return own.unionByName(halo)
+
+
 def _wrapped(rows: DataFrame, order: list[str | Column], before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
     """A short series between copies of itself, as many as the frames reach into."""
     n = max(rows.count(), 1)
@@ -167,14 +180,4 @@ def framed(rows: DataFrame, order: list[str | Column], before: int, after: int,
     if _short(rows, by):
         return _wrapped(rows, order, before, after, columns) if wrap else rows.withColumns(columns(Window.orderBy(*order)))
     laid = lay_out(rows, order, by)
-    kept = [c for c in laid.rows.columns if c not in (PART, AT)]
-    spark = laid.rows.sparkSession
-    own = laid.rows.withColumn("_own", F.lit(True))
-    lent = _halos(laid, before, after, wrap)
-    if lent:
-        schema = "_from int, _to int, _lo long, _hi long, _moved long"
-        table = F.broadcast(spark.createDataFrame(lent, schema))  # some rows a part
-        near = (F.col(PART) == F.col("_from")) & (F.col(AT) >= F.col("_lo")) & (F.col(AT) < F.col("_hi"))
-        halo = laid.rows.join(table, near).withColumns({PART: F.col("_to"), AT: F.col(AT) + F.col("_moved")})
-        own = own.unionByName(halo.select(*kept, PART, AT, F.lit(False).alias("_own")))
-    return own.withColumns(columns(laid.window())).where("_own").drop("_own", PART, AT)
+    return with_halos(laid, before, after, wrap).withColumns(columns(laid.window())).where("_own").drop("_own", PART, AT)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import losses as L
 from ..functions import stats as ST
 from ..operators import rolling as R
+from ..operators import order_stats as OS
 from ..operators import scan as SC
 from ..operators import shifts as SH
 from ..sources.market import table
@@ -124,3 +125,33 @@ def shift_perm_all(spark, sf):
     """Rank correlation of hourly counts and sums by event type, against every circular shift."""
     found = SH.shift_test(hourly(spark, sf), "event_type", ["h"], "x", "y")
     return found.select("event_type", "n", r6("rho", "rho"), "reached", r6("p", "p"))
+
+
+#: Rows of the frames by user and over all events, and the quantiles asked for.
+FRAME, FRAME_ALL, QUANTILES = 10_000, 1_000, (0.1, 0.5, 0.9)
+
+
+def _order_sql(partition: str, length: int) -> str:
+    frame = f"({partition} ORDER BY ts, event_id ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING)"
+    quantiles = ", ".join(q6(f"quantile_cont(value, {q}) OVER w", f"q{round(q * 100)}") for q in QUANTILES)
+    seen = "list(value) OVER w AS seen"
+    return f"""SELECT event_id, coalesce(len(seen), 0)::BIGINT AS n_known, coalesce(len(list_filter(seen, lambda x: x < value)), 0)::BIGINT AS n_below,
+coalesce(len(list_filter(seen, lambda x: x = value)), 0)::BIGINT AS n_equal, * EXCLUDE (event_id, seen, value) FROM (SELECT event_id, value, {seen}, {quantiles} FROM events WINDOW w AS {frame})"""
+
+
+def _ordered(spark, sf, length, by):
+    e = table(spark, sf, "events").select("ts", "event_id", "user_id", "value")
+    found = OS.rolling_order(e, ORDER, F.col("value"), length, by, QUANTILES)
+    return found.select("event_id", "n_known", "n_below", "n_equal", *[r6(F.col("quantiles")[k], f"q{round(q * 100)}") for k, q in enumerate(QUANTILES)])
+
+
+@query("rolling_order_by_user", _order_sql("PARTITION BY user_id", FRAME))
+def rolling_order_by_user(spark, sf):
+    """Each event's rank among the user's last ten thousand, and their quantiles."""
+    return _ordered(spark, sf, FRAME, ("user_id",))
+
+
+@query("rolling_order_all", _order_sql("", FRAME_ALL))
+def rolling_order_all(spark, sf):
+    """The same among the last thousand events of all."""
+    return _ordered(spark, sf, FRAME_ALL, ())
