@@ -181,3 +181,61 @@ def framed(rows: DataFrame, order: list[str | Column], before: int, after: int,
         return _wrapped(rows, order, before, after, columns) if wrap else rows.withColumns(columns(Window.orderBy(*order)))
     laid = lay_out(rows, order, by)
     return with_halos(laid, before, after, wrap).withColumns(columns(laid.window())).where("_own").drop("_own", PART, AT)
+
+
+def _time_halos(laid: Laid, at: str, by: tuple[str, ...], before: int) -> DataFrame | None:
+    """(_from, _to, _lo, _series): parts that lend another the rows of its first series that are at _lo or later."""
+    series = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    marks = laid.rows.groupBy(PART).agg(*[f(F.struct(AT, F.col(at).alias("t"), series.alias("s"))).alias(n) for n, f in (("first", F.min), ("last", F.max))])
+    parts = sorted(marks.collect())  # one row a part
+    lent = []
+    for k, (to, first, _) in enumerate(parts):
+        for source, _, last in reversed(parts[:k]):
+            if last["s"] != first["s"] or last["t"] < first["t"] - before:
+                break
+            lent.append((source, to, first["t"] - before, first["s"]))
+    return laid.rows.sparkSession.createDataFrame(lent, "_from int, _to int, _lo long, _series long") if lent else None
+
+
+def framed_by_time(rows: DataFrame, on: str, span: int, columns: Callable[[WindowSpec, WindowSpec], dict[str, Column]], ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with columns over RANGE frames that reach at most span back on a time or whole number (times in microseconds).
+
+    columns gets two windows of a series: one ordered by the number, for frames of .rangeBetween(-span, ...), and one over
+    rows in order (then by ties), for lags of a row. Rows that do not know the number get no part in any frame."""
+    kind = rows.schema[on].dataType.simpleString()
+    spot = F.unix_micros(F.col(on).cast("timestamp")) if kind.startswith("timestamp") else F.col(on).cast("long")
+    placed = rows.withColumn("_t", spot)
+    laid = lay_out(placed.where("_t IS NOT NULL"), ["_t", *ties], by)
+    own = laid.rows.withColumn("_own", F.lit(True))
+    lent = _time_halos(laid, "_t", by, span)
+    if lent is not None:
+        series = F.xxhash64(*by) if by else F.lit(0).cast("long")
+        near = (F.col(PART) == F.col("_from")) & (F.col("_t") >= F.col("_lo")) & (series == F.col("_series"))
+        halo = laid.rows.join(F.broadcast(lent), near).select(*placed.columns, F.col("_to").alias(PART), AT, F.lit(False).alias("_own"))  # some rows a part
+        own = own.unionByName(halo)
+    series = Window.partitionBy(PART, *by)
+    made = columns(series.orderBy("_t"), series.orderBy(AT))
+    out = own.withColumns(made).where("_own").drop("_own", PART, AT, "_t")
+    return out.unionByName(rows.where(spot.isNull()), allowMissingColumns=True)
+
+
+def covered_frames(rows: DataFrame, on: str, span: int, gap: int, values: dict[str, Column], ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with n, widest and the values (aggregates) over the span before each row, strictly.
+
+    widest is the longest stretch of the frame without a row, its edges included; where it is longer than gap (or the frame
+    has no row), the values are null."""
+    stretch = "_next"
+
+    def columns(by_time: WindowSpec, in_order: WindowSpec) -> dict[str, Column]:
+        frame = by_time.rangeBetween(-span, -1)
+        inner = F.max(stretch).over(frame)
+        edge = F.min("_t").over(frame) - (F.col("_t") - span)
+        found = {"n": F.count("*").over(frame), "widest": F.coalesce(F.greatest(inner, edge), F.lit(span))}
+        whole = (found["widest"] <= gap) & (found["n"] > 0)
+        return found | {name: F.when(whole, v.over(frame)) for name, v in values.items()}
+
+    spot = F.unix_micros(F.col(on).cast("timestamp")) if rows.schema[on].dataType.simpleString().startswith("timestamp") else F.col(on).cast("long")
+    numbered_rows = rows.withColumn("_spot", spot)
+    # How long it is to the next row of the series: a lead over one row.
+    known = framed(numbered_rows, ["_spot", *ties], 0, 1, lambda w: {stretch: F.lead("_spot").over(w) - F.col("_spot")}, by)
+    return framed_by_time(known, on, span, columns, ties, by).drop("_spot", stretch)

@@ -155,3 +155,31 @@ def rolling_order_by_user(spark, sf):
 def rolling_order_all(spark, sf):
     """The same among the last thousand events of all."""
     return _ordered(spark, sf, FRAME_ALL, ())
+
+
+DAY, HOUR = 86_400_000_000, 3_600_000_000
+
+
+def _covered_sql(partition: str, span: str, micros: int, gap: int) -> str:
+    return f"""WITH x AS (SELECT *, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER ({partition} ORDER BY ts, event_id) - epoch_us(ts) AS d FROM events),
+f AS (SELECT event_id, count(*) OVER w AS n, coalesce(greatest(max(d) OVER w, min(t) OVER w - (t - {micros})), {micros}) AS widest, (sum(round(value * 100)::BIGINT) OVER w)::BIGINT AS cents, max(value) OVER w AS most
+  FROM x WINDOW w AS ({partition} ORDER BY ts RANGE BETWEEN INTERVAL {span} PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))
+SELECT event_id, n, widest, CASE WHEN widest <= {gap} AND n > 0 THEN cents END AS cents, CASE WHEN widest <= {gap} AND n > 0 THEN most END AS most FROM f"""
+
+
+def _covered(spark, sf, span, gap, by):
+    e = table(spark, sf, "events").select("ts", "event_id", "user_id", "value")
+    found = SC.covered_frames(e, "ts", span, gap, {"cents": F.sum(F.round(F.col("value") * 100).cast("long")), "most": F.max("value")}, ("event_id",), by)
+    return found.select("event_id", "n", "widest", "cents", "most")
+
+
+@query("range_frame_6h", _covered_sql("", "6 HOUR", 6 * HOUR, 30 * HOUR // 60))
+def range_frame_6h(spark, sf):
+    """The six hours before each event, null where half an hour of them has none."""
+    return _covered(spark, sf, 6 * HOUR, 30 * HOUR // 60, ())
+
+
+@query("range_frame_4d_by_user", _covered_sql("PARTITION BY user_id", "4 DAY", 4 * DAY, 2 * DAY))
+def range_frame_4d_by_user(spark, sf):
+    """A user's four days before each event, null where two days of them have none."""
+    return _covered(spark, sf, 4 * DAY, 2 * DAY, ("user_id",))
