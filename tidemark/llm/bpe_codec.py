@@ -24,7 +24,6 @@ their names. Texts are encoded whole.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
@@ -247,17 +246,6 @@ class Encoder:
         return b"".join(out)
 
 
-#: The encoder of the vocabulary that this Python worker used last, kept from task to task.
-_READY: dict[str, Encoder] = {}
-
-
-def _encoder(digest: str, shipped) -> Encoder:
-    if digest not in _READY:
-        _READY.clear()
-        _READY[digest] = Encoder(Vocabulary(*shipped.value))
-    return _READY[digest]
-
-
 def spelling(parts) -> list[bytes]:
     """What each id decodes to."""
     names, _, special = parts
@@ -276,12 +264,12 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, packed:
     """docs and a column (its name is returned) with the ids of each text: an array of integers, or packed as
     little-endian unsigned 32-bit integers in one binary value."""
     name, parts = fresh(docs.columns, "ids"), load(path)
-    shipped, digest = docs.sparkSession.sparkContext.broadcast(parts), hashlib.sha256(repr(parts).encode()).hexdigest()
+    shipped = docs.sparkSession.sparkContext.broadcast(parts)
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 
     def run(batches):
-        encoder = _encoder(digest, shipped)
+        encoder = Encoder(Vocabulary(*shipped.value))
         for piece in each_piece(batches, text):
             coded = [None if x is None else encoder.encode(x) for x in piece.column(piece.schema.get_field_index(text)).to_pylist()]
             if packed:
