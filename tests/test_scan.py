@@ -85,6 +85,18 @@ def test_empty_and_single(spark, series):
     assert one["x"] == 7
 
 
+def test_modules_still_travel_to_workers(series):
+    """They go by value, with all they hold, after tables were made."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    SC.lay_out(series, ["t"])
+    for name in ("tidemark.operators.simulate", "tidemark.sources.files", "tidemark.operators.scan"):
+        __import__(name)
+        assert cloudpickle.dumps(sys.modules[name])
+
+
 def test_no_window_without_partition(series):
     plans = [SC.running(series, ["t"], {"s": ("sum", F.col("v"))}), SC.framed(series, ["t"], 5, 5, lambda w: {"x": F.lag("v", 5).over(w)}), SC.numbered(series, ["t"])]
     for df in plans:

@@ -133,16 +133,39 @@ def _london_asia(spark, sf):
     return asia, f.where((F.hour("lt") >= 8) & (F.hour("lt") < 12)).select("date", "bar", "high_bid", "low_bid", "mid_close")
 
 
-@query("london_first_breach", sql(_LDN, "SELECT date, CASE WHEN up AND down THEN 'both' WHEN up THEN 'up' ELSE 'down' END AS side, date_diff('minute', starts, bar)::BIGINT AS minutes FROM (SELECT date, bar, high_bid > hi AS up, low_bid < lo AS down, timezone('UTC', timezone('Europe/London', date::TIMESTAMP + INTERVAL '8 hours')) AS starts FROM ldn JOIN asia USING (date) WHERE high_bid > hi OR low_bid < lo) QUALIFY row_number() OVER (PARTITION BY date ORDER BY bar) = 1"))
+_BREACH = _LDN + """, ranges AS (SELECT *, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(hi - lo, 0.5) OVER w END AS base FROM asia WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT l.*, hi, lo, base, high_bid > hi AS up, low_bid < lo AS down, min(CASE WHEN high_bid > hi OR low_bid < lo THEN bar END) OVER (PARTITION BY date) AS first FROM ldn l JOIN ranges USING (date)),
+days AS (SELECT date, min(hi) AS hi, min(lo) AS lo, min(base) AS base, min(first) AS first, bool_or(up AND bar = first) AS up, bool_or(down AND bar = first) AS down,
+  max(high_bid) FILTER (bar >= first) AS top, min(low_bid) FILTER (bar >= first) AS bottom, last(mid_close ORDER BY bar) AS c, timezone('UTC', timezone('Europe/London', date::TIMESTAMP + INTERVAL '8 hours')) AS starts FROM marked GROUP BY date),
+sided AS (SELECT *, CASE WHEN first IS NULL THEN 'none' WHEN up AND down THEN 'ambiguous' WHEN up THEN 'up' ELSE 'down' END AS side FROM days)"""
+
+
+@query("london_first_breach", sql(_BREACH, f"""SELECT date, side, date_diff('minute', starts, first)::BIGINT AS minutes,
+  {q6("CASE side WHEN 'up' THEN (top - hi) / base WHEN 'down' THEN (lo - bottom) / base END", 'mfe')}, {q6("CASE side WHEN 'up' THEN (hi - bottom) / base WHEN 'down' THEN (top - lo) / base END", 'mae')},
+  {q6("CASE side WHEN 'up' THEN (c - hi) / base WHEN 'down' THEN (lo - c) / base END", 'endpoint')} FROM sided"""))
 def london_first_breach(spark, sf):
+    """Every day with both sessions: the side of the Asian range that London breaks first (none, or both in one bar:
+    ambiguous), minutes into the session, and from the breached level on the greatest excursions and the session's end, in
+    units of the median range of the twenty days before."""
     from ..operators.sessions import LONDON, bounds
 
     asia, ldn = _london_asia(spark, sf)
-    hit = ldn.join(asia, "date").withColumns({"up": F.col("high_bid") > F.col("hi"), "down": F.col("low_bid") < F.col("lo")}).where("up OR down")
-    first = bounds(hit.groupBy("date").agg(F.min_by(F.struct("bar", "up", "down"), "bar").alias("f")), LONDON)
-    sec = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    side = F.when(F.col("f.up") & F.col("f.down"), "both").when(F.col("f.up"), "up").otherwise("down")
-    return first.select("date", side.alias("side"), ((sec(F.col("f.bar")) - sec(F.col("starts"))) / 60).cast("long").alias("minutes"))
+    asia = asia.withColumn("base", R.prior(F.col("hi") - F.col("lo"), 20, "median", R.ordered("date")))
+    x = ldn.join(asia, "date").withColumns({"up": F.col("high_bid") > F.col("hi"), "down": F.col("low_bid") < F.col("lo")})
+    x = x.withColumn("first", F.min(F.when(F.col("up") | F.col("down"), F.col("bar"))).over(Window.partitionBy("date")))
+    at, after = F.col("bar") == F.col("first"), F.col("bar") >= F.col("first")
+    days = x.groupBy("date").agg(
+        *[F.min(c).alias(c) for c in ("hi", "lo", "base", "first")], F.bool_or(F.col("up") & at).alias("up"), F.bool_or(F.col("down") & at).alias("down"),
+        F.max(F.when(after, F.col("high_bid"))).alias("top"), F.min(F.when(after, F.col("low_bid"))).alias("bottom"), F.max_by("mid_close", "bar").alias("c"),
+    )
+    days = bounds(days, LONDON)
+    up, hi, lo = F.col("side") == "up", F.col("hi"), F.col("lo")
+    side = F.when(F.col("first").isNull(), "none").when(F.col("up") & F.col("down"), "ambiguous").when(F.col("up"), "up").otherwise("down")
+    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    told = days.withColumns({"side": side, "minutes": ((sec("first") - sec("starts")) / 60).cast("long")})
+    sided = lambda a, b: F.try_divide(F.when(up, a).when(F.col("side") == "down", b), F.col("base"))
+    top, bottom, c = F.col("top"), F.col("bottom"), F.col("c")
+    return told.select("date", "side", "minutes", r6(sided(top - hi, lo - bottom), "mfe"), r6(sided(hi - bottom, top - lo), "mae"), r6(sided(c - hi, lo - c), "endpoint"))
 
 
 @query("breach_distance", sql(_LDN, f"SELECT date, {q6('greatest(max(high_bid) - min(hi), min(lo) - min(low_bid), 0) / nullif(min(hi) - min(lo), 0)', 'distance')} FROM ldn JOIN asia USING (date) GROUP BY 1"))
@@ -158,13 +181,26 @@ def close_location(spark, sf):
     return asia.select("date", r6(F.try_divide(F.col("c") - F.col("lo"), F.col("hi") - F.col("lo")), "location"))
 
 
-@query("feature_ratios", sql(_V, f""", m AS (SELECT *, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(a, 0.5) OVER w END AS ma, CASE WHEN count(*) OVER w >= 20 THEN stddev_samp(a - l) OVER w END AS sd, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(l, 0.5) OVER w END AS ml FROM v WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-SELECT date, {q6('a / ma', 'c')}, {q6('ln(a / ma)', 'log_c')}, {q6('(a - l) / sd', 'd')}, {q6('ln(l / ml)', 'y_range')}, {q6('(a - l) / sd * ln(a / ma)', 'd_x_c')} FROM m"""))
+_W20, _W60 = "(ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", "(ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
+_FEATURES = _V + f""", m AS (SELECT *, count(*) OVER w >= 20 AS full20, quantile_cont(a, 0.5) OVER w AS ma, stddev_samp(a - l) OVER w AS sd, quantile_cont(l, 0.5) OVER w AS ml, quantile_cont(r, 0.5) OVER w AS mr, stddev_samp(l - r) OVER w AS sl,
+  sum(a - l) OVER w AS s1, sum((a - l) * (a - l)) OVER w AS s2 FROM v WINDOW w AS {_W20}),
+k AS (SELECT date, a, l, r, CASE WHEN full20 THEN ma END AS ma, CASE WHEN full20 THEN sd END AS sd, CASE WHEN full20 THEN ml END AS ml, CASE WHEN full20 THEN mr END AS mr, CASE WHEN full20 THEN sl END AS sl, CASE WHEN full20 THEN abs(s1) / sqrt(s2) END AS strength FROM m),
+h AS (SELECT *, CASE WHEN count(ma) OVER w >= 60 THEN (ma > quantile_cont(ma, 0.5) OVER w)::INTEGER END AS highvol, (strength >= 1)::INTEGER AS trend FROM k WINDOW w AS {_W60})"""
+
+
+@query("feature_ratios", sql(_FEATURES, f"""SELECT date, {q6('a / ma', 'c')}, {q6('ln(a / ma)', 'log_c')}, {q6('(a - l) / sd', 'd')}, {q6('ln(l / ml)', 'y_range')}, {q6('ln(r / mr)', 'y_rv')}, {q6('(l - r) / sl', 'y_return')}, (l > a)::INTEGER AS y_break,
+  {q6('abs(l - a) / ma', 'gap')}, {q6('ln(ma)', 'base_log')}, {q6('(a - l) / sd * ln(a / ma)', 'd_x_c')}, highvol, trend, {q6('ln(a / ma) * highvol', 'c_x_vol')}, {q6('ln(a / ma) * trend', 'c_x_trend')} FROM h"""))
 def feature_ratios(spark, sf):
-    o = R.ordered("date")
-    x = valid(spark, sf).withColumns({"ma": R.prior(F.col("a"), 20, "median", o), "sd": R.prior(F.col("a") - F.col("l"), 20, "std", o), "ml": R.prior(F.col("l"), 20, "median", o)})
-    c, d = F.try_divide(F.col("a"), F.col("ma")), F.try_divide(F.col("a") - F.col("l"), F.col("sd"))
-    return x.select("date", r6(c, "c"), r6(F.log(c), "log_c"), r6(d, "d"), r6(F.log(F.try_divide(F.col("l"), F.col("ml"))), "y_range"), r6(d * F.log(c), "d_x_c"))
+    """The study's features of a day from causal baselines: compression, direction, outcomes in units of their own lagged
+    medians and deviations, the gap, regimes, and their products."""
+    o, a, l, r = R.ordered("date"), F.col("a"), F.col("l"), F.col("r")
+    held = {"ma": (a, "median"), "sd": (a - l, "std"), "ml": (l, "median"), "mr": (r, "median"), "sl": (l - r, "std"), "s1": (a - l, "sum"), "s2": ((a - l) * (a - l), "sum")}
+    x = valid(spark, sf).withColumns({name: R.prior(c, 20, how, o) for name, (c, how) in held.items()})
+    x = x.withColumns({"highvol": (F.col("ma") > R.prior(F.col("ma"), 60, "median", o)).cast("int"), "trend": (F.try_divide(F.abs("s1"), F.sqrt("s2")) >= 1).cast("int")})
+    ratio = lambda top, base: F.try_divide(top, F.col(base))
+    log_c, d = F.log(ratio(a, "ma")), ratio(a - l, "sd")
+    found = {"c": ratio(a, "ma"), "log_c": log_c, "d": d, "y_range": F.log(ratio(l, "ml")), "y_rv": F.log(ratio(r, "mr")), "y_return": ratio(l - r, "sl"), "gap": ratio(F.abs(l - a), "ma"), "base_log": F.log("ma"), "d_x_c": d * log_c, "c_x_vol": log_c * F.col("highvol"), "c_x_trend": log_c * F.col("trend")}
+    return x.select("date", *[r6(c, name) for name, c in found.items()], (l > a).cast("int").alias("y_break"), "highvol", "trend")
 
 
 _SIZED = TRADES + """, fr AS (SELECT *, CASE WHEN count(r) OVER w >= 20 AND round(sum(r) OVER w, 9) < -4 THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END AS fraction FROM trades WINDOW w AS (PARTITION BY book ORDER BY n ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),

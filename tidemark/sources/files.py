@@ -35,25 +35,27 @@ def staged(df: DataFrame, name: str, kind: str = "parquet", **options) -> str:
     return path
 
 
-_temporary: dict[str, SparkSession] = {}
+#: Paths alone: modules travel to Python workers with what they hold, and a session can't.
+_temporary: list[str] = []
 
 
 def temporary(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors. The table
     stays until release() or the end of the program, since results are lazy."""
-    spark = df.sparkSession
     path = staged(df, name)
-    _temporary[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    _temporary.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
     """Remove every table made by temporary(); results not yet computed are lost."""
-    for path, spark in list(_temporary.items()):
-        with contextlib.suppress(Exception):  # at the end of the program the session may have gone
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        _temporary.pop(path, None)
+    spark = SparkSession.getActiveSession()
+    while _temporary:
+        path = _temporary.pop()
+        if spark is not None:
+            with contextlib.suppress(Exception):  # at the end of the program the session may have gone
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 atexit.register(release)
