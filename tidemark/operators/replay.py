@@ -68,6 +68,11 @@ def _complete(r: Rules, end: Column) -> Column:
     return enough & ends & whole & ~F.bool_or(F.coalesce("suspect", F.lit(False)))
 
 
+def paths(bars: DataFrame, boxed: DataFrame, r: Rules = Rules()) -> DataFrame:
+    """The bars from each box's end to the exit bar, with since (minutes from the box's opening) and the box's columns."""
+    return _placed(bars, r).where(F.col("since") >= r.box_hours * 60).join(boxed, "box_date")
+
+
 def path_quality(bars: DataFrame, r: Rules = Rules()) -> DataFrame:
     """(box_date, n_path, largest_gap, suspect, complete) of the bars from the box's end to the exit bar."""
     path = _placed(bars, r).where(F.col("since") >= r.box_hours * 60)
