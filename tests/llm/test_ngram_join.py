@@ -28,8 +28,9 @@ def rows_():
     return rows + [(200, "one two"), (201, "one two"), (202, "two one"), (203, "one"), (204, "one")]
 
 
-@pytest.mark.parametrize("side, part, fetched", [(1024, 512, 2_000_000), (3, 3, 0)])
-def test_matches_brute_force(make, monkeypatch, side, part, fetched):
+@pytest.mark.parametrize("side, part, fetched, wide", [(1024, 512, 2_000_000, 64), (3, 3, 0, 64), (3, 3, 0, 1)])
+def test_matches_brute_force(make, monkeypatch, side, part, fetched, wide):
+    monkeypatch.setattr(N, "WIDE", wide)
     monkeypatch.setattr(N, "SIDE", side)
     monkeypatch.setattr(N, "BAND_PART", part)
     monkeypatch.setattr(N, "MAX_FETCHED", fetched)
@@ -90,3 +91,44 @@ def test_pruning_table_is_the_posterior_tail():
     for n, m in N.least_matches(0.8, 1e-2):
         tail = lambda k: (rng.beta(k + 1, n - k + 1, 400_000) >= 0.8).mean()
         assert tail(m) > 0.008 and tail(m - 1) < 0.013
+
+
+def shared_passage(n):
+    """Documents of 100 words of their own and one passage of 30 words that all share; every 100th has a near copy."""
+    passage = prose(999, 30)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(100)) + " " + passage) for k in range(n)]
+    return rows + [(n + k, x + " more") for k, x in rows[::100]]
+
+
+def test_a_shared_passage_makes_no_candidates(make):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.shared import written
+
+    pairs = {}
+    for n in (1500, 3000):
+        docs = make(shared_passage(n))
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        classes = written(texts.mapInArrow(N._features, N._FEATURES), "t").select("key", F.struct("doc_id", "text_hash").alias("least"), "sig")
+        pairs[n] = N.candidates(texts, classes, 0.8).groupBy("cluster").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0]
+    assert pairs[1500] < 3000 and pairs[3000] <= 2.2 * pairs[1500], pairs
+    out = N.similar(docs).where("n_links > 0").collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == sorted([(k, k, 1) for k in range(0, 3000, 100)] + [(3000 + k, k, 1) for k in range(0, 3000, 100)])
+
+
+def test_sets_that_reach_the_threshold_share_a_first_gram():
+    """Under any order: here levels drawn at random, sets of random overlap."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(3000):
+        n, both = int(rng.integers(1, 30)), rng.permutation(60).astype(np.uint64)
+        a, b = np.sort(both[:n]), np.sort(both[int(rng.integers(0, 3)) : n + int(rng.integers(0, 4))])
+        if not len(b) or len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)) - 1e-12:
+            continue
+        met += 1
+        value, level = np.concatenate([a, b]), rng.integers(0, 4, 60)
+        gram, of = N.first_grams(value, level[value.astype(int)], np.array([0, len(a), len(value)]), 0.8)
+        assert set(gram[of == 0].tolist()) & set(gram[of == 1].tolist())
+    assert met > 500

@@ -7,6 +7,12 @@ as soon as the posterior probability of reaching the threshold, given a uniform
 others are verified exactly on their n-gram sets. Links are counted with the sizes of the classes they join, and
 connected components of links are the similarity classes.
 
+Clusters of more than WIDE classes, which a passage shared by many documents makes, are cut by an exact prefix filter:
+all n-grams are put in one order, those of rare buckets first (BUCKETS counts of the classes that hold an n-gram that
+hashes there), and two sets can reach the threshold only if the least n-gram they share is among the first
+n - ceil(threshold * n) + 1 of both. Classes that share none of these are no candidates, so text that many documents
+share makes candidates only where it is nearly all of them. Any common order is exact; counts make it selective.
+
 A cluster of more than SIDE classes is compared in pairs of blocks, one group each; what a group returns is one count
 and one link for each member, never its pairs. Small clusters share groups. A very common n-gram or band costs one row
 a class.
@@ -38,6 +44,8 @@ BANDS, BAND_ROWS = 32, 4
 STEP = 32
 TOLERANCE = 1e-6
 SIDE = 1024
+#: Classes beyond which a cluster is cut by the prefix filter, and the most counts that order its n-grams.
+WIDE, BUCKETS = 64, 1 << 22
 #: Classes of a band that one task links; a band with more is dealt to several.
 BAND_PART = 512
 #: Texts fetched by a broadcast of one long for each.
@@ -261,6 +269,81 @@ def _linked(bands: DataFrame, shared: DataFrame) -> DataFrame:
     return near.union(inner).union(outer)
 
 
+def _fetched(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, grams) of the classes of members, from the text that stands for each.
+
+    So few texts are fetched by a broadcast of a hash of their ids, and none is shuffled; more by a shuffle, which the
+    planner thins by a Bloom filter where it can. A text fetched by a collision finds no member later.
+    """
+    wanted = small(members.select(F.xxhash64("least.doc_id", "least.text_hash").alias("wanted")).distinct(), MAX_FETCHED)
+    found = texts.join(wanted, F.xxhash64("doc_id", "text_hash") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return found.select("text").mapInArrow(_grams, "key long, grams binary").dropDuplicates(["key"])
+
+
+def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(value ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def first_grams(value: np.ndarray, level: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the n-grams that a set reaching the threshold with it must share one of: values, and their sets."""
+    size = np.diff(offsets)
+    of = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((value, level, of))
+    most = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    take = order[np.arange(len(value)) - offsets[of] < most[of]]
+    return value[take], of[take]
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    sets = [unpack_sorted(g) for g in batch.column("grams").to_pylist()]
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+
+
+def _narrowed(clusters: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """clusters (key, cluster) with those of more than WIDE classes cut into candidates of the prefix filter."""
+    crowded = small(clusters.groupBy("cluster").count().where(F.col("count") > WIDE).select("cluster"))
+    if crowded.isEmpty():
+        return clusters
+    wide = written(clusters.join(crowded, "cluster", "left_semi").join(classes, "key").select("key", "least"), "wide")
+    grams = written(_fetched(texts, wide).join(wide.select("key"), "key", "left_semi"), "wide-grams")
+    buckets = 1 << min(BUCKETS.bit_length() - 1, max(16, (64 * wide.count()).bit_length()))
+
+    def count(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                total += np.bincount(_bucket(_unpacked(batch.slice(at, 256))[0], buckets), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+    # At most BUCKETS numbers, however large the table.
+    held = grams.select("grams").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.floor(8 * F.log2(F.sum("n"))).cast("short").alias("level")).toArrow()
+    levels = np.zeros(buckets, np.int16)
+    levels[held["bucket"].to_numpy()] = held["level"].to_numpy()
+    shipped = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def first(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                value, offsets = _unpacked(piece)
+                gram, of = first_grams(value, shipped.value[_bucket(value, buckets)], offsets, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), piece.column("key").take(pa.array(of))], names=["band", "key"])
+
+    firsts = written(grams.select("key", "grams").mapInArrow(first, "band long, key long"), "first-grams")
+    shared = firsts.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
+    cut = components(_linked(firsts, written(shared, "first-shared"))).withColumnsRenamed({"node": "key", "root": "cluster"})
+    return clusters.join(crowded, "cluster", "left_anti").select("key", "cluster").unionByName(cut)
+
+
+def candidates(texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, cluster): classes that may reach the threshold with another of their cluster."""
+    bands = classes.select("key", "sig").mapInArrow(_bands, "band long, key long")
+    shared = bands.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
+    clusters = written(components(_linked(bands, written(shared, "bands"))).withColumnsRenamed({"node": "key", "root": "cluster"}), "clusters")
+    return written(_narrowed(clusters, classes, texts, threshold), "candidates")
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, text_hash, class_id, copy_of, n_links) for each row: the similarity class, the least id with an equal
     n-gram set, and how many other documents reach the threshold, copies included."""
@@ -275,17 +358,12 @@ def _similar(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHO
     classes = part.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("weight"), F.min("sig").alias("sig"))
     classes = written(classes, "classes")
 
-    bands = classes.select("key", "sig").mapInArrow(_bands, "band long, key long")
-    shared = bands.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
-    clusters = written(components(_linked(bands, written(shared, "bands"))).withColumnsRenamed({"node": "key", "root": "cluster"}), "clusters")
-
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("n_blocks"))
+    clusters = candidates(texts, classes, threshold)
+    # Clusters of one block need no row here, so the join on a cluster is a broadcast or meets no common key.
+    blocks = small(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("n_blocks")).where("n_blocks > 1"))
     n_bins = max(1, math.ceil(clusters.count() / BIN))
-    members = clusters.join(blocks, "cluster").join(classes, "key")
-    # So few texts are fetched by a broadcast of a hash of their ids, and none is shuffled; more by a shuffle, which the
-    # planner thins by a Bloom filter where it can. A text fetched by a collision finds no member below.
-    wanted = small(members.select(F.xxhash64("least.doc_id", "least.text_hash").alias("wanted")).distinct(), MAX_FETCHED)
-    grams = texts.join(wanted, F.xxhash64("doc_id", "text_hash") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("text").mapInArrow(_grams, "key long, grams binary").dropDuplicates(["key"])
+    members = clusters.join(blocks, "cluster", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).join(classes, "key")
+    grams = _fetched(texts, members)
     own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("n_blocks")).cast("int")
     placed = members.select("cluster", "key", "weight", "sig", "n_blocks", own.alias("own")).join(grams, "key")
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
