@@ -34,4 +34,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from . import aggregation, bars_and_sessions, events_and_risk, joins, nested, ordering, quality, rolling, scans, simulation, sketches, sources, sql_text, statistics, streams  # noqa: E402, F401
+from . import aggregation, bars_and_sessions, connectors, events_and_risk, joins, nested, ordering, quality, rolling, scans, simulation, sketches, sources, sql_text, statistics, streams  # noqa: E402, F401
