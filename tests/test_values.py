@@ -100,3 +100,41 @@ def test_manifests_hold_the_files_bytes_and_digests(spark, monkeypatch):
     bundle = registry.QUERIES["bundle_manifest"](spark, SF).head()
     files = digests(staged[-1])
     assert (bundle["files"], bundle["bytes"], bundle["digests"]) == (len(files), sum(n for n, _ in files), len({h for _, h in files}))
+
+
+@pytest.fixture
+def unsteady(spark, monkeypatch):
+    """A function that makes prices whose last bits are others each time they are computed, as sums' are that add blocks in the order they come in."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import market
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    shaken = F.udf(lambda x: x * (1 + random.random() * 1e-13), "double").asNondeterministic()
+    real = market.table
+
+    def table_of(spark, sf, name):
+        return real(spark, sf, name).withColumn("o_totalprice", shaken("o_totalprice")) if name == "orders" else real(spark, sf, name)
+
+    yield lambda: monkeypatch.setattr(market, "table", table_of)
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_changes_are_no_last_bits_of_sums(spark, unsteady):
+    want = {r["date"] for r in registry.QUERIES["dict_value_change"](spark, SF).collect()}
+    unsteady()
+    assert {r["date"] for r in registry.QUERIES["dict_value_change"](spark, SF).collect()} == want
+
+
+def test_ranks_survive_last_bits_of_sums(spark, unsteady):
+    from tidemark.functions.moments import average_rank
+
+    want = registry.QUERIES["circ_shift_perm"](spark, SF).collect()
+    unsteady()
+    assert registry.QUERIES["circ_shift_perm"](spark, SF).collect() == want
+    from tidemark.sources import market
+
+    rows = market.table(spark, SF, "orders").limit(50)
+    assert average_rank(rows, "o_totalprice", "rank").where("rank IS NULL").count() == 0

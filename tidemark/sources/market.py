@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import temporary
+
 BASE_MINUTES = 15
 SIDES = ("bid", "ask")
 FIELDS = ("open", "high", "low", "close")
@@ -42,12 +44,15 @@ def second_feed(base: DataFrame) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, a, l, r, d) on weekdays: sums of squared log price deviations by order priority; d is null if one is."""
+    """(date, a, l, r, d) on weekdays: sums of squared log price deviations by order priority; d is null if one is.
+
+    Stored, a row a day: sums of doubles take their last bits from the order in which a shuffle's blocks come in, so a
+    plan that sums twice may rank, join or compare two different values of one day."""
     v = F.pow(F.log("o_totalprice") - 11, 2)
     p = F.substring("o_orderpriority", 1, 1)
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), v.alias("v"), p.alias("p")).where(F.weekday("date") < 5)
     out = rows.groupBy("date").agg(F.sum(F.when(F.col("p").isin("1", "2"), F.col("v"))).alias("a"), F.sum(F.when(F.col("p") == "3", F.col("v"))).alias("l"), F.sum(F.when(~F.col("p").isin("1", "2", "3"), F.col("v"))).alias("r"))
-    return out.withColumn("d", F.col("a") + F.col("l") + F.col("r"))
+    return temporary(out.withColumn("d", F.col("a") + F.col("l") + F.col("r")), "daily")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
