@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import temporary
+
 
 def skew_corrected(c: Column) -> Column:
     """Bias-corrected skewness from the biased one that Spark computes."""
@@ -50,7 +52,10 @@ def cumulated(rows: DataFrame, column: str, bound: int = BOUND) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, column: str, name: str, bound: int = BOUND) -> DataFrame:
-    """rows with the rank of a column, ties sharing their mean rank; null for null."""
+    """rows with the rank of a column, ties sharing their mean rank; null for null.
+
+    Ranks join rows by value, so rows are stored first: computed anew, a sum may come out with other last bits."""
+    rows = temporary(rows, "rows-to-rank")
     ranks = cumulated(rows, column, bound).select(column, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(name))
     return rows.join(ranks, column, "left")
 
