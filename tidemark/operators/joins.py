@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import temporary
-from .scan import MAX_BROADCAST, null_safe
+from .scan import MAX_BROADCAST, null_safe, running
+from .totals import totals_within
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
@@ -116,6 +117,45 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str |
     return x.join(y, same & meet & once).select("left", "right")
 
 
+def interval_totals(spans: DataFrame, points: DataFrame, span: tuple[str, str], at: str, values: dict[str, tuple[str, Column]], by: tuple[str, ...] = ()) -> DataFrame:
+    """spans with n (their points, at least one) and values (sum, min or max) of those points: interval_join with a point,
+    and its totals by span, without its pairs, which may be as many as spans times points."""
+    numbered = temporary(spans.withColumn("_id", F.monotonically_increasing_id()), "spans")
+    ends = numbered.select(*by, "_id", _spot(numbered, span[0]).alias("_s"), _spot(numbered, span[1]).alias("_e"))
+    found = totals_within(ends, points, _spot(points, at), values, by).where("n > 0")
+    return numbered.join(found, "_id").drop("_id")
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """left with n (long) and common (decimal): how many right spans each left span meets (at least one), and the sum of
+    their common parts. As interval_join and its totals, without its pairs.
+
+    Of the right spans, those that begin before a left one ends meet it, but for those that have ended when it begins. Up to
+    a time t they cover, in all, t - begin of each that has begun less t - end of each that has ended. So running counts and
+    sums at a left span's two ends are enough: four rows a pair of spans, in order, and one scan."""
+    numbered = temporary(left.withColumn("_id", F.monotonically_increasing_id()), "spans")
+    keys, none = [f"_by{k}" for k in range(len(by))], F.lit(None).cast("long")
+
+    def ends(rows: DataFrame, span: tuple[str, str], ident: Column, turns: tuple[int, int], adds: bool) -> DataFrame:
+        x = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], ident.alias("_id"), _spot(rows, span[0]).alias("_s"), _spot(rows, span[1]).alias("_e")).where("_s < _e")
+        each = [F.struct(F.col(c).alias("_t"), F.lit(turn).alias("_turn"), F.lit(sign).alias("_sign")) for c, turn, sign in zip(("_s", "_e"), turns, (1, -1))]
+        x = x.select(*keys, "_id", F.explode(F.array(*each)).alias("x")).select(*keys, "_id", "x.*")
+        return x.withColumn("_adds", F.lit(adds))
+
+    # At one time: right spans end, then left ones begin or end, then right ones begin.
+    marks = ends(numbered, left_span, F.col("_id"), (1, 1), False).unionByName(ends(right, right_span, none, (2, 0), True))
+    begun, ended = F.col("_adds") & (F.col("_sign") > 0), F.col("_adds") & (F.col("_sign") < 0)
+    one, t = F.lit(1).cast("long"), F.col("_t").cast("decimal(38,0)")
+    values = {"_begun": F.when(begun, one), "_ended": F.when(ended, one), "_moved": F.when(F.col("_adds"), t * F.col("_sign"))}
+    upto = running(marks, ["_t", "_turn", "_id"], {name: ("sum", v.cast("decimal(38,0)")) for name, v in values.items()}, tuple(keys)).where("NOT _adds")
+    upto = upto.withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(38,0)")) for c in values})
+    first = F.col("_sign") > 0
+    covered = (t * (F.col("_begun") - F.col("_ended"))).cast("decimal(38,0)") - F.col("_moved")
+    n = F.sum(F.when(first, -F.col("_ended")).otherwise(F.col("_begun"))).cast("long")
+    found = upto.groupBy("_id").agg(n.alias("n"), F.sum(-F.col("_sign") * covered).alias("common")).where("n > 0")
+    return numbered.join(found, "_id").drop("_id")
+
+
 def attached_left(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the other columns of facts where it has the keys' values; broadcast if it is counted small."""
     side = F.broadcast(facts) if facts.count() <= MAX_BROADCAST else facts

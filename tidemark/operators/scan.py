@@ -24,6 +24,8 @@ from ..sources.files import temporary
 PART, AT = "_part", "_at"
 #: Rows up to which one series is a single window (a ledger with a row a day); counted first, longer ones are dealt.
 SHORT = 5_000
+#: Rows of a part, about, where Python holds a part.
+PART_ROWS = 100_000
 #: Facts of parts and series up to which they are broadcast, counted first.
 MAX_BROADCAST = 100_000
 
@@ -60,10 +62,12 @@ class Laid:
         return Window.partitionBy(PART, *self.by).orderBy(AT)
 
 
-def lay_out(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = ()) -> Laid:
-    """rows dealt by ranges of (by, order) and sorted, as a table."""
+def lay_out(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), most: int | None = None) -> Laid:
+    """rows dealt by ranges of (by, order) and sorted, as a table. most: about how many rows a part may have, where a task
+    holds a part; else Spark's settings say how many parts there are."""
     spark, keys = rows.sparkSession, [*by, *order]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    n = 0 if most is None else rows.count()
+    dealt = rows.repartitionByRange(*([n // most + 1] if most and n > most else []), *keys).sortWithinPartitions(*keys)
     table = temporary(dealt.withColumn(AT, F.monotonically_increasing_id()), "scan")
     part, within = F.shiftright(AT, 33).cast("int"), F.col(AT).bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r[PART], r["n"]) for r in table.groupBy(part.alias(PART)).agg(F.count("*").alias("n")).collect())
@@ -219,12 +223,16 @@ def framed_by_time(rows: DataFrame, on: str, span: int, columns: Callable[[Windo
     return out.unionByName(rows.where(spot.isNull()), allowMissingColumns=True)
 
 
-def covered_frames(rows: DataFrame, on: str, span: int, gap: int, values: dict[str, Column], ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with n, widest and the values (aggregates) over the span before each row, strictly.
+def covered_frames(rows: DataFrame, on: str, span: int, gap: int, values: dict[str, Column | tuple[str, Column]], ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with n, widest and the values over the span before each row, strictly.
 
     widest is the longest stretch of the frame without a row, its edges included; where it is longer than gap (or the frame
-    has no row), the values are null."""
+    has no row), the values are null. A value is any aggregate, or (sum, min or max, column) as in totals.totals_within.
+    Aggregates read each row's whole frame, in a task that holds it; pairs read no frame, so they stay linear where frames
+    hold many rows."""
     stretch = "_next"
+    if all(isinstance(v, tuple) for v in values.values()):
+        return _covered_totals(rows, on, span, gap, values, ties, by)
 
     def columns(by_time: WindowSpec, in_order: WindowSpec) -> dict[str, Column]:
         frame = by_time.rangeBetween(-span, -1)
@@ -239,3 +247,21 @@ def covered_frames(rows: DataFrame, on: str, span: int, gap: int, values: dict[s
     # How long it is to the next row of the series: a lead over one row.
     known = framed(numbered_rows, ["_spot", *ties], 0, 1, lambda w: {stretch: F.lead("_spot").over(w) - F.col("_spot")}, by)
     return framed_by_time(known, on, span, columns, ties, by).drop("_spot", stretch)
+
+
+def _covered_totals(rows: DataFrame, on: str, span: int, gap: int, values: dict[str, tuple[str, Column]], ties: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    from .totals import totals_within
+
+    spot = F.unix_micros(F.col(on).cast("timestamp")) if rows.schema[on].dataType.simpleString().startswith("timestamp") else F.col(on).cast("long")
+    placed = rows.withColumn("_spot", spot)
+    laid = lay_out(placed.where("_spot IS NOT NULL"), ["_spot", *ties], by)
+    known = with_halos(laid, 0, 1, False).withColumn("_next", F.lead("_spot").over(laid.window()) - F.col("_spot")).where("_own")
+    known = temporary(known.select(*placed.columns, "_next", F.col(AT).alias("_id")), "stretches")
+    spans = known.select(*by, "_id", (F.col("_spot") - span).alias("_s"), F.col("_spot").alias("_e"))
+    asked = {f"_x{k}": v for k, v in enumerate(values.values())}
+    totals = totals_within(spans, known, F.col("_spot"), {"_inner": ("max", F.col("_next")), "_first": ("min", F.col("_spot")), **asked}, by)
+    found = known.join(totals.withColumnRenamed("n", "_n"), "_id")
+    widest = F.coalesce(F.greatest("_inner", F.col("_first") - (F.col("_spot") - span)), F.lit(span))
+    whole = (widest <= gap) & (F.col("_n") > 0)
+    out = found.select(*rows.columns, F.col("_n").alias("n"), widest.alias("widest"), *[F.when(whole, F.col(x)).alias(name) for name, x in zip(values, asked)])
+    return out.unionByName(rows.where(spot.isNull()), allowMissingColumns=True)

@@ -169,7 +169,7 @@ SELECT event_id, n, widest, CASE WHEN widest <= {gap} AND n > 0 THEN cents END A
 
 def _covered(spark, sf, span, gap, by):
     e = table(spark, sf, "events").select("ts", "event_id", "user_id", "value")
-    found = SC.covered_frames(e, "ts", span, gap, {"cents": F.sum(F.round(F.col("value") * 100).cast("long")), "most": F.max("value")}, ("event_id",), by)
+    found = SC.covered_frames(e, "ts", span, gap, {"cents": ("sum", F.round(F.col("value") * 100).cast("long")), "most": ("max", F.col("value"))}, ("event_id",), by)
     return found.select("event_id", "n", "widest", "cents", "most")
 
 
