@@ -73,3 +73,14 @@ def test_covered_totals_are_those_of_frames(spark, monkeypatch, span, most):
     pairs = SC.covered_frames(df, "t", span, max(1, span // 4), {"s": ("sum", F.col("v")), "m": ("max", F.col("id"))}, ("id",), ("g",))
     assert pairs.columns == frames.columns and sorted(map(str, pairs.collect())) == sorted(map(str, frames.collect()))
     assert "specifiedwindowframe(RangeFrame" not in pairs._jdf.queryExecution().toString()
+
+
+def test_parts_that_python_holds_are_bounded(spark, monkeypatch):
+    """A table of any size, and any series of it, is dealt by a number of rows."""
+    monkeypatch.setattr(OS, "PART_ROWS", 50, raising=False)
+    made, real = [], OS.lay_out
+    monkeypatch.setattr(OS, "lay_out", lambda *a: made.append(real(*a)) or made[-1])
+    rows = spark.range(1000).select("id", (F.col("id") % 2).alias("g"), F.rand(1).alias("v"))
+    assert OS.rolling_order(rows, ["id"], F.col("v"), 30, ("g",)).count() == 1000
+    firsts = [*[f for _, f in made[0].begins], made[0].n]
+    assert max(b - a for a, b in zip(firsts, firsts[1:])) <= 150

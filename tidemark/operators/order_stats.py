@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import AT, PART, lay_out, with_halos
+from .scan import AT, PART, PART_ROWS, lay_out, with_halos
 
 
 class Counts:
@@ -93,7 +93,7 @@ def rolling_order(rows: DataFrame, order: list[str | Column], value: Column, len
     """rows with n_known, n_below, n_equal (long) and quantiles (an array, null without a known value): of the length rows
     before each row in its series, those with a known value, those of them below and equal to the row's own (0 if that is
     unknown), and the quantiles with linear interpolation. NaN counts as unknown."""
-    laid = lay_out(rows.withColumn("_value", value.cast("double")), order, by)
+    laid = lay_out(rows.withColumn("_value", value.cast("double")), order, by, PART_ROWS)
     keys = F.xxhash64(*by) if by else F.lit(0).cast("long")
     near = with_halos(laid, length, 0, False).withColumn("_series", keys)
     added = [T.StructField(c, T.LongType()) for c in ("n_known", "n_below", "n_equal")] + [T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
