@@ -126,3 +126,24 @@ def test_no_task_of_the_plan_holds_the_series(spark, monkeypatch, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window " in x]
     assert all("_part" in x for x in windows) and "NestedLoop" not in plan, windows
+
+
+ODD = ['{"a": 1e3, "b": [-0, 1.50, 12345678901234567890123]}', '"\\ud83d\\ude00 \\ud800"', '{"a": 1, "a": 2}', "NaN", " [1, 2] 3", '{"x[0]": {"y.z": [true, null, {"": "é\\n"}]}}', "[" * 9 + "]" * 9, '{"v": "1.5"}', "", '{"n": 123456789012345678, "m": -7}']
+
+
+def test_walk_in_one_go_equals_the_walk_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(N, "BATCH", 3, raising=False)
+    df = spark.createDataFrame(list(enumerate((DOCS + ODD) * 2)), "id long, doc string")
+    levels = N.walk_levels(df, "id", "doc").localCheckpoint()
+    assert sorted(map(str, N.walk(df, "id", "doc").collect())) == sorted(map(str, levels.collect()))
+    shape = F.regexp_replace("path", r"\[[0-9]+\]", "[*]").alias("shape")
+    want = levels.groupBy(shape, "kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.max("depth").alias("depth"))
+    assert sorted(map(str, N.shapes(df, "id", "doc").collect())) == sorted(map(str, want.collect()))
+
+
+def test_plain_documents_take_one_step(spark, monkeypatch):
+    stored, real = [], N.temporary
+    monkeypatch.setattr(N, "temporary", lambda df, name: stored.append(name) or real(df, name))
+    deep = '{"a": ' * 9 + "1" + "}" * 9
+    assert N.walk(spark.createDataFrame([(1, deep)], "id long, doc string"), "id", "doc").count() == 10
+    assert stored == ["documents"]

@@ -1,12 +1,20 @@
 """Walks of semi-structured values to any depth.
 
-Documents are parsed to VARIANT once. A level's objects and arrays are exploded into the next level until none is left, so
-documents of any shape and depth take as many steps as the deepest has levels, each over all documents at once. Every level
-is a table; what one task holds is one value.
+Documents are stored once, with whether they are plain: valid, and without numbers or escapes that a parser may read another
+way. Plain ones are walked where they lie, each in one go. The others are parsed to VARIANT; a level's objects and arrays
+are exploded into the next level until none is left, so they take as many steps as the deepest has levels, and every level
+is a table. What one task holds is one document, and a bounded number of its values.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +28,114 @@ def _kind(v: Column) -> Column:
     return F.when(name == "OBJECT", "object").when(name == "ARRAY", "array").otherwise(plain)
 
 
-def walk(documents: DataFrame, key: str, doc: str) -> DataFrame:
+#: Fractions, exponents, whole numbers beyond a long, and halves of surrogate pairs: their text is VARIANT's.
+_ODD = r"[0-9][.eE]|[0-9]{19}|\\u[dD][89a-fA-F]"
+#: Values up to which a task gathers what it hands on.
+BATCH = 20_000
+
+
+def _values(text: str, decode: Callable):
+    """(path, name, depth, kind, value) of every value in a plain document."""
+    waiting = [("$", None, 0, decode(text.lstrip(" \t\n\r"))[0])]
+    while waiting:
+        path, name, depth, v = waiting.pop()
+        kind = type(v)
+        if kind is dict:
+            yield path, name, depth, "object", None
+            waiting += [(f"{path}.{k}", k, depth + 1, x) for k, x in v.items()]
+        elif kind is list:
+            yield path, name, depth, "array", None
+            waiting += [(f"{path}[{i}]", None, depth + 1, x) for i, x in enumerate(v)]
+        elif kind is str:
+            yield path, name, depth, "string", v
+        elif kind is bool:
+            yield path, name, depth, "boolean", "true" if v else "false"
+        elif v is None:
+            yield path, name, depth, "null", None
+        else:
+            yield path, name, depth, "number", str(v)
+
+
+def _stored(documents: DataFrame, key: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Plain documents and the other valid ones."""
+    plain = F.is_valid_utf8(doc) & ~F.col(doc).rlike(_ODD)
+    valid = documents.select(key, doc).where(F.try_parse_json(doc).isNotNull())
+    kept = temporary(valid.withColumn("_plain", plain), "documents")
+    return kept.where("_plain").drop("_plain"), kept.where("NOT _plain").drop("_plain")
+
+
+_WALKED = "path string, name string, depth int, kind string, value string"
+_SHAPED = "shape string, kind string, value string, n long, depth int"
+
+
+def _table(columns: list[list], names: list[str]) -> pa.RecordBatch:
+    types = {"depth": pa.int32(), "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(name, pa.string())) for name, c in zip(names, columns)], names=names)
+
+
+def walk(documents: DataFrame, key: str, doc: str, name: str | None = None) -> DataFrame:
+    """As walk_levels, of any documents; a name keeps the values under a key of that name alone."""
+    plain, others = _stored(documents, key, doc)
+
+    def run(batches):
+        decode = json.JSONDecoder().raw_decode
+        for b in batches:
+            keys, at, out = b.column(0), [], []
+            for k, text in enumerate(b.column(1)):
+                for x in _values(text.as_py(), decode):
+                    if name is None or x[1] == name:
+                        at.append(k)
+                        out.append(x)
+                        if len(out) == BATCH:
+                            yield from made(keys, at, out)
+                            at, out = [], []
+            if out:
+                yield from made(keys, at, out)
+
+    def made(keys, at, out):
+        rest = _table(list(zip(*out)), ["path", "name", "depth", "kind", "value"])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *rest.columns], names=[key, *rest.schema.names])
+
+    found = plain.mapInArrow(run, f"`{key}` {plain.schema[key].dataType.simpleString()}, {_WALKED}")
+    if others.isEmpty():
+        return found
+    rest = walk_levels(others, key, doc)
+    return found.unionByName(rest if name is None else rest.where(F.col("name") == name))
+
+
+def shapes(documents: DataFrame, key: str, doc: str) -> DataFrame:
+    """(shape, kind, n, n_values, depth): the paths of walk with array positions left out, how many values and how many
+    different texts of them there are. A task counts equal values of its documents before they are dealt."""
+    plain, others = _stored(documents, key, doc)
+
+    def run(batches):
+        decode = json.JSONDecoder().raw_decode
+        shape = functools.lru_cache(100_000)(functools.partial(re.compile(r"\[[0-9]+\]").sub, "[*]"))
+        names = ["shape", "kind", "value", "n", "depth"]
+
+        def made(seen):
+            return _table([list(c) for c in zip(*[(s, kind, v, n, d) for (s, kind, v, d), n in seen.items()])], names)
+
+        seen = Counter()
+        for b in batches:
+            for text in b.column(1):
+                for path, _, depth, kind, value in _values(text.as_py(), decode):
+                    seen[shape(path), kind, value, depth] += 1
+                if len(seen) >= BATCH:
+                    yield made(seen)
+                    seen.clear()
+        if seen:
+            yield made(seen)
+
+    found = plain.mapInArrow(run, _SHAPED)
+    if not others.isEmpty():
+        shape = F.regexp_replace("path", r"\[[0-9]+\]", "[*]").alias("shape")
+        found = found.unionByName(walk_levels(others, key, doc).select(shape, "kind", "value", F.lit(1).cast("long").alias("n"), "depth"))
+    each = found.groupBy("shape", "kind", "value").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
+    return each.groupBy("shape", "kind").agg(F.sum("n").alias("n"), F.count("value").alias("n_values"), F.max("depth").alias("depth"))
+
+
+def walk_levels(documents: DataFrame, key: str, doc: str) -> DataFrame:
     """(key, path, name, depth, kind, value) of every value in every document, at any depth, the document itself included.
 
     path is as in JSONPath, $.a.b[0].c; name is the last step's key (null in arrays and at the top); value is the text of
@@ -48,4 +163,4 @@ def walk(documents: DataFrame, key: str, doc: str) -> DataFrame:
 
 def found(documents: DataFrame, key: str, doc: str, name: str, pattern: str) -> DataFrame:
     """Values under a key of that name, at any depth, whose text has the pattern."""
-    return walk(documents, key, doc).where((F.col("name") == name) & F.col("value").rlike(pattern))
+    return walk(documents, key, doc, name).where(F.col("value").rlike(pattern))

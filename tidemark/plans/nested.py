@@ -63,5 +63,4 @@ def json_find_any_depth(spark, sf):
 @query("json_shape", f"{_WALK} SELECT regexp_replace(path, '\\[[0-9]+\\]', '[*]', 'g') AS shape, kind, count(*) AS n, count(DISTINCT value) AS n_values, max(depth) AS depth FROM walked GROUP BY ALL")
 def json_shape(spark, sf):
     """The paths that occur, with array positions left out: a schema found in the data."""
-    w = N.walk(documents(spark, sf), "o_orderkey", "doc")
-    return w.groupBy(F.regexp_replace("path", r"\[[0-9]+\]", "[*]").alias("shape"), "kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.max("depth").alias("depth"))
+    return N.shapes(documents(spark, sf), "o_orderkey", "doc")
