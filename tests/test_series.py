@@ -147,3 +147,16 @@ def test_plain_documents_take_one_step(spark, monkeypatch):
     deep = '{"a": ' * 9 + "1" + "}" * 9
     assert N.walk(spark.createDataFrame([(1, deep)], "id long, doc string"), "id", "doc").count() == 10
     assert stored == ["documents"]
+
+
+def test_shapes_travel_as_packed_texts(spark, monkeypatch):
+    monkeypatch.setattr(N, "GATHERED", 500)
+    docs = [json.dumps({"n": i, "s": f"s{i % 90}", "x": {f"k[{i}]": i % 3 == 0}, "l": [i % 7, str(i % 7), [], None]}) for i in range(600)] + ['{"n": 5, "s": 1.5}', '{"n": 5.0}', '{"n": 5, "s": "\\ud800"}'] + ODD
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, doc string").repartition(3)
+    levels = N.walk_levels(df, "id", "doc").localCheckpoint()
+    shape = F.regexp_replace("path", r"\[[0-9]+\]", "[*]").alias("shape")
+    want = levels.groupBy(shape, "kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.max("depth").alias("depth"))
+    got = N.shapes(df, "id", "doc")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 2 and "texts" in plan  # packed texts, then one row a shape and task

@@ -8,12 +8,13 @@ is a table. What one task holds is one document, and a bounded number of its val
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,73 +29,110 @@ def _kind(v: Column) -> Column:
     return F.when(name == "OBJECT", "object").when(name == "ARRAY", "array").otherwise(plain)
 
 
-#: Fractions, exponents, whole numbers beyond a long, and halves of surrogate pairs: their text is VARIANT's.
-_ODD = r"[0-9][.eE]|[0-9]{19}|\\u[dD][89a-fA-F]"
+#: Fractions, exponents and whole numbers beyond a long, and halves of surrogate pairs: their text is VARIANT's.
+_ODD, _HALF = r"[0-9](?:[.eE]|[0-9]{18})", r"\\u[dD][89a-fA-F]"
 #: Values up to which a task gathers what it hands on.
 BATCH = 20_000
-
-
-def _values(text: str, decode: Callable):
-    """(path, name, depth, kind, value) of every value in a plain document."""
-    waiting = [("$", None, 0, decode(text.lstrip(" \t\n\r"))[0])]
+#: Documents a file of the stored table, so that many tasks walk them.
+DEALT = 25_000
+#: Characters of documents after which a task hands on what it found of their shapes, and parts that a shape's texts are dealt to.
+GATHERED, BUCKETS = 1 << 22, 64
+_ROWS_A_FILE = "spark.sql.files.maxRecordsPerFile"
+
+
+def _text(v) -> tuple[str, str | None]:
+    """Kind and text of a parsed value."""
+    kind = type(v)
+    if kind is int:
+        return "number", str(v)
+    if kind is str:
+        return "string", v
+    if kind is dict:
+        return "object", None
+    if kind is list:
+        return "array", None
+    if v is None:
+        return "null", None
+    return "boolean", "true" if v else "false"
+
+
+def _values(v, only: str | None, out: list[list], most: int):
+    """Put path, name, depth, kind and text of every value in v, or of those under one name, into the lists of out; pause
+    whenever they hold so many."""
+    paths, names, depths, kinds, texts = out
+    if only is None:
+        for column, x in zip(out, ("$", None, 0, *_text(v))):
+            column.append(x)
+    waiting = [("$", 1, v)] if type(v) in (dict, list) else []
     while waiting:
-        path, name, depth, v = waiting.pop()
-        kind = type(v)
-        if kind is dict:
-            yield path, name, depth, "object", None
-            waiting += [(f"{path}.{k}", k, depth + 1, x) for k, x in v.items()]
-        elif kind is list:
-            yield path, name, depth, "array", None
-            waiting += [(f"{path}[{i}]", None, depth + 1, x) for i, x in enumerate(v)]
-        elif kind is str:
-            yield path, name, depth, "string", v
-        elif kind is bool:
-            yield path, name, depth, "boolean", "true" if v else "false"
-        elif v is None:
-            yield path, name, depth, "null", None
-        else:
-            yield path, name, depth, "number", str(v)
+        path, depth, v = waiting.pop()
+        named = type(v) is dict
+        for k, x in v.items() if named else enumerate(v):
+            inner = type(x) is dict or type(x) is list
+            wanted = only is None or named and k == only
+            if inner or wanted:
+                at = f"{path}.{k}" if named else f"{path}[{k}]"
+                if inner:
+                    waiting.append((at, depth + 1, x))
+                if wanted:
+                    kind, text = _text(x)
+                    paths.append(at)
+                    names.append(k if named else None)
+                    depths.append(depth)
+                    kinds.append(kind)
+                    texts.append(text)
+                    if len(paths) >= most:
+                        yield
+    yield
 
 
 def _stored(documents: DataFrame, key: str, doc: str) -> tuple[DataFrame, DataFrame]:
     """Plain documents and the other valid ones."""
-    plain = F.is_valid_utf8(doc) & ~F.col(doc).rlike(_ODD)
+    half = F.col(doc).contains("\\u") & F.col(doc).rlike(_HALF)
+    plain, conf = F.is_valid_utf8(doc) & ~F.col(doc).rlike(_ODD) & ~half, documents.sparkSession.conf
     valid = documents.select(key, doc).where(F.try_parse_json(doc).isNotNull())
-    kept = temporary(valid.withColumn("_plain", plain), "documents")
+    old = conf.get(_ROWS_A_FILE)
+    conf.set(_ROWS_A_FILE, DEALT)
+    try:
+        kept = temporary(valid.withColumn("_plain", plain), "documents")
+    finally:
+        conf.set(_ROWS_A_FILE, old)
     return kept.where("_plain").drop("_plain"), kept.where("NOT _plain").drop("_plain")
 
 
 _WALKED = "path string, name string, depth int, kind string, value string"
-_SHAPED = "shape string, kind string, value string, n long, depth int"
+_SHAPED = "shape string, kind string, bucket int, n long, depth int, texts array<string>"
 
 
-def _table(columns: list[list], names: list[str]) -> pa.RecordBatch:
-    types = {"depth": pa.int32(), "n": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(c, types.get(name, pa.string())) for name, c in zip(names, columns)], names=names)
+def _parsed(texts: pa.Array, decode: Callable):
+    for text in texts:
+        text = text.as_py()
+        yield len(text), decode(text.lstrip(" \t\n\r"))[0]
 
 
 def walk(documents: DataFrame, key: str, doc: str, name: str | None = None) -> DataFrame:
     """As walk_levels, of any documents; a name keeps the values under a key of that name alone."""
     plain, others = _stored(documents, key, doc)
+    most = BATCH
 
     def run(batches):
         decode = json.JSONDecoder().raw_decode
         for b in batches:
-            keys, at, out = b.column(0), [], []
-            for k, text in enumerate(b.column(1)):
-                for x in _values(text.as_py(), decode):
-                    if name is None or x[1] == name:
-                        at.append(k)
-                        out.append(x)
-                        if len(out) == BATCH:
-                            yield from made(keys, at, out)
-                            at, out = [], []
-            if out:
-                yield from made(keys, at, out)
+            at, out = [], [[], [], [], [], []]
+            for k, (_, v) in enumerate(_parsed(b.column(1), decode)):
+                for _ in _values(v, name, out, most):
+                    at += [k] * (len(out[0]) - len(at))
+                    if len(at) >= most:
+                        yield made(b.column(0), at, out)
+                        for x in (at, *out):
+                            x.clear()
+            if at:
+                yield made(b.column(0), at, out)
 
     def made(keys, at, out):
-        rest = _table(list(zip(*out)), ["path", "name", "depth", "kind", "value"])
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *rest.columns], names=[key, *rest.schema.names])
+        paths, names, depths, kinds, texts = out
+        columns = [pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(depths, pa.int32()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], names=[key, "path", "name", "depth", "kind", "value"])
 
     found = plain.mapInArrow(run, f"`{key}` {plain.schema[key].dataType.simpleString()}, {_WALKED}")
     if others.isEmpty():
@@ -103,35 +141,130 @@ def walk(documents: DataFrame, key: str, doc: str, name: str | None = None) -> D
     return found.unionByName(rest if name is None else rest.where(F.col("name") == name))
 
 
+_POSITION = re.compile(r"\[[0-9]+\]")
+
+
+class _Shape:
+    """What stands at one shape of the documents at hand: how many values of each kind, and their texts."""
+
+    __slots__ = ("shape", "depth", "steps", "numbers", "strings", "rest")
+
+    def __init__(self, shape: str, depth: int):
+        self.shape, self.depth, self.steps = shape, depth, {}
+        self.numbers, self.strings, self.rest = [], [], {}
+
+    def step(self, k: str | None) -> _Shape:
+        """The shape under a key, or that of an array's values."""
+        step = "[*]" if k is None else "." + _POSITION.sub("[*]", k)
+        found = self.steps[k] = _Shape(self.shape + step, self.depth + 1)
+        return found
+
+    def add(self, v) -> None:
+        waiting = [(self, v)]
+        while waiting:
+            at, v = waiting.pop()
+            kind = type(v)
+            if kind is dict:
+                at.rest["object"] = at.rest.get("object", 0) + 1
+                steps = at.steps
+                for k, x in v.items():
+                    inner = steps.get(k) or at.step(k)
+                    if type(x) is int:
+                        inner.numbers.append(x)
+                    elif type(x) is str:
+                        inner.strings.append(x)
+                    else:
+                        waiting.append((inner, x))
+            elif kind is list:
+                at.rest["array"] = at.rest.get("array", 0) + 1
+                inner = at.steps.get(None) or at.step(None) if v else None
+                for x in v:
+                    if type(x) is int:
+                        inner.numbers.append(x)
+                    elif type(x) is str:
+                        inner.strings.append(x)
+                    else:
+                        waiting.append((inner, x))
+            elif kind is int:
+                at.numbers.append(v)
+            elif kind is str:
+                at.strings.append(v)
+            else:
+                at.rest[v] = at.rest.get(v, 0) + 1
+
+    def rows(self):
+        """(shape, kind, depth, n, different texts) of this and of the inner shapes."""
+        waiting = [self]
+        while waiting:
+            at = waiting.pop()
+            waiting += at.steps.values()
+            if at.numbers:
+                yield at.shape, "number", at.depth, len(at.numbers), pa.array(at.numbers, pa.int64()).unique().cast(pa.string())
+            if at.strings:
+                yield at.shape, "string", at.depth, len(at.strings), pa.array(at.strings, pa.string()).unique()
+            for v, n in at.rest.items():
+                if v is None:
+                    yield at.shape, "null", at.depth, n, pa.array([], pa.string())
+                elif type(v) is bool:
+                    yield at.shape, "boolean", at.depth, n, pa.array(["true" if v else "false"])
+                else:
+                    yield at.shape, v, at.depth, n, pa.array([], pa.string())
+
+
+def _dealt(found) -> pa.RecordBatch:
+    """Rows of _SHAPED: each shape's texts in buckets by their hash, its count with the first."""
+    heads, sizes, parts = [], [], []
+    for shape, kind, depth, n, texts in found:
+        if len(texts):
+            bucket = (pd.util.hash_array(texts.to_numpy(zero_copy_only=False).astype(object), categorize=False) % BUCKETS).astype(np.int64)
+            parts.append(texts.take(pa.array(np.argsort(bucket, kind="stable"))))
+            full = np.bincount(bucket, minlength=BUCKETS)
+            for b in np.flatnonzero(full):
+                heads.append((shape, kind, int(b), n, depth))
+                sizes.append(full[b])
+                n = 0
+        else:
+            heads.append((shape, kind, 0, n, depth))
+            sizes.append(0)
+    names, types = ["shape", "kind", "bucket", "n", "depth"], [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*heads), types)]
+    flat = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+    return pa.RecordBatch.from_arrays([*columns, lists], names=[*names, "texts"])
+
+
 def shapes(documents: DataFrame, key: str, doc: str) -> DataFrame:
     """(shape, kind, n, n_values, depth): the paths of walk with array positions left out, how many values and how many
-    different texts of them there are. A task counts equal values of its documents before they are dealt."""
+    different texts of them there are. A task leaves one of equal texts of its documents and deals them in packed buckets."""
     plain, others = _stored(documents, key, doc)
 
     def run(batches):
         decode = json.JSONDecoder().raw_decode
-        shape = functools.lru_cache(100_000)(functools.partial(re.compile(r"\[[0-9]+\]").sub, "[*]"))
-        names = ["shape", "kind", "value", "n", "depth"]
-
-        def made(seen):
-            return _table([list(c) for c in zip(*[(s, kind, v, n, d) for (s, kind, v, d), n in seen.items()])], names)
-
-        seen = Counter()
+        top, size = _Shape("$", 0), 0
+        for b in batches:
+            for long, v in _parsed(b.column(1), decode):
+                top.add(v)
+                size += long
+                if size >= GATHERED:
+                    yield _dealt(top.rows())
+                    top, size = _Shape("$", 0), 0
+        if size:
+            yield _dealt(top.rows())
+
+    def packed(batches):
         for b in batches:
-            for text in b.column(1):
-                for path, _, depth, kind, value in _values(text.as_py(), decode):
-                    seen[shape(path), kind, value, depth] += 1
-                if len(seen) >= BATCH:
-                    yield made(seen)
-                    seen.clear()
-        if seen:
-            yield made(seen)
+            seen = Counter(zip(*(c.to_pylist() for c in b.columns)))
+            if seen:
+                yield _dealt((shape, kind, depth, n, pa.array([] if value is None else [value], pa.string())) for (shape, kind, value, depth), n in seen.items())
 
     found = plain.mapInArrow(run, _SHAPED)
     if not others.isEmpty():
         shape = F.regexp_replace("path", r"\[[0-9]+\]", "[*]").alias("shape")
-        found = found.unionByName(walk_levels(others, key, doc).select(shape, "kind", "value", F.lit(1).cast("long").alias("n"), "depth"))
-    each = found.groupBy("shape", "kind", "value").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
+        found = found.unionByName(walk_levels(others, key, doc).select(shape, "kind", "value", "depth").mapInArrow(packed, _SHAPED))
+    # Equal texts of a shape meet in its bucket, so one shuffle of packed rows serves both groupings.
+    once = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n")).otherwise(0).alias("n")
+    each = found.repartition("shape", "kind", "bucket").select("shape", "kind", "bucket", "n", "depth", F.posexplode_outer("texts").alias("pos", "value"))
+    each = each.select("shape", "kind", "bucket", "value", "depth", once).groupBy("shape", "kind", "bucket", "value").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
     return each.groupBy("shape", "kind").agg(F.sum("n").alias("n"), F.count("value").alias("n_values"), F.max("depth").alias("depth"))
 
 
