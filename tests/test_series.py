@@ -160,3 +160,13 @@ def test_shapes_travel_as_packed_texts(spark, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange ") == 2 and "texts" in plan  # packed texts, then one row a shape and task
+
+
+def test_documents_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(N, "DEALT", 50)
+    df = spark.createDataFrame([(i, '{"key": %d}' % i) for i in range(400)], "id long, doc string").coalesce(1)
+    stored, real = [], N.temporary
+    monkeypatch.setattr(N, "temporary", lambda df, name: stored.append(real(df, name)) or stored[-1])
+    found = N.found(df, "id", "doc", "key", "7$")
+    assert sorted(r["value"] for r in found.collect()) == sorted(str(i) for i in range(7, 400, 10))
+    assert len(stored[0].inputFiles()) == 8 and spark.conf.get(N._ROWS_A_FILE) == "0"
