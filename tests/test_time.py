@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import scan as SC
 from tidemark.operators import sketches as K
+from tidemark.plans.registry import ORACLES
 from tidemark.streaming.ordered import drained, lagged_in_order
 
 
@@ -85,3 +86,23 @@ def test_periods_from_day_sketches(spark):
         for p, q in zip((0.05, 0.5, 0.95), r["quantiles"]):
             assert abs(np.searchsorted(v, q) / len(v) - p) <= K.RANK_ERROR
         assert abs(r["distinct"] - exact[r["g"]]["u"]) <= K.DISTINCT_ERROR * exact[r["g"]]["u"]
+
+
+def test_ordered_stream_from_many_files_and_buckets(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from tidemark.plans import streams as P
+
+    start = datetime.datetime(2024, 1, 1)
+    rng = random.Random(9)
+    rows = [(k, start + datetime.timedelta(minutes=rng.randint(0, 30000) // 3 * 3), rng.choice([None, *range(40), *[7] * 30]), rng.choice([None, float(k)])) for k in range(900)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(P, "ROWS_A_FILE", 40)
+    monkeypatch.setattr(P, "ROWS_A_BUCKET", 9)
+    folder, files, n = P.shuffled_files(spark, str(tmp_path))
+    assert (files, n) == (4, 900) and len(spark.read.parquet(folder).inputFiles()) == 4 * P.BATCHES + 1
+    found = P.stream_lag_in_order(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.execute(ORACLES["stream_lag_in_order"]).fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
