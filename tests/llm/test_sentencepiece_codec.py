@@ -119,3 +119,13 @@ def test_frame(make, vocabulary):
 
 def test_unknown_ids_decode_to_nothing(vocabulary):
     assert S.decode([0, 1, 2, 10**6, -1], vocabulary) == ""
+
+
+def test_a_run_is_one_window(vocabulary, monkeypatch):
+    """A run shorter than two thirds of the window commits once; a run seen before in the text or the task not at all."""
+    calls, real = [], S._path
+    monkeypatch.setattr(S, "_path", lambda text, *a: calls.append(text) or real(text, *a))
+    e, text = S.Encoder(vocabulary), "qzx zzqk! vwxq qzx zzqk! qzx"
+    for _ in range(2):
+        assert S.decode(np.frombuffer(e.encode(text), "<i4").tolist(), vocabulary) == text
+    assert len(calls) == len(set(calls)) == len({r for r in e.known})

@@ -7,8 +7,8 @@ bytes too.
 
 The Viterbi window holds a few times max_piece positions. Whenever all of its surviving backpointer paths meet in one
 boundary, the ids up to there are committed and forgotten, so memory is bounded by the window and by what is committed.
-Paths meet at once where no piece reaches beyond a boundary; otherwise the window looks for their meeting point each time
-it fills. Boundaries that no piece of the vocabulary crosses (mostly those of words) are known beforehand: all paths meet
+Each time two thirds of it are filled, the window looks for the boundary where they meet: its end, if no piece reaches
+beyond, or one before. Boundaries that no piece of the vocabulary crosses (mostly those of words) are known beforehand: all paths meet
 there, so what was committed between two of them is the same wherever it stands, and each task remembers it for up to
 CACHE such runs of at most RUN characters.
 
@@ -53,13 +53,14 @@ class Vocabulary:
         self.longest = max(map(len, self.scored), default=1)
         self.byte_score = least - BYTE_PENALTY
         self.single = {p for p in self.scored if len(p) == 1}
-        # Pieces by character, each node a dict; (id, score) stands under the empty string.
-        self.trie: dict = {}
-        for p, found in self.scored.items():
-            node = self.trie
+        # Pieces by character, each node a dict of the nodes after it, with the id (-1: no piece) and score of what it spells.
+        top: list = [{}, -1, 0.0]
+        for p, (i, score) in self.scored.items():
+            node = top
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = found
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1:] = i, score
+        self.trie: dict = top[0]
         # A cut may always be made before a space mark that follows another character, and around characters that no
         # piece joins to others, if the vocabulary has no piece across it.
         self.marks_lead = all(SPACE not in p.lstrip(SPACE) for p in self.scored)
@@ -88,32 +89,36 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 def stream(text: str, v: Vocabulary):
-    """Ids of a normalised text, committed as soon as they are certain."""
+    """Ids of a normalised text, committed where they are certain whenever the window has filled, and at the end."""
     n, longest, root, byte_score, single = len(text), v.longest, v.trie, v.byte_score, v.single
     # For each boundary of the window, from the last committed one: best sum, start of the last piece, its id (None: bytes).
-    size = min(n, 3 * longest) + 1
+    full, size = 2 * longest, min(n, 3 * longest) + 1
     best, back, ids = [_NEVER] * size, [0] * size, [None] * size
     best[0] = 0.0
     done, at, far = 0, 0, 0
     for begin in range(n):
-        here, c, end, node = best[at], text[begin], at, root
+        here, c, end, inner = best[at], text[begin], at, root
         # A piece of this one character, if there is one, scores above its bytes.
         if c not in single and (total := here + byte_score * (1 if c == SPACE else len(c.encode()))) > best[at + 1]:
             best[at + 1], back[at + 1], ids[at + 1] = total, at, None
         for x in text[begin : begin + longest]:
-            if (node := node.get(x)) is None:
+            if (node := inner.get(x)) is None:
                 break
             end += 1
-            if "" in node:
-                found, score = node[""]
-                if here + score > best[end]:
-                    best[end], back[end], ids[end] = here + score, at, found
-                    if end > far:
-                        far = end
+            inner, found, score = node
+            if found >= 0 and (total := here + score) > best[end]:
+                best[end], back[end], ids[end] = total, at, found
+                if end > far:
+                    far = end
         at += 1
+        if begin + 1 == n:
+            yield from _path(text, v, done, back, ids, at)
+            return
+        if at < full:
+            continue
         if far <= at:
             meet = far = at
-        elif at >= 2 * longest:
+        else:
             # Paths that can still win go through this boundary or come from before it to those reached ahead.
             alive = {back[k] for k in range(at + 1, far + 1) if best[k] > _NEVER} | {at}
             while len(alive) > 1:
@@ -121,8 +126,6 @@ def stream(text: str, v: Vocabulary):
                 alive.discard(last)
                 alive.add(back[last])
             meet = alive.pop()
-        else:
-            continue
         if not meet:
             more = at + longest + 1 - len(best)
             if more > 0:
@@ -165,16 +168,16 @@ class Encoder:
         return self._runs(plain.replace(" ", SPACE))
 
     def _runs(self, text: str) -> bytes:
-        known, out = self.known, []
-        for run in self.runs.findall(text):
-            got = known.get(run)
+        known, runs = self.known, self.runs.findall(text)
+        out = list(map(known.get, runs))
+        for k, got in enumerate(out):
             if got is None:
-                got = array("i", stream(run, self.v)).tobytes()
-                if len(run) <= RUN:
+                run = runs[k]
+                out[k] = got = known.get(run) or array("i", stream(run, self.v)).tobytes()  # known: from earlier in this text
+                if len(run) <= RUN and run not in known:
                     if len(known) >= CACHE:
                         known.clear()
                     known[run] = got
-            out.append(got)
         return b"".join(out)
 
     def _escaped(self, plain: str) -> bytes:
