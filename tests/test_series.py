@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,42 @@ def test_documents_are_dealt_to_many_tasks(spark, monkeypatch):
     found = N.found(df, "id", "doc", "key", "7$")
     assert sorted(r["value"] for r in found.collect()) == sorted(str(i) for i in range(7, 400, 10))
     assert len(stored[0].inputFiles()) == 8 and spark.conf.get(N._ROWS_A_FILE) == "0"
+
+
+def test_only_wanted_values_leave_the_walk(spark):
+    df = spark.createDataFrame([(i, '{"key": %d, "x": {"key": "%d"}}' % (i, i + 1)) for i in range(400)], "id long, doc string")
+    got = N._find(df, "id", "key", N._ends("7$"))
+    assert sorted((r["path"], r["value"]) for r in got.collect()) == sorted([("$.key", str(i)) for i in range(7, 400, 10)] + [("$.x.key", str(i)) for i in range(7, 400, 10)])
+    assert N._ends("7$")[0] == "7" and N._ends(".7$") == N._ends("7") == ("",)
+
+
+FORMS = [
+    ['{"key": 1, "l": [{"key": "a7", "in": [[{"key": -17}], [], [{"key": 27}, {}]]}, {}], "no": null, "e": {}, "key.s": {"key": true}}', '{"l": [], "key": 7}', "{}", '{"l": [{"in": null}, {"key": "7\\n"}], "key": null}', ' {"key.s": {"key": false}, "key": -0} '],
+    ['{"key": 7}', '{"key": "7"}'],
+    ['{"key": 7}', '{"other": 7}'] * 40,
+    ['{"t": "2020-01-01", "key": "2020-01-07"}', '{"key": "2020-01-17T00:00:07", "t": "x"}'],
+    ['{"key":\n7}', '{"key": 17} {"key": 27}', '{"key": 7} 7', "7", '[{"key": 7}]'],
+    ['{"key": 7}'] * 60 + ['{"key": 123456789012345677, "new": [7, {"key": "07"}]}', '{"key": [{"key": 7}]}', '{"key": {"key": 7}}'],
+    [json.dumps({f"k{i}": {"key": i}}) for i in range(300)],
+]
+
+
+@pytest.mark.parametrize("docs, pattern", [(x, "7$") for x in FORMS] + [(FORMS[0], "e$"), (DOCS + ODD + sum(FORMS, []), "[17]")])
+def test_found_equals_the_walk_by_levels(spark, docs, pattern, monkeypatch):
+    monkeypatch.setattr(N, "BATCH", 3)
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, doc string").coalesce(1)
+    levels = N.walk_levels(df, "id", "doc").where(F.col("name") == "key").where(F.col("value").rlike(pattern))
+    assert sorted(map(str, N.found(df, "id", "doc", "key", pattern).collect())) == sorted(map(str, levels.collect()))
+
+
+def test_documents_of_one_form_are_columns():
+    def read(docs):
+        form = None
+        for x in docs:
+            form = N._merged(form, N._form(json.loads(x)))
+        return N._as_columns(pa.array(docs), form)
+
+    assert read(FORMS[0]) is not None and read(FORMS[3]) is not None
+    assert N._as_columns(pa.array(['{"key": 7}', '{"key": "7"}']), {"key": pa.int64()}) is None
+    assert N._as_columns(pa.array(['{"key": 7, "key": 8}']), {"key": pa.int64()}) is None
+    assert N._as_columns(pa.array(['{"key": 7}']), {"key": pa.string()}) is None

@@ -1,7 +1,7 @@
 """Walks of semi-structured values to any depth.
 
 Documents are stored once, with whether they are plain: valid, and without numbers or escapes that a parser may read another
-way. Plain ones are walked where they lie, each in one go. The others are parsed to VARIANT; a level's objects and arrays
+way. Plain ones are walked where they lie, each in one go, or as columns, if texts under a name are asked for. The others are parsed to VARIANT; a level's objects and arrays
 are exploded into the next level until none is left, so they take as many steps as the deepest has levels, and every level
 is a table. What one task holds is one document, and a bounded number of its values.
 """
@@ -16,6 +16,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ BATCH = 20_000
 DEALT = 25_000
 #: Characters of documents after which a task hands on what it found of their shapes, and parts that a shape's texts are dealt to.
 GATHERED, BUCKETS = 1 << 22, 64
+#: Characters of documents that are read as columns at a time, documents whose form is taken for that, fields that it may
+#: have, and how often a task tries another form.
+READ, LOOKED_AT, FIELDS, FORMS = 1 << 20, 50, 100, 3
 _ROWS_A_FILE = "spark.sql.files.maxRecordsPerFile"
 
 
@@ -56,48 +61,85 @@ def _text(v) -> tuple[str, str | None]:
     return "boolean", "true" if v else "false"
 
 
-def _values(v, only: str | None, out: list[list], most: int):
-    """Put path, name, depth, kind and text of every value in v, or of those under one name, into the lists of out; pause
-    whenever they hold so many."""
+def _values(v, out: list[list], most: int):
+    """Put path, name, depth, kind and text of every value in v into the lists of out; pause whenever they hold so many."""
     paths, names, depths, kinds, texts = out
-    if only is None:
-        for column, x in zip(out, ("$", None, 0, *_text(v))):
-            column.append(x)
+    for column, x in zip(out, ("$", None, 0, *_text(v))):
+        column.append(x)
     waiting = [("$", 1, v)] if type(v) in (dict, list) else []
     while waiting:
         path, depth, v = waiting.pop()
         named = type(v) is dict
         for k, x in v.items() if named else enumerate(v):
-            inner = type(x) is dict or type(x) is list
-            wanted = only is None or named and k == only
-            if inner or wanted:
-                at = f"{path}.{k}" if named else f"{path}[{k}]"
-                if inner:
-                    waiting.append((at, depth + 1, x))
-                if wanted:
-                    kind, text = _text(x)
-                    paths.append(at)
-                    names.append(k if named else None)
-                    depths.append(depth)
-                    kinds.append(kind)
-                    texts.append(text)
-                    if len(paths) >= most:
-                        yield
+            at = f"{path}.{k}" if named else f"{path}[{k}]"
+            if type(x) is dict or type(x) is list:
+                waiting.append((at, depth + 1, x))
+            kind, text = _text(x)
+            paths.append(at)
+            names.append(k if named else None)
+            depths.append(depth)
+            kinds.append(kind)
+            texts.append(text)
+            if len(paths) >= most:
+                yield
     yield
 
 
+def _named(v, name: str, ends: tuple[str, ...], out: list[list], most: int):
+    """As _values, of the texts under one name that have one of those ends; a path is put together where it is wanted."""
+    paths, names, depths, kinds, texts = out
+    # A container waits with its path's beginning, its own step and that step's form.
+    waiting = [("$", None, 1, v)]
+    while waiting:
+        path, step, depth, v = waiting.pop()
+        kind = type(v)
+        if kind is dict:
+            at = path if step is None else f"{path}.{step}" if type(step) is str else f"{path}[{step}]"
+            for k, x in v.items():
+                kind = type(x)
+                if kind is dict or kind is list:
+                    if x:
+                        waiting.append((at, k, depth + 1, x))
+                elif k == name and x is not None:
+                    text = x if kind is str else str(x) if kind is int else "true" if x else "false"
+                    if text.endswith(ends):
+                        paths.append(f"{at}.{k}")
+                        names.append(k)
+                        depths.append(depth)
+                        kinds.append("string" if kind is str else "number" if kind is int else "boolean")
+                        texts.append(text)
+                        if len(paths) >= most:
+                            yield
+        elif kind is list:
+            at = None
+            for k, x in enumerate(v):
+                if x and (type(x) is dict or type(x) is list):
+                    if at is None:
+                        at = path if step is None else f"{path}.{step}" if type(step) is str else f"{path}[{step}]"
+                    waiting.append((at, k, depth + 1, x))
+    yield
+
+
+def _ends(pattern: str) -> tuple[str, ...]:
+    """Ends of which any text with the pattern has one: plain signs before a final $ (which may stand before a line's end)."""
+    if re.fullmatch(r"[A-Za-z0-9 _-]+\$", pattern):
+        return (pattern[:-1], "\n", "\r", "\x85", "\u2028", "\u2029")
+    return ("",)
+
+
 def _stored(documents: DataFrame, key: str, doc: str) -> tuple[DataFrame, DataFrame]:
-    """Plain documents and the other valid ones."""
+    """Plain documents and the other valid ones. All are written, with what they are, since a filter before would be pushed
+    below the projection that makes them and make each once more."""
     half = F.col(doc).contains("\\u") & F.col(doc).rlike(_HALF)
     plain, conf = F.is_valid_utf8(doc) & ~F.col(doc).rlike(_ODD) & ~half, documents.sparkSession.conf
-    valid = documents.select(key, doc).where(F.try_parse_json(doc).isNotNull())
+    state = F.when(F.try_parse_json(doc).isNull(), "invalid").when(plain, "plain").otherwise("other")
     old = conf.get(_ROWS_A_FILE)
     conf.set(_ROWS_A_FILE, DEALT)
     try:
-        kept = temporary(valid.withColumn("_plain", plain), "documents")
+        kept = temporary(documents.select(key, doc, state.alias("_state")), "documents")
     finally:
         conf.set(_ROWS_A_FILE, old)
-    return kept.where("_plain").drop("_plain"), kept.where("NOT _plain").drop("_plain")
+    return kept.where("_state = 'plain'").drop("_state"), kept.where("_state = 'other'").drop("_state")
 
 
 _WALKED = "path string, name string, depth int, kind string, value string"
@@ -110,35 +152,160 @@ def _parsed(texts: pa.Array, decode: Callable):
         yield len(text), decode(text.lstrip(" \t\n\r"))[0]
 
 
-def walk(documents: DataFrame, key: str, doc: str, name: str | None = None) -> DataFrame:
-    """As walk_levels, of any documents; a name keeps the values under a key of that name alone."""
+def _row_batch(key: str, *columns) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(columns[1:], types)]
+    return pa.RecordBatch.from_arrays([columns[0], *made], names=[key, "path", "name", "depth", "kind", "value"])
+
+
+def _one_by_one(keys: pa.Array, texts: pa.Array, key: str, values: Callable, most: int):
+    """Batches of what values(document, lists, most) puts into the lists."""
+    decode, at, out = json.JSONDecoder().raw_decode, [], [[], [], [], [], []]
+    for k, (_, v) in enumerate(_parsed(texts, decode)):
+        for _ in values(v, out, most):
+            at += [k] * (len(out[0]) - len(at))
+            if len(at) >= most:
+                yield _row_batch(key, keys.take(pa.array(at)), *out)
+                for x in (at, *out):
+                    x.clear()
+    if at:
+        yield _row_batch(key, keys.take(pa.array(at)), *out)
+
+
+def _merged(a, b):
+    """The form of both: types by key, a list's of its values, a scalar's type, None where nothing is known."""
+    if a is None or b is None or a == b:
+        return b if a is None else a
+    if type(a) is dict and type(b) is dict:
+        return a | {k: _merged(a.get(k), x) for k, x in b.items()}
+    if type(a) is list and type(b) is list:
+        return [_merged(a[0], b[0])]
+    raise ValueError("values of several kinds")
+
+
+def _form(v):
+    kind = type(v)
+    if kind is dict:
+        return {k: _form(x) for k, x in v.items()}
+    if kind is list:
+        form = None
+        for x in v:
+            form = _merged(form, _form(x))
+        return [form]
+    return None if v is None else {int: pa.int64(), str: pa.string(), bool: pa.bool_()}[kind]
+
+
+def _arrow_type(form) -> pa.DataType:
+    if type(form) is dict:
+        return pa.struct([(k, _arrow_type(x)) for k, x in form.items()])
+    if type(form) is list:
+        return pa.list_(_arrow_type(form[0]))
+    return pa.null() if form is None else form
+
+
+def _width(form) -> int:
+    return 1 + sum(map(_width, form.values() if type(form) is dict else form if type(form) is list else ()))
+
+
+def _as_columns(texts: pa.Array, form: dict) -> pa.Table | None:
+    """Documents of that form, a row each; None if one of them has another."""
+    lines = pc.binary_join_element_wise(texts.cast(pa.string()), "", "\n")
+    ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    raw = lines.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0]))
+    if np.count_nonzero(np.frombuffer(raw, np.uint8) == 10) != len(texts):
+        return None
+    schema = pa.schema(list(_arrow_type(form)))
+    how = pa.json.ParseOptions(explicit_schema=schema, unexpected_field_behavior="error")
+    try:
+        read = pa.json.read_json(pa.BufferReader(raw), pa.json.ReadOptions(use_threads=False, block_size=len(raw) + 1), how)
+    except pa.ArrowException:
+        return None
+    return read.combine_chunks() if len(read) == len(texts) and read.schema.equals(schema) else None
+
+
+def _named_columns(read: pa.Table, keys: pa.Array, key: str, name: str, ends: tuple[str, ...], most: int):
+    """As _named, of documents read as columns: a column's values and the positions in arrays that led to them."""
+
+    def fields(column):
+        return zip((f.name for f in column.type), column.flatten())
+
+    whole = [(n, c.chunk(0)) for n, c in zip(read.column_names, read.columns)]
+    # A column of the walk: its documents, its path's parts between positions, the positions, its depth.
+    waiting = [(n, c, np.arange(len(read)), ("$." + n,), (), 1) for n, c in whole]
+    while waiting:
+        step, column, rows, parts, at, depth = waiting.pop()
+        kind = column.type
+        if pa.types.is_struct(kind):
+            waiting += [(n, c, rows, (*parts[:-1], f"{parts[-1]}.{n}"), at, depth + 1) for n, c in fields(column)]
+        elif pa.types.is_list(kind):
+            parent = pc.list_parent_indices(column).to_numpy()
+            here = np.arange(len(parent)) - np.searchsorted(parent, parent)
+            waiting.append((None, pc.list_flatten(column), rows[parent], (*parts[:-1], parts[-1] + "[", "]"), (*(x[parent] for x in at), here), depth + 1))
+        elif step == name and not pa.types.is_null(kind):
+            text = column.cast(pa.string())
+            wanted = pc.ends_with(text, ends[0])
+            for x in ends[1:]:
+                wanted = pc.or_(wanted, pc.ends_with(text, x))
+            wanted = np.flatnonzero(pc.fill_null(wanted, False).to_numpy(zero_copy_only=False))
+            word = "string" if pa.types.is_string(kind) else "boolean" if pa.types.is_boolean(kind) else "number"
+            for begin in range(0, len(wanted), most):
+                some = wanted[begin : begin + most]
+                n, path = len(some), [pa.array([parts[0]] * len(some))]
+                for x, part in zip(at, parts[1:]):
+                    path += [pa.array(x[some]).cast(pa.string()), part]
+                path = pc.binary_join_element_wise(*path, "")
+                yield _row_batch(key, keys.take(pa.array(rows[some])), path, [name] * n, [depth] * n, [word] * n, text.take(pa.array(some)))
+
+
+def _pieces(batches, size: int):
+    """Keys and texts of about so many characters."""
+    for b in batches:
+        total, at = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)), 0
+        while at < len(total):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
+            yield b.column(0).slice(at, end - at), b.column(1).slice(at, end - at)
+            at = end
+
+
+def _find(plain: DataFrame, key: str, name: str, ends: tuple[str, ...]) -> DataFrame:
+    """Texts under a name that have one of the ends. Documents that share the form of some first ones are read as columns,
+    others, and those of many fields, one by one."""
+    most, size = BATCH, READ
+
+    def run(batches):
+        decode, form, tries = json.JSONDecoder().raw_decode, None, 0
+        for keys, texts in _pieces(batches, size):
+            read = None
+            if tries < FORMS and pc.sum(pc.binary_length(texts)).as_py() <= size:
+                try:
+                    if form is None:
+                        for _, v in _parsed(texts.slice(0, LOOKED_AT), decode):
+                            form = _merged(form, _form(v))
+                    if type(form) is dict and 0 < len(form) and _width(form) <= FIELDS:
+                        read = _as_columns(texts, form)
+                except (KeyError, ValueError, RecursionError):
+                    pass
+                if read is None:
+                    form, tries = None, tries + 1
+            if read is None:
+                yield from _one_by_one(keys, texts, key, lambda v, out, most: _named(v, name, ends, out, most), most)
+            else:
+                yield from _named_columns(read, keys, key, name, ends, most)
+
+    return plain.mapInArrow(run, f"`{key}` {plain.schema[key].dataType.simpleString()}, {_WALKED}")
+
+
+def walk(documents: DataFrame, key: str, doc: str) -> DataFrame:
+    """As walk_levels, of any documents."""
     plain, others = _stored(documents, key, doc)
     most = BATCH
 
     def run(batches):
-        decode = json.JSONDecoder().raw_decode
         for b in batches:
-            at, out = [], [[], [], [], [], []]
-            for k, (_, v) in enumerate(_parsed(b.column(1), decode)):
-                for _ in _values(v, name, out, most):
-                    at += [k] * (len(out[0]) - len(at))
-                    if len(at) >= most:
-                        yield made(b.column(0), at, out)
-                        for x in (at, *out):
-                            x.clear()
-            if at:
-                yield made(b.column(0), at, out)
-
-    def made(keys, at, out):
-        paths, names, depths, kinds, texts = out
-        columns = [pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(depths, pa.int32()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], names=[key, "path", "name", "depth", "kind", "value"])
+            yield from _one_by_one(b.column(0), b.column(1), key, _values, most)
 
     found = plain.mapInArrow(run, f"`{key}` {plain.schema[key].dataType.simpleString()}, {_WALKED}")
-    if others.isEmpty():
-        return found
-    rest = walk_levels(others, key, doc)
-    return found.unionByName(rest if name is None else rest.where(F.col("name") == name))
+    return found if others.isEmpty() else found.unionByName(walk_levels(others, key, doc))
 
 
 _POSITION = re.compile(r"\[[0-9]+\]")
@@ -295,5 +462,10 @@ def walk_levels(documents: DataFrame, key: str, doc: str) -> DataFrame:
 
 
 def found(documents: DataFrame, key: str, doc: str, name: str, pattern: str) -> DataFrame:
-    """Values under a key of that name, at any depth, whose text has the pattern."""
-    return walk(documents, key, doc, name).where(F.col("value").rlike(pattern))
+    """Values under a key of that name, at any depth, whose text has the pattern. Of plain documents, texts leave the walk
+    only if they have an end that the pattern asks for; the pattern itself is Spark's to test."""
+    plain, others = _stored(documents, key, doc)
+    got = _find(plain, key, name, _ends(pattern))
+    if not others.isEmpty():
+        got = got.unionByName(walk_levels(others, key, doc).where(F.col("name") == name))
+    return got.where(F.col("value").rlike(pattern))

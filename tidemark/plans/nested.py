@@ -12,7 +12,9 @@ from .registry import query
 def documents(spark, sf):
     """(o_orderkey, doc): an order with its customer (and that one's nation) and its lines, as JSON."""
     line = F.struct(F.col("l_linenumber").alias("number"), F.struct(F.col("l_partkey").alias("key"), F.struct(F.col("l_suppkey").alias("key"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("flags")).alias("supplier")).alias("part"))
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    # Few lines share an order, so they are shuffled as they are, and not gathered before.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     rows = o.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
