@@ -142,3 +142,24 @@ def test_query_on_tables(spark, library):
     for r in got:
         ids = np.array(library.encode(docs[r["doc_id"]], add_special_tokens=False).ids, "<u4")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+
+
+def test_an_encoder_is_kept_for_the_next_task(own):
+    parts = B.load()
+    first = B._encoder(parts)
+    first.encode("some text")
+    assert B._encoder(parts) is first and "text" in first.known and not first.runs_known.get(" text")
+    assert B._encoder(B.load()) is not first
+
+
+def test_texts_come_back_with_the_ids(make, own):
+    docs = make(ODD, clash=True)
+    both, ids = B.encode(docs, packed=True, back="back")
+    apart, _ = B.decoded(B.encode(docs, packed=True)[0], ids, name="back")
+    want = [(str(r["doc_id"]), r[ids], r["back"]) for r in apart.collect()]
+    assert sorted(((str(r["doc_id"]), r[ids], r["back"]) for r in both.collect()), key=str) == sorted(want, key=str)
+    table = own[1]
+    rows = [[5, 10**6, 7], [], [table.index(b"\xc3")], [table.index(b"\xc3"), table.index(b"\xa9")], [2**32 - 1]]
+    flat, ends = np.array([i for x in rows for i in x]), np.cumsum([0, *map(len, rows)])
+    got = B._texts(flat, ends, np.array([False, True, False, False, False]), B._table(table)).to_pylist()
+    assert got == [B.decode(rows[0], table), None, "\ufffd", "\u00e9", ""]

@@ -12,8 +12,8 @@ together unless a merge joins some x of the first's right edge to some y of the
 
 Runs are those of the byte-level scheme: a contraction, an optional space with letters, with numbers or with other signs,
 or white space. A run always begins at a space before something that is no white space, so a text is cut there in windows
-of WINDOW characters, and each task remembers the ids of up to CACHE such stretches of at most RUN characters. Memory is
-bounded by these, by the longest run and by the ids of the text at hand.
+of WINDOW characters, and each worker process remembers the ids of up to 2 CACHE such stretches and runs of at most RUN characters, from
+one task to the next. Memory is bounded by these, by the longest run and by the ids of the text at hand.
 
 Special tokens of the file stand in texts as themselves: their strings become their ids and part the text.
 
@@ -176,6 +176,8 @@ class Encoder:
 
         self.v, self.known, self.runs_known = v, {}, {}
         self.size = {i: len(v.names[i]) for i in v.whole}
+        # A run that is a piece: the longest that ends it begins it.
+        self.alone = {v.names[i]: array("I", [i]) for i in v.whole}
         self.ends = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i in v.whole:
             self.ends.add_word(v.names[i].decode("latin-1"), i)
@@ -186,13 +188,22 @@ class Encoder:
 
     def piece_ids(self, raw: bytes) -> array:
         """Ids of one run: the last piece of every prefix, then the way back from the end."""
-        v, size = self.v, self.size
+        one = self.alone.get(raw)
+        if one is not None:
+            return one
+        size, follows, known = self.size, self.v.follows, self.v._known.get
         last = [-1] * (len(raw) + 1)
         for end, piece in self.ends.iter(raw.decode("latin-1")):
-            if last[end + 1] < 0:
-                begin = end + 1 - size[piece]
-                if begin == 0 or v.follows(last[begin], piece):
-                    last[end + 1] = piece
+            end += 1
+            if last[end] < 0:
+                begin = end - size[piece]
+                if begin == 0:
+                    last[end] = piece
+                else:
+                    before = last[begin]
+                    good = known((before, piece))
+                    if good or good is None and follows(before, piece):
+                        last[end] = piece
         out, at = array("I"), len(raw)
         while at:
             out.append(last[at])
@@ -200,26 +211,32 @@ class Encoder:
         out.reverse()
         return out
 
+    def _run(self, run: str) -> bytes:
+        """Ids of one run. One that begins with a space is remembered as what follows it, as a stretch of it alone is."""
+        known, key = (self.known, run[1:]) if run[0] == " " else (self.runs_known, run)
+        got = known.get(key)
+        if got is None:
+            got = self.piece_ids(run.encode()).tobytes()
+            if len(run) <= RUN:
+                self._keep(known, key, got)
+        return got
+
+    def _keep(self, known: dict, key: str, got: bytes) -> None:
+        if len(self.known) + len(self.runs_known) >= 2 * CACHE:
+            self.known.clear()
+            self.runs_known.clear()
+        known[key] = got
+
     def _stretch(self, text: str) -> bytes:
-        out, known = [], self.runs_known
-        for run in self.runs.findall(text):
-            got = known.get(run)
-            if got is None:
-                got = self.piece_ids(run.encode()).tobytes()
-                if len(run) <= RUN:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[run] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self._run, self.runs.findall(text)))
 
     def _after_space(self, text: str) -> bytes:
         """Ids of a space and what follows it up to the next certain cut."""
+        if text.isalpha():
+            return self._run(" " + text)
         got = self._stretch(" " + text)
         if len(text) <= RUN:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[text] = got
+            self._keep(self.known, text, got)
         return got
 
     def _plain(self, text: str) -> bytes:
@@ -230,9 +247,10 @@ class Encoder:
             first, *rest = _CUT.split(text[at:end])
             if first:
                 out.append(self._stretch(first))
-            for x in rest:
-                got = known.get(x)
-                out.append(self._after_space(x) if got is None else got)
+            found = list(map(known.get, rest))
+            if None in found:
+                found = [self._after_space(x) if got is None else got for x, got in zip(rest, found)]
+            out += found
             at = end
         return b"".join(out)
 
@@ -260,25 +278,61 @@ def decode(ids, table: list[bytes]) -> str:
     return b"".join([table[i] if 0 <= i < n else b"" for i in ids]).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, packed: bool = False) -> tuple[DataFrame, str]:
+_kept: list = []
+
+
+def _encoder(parts) -> Encoder:
+    """The encoder of these parts, kept by the worker process for its next tasks."""
+    if not _kept or _kept[0] is not parts:
+        _kept[:] = parts, Encoder(Vocabulary(*parts))
+    return _kept[1]
+
+
+def _texts(ids: np.ndarray, ends: np.ndarray, null: np.ndarray, table: pa.BinaryArray) -> pa.Array:
+    """Texts of rows whose ids end at those places; the last entry of the table is empty and stands for unknown ids."""
+    known = np.where((ids >= 0) & (ids < len(table) - 1), ids, len(table) - 1)
+    spelt = table.take(pa.array(known))
+    data = spelt.buffers()[2]
+    at = np.frombuffer(spelt.buffers()[1], np.int64, len(known) + 1)[ends]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), data])
+    raw = pc.if_else(pa.array(null), None, raw) if null.any() else raw
+    try:
+        return raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+def _table(spellings: list[bytes]) -> pa.Array:
+    return pa.array([*spellings, b""], pa.large_binary())
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, packed: bool = False, back: str | None = None) -> tuple[DataFrame, str]:
     """docs and a column (its name is returned) with the ids of each text: an array of integers, or packed as
-    little-endian unsigned 32-bit integers in one binary value."""
+    little-endian unsigned 32-bit integers in one binary value. A name in back replaces the text by what the ids decode to."""
     name, parts = fresh(docs.columns, "ids"), load(path)
     shipped = docs.sparkSession.sparkContext.broadcast(parts)
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+    place = docs.columns.index(text)
+    fields = [*docs.schema.fields]
+    if back is not None:
+        fields[place] = T.StructField(back, T.StringType())
+    schema = T.StructType([*fields, T.StructField(name, kind)])
 
     def run(batches):
-        encoder = Encoder(Vocabulary(*shipped.value))
+        encoder, table = _encoder(shipped.value), None if back is None else _table(spelling(shipped.value))
         for piece in each_piece(batches, text):
-            coded = [None if x is None else encoder.encode(x) for x in piece.column(piece.schema.get_field_index(text)).to_pylist()]
+            coded = [None if x is None else encoder.encode(x) for x in piece.column(place).to_pylist()]
+            columns = [*piece.columns]
+            sizes = [0, *accumulate(len(x or b"") // 4 for x in coded)]
             if packed:
                 made = pa.array(coded, pa.binary())
             else:
-                ends = [0, *accumulate(len(x or b"") // 4 for x in coded)]
-                ends = pa.array([None if k < len(coded) and coded[k] is None else e for k, e in enumerate(ends)], pa.int32())
+                ends = pa.array([None if k < len(coded) and coded[k] is None else e for k, e in enumerate(sizes)], pa.int32())
                 made = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(x or b"" for x in coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([*piece.columns, made], names=[*piece.schema.names, name])
+            if back is not None:
+                null = np.array([x is None for x in coded], bool)
+                columns[place] = _texts(np.frombuffer(b"".join(x or b"" for x in coded), "<u4").astype(np.int64), np.array(sizes), null, table)
+            yield pa.RecordBatch.from_arrays([*columns, made], names=[f.name for f in fields] + [name])
 
     return docs.mapInArrow(run, schema), name
 
@@ -290,7 +344,8 @@ def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None, name: st
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches):
-        table = shipped.value
+        spellings = shipped.value
+        table = _table(spellings)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             sizes = np.cumsum(pc.fill_null(pc.binary_length(column) if packed else pc.multiply(pc.list_value_length(column), 4), 0).to_numpy(zero_copy_only=False))
@@ -298,9 +353,14 @@ def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None, name: st
             while at < len(sizes):
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + DECODED, side="right")))
                 part = batch.slice(at, end - at)
-                values = part.column(batch.schema.get_field_index(ids)).to_pylist()
-                texts = [None if x is None else decode(np.frombuffer(x, "<u4").tolist() if packed else x, table) for x in values]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
+                values = part.column(batch.schema.get_field_index(ids))
+                if packed:
+                    raw, null = values.to_pylist(), pc.is_null(values).to_numpy(zero_copy_only=False)
+                    places = np.array([0, *accumulate(len(x or b"") // 4 for x in raw)])
+                    texts = _texts(np.frombuffer(b"".join(x or b"" for x in raw), "<u4").astype(np.int64), places, null, table)
+                else:
+                    texts = pa.array([None if x is None else decode(x, spellings) for x in values.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, name])
                 at = end
 
     return rows.mapInArrow(run, schema), name

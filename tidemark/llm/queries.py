@@ -192,10 +192,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_bpe")
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded, ids = bpe_codec.encode(docs, packed=True)
-    both, text = bpe_codec.decoded(coded.drop("text"), ids)
+    both, ids = bpe_codec.encode(docs, packed=True, back="decoded")
     n_tokens = (F.octet_length(ids) / 4).cast("long").alias("n_tokens")
-    return both.select("doc_id", n_tokens, F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+    return both.select("doc_id", n_tokens, F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def _crc32_sql(s: str) -> str:
