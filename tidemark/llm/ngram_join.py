@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .arrow import each_piece
 from .graph import components
 from .packed import pack_sorted, unpack_sorted
-from .shared import small, written
-from .tokens import _mix, span_hashes, text_buffer, window_starts, windows, words
+from .shared import small, small_batches, written
+from .tokens import PIECE, _mix, span_hashes, text_buffer, window_starts, windows, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -99,7 +99,7 @@ _FEATURES = "doc_id long, text_hash long, key long, n_shingles int, sig binary"
 
 
 def _features(batches):
-    for piece in each_piece(batches, "text"):
+    for piece in each_piece(batches, "text", PIECE):
         value, offsets, _ = shingles(piece.column(2))
         some = np.flatnonzero(np.diff(offsets) > 0)
         n = piece.num_rows
@@ -246,7 +246,7 @@ def _group(threshold: float, tolerance: float):
 
 def _grams(batches):
     """(key, grams): the packed n-grams of texts."""
-    for piece in each_piece(batches, "text"):
+    for piece in each_piece(batches, "text", PIECE):
         value, offsets, _ = shingles(piece.column(0))
         some = np.flatnonzero(np.diff(offsets) > 0)
         key = set_key(value, np.append(offsets[some], offsets[-1])) if len(some) else np.zeros(0, np.int64)
@@ -352,6 +352,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
 def _similar(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """similar() with root, which tells classes apart whose least ids are equal."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rows = written(texts.mapInArrow(_features, _FEATURES), "signatures")
     part = rows.where("doc_id IS NOT NULL AND key IS NOT NULL")

@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from .arrow import each_piece, fresh
 from .ngram_join import similar
 from .packed import find
-from .shared import freeing_shuffles, small, written
-from .tokens import pieces, span_hashes, text_buffer, words
+from .shared import freeing_shuffles, small, small_batches, written
+from .tokens import PIECE, pieces, span_hashes, text_buffer, words
 from .toxicity import _BREAK, _folded
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -148,7 +148,7 @@ def _entity_rows(batches):
 
 def _distinct_terms(batches):
     """The distinct terms of each text, those of its base spans left out."""
-    for piece in each_piece(batches, "text"):
+    for piece in each_piece(batches, "text", PIECE):
         h, doc, start, end = terms_of(piece.column(1))
         edge = np.searchsorted(doc, np.arange(piece.num_rows + 1))
         found = []
@@ -187,7 +187,7 @@ def _counted(shipped):
     def run(batches):
         wanted = None if shipped is None else shipped.value
         total = None if wanted is None else np.zeros(len(wanted), np.int64)
-        for piece in each_piece(batches, "text"):
+        for piece in each_piece(batches, "text", PIECE):
             h, doc, _, _ = terms_of(piece.column(0))
             if wanted is None:
                 order = np.lexsort((h, doc))
@@ -198,7 +198,7 @@ def _counted(shipped):
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
             elif len(wanted):
                 at, there = find(wanted, h)
-                total += np.bincount(np.unique(doc[there] * len(wanted) + at[there]) % len(wanted), minlength=len(wanted))
+                np.add.at(total, np.unique(doc[there] * len(wanted) + at[there]) % len(wanted), 1)
         if wanted is not None:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], names=["term", "n"])
@@ -280,6 +280,7 @@ def _found_in(column: pa.Array, told: np.ndarray | None, own: list | None) -> li
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT, clean: bool = True, max_terms: int | None = None) -> tuple[DataFrame, str]:
     """docs and a struct column (its name is returned): spans (kind, start, end) by start, then kind; clean, the sanitised text."""
     spark, most = docs.sparkSession, MAX_TERMS if max_terms is None else max_terms
+    small_batches(spark)
     with freeing_shuffles(spark):
         terms = written(disclosing(docs, text, threshold, min_support, max_terms=most).select("term").distinct(), "disclosing")
         n_terms = terms.count()
@@ -300,7 +301,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE):
                 texts = piece.column(piece.schema.get_field_index(text))
                 own = piece.column(piece.schema.get_field_index(column)).to_pylist() if column else None
                 found = _found_in(texts, shipped.value, own)

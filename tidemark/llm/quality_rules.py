@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import add_column, fresh
-from .tokens import covered, per_text, span_hashes, text_buffer, window_starts, windows, words
+from .shared import small_batches
+from .tokens import PIECE, covered, per_text, span_hashes, text_buffer, window_starts, windows, words
 
 #: What counts as a symbol, and frequent function words of English, German, French and Spanish.
 SYMBOLS = "#*$%&|<>"
@@ -208,13 +209,14 @@ def with_quality(docs: DataFrame, text: str = "text", keep_at: float = KEEP_AT)
 
     Two passes over the texts: one gathers the histogram of votes, one scores; no text is shuffled.
     """
+    small_batches(docs.sparkSession)
     only = docs.select(F.col(text).alias("text"))
     make = lambda piece: features(piece.column(piece.schema.get_field_index("text")))
-    names, model = label_model(add_column(only, "q", FEATURE_TYPE, "text", make), lambda k: F.col("q")[k])
+    names, model = label_model(add_column(only, "q", FEATURE_TYPE, "text", make, PIECE), lambda k: F.col("q")[k])
     raw, name = fresh(docs.columns, "features"), fresh(docs.columns, "quality")
     own = lambda piece: features(piece.column(piece.schema.get_field_index(text)))
     q = lambda k: F.col(raw)[k]
-    scored = add_column(docs, raw, FEATURE_TYPE, text, own)
+    scored = add_column(docs, raw, FEATURE_TYPE, text, own, PIECE)
     probability = _posterior(q, names, model)
     votes = F.array(*rule_votes(q).values())
     result = F.struct(*[q(k).alias(k) for k in FEATURES], votes.alias("votes"), probability.alias("posterior"), base_failed(q).alias("base_failed"), (~base_failed(q) & (probability >= keep_at)).alias("kept"))

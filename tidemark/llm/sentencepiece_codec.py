@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import fresh
+from .shared import small_batches
 from .tokens import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -198,6 +199,7 @@ _ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.S
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, check: bool = True) -> tuple[DataFrame, str]:
     """docs and a struct column (its name is returned): ids, and whether decoding them gives the text back."""
     spark, name = docs.sparkSession, fresh(docs.columns, "encoded")
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(load(model).parts())
     schema = T.StructType([*docs.schema.fields, T.StructField(name, _ENCODED)])
 

@@ -32,6 +32,18 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(_CLEANUP, old)
 
 
+#: Bytes of an Arrow batch, and rows that a Parquet reader holds at once. Of Spark's own 10,000 rows of texts, up to 64 MB,
+#: each task has copies in the JVM outside its heap and another in its worker.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22), "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts pass to Python some MB at a time. Results are lazy, so this stays set; what the session sets itself holds."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 _kept: dict[str, SparkSession] = {}
 
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 #: The six characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\v\f\r"
+#: Text bytes of a piece whose running sums and hashes take some 100 bytes a text byte while it is worked on.
+PIECE = 1 << 18
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
